@@ -46,12 +46,12 @@ def _(spark, d):
 s AS (SELECT *, conv_id % 3 AS mode FROM turns)
 SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN 'https://app.test/en/agents/a1/conversations/' || conv_id ELSE '' END AS url,
   CASE WHEN mode = 2 THEN 'live' ELSE 'stored' END AS source, row_number() OVER (PARTITION BY conv_id ORDER BY ord) - 1 AS ord, speaker,
-  CASE WHEN mode = 2 THEN upper(text) ELSE text END AS text FROM s WHERE text <> ''""")
+  CASE WHEN mode = 2 THEN text || '!' ELSE text END AS text FROM s WHERE text <> ''""")
 def _(spark, d):
     t = i.turns(spark, d)
     turn = F.struct("speaker", "text")
     nested = t.groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.struct("ord", turn.alias("t"), F.struct("speaker", F.upper("text").alias("text")).alias("u")))).alias("x"))
+        F.array_sort(F.collect_list(F.struct("ord", turn.alias("t"), F.struct("speaker", F.concat("text", F.lit("!")).alias("text")).alias("u")))).alias("x"))
     stored = F.when(F.col("conv_id") % 3 != 2, F.transform("x", lambda e: e["t"]))
     summaries = nested.select(
         "conv_id", stored.alias("stored"), F.transform("x", lambda e: e["u"]).alias("live"),
@@ -95,13 +95,13 @@ def _(spark, d):
     return quality.validate_transcripts(i.turns(spark, d)).select("conv_id", "saved", "reason")
 
 
-LIVE = f"""{i.TURNS}, live AS (SELECT conv_id, speaker, CASE WHEN (conv_id + ord) % 4 = 0 THEN split_part(text, '.', 1) ELSE upper(text) END AS text FROM turns WHERE conv_id % 11 <> 0)"""
+LIVE = f"""{i.TURNS}, live AS (SELECT conv_id, speaker, CASE WHEN (conv_id + ord) % 4 = 0 THEN split_part(text, '.', 1) ELSE '- ' || text || '!' END AS text FROM turns WHERE conv_id % 11 <> 0)"""
 
 
 def _live(spark, d):
     t = i.turns(spark, d).where(F.col("conv_id") % 11 != 0)
     short = F.split_part("text", F.lit("."), F.lit(1))
-    return t.withColumn("text", F.when((F.col("conv_id") + F.col("ord")) % 4 == 0, short).otherwise(F.upper("text")))
+    return t.withColumn("text", F.when((F.col("conv_id") + F.col("ord")) % 4 == 0, short).otherwise(F.concat(F.lit("- "), "text", F.lit("!"))))
 
 
 @query("e15_compare_transcripts", f"""WITH {LIVE},
