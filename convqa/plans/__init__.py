@@ -1,2 +1,2 @@
-from convqa.plans import conversation, knowledge  # noqa: F401
+from convqa.plans import calls, conversation, knowledge  # noqa: F401
 from convqa.plans.registry import ORACLES, QUERIES  # noqa: F401

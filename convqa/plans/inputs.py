@@ -160,7 +160,7 @@ def frames(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.col("user_id").alias("session_id"), tx.epoch_ms("ts").alias("at"), F.col("event_id").alias("seq"), F.col("event_type").alias("kind"), "value", k.alias("k"), "ts")
 
 
-FRAMES = "frames AS (SELECT user_id AS session_id, epoch_ms(ts) AS tm, event_id AS seq, event_type AS kind, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)"
+FRAMES = "frames AS (SELECT user_id AS session_id, epoch_us(ts) // 1000 AS tm, event_id AS seq, event_type AS kind, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)"
 
 
 def replies(spark: SparkSession, d: str) -> DataFrame:
