@@ -122,8 +122,15 @@ class TurnClock:
         return (self.send_no, self.sent, self.phase, self.hard, self.settle, self.snapshot, self.sentences, self.first)
 
     def send(self, send_no: int, at: int):
+        """Start the next question; an answer still open at that moment is returned as it stands."""
+        cut = None if self.phase == "idle" else self._close("next-send")
         self.send_no, self.sent, self.phase, self.hard, self.settle = send_no, at, "wait", at + self.c.turn_timeout_ms, None
         self.snapshot, self.sentences, self.first = 0, [], None
+        return cut
+
+    def _close(self, how: str):
+        self.phase = "idle"
+        return (self.send_no, " ".join(self.sentences).strip(), None if self.first is None else self.first - self.sent, how)
 
     def next_due(self) -> int | None:
         if self.phase == "wait":
@@ -145,9 +152,7 @@ class TurnClock:
 
     def _after_confirm(self, at: int):
         if len(self.sentences) == self.snapshot:
-            self.phase = "idle"
-            return (self.send_no, " ".join(self.sentences).strip(), None if self.first is None else self.first - self.sent,
-                    "silence" if self.first is not None else "timeout")
+            return self._close("silence" if self.first is not None else "timeout")
         self.phase, self.hard = "wait", at + self.c.turn_timeout_ms
         self.settle = at + self.c.settle_ms if self.settle is None else self.settle
         return None
@@ -174,11 +179,11 @@ def _run_clock(clock: TurnClock, rows, out: list) -> None:
         if done:
             out.append(done)
         if row.kind == "send":
-            clock.send(int(row.send_no), int(row.at))
+            done = clock.send(int(row.send_no), int(row.at))
         else:
             done = clock.frame(int(row.at), row.sentence if isinstance(row.sentence, str) else None)
-            if done:
-                out.append(done)
+        if done:
+            out.append(done)
 
 
 def close_turns_batch(frames: DataFrame, config: CallConfig = CallConfig()) -> DataFrame:
