@@ -19,10 +19,9 @@ def asof_conversation(calls: DataFrame, convs: DataFrame, skew_ms: int = CallCon
     within the skew before it, else the newest of the agent.
 
     ``calls``: ``call_id, agent_id, started_ms``; ``convs``: ``conv_id, agent_id, created_ms``.
-    Both as-of passes are time-block scans, so an agent with very many calls stays spread.
+    The as-of pass is a time-block scan, so an agent with very many calls stays spread.
     """
-    ahead = o.asof(calls, convs, ["agent_id"], "started_ms", "created_ms", ["conv_id"], block_width, True, "after_", ["conv_id"])
-    both = o.asof(ahead, convs, ["agent_id"], "started_ms", "created_ms", ["conv_id"], block_width, False, "before_", ["conv_id"])
+    both = o.asof_both(calls, convs, ["agent_id"], "started_ms", "created_ms", ["conv_id"], block_width, ["conv_id"])
     near = F.col("before_created_ms") >= F.col("started_ms") - skew_ms
     match = (
         F.when(F.col("after_conv_id").isNotNull(), "after").when(near, "skew")
@@ -96,7 +95,7 @@ def match_by_content(calls: DataFrame, live: DataFrame, convs: DataFrame, stored
     ``live``/``stored``: turns keyed by ``conv_id`` (call id on the live side). Unmatched calls keep nulls.
 
     Equal contents are compared once. For each call and each similar content the nearest conversation
-    comes from two as-of scans, so a group of identical calls never forms its pairs.
+    comes from one as-of scan, so a group of identical calls never forms its pairs.
     """
     live_counts, live_sig = _bags(live)
     stored_counts, stored_sig = _bags(stored)
@@ -106,9 +105,7 @@ def match_by_content(calls: DataFrame, live: DataFrame, convs: DataFrame, stored
         .join(pairs, "sig").select("call_id", "agent_id", "started_ms", F.col("other").alias("sig"), "sim")
     )
     have = convs.join(stored_sig.select("conv_id", "sig"), "conv_id").select("agent_id", "sig", "created_ms", "conv_id")
-    key = ["agent_id", "sig"]
-    ahead = o.asof(wanted, have, key, "started_ms", "created_ms", ["conv_id"], block_width, True, "after_", ["conv_id"])
-    both = o.asof(ahead, have, key, "started_ms", "created_ms", ["conv_id"], block_width, False, "before_", ["conv_id"])
+    both = o.asof_both(wanted, have, ["agent_id", "sig"], "started_ms", "created_ms", ["conv_id"], block_width, ["conv_id"])
     near = F.col("before_created_ms") >= F.col("started_ms") - config.call_match_skew_ms
     candidate = both.select("call_id", "sim", F.explode(F.array(
         F.struct(F.col("after_conv_id").alias("conv_id"), (F.col("after_created_ms") - F.col("started_ms")).alias("away")),

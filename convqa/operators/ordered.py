@@ -11,7 +11,7 @@ Keys must not be null. ``order`` must be unique within a key for a deterministic
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -121,6 +121,49 @@ def _nearest_value(df, keys, order, value, name, block, forward: bool, inclusive
     return _done(work.withColumn(name, F.coalesce(here, F.col(CARRY))), df)
 
 
+def stretches(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], starts: Callable[[Column, Column], Column],
+              name: str, block: Column | None = None) -> DataFrame:
+    """Number the stretches of neighbouring rows: ``starts(this, previous)`` says whether a row begins one.
+
+    Both arguments are structs of ``columns``; ``previous`` is null for the first row of a key. One pass
+    over the rows: a block counts its own starts as if nothing came before it, and the block summaries
+    (first row, last row, count) correct that afterwards.
+    """
+    work = df if BLOCK in df.columns else df.withColumn(BLOCK, block)
+    this, nothing = F.struct(*columns), F.lit(None).cast(df.select(F.struct(*columns)).schema[0].dataType)
+    one = lambda test: F.coalesce(test, F.lit(False)).cast("bigint")
+    local = _local(keys, order)
+    work = work.withColumn("__start", one(starts(this, F.lag(this).over(local))))
+    position = F.struct(*order)
+    per_block = work.groupBy(*keys, BLOCK).agg(
+        F.sum("__start").alias("__n"), F.min_by(this, position).alias("__first"), F.max_by(this, position).alias("__last"))
+    over_blocks = Window.partitionBy(*keys).orderBy(BLOCK)
+    first, before = F.col("__first"), F.col("__before")
+    settled = per_block.withColumn("__before", F.lag("__last").over(over_blocks)).withColumn("__fix", one(starts(first, before)) - one(starts(first, nothing)))
+    carried = settled.select(
+        *keys, BLOCK, (F.coalesce(F.sum(F.col("__n") + F.col("__fix")).over(over_blocks.rowsBetween(*ALL_BEFORE)), F.lit(0)) + F.col("__fix")).alias(CARRY)
+    ).where(F.col(CARRY) != 0)
+    joined = work.join(carried, [*keys, BLOCK], "left")
+    count = F.sum("__start").over(local.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce(F.col(CARRY), F.lit(0))
+    return _done(joined.withColumn(name, count), df, "__start")
+
+
+def nearest_both(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, before: str, after: str, block: Column) -> DataFrame:
+    """``last_seen`` and ``next_seen`` in one pass."""
+    known = F.when(value.isNotNull(), F.struct(*order))
+    work = df.withColumn(BLOCK, block)
+    per_block = work.groupBy(*keys, BLOCK).agg(F.min_by(value, known).alias("__first"), F.max_by(value, known).alias("__last"))
+    over_blocks = Window.partitionBy(*keys).orderBy(BLOCK)
+    carried = per_block.select(
+        *keys, BLOCK, F.last("__last", ignorenulls=True).over(over_blocks.rowsBetween(*ALL_BEFORE)).alias("__cb"),
+        F.first("__first", ignorenulls=True).over(over_blocks.rowsBetween(*ALL_AFTER)).alias("__ca"))
+    work = work.join(carried.where("__cb is not null or __ca is not null"), [*keys, BLOCK], "left")
+    local = _local(keys, order)
+    back = F.last(value, ignorenulls=True).over(local.rowsBetween(Window.unboundedPreceding, 0))
+    ahead = F.first(value, ignorenulls=True).over(local.rowsBetween(0, Window.unboundedFollowing))
+    return work.withColumn(before, F.coalesce(back, "__cb")).withColumn(after, F.coalesce(ahead, "__ca")).drop(BLOCK, "__cb", "__ca")
+
+
 def last_seen(df, keys, order, value: Column, name: str, block: Column | None = None, inclusive: bool = True) -> DataFrame:
     """Most recent non-null ``value`` up to this row."""
     return _nearest_value(df, keys, order, value, name, block, forward=False, inclusive=inclusive)
@@ -131,47 +174,68 @@ def next_seen(df, keys, order, value: Column, name: str, block: Column | None =
     return _nearest_value(df, keys, order, value, name, block, forward=True, inclusive=inclusive)
 
 
+def _unique_times(right: DataFrame, keys, at: str, at_type: str, payload: Sequence[str], tie: Sequence[str], prefix: str) -> DataFrame:
+    """Right side of an as-of join with one row per key and time, the smallest in ``tie``."""
+    pack = F.struct(*[F.col(c).alias(f"{prefix}{c}") for c in (at, *payload)])
+    return right.where(F.col(at).isNotNull()).groupBy(*keys, F.col(at).cast(at_type).alias("__at")).agg(
+        F.min_by(pack, F.struct(*(tie or payload or [at]))).alias("__right"))
+
+
+def _with_left(r: DataFrame, left: DataFrame, keys, left_at: str, side: int) -> DataFrame:
+    """Both sides in one sequence; ``__left`` or ``__right`` tells which one a row is."""
+    l = left.select(*keys, F.col(left_at).alias("__at"), F.struct(*left.columns).alias("__left"))
+    both = r.select("*", F.lit(None).cast(l.schema["__left"].dataType).alias("__left"))
+    return both.unionByName(l.select("*", F.lit(None).cast(r.schema["__right"].dataType).alias("__right"), F.lit(side).alias("__side")))
+
+
 def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str, right_at: str, payload: Sequence[str],
          block_width: int, forward: bool, prefix: str = "asof_", tie: Sequence[str] = ()) -> DataFrame:
     """Nearest right row at or after (``forward``) or at or before each left row, per key.
 
-    One union and one block scan instead of a range join. Right rows of equal time are reduced to the
-    one smallest in ``tie`` first. Left columns are kept; matched time and ``payload`` get ``prefix``.
+    One union and one block scan instead of a range join. Left columns are kept; matched time and
+    ``payload`` get ``prefix``. Right rows of equal time are reduced to the one smallest in ``tie``.
     """
-    left_cols = left.columns
-    at_type = dict(left.dtypes)[left_at]
-    wanted = [right_at, *payload]
-    pack = F.struct(*[F.col(c).alias(f"{prefix}{c}") for c in wanted])
-    r = right.where(F.col(right_at).isNotNull()).groupBy(*keys, F.col(right_at).cast(at_type).alias("__at")).agg(
-        F.min_by(pack, F.struct(*(tie or payload))).alias("__right")
-    )
-    l = left.select(*keys, F.col(left_at).alias("__at"), F.struct(*left_cols).alias("__left"))
+    r = _unique_times(right, keys, right_at, dict(left.dtypes)[left_at], payload, tie, prefix)
     # At equal times the left row has to see the right row in either direction.
-    both = r.select("*", F.lit(None).cast(l.schema["__left"].dataType).alias("__left"), F.lit(1 if forward else 0).alias("__side"))
-    both = both.unionByName(
-        l.select("*", F.lit(None).cast(r.schema["__right"].dataType).alias("__right"), F.lit(0 if forward else 1).alias("__side"))
-    )
+    both = _with_left(r.withColumn("__side", F.lit(1 if forward else 0)), left, keys, left_at, 0 if forward else 1)
     scan = next_seen if forward else last_seen
     found = scan(both, keys, ["__at", "__side"], F.col("__right"), "__hit", blocks_of("__at", block_width))
     return found.where(F.col("__left").isNotNull()).select(
-        *[F.col(f"__left.{c}").alias(c) for c in left_cols],
-        *[F.col(f"__hit.{prefix}{c}").alias(f"{prefix}{c}") for c in wanted],
-    )
+        *[F.col(f"__left.{c}").alias(c) for c in left.columns], *[F.col(f"__hit.{prefix}{c}").alias(f"{prefix}{c}") for c in (right_at, *payload)])
+
+
+def asof_both(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str, right_at: str, payload: Sequence[str],
+              block_width: int, tie: Sequence[str] = ()) -> DataFrame:
+    """As-of in both directions in one pass; columns get the prefixes ``before_`` and ``after_``.
+
+    Every right row is placed before and after left rows of its time, so an equal time counts both ways.
+    """
+    r = _unique_times(right, keys, right_at, dict(left.dtypes)[left_at], payload, tie, "")
+    twice = r.withColumn("__side", F.explode(F.array(F.lit(0), F.lit(2))))
+    both = _with_left(twice, left, keys, left_at, 1)
+    found = nearest_both(both, keys, ["__at", "__side"], F.col("__right"), "__b", "__a", blocks_of("__at", block_width))
+    return found.where(F.col("__left").isNotNull()).select(
+        *[F.col(f"__left.{c}").alias(c) for c in left.columns],
+        *[F.col(f"__{p[0]}.{c}").alias(f"{p}_{c}") for p in ("before", "after") for c in (right_at, *payload)])
 
 
 def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float, bucket: Column, name: str) -> DataFrame:
-    """Linear-interpolated quantile per key without holding a key's values in one task."""
+    """Linear-interpolated quantile per key without holding a key's values in one task.
+
+    Equal values are counted first; bucket totals show which buckets hold the two ranks needed, and only
+    those buckets are ranked.
+    """
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n")).withColumn("__bucket", bucket)
-    totals = counts.groupBy(*keys).agg(F.sum("__n").alias("__total"))
-    ranked = running_sum(counts, keys, [value], F.col("__n"), "__upto", F.col("__bucket"))
+    by_bucket = Window.partitionBy(*keys).orderBy("__bucket")
+    totals = counts.groupBy(*keys, "__bucket").agg(F.sum("__n").alias("__in")).select(
+        *keys, "__bucket", "__in", F.coalesce(F.sum("__in").over(by_bucket.rowsBetween(*ALL_BEFORE)), F.lit(0)).alias("__below"),
+        F.sum("__in").over(Window.partitionBy(*keys)).alias("__total"))
     at = (F.col("__total") - 1) * F.lit(q)
-    return (
-        ranked.join(totals, list(keys))
-        .groupBy(*keys)
-        .agg(
-            F.min(F.when(F.col("__upto") > F.floor(at), F.col(value))).alias("__lo"),
-            F.min(F.when(F.col("__upto") > F.ceil(at), F.col(value))).alias("__hi"),
-            F.first(at - F.floor(at)).alias("__frac"),
-        )
-        .select(*keys, (F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.col("__frac")).alias(name))
-    )
+    holds = lambda rank: (F.col("__below") <= rank) & (rank < F.col("__below") + F.col("__in"))
+    wanted = totals.withColumn("__at", at).where(holds(F.floor("__at")) | holds(F.ceil("__at")))
+    inside = Window.partitionBy(*keys, "__bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.join(wanted, [*keys, "__bucket"]).withColumn("__upto", F.col("__below") + F.sum("__n").over(inside))
+    return ranked.groupBy(*keys).agg(
+        F.min(F.when(F.col("__upto") > F.floor("__at"), F.col(value))).alias("__lo"), F.min(F.when(F.col("__upto") > F.ceil("__at"), F.col(value))).alias("__hi"),
+        F.first(F.col("__at") - F.floor("__at")).alias("__frac"),
+    ).select(*keys, (F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.col("__frac")).alias(name))

@@ -40,10 +40,9 @@ def drop_empty(turns: DataFrame, keep_agent: bool = False) -> DataFrame:
 def with_takeovers(turns: DataFrame, opener: Column, name: str = "exch", block_rows: int | None = None,
                    order: Sequence[str] = ORD, block: Column | None = None) -> DataFrame:
     """Number the stretches that start each time ``opener`` turns take the floor; 0 = before the first."""
-    flagged = o.with_block(turns.withColumn("__opens", opener), _block(block_rows) if block is None else block)
-    flagged = o.previous(flagged, KEY, order, ["__opens"])
-    takes_floor = F.when(F.col("__opens") & ~F.coalesce("prev___opens", F.lit(False)), 1).otherwise(0)
-    return o.running_sum(flagged, KEY, order, takes_floor, name).drop("__opens", "prev___opens", o.BLOCK)
+    opened = lambda this, before: this["__opens"] & ~F.coalesce(before["__opens"], F.lit(False))
+    flagged = turns.withColumn("__opens", opener)
+    return o.stretches(flagged, KEY, order, ["__opens"], opened, name, _block(block_rows) if block is None else block).drop("__opens")
 
 
 def pair(turns: DataFrame, block_rows: int | None = None) -> DataFrame:
@@ -80,10 +79,8 @@ def exchanges(turns: DataFrame, block_rows: int | None = None) -> DataFrame:
 
 def merge_labels(segments: DataFrame, block_rows: int | None = None) -> DataFrame:
     """Merge neighbouring segments of one speaker, skipping empty ones."""
-    filled = o.with_block(drop_empty(segments), _block(block_rows))
-    seen = o.previous(filled, KEY, ORD, ["speaker"])
-    change = F.when(F.col("prev_speaker").eqNullSafe(F.col("speaker")), 0).otherwise(1)
-    runs = o.running_sum(seen, KEY, ORD, change, "run")
+    changed = lambda this, before: before.isNull() | ~this["speaker"].eqNullSafe(before["speaker"])
+    runs = o.stretches(drop_empty(segments), KEY, ORD, ["speaker"], changed, "run", _block(block_rows))
     return runs.groupBy("conv_id", "run").agg(F.first("speaker").alias("speaker"), _joined(F.lit(True)).alias("text"))
 
 

@@ -63,9 +63,9 @@ def _(spark, d):
     return q.withColumn("noise", F.round("noise", 9))
 
 
-@query("m4_hangover", f"WITH {SPEECH} SELECT call, channel, count(*) AS speech_frames, CAST(sum(frame) AS BIGINT) AS frame_sum FROM sp GROUP BY 1, 2")
+@query("m4_hangover", f"WITH {SPEECH} SELECT call, channel, min(frame) AS start, max(frame) + 1 AS \"end\", count(*) FILTER (WHERE voiced) AS voiced_frames FROM isl GROUP BY call, channel, g")
 def _(spark, d):
-    return audio.speech_frames(frame_table(spark, d), CFG).groupBy("call", "channel").agg(F.count(F.lit(1)).alias("speech_frames"), F.sum("frame").alias("frame_sum"))
+    return audio.bridged_runs(frame_table(spark, d), CFG).select("call", "channel", "start", "end", "voiced_frames")
 
 
 @query("m5_m6_speech_runs", f"WITH {SPEECH} SELECT call, channel, s AS start, e AS \"end\", share >= 0.35 AS mostly_voiced FROM runs")
