@@ -9,6 +9,7 @@ from convqa.config import CallConfig
 from convqa.functions import text as tx
 from convqa.operators import ordered as o
 from convqa.operators import transcripts
+from convqa.session import materialize
 
 DAY_MS = 86_400_000
 
@@ -36,9 +37,10 @@ def _bags(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Token counts per transcript body, and one content signature per transcript.
 
     The signature combines two order-free 64-bit sums, so equal bags share it and copies can be
-    matched once instead of pair by pair.
+    matched once instead of pair by pair. The counts are read many times afterwards, so the text is
+    tokenized once and the counts are written to the shared folder.
     """
-    counts = transcripts.token_counts(transcripts.body(turns), ["conv_id"])
+    counts = materialize(transcripts.token_counts(transcripts.body(turns), ["conv_id"]), "tokens")
     h = F.xxhash64("token", "n")
     g = F.xxhash64(F.lit("bag"), "n", "token").cast("decimal(38,0)")
     signed = counts.groupBy("conv_id").agg(
@@ -48,41 +50,43 @@ def _bags(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     return counts, signed
 
 
-def _distinct_bags(counts: DataFrame, signed: DataFrame) -> DataFrame:
-    """``sig, size, token, n`` once per distinct content."""
-    one = signed.groupBy("sig", "size").agg(F.min("conv_id").alias("conv_id"))
-    return counts.join(one, "conv_id").select("sig", "size", "token", "n")
+def _distinct_bags(counts: DataFrame, signed: DataFrame, owners: DataFrame) -> DataFrame:
+    """``agent_id, sig, size, token, n`` once per agent and distinct content (``owners``: ``conv_id, agent_id``)."""
+    one = signed.join(owners, "conv_id").groupBy("agent_id", "sig", "size").agg(F.min("conv_id").alias("conv_id"))
+    return counts.join(one, "conv_id").select("agent_id", "sig", "size", "token", "n")
 
 
 def similar_contents(left: DataFrame, right: DataFrame, minimum: float) -> DataFrame:
-    """Content pairs ``sig, other, sim`` whose multiset Dice reaches ``minimum``.
+    """Content pairs ``agent_id, sig, other, sim`` of one agent whose multiset Dice reaches ``minimum``.
 
-    Exact prefix filter: with tokens ordered from rare to frequent, two bags that similar share an
-    element among their first ``size - ceil(t * size / (2 - t)) + 1``. Pairs without such an element
-    are never formed, and the survivors are counted token by token.
+    Exact prefix and position filters. With tokens ordered from rare to frequent, two similar bags share
+    an element among their first ``size - ceil(t * size / (2 - t)) + 1``; pairs without one are never
+    formed. For the others, the tokens shared in both prefixes plus all that is left behind the last of
+    them bound the overlap from above, and only pairs whose bound suffices are counted in full.
     """
-    elements = left.select("sig", "size", "token", "n", F.lit(0).alias("side")).unionByName(
-        right.select("sig", "size", "token", "n", F.lit(1).alias("side"))
-    )
+    elements = left.select("agent_id", "sig", "size", "token", "n", F.lit(0).alias("side")).unionByName(
+        right.select("agent_id", "sig", "size", "token", "n", F.lit(1).alias("side")))
     df = elements.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     keyed = elements.join(df, "token").withColumn("h", F.md5("token"))
     # Rank by (df, hash); a bag is split over tasks by the same pair.
     block = F.col("df") * 256 + F.conv(F.substring("h", 1, 2), 16, 10).cast("bigint")
-    upto = o.running_sum(keyed, ["side", "sig"], ["df", "h", "token"], F.col("n"), "upto", block)
+    upto = o.running_sum(keyed, ["side", "agent_id", "sig"], ["df", "h", "token"], F.col("n"), "upto", block)
     keep = F.col("size") - F.ceil(F.lit(minimum) * F.col("size") / (2 - minimum) - F.lit(1e-9)) + 1
-    prefix = upto.withColumn("first_at", F.col("upto") - F.col("n")).where(F.col("first_at") < keep)
-    a = prefix.where("side = 0").select("sig", "size", "token")
-    b = prefix.where("side = 1").select(F.col("sig").alias("other"), F.col("size").alias("other_size"), "token")
-    ratio = minimum / (2 - minimum)
-    fits = (F.col("other_size") >= F.col("size") * ratio - 1e-9) & (F.col("size") >= F.col("other_size") * ratio - 1e-9)
-    pairs = a.join(b, "token").where(fits).select("sig", "size", "other", "other_size").distinct()
+    prefix = materialize(upto.where(F.col("upto") - F.col("n") < keep).select("side", "agent_id", "sig", "size", "token", "n", "upto"), "prefix")
+    a = prefix.where("side = 0").drop("side")
+    b = prefix.where("side = 1").select("agent_id", F.col("sig").alias("other"), F.col("size").alias("other_size"), "token", F.col("n").alias("n_b"), F.col("upto").alias("upto_b"))
+    need = F.lit(minimum / 2) * (F.col("size") + F.col("other_size")) - 1e-9
+    pair = ["agent_id", "sig", "size", "other", "other_size"]
+    pairs = (
+        a.join(b, ["agent_id", "token"]).where(F.least("size", "other_size") >= need).groupBy(*pair)
+        .agg(F.sum(F.least("n", "n_b")).alias("__shared"), F.max("upto").alias("__ua"), F.max("upto_b").alias("__ub"))
+        .where(F.col("__shared") + F.least(F.col("size") - F.col("__ua"), F.col("other_size") - F.col("__ub")) >= need).select(*pair))
     shared = (
-        pairs.join(left.select("sig", "token", F.col("n").alias("n_a")), "sig")
-        .join(right.select(F.col("sig").alias("other"), "token", F.col("n").alias("n_b")), ["other", "token"])
-        .groupBy("sig", "other", "size", "other_size").agg(F.sum(F.least("n_a", "n_b")).alias("both"))
-    )
+        pairs.join(left.select("agent_id", "sig", "token", F.col("n").alias("n_a")), ["agent_id", "sig"])
+        .join(right.select("agent_id", F.col("sig").alias("other"), "token", F.col("n").alias("n_b")), ["agent_id", "other", "token"])
+        .groupBy(*pair).agg(F.sum(F.least("n_a", "n_b")).alias("both")))
     sim = F.lit(2.0) * F.col("both") / (F.col("size") + F.col("other_size"))
-    return shared.select("sig", "other", sim.alias("sim")).where(F.col("sim") >= minimum)
+    return shared.select("agent_id", "sig", "other", sim.alias("sim")).where(F.col("sim") >= minimum)
 
 
 def match_by_content(calls: DataFrame, live: DataFrame, convs: DataFrame, stored: DataFrame, config: CallConfig = CallConfig(),
@@ -99,10 +103,12 @@ def match_by_content(calls: DataFrame, live: DataFrame, convs: DataFrame, stored
     """
     live_counts, live_sig = _bags(live)
     stored_counts, stored_sig = _bags(stored)
-    pairs = similar_contents(_distinct_bags(live_counts, live_sig), _distinct_bags(stored_counts, stored_sig), config.conv_match_min)
+    live_bags = _distinct_bags(live_counts, live_sig, calls.select(F.col("call_id").alias("conv_id"), "agent_id"))
+    stored_bags = _distinct_bags(stored_counts, stored_sig, convs.select("conv_id", "agent_id"))
+    pairs = similar_contents(live_bags, stored_bags, config.conv_match_min)
     wanted = (
         calls.join(live_sig.select(F.col("conv_id").alias("call_id"), "sig"), "call_id")
-        .join(pairs, "sig").select("call_id", "agent_id", "started_ms", F.col("other").alias("sig"), "sim")
+        .join(pairs, ["agent_id", "sig"]).select("call_id", "agent_id", "started_ms", F.col("other").alias("sig"), "sim")
     )
     have = convs.join(stored_sig.select("conv_id", "sig"), "conv_id").select("agent_id", "sig", "created_ms", "conv_id")
     both = o.asof_both(wanted, have, ["agent_id", "sig"], "started_ms", "created_ms", ["conv_id"], block_width, ["conv_id"])

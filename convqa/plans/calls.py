@@ -9,6 +9,7 @@ from convqa.functions import text as tx
 from convqa.operators import capture, latency, matching, provenance, quality, reporting, transcripts
 from convqa.plans import inputs as i
 from convqa.plans.registry import query, table
+from convqa.session import materialize
 from convqa.streaming import frames as fr
 
 BASE_MS = 1704067200000
@@ -275,7 +276,7 @@ cf AS (SELECT *, coalesce(last_value(seen IGNORE NULLS) OVER (PARTITION BY sessi
 
 
 def _capture(spark, d):
-    cap = i.captured(spark, d)
+    cap = materialize(i.captured(spark, d), "captured")
     c = F.substring("session_id", 2, 20).cast("bigint")
     turns = cap.select("session_id", "turn", "language", "question_id", "question", "expected_answer", F.lit(None).cast("string").alias("agent_id"))
     runs = cap.select("session_id", "conversation_id").distinct()
@@ -341,7 +342,7 @@ own AS (SELECT session_id, turn, question_id, question, answer, latency_ms, 'cap
 fb AS (SELECT session_id, turn, 'X' || turn AS question_id, question, answer, latency_ms, 'transcript' AS origin, NULL AS relevancy FROM r WHERE c % 5 = 0)
 SELECT run.session_id, passed, turn, question_id, question, answer, latency_ms, origin, CAST(relevancy AS DOUBLE) AS relevancy FROM run LEFT JOIN (SELECT * FROM own UNION ALL SELECT * FROM fb) USING (session_id)""")
 def _(spark, d):
-    cap = i.captured(spark, d).withColumn("c", F.substring("session_id", 2, 20).cast("bigint"))
+    cap = materialize(i.captured(spark, d), "captured").withColumn("c", F.substring("session_id", 2, 20).cast("bigint"))
     run = cap.select("session_id", (F.col("c") % 2 == 0).alias("passed")).distinct()
     own = cap.where(F.col("c") % 5 != 0).withColumn("responded", F.col("answer").isNotNull())
     scored = own.where((F.col("c") + F.col("turn")) % 3 == 0)

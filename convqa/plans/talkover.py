@@ -15,7 +15,7 @@ from convqa.config import AudioConfig
 from convqa.operators import audio
 from convqa.plans import inputs as i
 from convqa.plans.registry import query
-from convqa.session import scratch_path
+from convqa.session import materialize, scratch_path
 from convqa.sources import writers
 
 FRAME_S = 0.02
@@ -25,7 +25,8 @@ CFG = AudioConfig(interruption_seconds=0.5)
 
 def frame_table(spark, d):
     """200 frames per turn and channel; loud while the turn's own side speaks, and sometimes the other side cuts in."""
-    t = i.turns(spark, d).where(F.col("speaker").isin("agent", "customer"))
+    # a small file is one partition; spread the turns before each becomes 400 frames
+    t = i.turns(spark, d).where(F.col("speaker").isin("agent", "customer")).select("conv_id", "ord", "speaker").repartition("conv_id", "ord")
     own = F.when(F.col("speaker") == "customer", 0).otherwise(1)
     f = t.select("conv_id", "ord", own.alias("own"), F.explode(F.array(F.lit(0), F.lit(1))).alias("channel")).select(
         "*", F.explode(F.sequence(F.lit(0), F.lit(PER_TURN - 1))).alias("f"))
@@ -166,7 +167,7 @@ def _(spark, d):
 
 
 def _sustained(spark, d):
-    seg = _segments_ms(spark, d)
+    seg = materialize(_segments_ms(spark, d), "segments")
     return seg.where(F.col("seg_end_ms") - F.col("seg_start_ms") >= CFG.interruption_seconds * 1000)
 
 
@@ -182,7 +183,7 @@ oc AS (SELECT xm.conv_id, xm.exch, CASE WHEN hi THEN 'high' WHEN hi IS NOT NULL
 
 
 def _classified(spark, d):
-    ex = _exchange_ms(spark, d)
+    ex = materialize(_exchange_ms(spark, d), "exchanges")
     seg = _sustained(spark, d)
     assigned = audio.assign_exchange(seg, ex.select("conv_id", "exch", "ex_start_ms", "ex_end_ms"), 5_000).join(seg.select("conv_id", "seg", "net"), ["conv_id", "seg"])
     return audio.classify_exchanges(ex, assigned)
@@ -246,8 +247,6 @@ def _(spark, d):
 
 @query("a10_recording_report")
 def _(spark, d):
-    from convqa.session import materialize
-
     # the frame table is read several times; the written copy spares the second pass over the audio
     f = materialize(audio.frames(recordings(spark, d), CFG), "frames")
     calls = f.groupBy("call").agg(F.max("frame_s").alias("frame_s"), F.max("duration_s").alias("duration_s"), F.max("error").alias("error"))
