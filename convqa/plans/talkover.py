@@ -228,8 +228,8 @@ def recordings(spark, d):
                 for p in parts:
                     first, size = int(p["ord"]) * 60 * 160, (int(p["n"]) + 30) * 160
                     t = np.arange(size) / RATE
-                    tone = sum(np.sin(2 * np.pi * h * (130 if p["human"] else 190) * t) / h for h in range(1, 9))
-                    pcm[first:first + size, 0 if p["human"] else 1] += 0.2 * tone
+                    tone = sum(np.sin(2 * np.pi * h * (130 if p["human"] else 190) * t) / h ** 0.5 for h in range(1, 9))
+                    pcm[first:first + size, 0 if p["human"] else 1] += 0.1 * tone
                 out = io.BytesIO()
                 with wave.open(out, "wb") as w:
                     w.setnchannels(2), w.setsampwidth(2), w.setframerate(RATE)
