@@ -216,7 +216,7 @@ def test_assembly_batch_equals_stream(spark, tmp_path):
     df = df.select("*", F.array(F.col("sentence")).alias("file_ids"), F.lit(None).cast("array<string>").alias("loaded_files"), F.lit("p").alias("play_id"), F.array(F.lit("file_ids")).alias("source_keys"), F.lit(True).alias("saw_source_frame"))
     df.coalesce(1).write.json(src)
     for year in ("2030", "2031"):  # a batch emits what the watermark of the batch before has closed
-        df.limit(1).withColumn("ts", F.lit(f"{year}-01-01").cast("timestamp")).withColumn("session_id", F.lit("end")).write.mode("append").json(src)
+        df.limit(1).withColumn("ts", F.lit(f"{year}-01-01").cast("timestamp")).withColumn("session_id", F.lit("end")).withColumn("send_no", F.lit(1).cast("bigint")).write.mode("append").json(src)
     cols = ["session_id", "send_no", "answer", "first_frame", "last_frame", "frames"]
     stream = fr.assemble(fr.with_lateness(fr.read_frames(spark, src, FRAMES, 1)), CFG).select(*cols)
     stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
