@@ -67,10 +67,11 @@ def similar_contents(left: DataFrame, right: DataFrame, minimum: float) -> DataF
     elements = left.select("agent_id", "sig", "size", "token", "n", F.lit(0).alias("side")).unionByName(
         right.select("agent_id", "sig", "size", "token", "n", F.lit(1).alias("side")))
     df = elements.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    keyed = elements.join(df, "token").withColumn("h", F.md5("token"))
-    # Rank by (df, hash); a bag is split over tasks by the same pair.
-    block = F.col("df") * 256 + F.conv(F.substring("h", 1, 2), 16, 10).cast("bigint")
-    upto = o.running_sum(keyed, ["side", "agent_id", "sig"], ["df", "h", "token"], F.col("n"), "upto", block)
+    keyed = elements.join(df, "token").withColumn("h", F.md5("token")).withColumn("rare", F.floor(F.log2("df")).cast("bigint"))
+    # Rank by (rare, hash). Only large bags are cut, by the same pair, so small ones stay in one piece.
+    cut = F.col("rare") * 16 + F.conv(F.substring("h", 1, 1), 16, 10).cast("bigint")
+    block = F.when(F.col("size") < o.DEFAULT_BLOCK_ROWS, F.lit(0).cast("bigint")).otherwise(cut)
+    upto = o.running_sum(keyed, ["side", "agent_id", "sig"], ["rare", "h", "token"], F.col("n"), "upto", block)
     keep = F.col("size") - F.ceil(F.lit(minimum) * F.col("size") / (2 - minimum) - F.lit(1e-9)) + 1
     prefix = materialize(upto.where(F.col("upto") - F.col("n") < keep).select("side", "agent_id", "sig", "size", "token", "n", "upto"), "prefix")
     a = prefix.where("side = 0").drop("side")

@@ -43,16 +43,19 @@ def plan_tasks(cands: DataFrame, existing: DataFrame, languages: Sequence[str],
     return tasks.join(based, "key", "left").select(order, "language", "key", F.coalesce("known_pair", "new_pair").alias("pair_id"))
 
 
+# Wording of the question prompts.
+LEAD_AR = "Write the question and answer in Arabic."
+LEAD_EN = "Write the question and answer in English (translate the content's meaning faithfully — do not fabricate)."
+BOTH_NEEDED = "The question must require BOTH pieces of content below to answer (a question answerable from only one of them is not acceptable)."
+
+
 def prompt(language: Column, first: Column, second: Column) -> Column:
     """Question prompt out of one or two chunks."""
-    lead = F.when(language == "ar", "Write the question and answer in Arabic.").otherwise(
-        "Write the question and answer in English (translate the content's meaning faithfully — do not fabricate).")
-    quoted = lambda c: F.concat(F.lit('"""\n'), c, F.lit('\n"""'))
-    one = F.concat(lead, F.lit("\n\nKnowledge base content:\n"), quoted(first))
-    two = F.concat(
-        lead, F.lit("\n\nThe question must require BOTH pieces of content below to answer "
-                    "(a question answerable from only one of them is not acceptable).\n\nKnowledge base content 1:\n"), quoted(first),
-        F.lit("\n\nKnowledge base content 2:\n"), quoted(second))
+    lead = F.when(language == "ar", LEAD_AR).otherwise(LEAD_EN)
+    def part(title: str, text: Column) -> Column:
+        return F.concat(F.lit(f'{title}:\n"""\n'), text, F.lit('\n"""'))
+    one = F.concat_ws("\n\n", lead, part("Knowledge base content", first))
+    two = F.concat_ws("\n\n", lead, F.lit(BOTH_NEEDED), part("Knowledge base content 1", first), part("Knowledge base content 2", second))
     return F.when(second.isNull(), one).otherwise(two)
 
 
@@ -71,7 +74,6 @@ def regroup_records(records: DataFrame) -> DataFrame:
     """
     flow = F.coalesce(tx.blank_to_null("sub_topic"), tx.blank_to_null("topic"), F.lit("FLOW"))
     mode = F.when(F.lower(F.coalesce("pair_id", F.lit(""))).contains("dump"), "full_dump").otherwise("incremental")
-    item = F.struct("ord", "question", "expected_answer", "chunk_ids")
     grouped = records.withColumn("flow_id", flow).withColumn("mode", mode).groupBy("flow_id", "language", "mode").agg(
         F.array_sort(F.collect_list(F.struct("ord", "question", "expected_answer", F.coalesce("chunk_ids", F.array().cast("array<string>")).alias("chunk_ids")))).alias("items"))
     short = F.when(F.col("mode") == "full_dump", "DUMP").otherwise("INC")

@@ -9,7 +9,7 @@ from convqa.functions import text as tx
 from convqa.operators import capture, latency, matching, provenance, quality, reporting, transcripts
 from convqa.plans import inputs as i
 from convqa.plans.registry import query, table
-from convqa.session import materialize
+from convqa.session import materialize, scratch_path
 from convqa.streaming import frames as fr
 
 BASE_MS = 1704067200000
@@ -63,6 +63,17 @@ def _(spark, d):
     return provenance.carry_forward(_turn_sources(spark, d), 2_000).select("session_id", "turn", F.array_join("source_file_ids", ",").alias("source_file_ids"))
 
 
+@query("j6_source_carry_stream", f"WITH {CARRY} SELECT session_id, turn, coalesce(last_value(files IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY turn), '') AS source_file_ids FROM ts")
+def _(spark, d):
+    """The same rule as a stream over the stored log."""
+    src, out, checkpoint = (scratch_path(spark, n) for n in ("frames", "carried", "carry-state"))
+    sources = _turn_sources(spark, d)
+    sources.write.parquet(src)
+    stream = fr.carry_sources_stream(spark.readStream.schema(sources.schema).parquet(src))
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select("session_id", "turn", F.array_join("source_file_ids", ",").alias("source_file_ids"))
+
+
 @query("e18_sources_used", f"WITH {i.FRAMES} SELECT session_id, array_to_string(list_sort(list(DISTINCT 'f' || (k % 20))), ',') AS source_files_used FROM frames WHERE kind = 'view' GROUP BY 1")
 def _(spark, d):
     return provenance.sources_used(_turn_sources(spark, d)).withColumn("source_files_used", F.array_join("source_files_used", ","))

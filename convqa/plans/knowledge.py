@@ -458,6 +458,16 @@ def _(spark, d):
     return stored.select("flow_id", "mode", "language", F.coalesce(F.size("steps"), F.lit(-1)).cast("bigint").alias("steps"))
 
 
+@query("a8_flow_replies", f"""WITH {RECORDS} SELECT flow_id, count(*) AS scenarios, CAST(sum(CASE WHEN mode = 'incremental' THEN n ELSE 0 END) AS BIGINT) AS steps FROM g GROUP BY 1""")
+def _(spark, d):
+    """Reply files of one scenario each, read back with the tolerant import."""
+    folder = scratch_path(spark, "replies")
+    flows = questions.regroup_records(_records(spark, d))
+    flows.select("id", F.to_json(F.struct("*")).alias("value")).repartition("id").write.partitionBy("id").option("compression", "none").format("text").save(folder)
+    good, _ = readers.read_flow_replies(spark, folder, "*.txt")
+    return good.groupBy("flow_id").agg(F.count(F.lit(1)).alias("scenarios"), F.sum(F.greatest(F.coalesce(F.size("steps"), F.lit(0)), F.lit(0))).alias("steps"))
+
+
 @query("a5_newest_artifact", """WITH f AS (SELECT event_type AS kind, CASE WHEN event_id % 10 = 0 THEN 'eval-results-backup' || event_id || '.json' ELSE 'eval-results-' || strftime(ts, '%Y-%m-%dT%H-00-00') || '-000Z-j' || event_id || '.json' END AS name, event_id * 7 % 1000 AS mtime FROM events)
 SELECT kind, name FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY regexp_extract(name, '(\\d{4}-\\d{2}-\\d{2}T\\d{2}-\\d{2}-\\d{2}(?:-\\d+)?Z?)', 1) DESC, mtime DESC, name DESC) AS k FROM f) WHERE k = 1""")
 def _(spark, d):

@@ -118,6 +118,20 @@ def _(spark, d):
     return ev.gate(i.captured(spark, d), i.CORPUS_PATTERNS).groupBy("error").agg(F.count(F.lit(1)).alias("records"))
 
 
+@query("j10_score_stream", f"""WITH {i.CAPTURED} SELECT CASE WHEN coalesce(answer, '') = '' THEN 'unanswered' WHEN {i.deflection_sql('answer')} THEN 'deflection_detected' END AS error, count(*) AS records FROM captured GROUP BY 1""")
+def _(spark, d):
+    """Scores appended batch by batch; a second run of the stream adds nothing."""
+    from convqa.streaming.scoring import score_stream
+
+    src, out, checkpoint = (scratch_path(spark, n) for n in ("captured", "scores", "score-state"))
+    captured = i.captured(spark, d)
+    captured.write.parquet(src)
+    for _ in range(2):
+        stream = spark.readStream.schema(captured.schema).parquet(src)
+        score_stream(stream, ev.overlap_judge(), out, checkpoint, i.CORPUS_PATTERNS).awaitTermination()
+    return spark.read.parquet(out).groupBy("error").agg(F.count(F.lit(1)).alias("records"))
+
+
 @query("b28_parse_replies", """SELECT doc_id, CASE doc_id % 5 WHEN 3 THEN NULL WHEN 4 THEN NULL ELSE 'S' || doc_id END AS verdict, CASE doc_id % 5 WHEN 3 THEN 'no JSON object' WHEN 4 THEN 'unbalanced JSON' END AS parse_error FROM documents""")
 def _(spark, d):
     doc = table(spark, d, "documents")

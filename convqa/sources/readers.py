@@ -129,12 +129,12 @@ def spec_chunks(specs: DataFrame) -> DataFrame:
     return specs.select(F.explode("chunks").alias("c")).select("c.*").where(F.col("id").isNotNull())
 
 
-def read_flow_replies(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def read_flow_replies(spark: SparkSession, folder: str, glob: str = "*.json") -> tuple[DataFrame, DataFrame]:
     """All reply files of a folder: scenarios of the readable ones, and the names of the rest.
 
     Three forms are accepted: an object with ``flows``, one scenario, or an array of scenarios.
     """
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(folder).select(_folder(_path(), 1).alias("file"), "value")
+    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(folder).select(_folder(_path(), 1).alias("file"), "value")
     tested = raw.withColumn("ok", F.try_parse_json("value").isNotNull())
     bad = tested.where(~F.col("ok")).select("file")
     text = tx.strip("value")

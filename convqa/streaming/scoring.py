@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.query import StreamingQuery
 
+from convqa.functions.deflection import DEFAULT_PATTERNS
 from convqa.operators import evaluation
 
 
-def score_stream(captured: DataFrame, judge: evaluation.Judge, out: str, checkpoint: str) -> StreamingQuery:
+def score_stream(captured: DataFrame, judge: evaluation.Judge, out: str, checkpoint: str, patterns=DEFAULT_PATTERNS) -> StreamingQuery:
     """Score every new record once and append the result.
 
     A batch that is run again after a failure is compared with what is already stored, so records are
@@ -23,6 +24,6 @@ def score_stream(captured: DataFrame, judge: evaluation.Judge, out: str, checkpo
         fresh = batch.dropDuplicates(list(evaluation.RECORD_KEY))
         if done is not None:
             fresh = evaluation.pending(fresh, done)
-        evaluation.score(fresh, judge).write.mode("append").parquet(out)
+        evaluation.score(fresh, judge, patterns).write.mode("append").parquet(out)
 
     return captured.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
