@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convqa.llm import quality_rules, sentencepiece_bpe
+from convqa.llm import pseudonyms, quality_rules, sentencepiece_bpe
 from convqa.llm.registry import query, table
 
 
@@ -61,3 +61,13 @@ def sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = sentencepiece_bpe.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+# A deployment passes its own key; this one makes the query repeatable.
+QUERY_KEY = b"one key for the registered query"
+
+
+@query("op4_pseudonyms")
+def pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonyms.pseudonymize(docs, QUERY_KEY).withColumn("n_private", F.size("private").cast("long"))
