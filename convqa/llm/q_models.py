@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convqa.llm import language_id
+from convqa.llm import language_id, toxicity
 from convqa.llm.registry import query, table
 
 
@@ -20,3 +20,14 @@ def language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.train(docs.where(fold("doc_id", 5) != 0))
     found = language_id.predict(docs.select("doc_id", "text"), model)
     return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query("op10_toxicity")
+def toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where((fold("doc_id", 4) != 2) & F.col("toxic").isNotNull())
+    # the sample is bounded, so its ids are chosen before texts are read
+    chosen = toxicity.sample_ids(labels)
+    machine = toxicity.train(docs.join(F.broadcast(chosen), "doc_id"), prior=toxicity.label_share(labels))
+    scored = toxicity.predict(docs, machine)
+    return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
