@@ -28,14 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from convqa.llm import hashing, shingles
+from convqa.llm import bloom, shingles
 from convqa.llm.arrow import small_batches
 from convqa.llm.graph import components
 from convqa.session import materialize, scratch_path
 
 FREQUENT = 1 << 20
 CHUNK = 4_000_000
-BLOOM_WORDS = 1 << 20
 FRAGMENT_BITS = 2
 ROW = "kind int, a long, b long, c long, d long"
 
@@ -164,44 +163,24 @@ def _first_round(rows: DataFrame, percent: int, leaders: int) -> DataFrame:
     return rows.mapInArrow(run, ROW)
 
 
-def _bloom(ids: DataFrame) -> np.ndarray:
-    """Bit words of the ids, put together by Spark; at most ``BLOOM_WORDS`` numbers reach the driver."""
-    parts = [ids.select(F.xxhash64("key", F.lit(salt)).alias("h")) for salt in (1, 2, 3)]
-    bits = parts[0].union(parts[1]).union(parts[2])
-    words = bits.select(F.col("h").bitwiseAND(BLOOM_WORDS - 1).alias("w"), F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 32) & 63 as int))").alias("bit"))
-    got = words.groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(BLOOM_WORDS, np.int64)
-    out[got.column(0).to_numpy()] = got.column(1).to_numpy()
-    return out
-
-
 def _fragments(docs: DataFrame, words: int, ids: DataFrame) -> DataFrame:
     """key, fragment, codes (packed sorted numbers) of the texts whose ids may be among ``ids``."""
-    bloom = docs.sparkSession.sparkContext.broadcast(_bloom(ids))
-    hashes = [F.xxhash64(F.col("key"), F.lit(salt)).alias(f"h{salt}") for salt in (1, 2, 3)]
     shift = np.uint64(64 - FRAGMENT_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = bloom.value
-        for batch in batches:
-            hit = np.ones(batch.num_rows, bool)
-            for k in (2, 3, 4):
-                h = batch.column(k).to_numpy().view(np.uint64)
-                hit &= (table[(h & np.uint64(BLOOM_WORDS - 1)).astype(np.int64)] >> ((h >> np.uint64(32)) & np.uint64(63)).astype(np.int64)) & 1 == 1
-            hit &= batch.column(0).is_valid().to_numpy(zero_copy_only=False)
-            for part in small_batches(iter([batch.filter(pa.array(hit))]), 1):
-                code, begins = shingles.sets_of(part.column(1), words)
-                keys, frags, blobs = [], [], []
-                for k, key in enumerate(part.column(0).to_pylist()):
-                    own = code[begins[k]:begins[k + 1]]
-                    cuts = np.searchsorted(own >> shift, np.arange((1 << FRAGMENT_BITS) + 1, dtype=np.uint64))
-                    for f in range(1 << FRAGMENT_BITS):
-                        keys.append(key)
-                        frags.append(f)
-                        blobs.append(own[cuts[f]:cuts[f + 1]].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(frags, pa.int32()), pa.array(blobs, pa.binary())], names=["key", "frag", "codes"])
-
-    return docs.select("key", "text", *hashes).mapInArrow(run, "key long, frag int, codes binary")
+        for part in small_batches(batches, 1):
+            code, begins = shingles.sets_of(part.column(1), words)
+            keys, frags, blobs = [], [], []
+            for k, key in enumerate(part.column(0).to_pylist()):
+                own = code[begins[k]:begins[k + 1]]
+                cuts = np.searchsorted(own >> shift, np.arange((1 << FRAGMENT_BITS) + 1, dtype=np.uint64))
+                for f in range(1 << FRAGMENT_BITS):
+                    keys.append(key)
+                    frags.append(f)
+                    blobs.append(own[cuts[f]:cuts[f + 1]].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(frags, pa.int32()), pa.array(blobs, pa.binary())], names=["key", "frag", "codes"])
+
+    return bloom.maybe(docs, ids, "key").mapInArrow(run, "key long, frag int, codes binary")
 
 
 def _links(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:

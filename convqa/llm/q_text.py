@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convqa.llm import pseudonyms, quality_rules, sentencepiece_bpe
+from convqa.llm import pseudonyms, quality_rules, sentencepiece_bpe, token_files
 from convqa.llm.registry import query, table
 
 
@@ -71,3 +71,9 @@ QUERY_KEY = b"one key for the registered query"
 def pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pseudonyms.pseudonymize(docs, QUERY_KEY).withColumn("n_private", F.size("private").cast("long"))
+
+
+@query("op8_token_counts")
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoder = token_files.byte_bpe(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return token_files.count(table(spark, sf_dir, "documents"), encoder, end_id=50256).select("doc_id", "n_tokens")
