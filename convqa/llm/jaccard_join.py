@@ -11,6 +11,9 @@ outside the list's largest component meet all texts of other components, until e
 used up. A text whose shingles are mostly its own cannot reach the threshold and leaves a list before. So each link
 between different texts is either found or lies inside a component that is already joined.
 
+Before sets are compared, bit sketches of the candidates (a bit per shingle, eight bits of room for each) rule out most pairs that
+miss the threshold; they never rule out a link.
+
 Frequencies steer the order only: shingles repeated within a chunk of a task's texts are summed over all texts, and the
 most frequent, at most ``FREQUENT`` by construction, are sent to the tasks. The needed texts' ids go out as a Bloom filter of fixed size;
 its false positives cost time, not results.
@@ -183,24 +186,73 @@ def _fragments(docs: DataFrame, words: int, ids: DataFrame) -> DataFrame:
     return bloom.maybe(docs, ids, "key").mapInArrow(run, "key long, frag int, codes binary")
 
 
+def _sketches(docs: DataFrame, words: int, ids: DataFrame) -> DataFrame:
+    """key, bits: eight bits or more per shingle, one of them set by each, of the texts whose ids may be among ``ids``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in small_batches(batches, 1):
+            code, begins = shingles.sets_of(part.column(1), words)
+            blobs = []
+            for k in range(part.num_rows):
+                own = code[begins[k]:begins[k + 1]]
+                size = 1 << max(6, int(8 * len(own) - 1).bit_length())
+                bits = np.zeros(size, bool)
+                bits[(own & np.uint64(size - 1)).astype(np.int64)] = True
+                blobs.append(np.packbits(bits).tobytes())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(blobs, pa.binary())], names=["key", "bits"])
+
+    return bloom.maybe(docs, ids, "key").mapInArrow(run, "key long, bits binary")
+
+
+_ONES = np.array([bin(b).count("1") for b in range(256)], np.uint8)
+
+
+def _folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """A sketch at a smaller size, as if it had been made there."""
+    return np.bitwise_or.reduce(bits.reshape(-1, size), axis=0)
+
+
+def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b, na, nb`` that their sketches do not rule out: a bit that only one text sets is a shingle that only it has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            most = np.zeros(batch.num_rows, np.int64)
+            for k, (x, y) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())):
+                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                size = min(len(x), len(y))
+                x, y = _folded(x, size), _folded(y, size)
+                most[k] = min(na[k] - int(_ONES[x & ~y].sum()), nb[k] - int(_ONES[y & ~x].sum()))
+            keep = 100 * most >= percent * (na + nb - most)
+            yield batch.select([0, 1, 2, 3]).filter(pa.array(keep))
+
+    first = pairs.join(sketches.select(F.col("key").alias("a"), F.col("bits").alias("x")), "a")
+    second = first.join(sketches.select(F.col("key").alias("b"), F.col("bits").alias("y")), "b")
+    return second.select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long, na long, nb long")
+
+
 def _links(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a, b, na, nb`` whose summed fragment overlaps reach the threshold, as ``a, b``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.zeros(batch.num_rows, np.int64)
-            for k, (x, y) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())):
+            for k, (x, y) in enumerate(zip(batch.column(5).to_pylist(), batch.column(6).to_pylist())):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 if len(x) and len(y):
                     at = np.searchsorted(y, x)
                     at[at == len(y)] = 0
                     out[k] = np.count_nonzero(y[at] == x)
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(4)] + [pa.array(out)], names=["a", "b", "na", "nb", "part"])
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(5)] + [pa.array(out)], names=["a", "b", "na", "nb", "frag", "part"])
 
-    first = pairs.join(fragments.select(F.col("key").alias("a"), "frag", F.col("codes").alias("x")), "a")
+    cut = pairs.withColumn("frag", F.explode(F.lit(list(range(1 << FRAGMENT_BITS)))))
+    first = cut.join(fragments.select(F.col("key").alias("a"), "frag", F.col("codes").alias("x")), ["a", "frag"])
     second = first.join(fragments.select(F.col("key").alias("b"), "frag", F.col("codes").alias("y")), ["b", "frag"])
-    parts = second.select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long, na long, nb long, part long")
-    total = parts.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("both"))
+    parts = second.select("a", "b", "na", "nb", "frag", "x", "y").mapInArrow(run, "a long, b long, na long, nb long, frag int, part long")
+    # rows that are repeated in the input give the same count of a fragment again
+    once = parts.groupBy("a", "b", "na", "nb", "frag").agg(F.max("part").alias("part"))
+    total = once.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("both"))
     return total.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
@@ -261,7 +313,12 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     pairs = materialize(ordered_pairs(as_classes(as_classes(pairs, "a"), "b")), "pairs")
     rest = as_classes(raw_open.select(F.col("a").alias("token"), F.col("b").alias("key"), F.col("c").alias("packed")), "key").distinct()
     rest = materialize(rest.select("token", "key", size.alias("n"), place.alias("i")), "open")
-    ids = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).union(rest.select("key")).distinct()
+    def ids_of(some: DataFrame) -> DataFrame:
+        return some.select(F.col("a").alias("key")).union(some.select(F.col("b").alias("key"))).union(rest.select("key")).distinct()
+
+    sketches = materialize(_sketches(usable, words, ids_of(pairs)).join(copies, "key", "left_anti"), "sketches")
+    pairs = materialize(_possible(pairs, sketches, percent), "pairs")
+    ids = ids_of(pairs)
     fragments = materialize(_fragments(usable, words, ids).join(copies, "key", "left_anti"), "fragments")
     links = materialize(_links(pairs, fragments, percent), "links")
     labels = materialize(components(links), "labels")
@@ -288,7 +345,7 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
         near = 100 * F.least("n", "l_n") >= percent * F.greatest("n", "l_n")
         met = named.join(other, "token").where((F.col("component") != F.col("l_component")) & near & (bound >= need))
         more = materialize(ordered_pairs(met.select(F.col("key").alias("a"), F.col("l_key").alias("b"), F.col("n").alias("na"), F.col("l_n").alias("nb"))), "pairs")
-        found = materialize(_links(more, fragments, percent), "links")
+        found = materialize(_links(materialize(_possible(more, sketches, percent), "pairs"), fragments, percent), "links")
         rest = named.drop("component").join(lead.select("token", "key"), ["token", "key"], "left_anti")
         if not found.isEmpty():
             links = links.union(found)
