@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convqa.llm import language_id, toxicity
+from convqa.llm import bloom, kneser_ney, language_id, toxicity
 from convqa.llm.registry import query, table
+from convqa.session import materialize
 
 
 def fold(column: str, folds: int) -> Column:
@@ -31,3 +32,15 @@ def toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
     machine = toxicity.train(docs.join(F.broadcast(chosen), "doc_id"), prior=toxicity.label_share(labels))
     scored = toxicity.predict(docs, machine)
     return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op1_kneser_ney")
+def quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trusted: documents that ``labels`` marks with quality 1."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    good = table(spark, sf_dir, "labels").where("quality = 1 and doc_id is not null").select("doc_id").distinct()
+    trusted = bloom.maybe(docs.select("doc_id", "text"), good, "doc_id").join(good, "doc_id")
+    model = kneser_ney.train(trusted)
+    scored = materialize(kneser_ney.perplexity(docs, model).drop("text"), "perplexity")
+    marked = scored.join(good.withColumn("__good", F.lit(True)), "doc_id", "left").withColumn("__good", F.coalesce("__good", F.lit(False)))
+    return kneser_ney.judge(marked, F.col("__good")).select("doc_id", "lang", "perplexity", "threshold", "kept")
