@@ -37,7 +37,8 @@ from convqa.llm.graph import components
 from convqa.session import materialize, scratch_path
 
 FREQUENT = 1 << 20
-CHUNK = 4_000_000
+CHUNK = 2_000_000
+TEXT_BYTES = 1 << 20  # texts hashed at a time; the arrays made of them take some hundred times as much
 FRAGMENT_BITS = 2
 ROW = "kind int, a long, b long, c long, d long"
 
@@ -69,7 +70,7 @@ def _described(docs: DataFrame, words: int) -> DataFrame:
             code, n = np.unique(np.concatenate(held), return_counts=True)
             return _batch(1, code[n > 1].view(np.int64), n[n > 1], n[n > 1])
 
-        for batch in small_batches(batches, 1):
+        for batch in small_batches(batches, 1, TEXT_BYTES):
             code, begins = shingles.sets_of(batch.column(1), words)
             one, two = shingles.signatures(code, begins)
             yield _batch(0, batch.column(0), one, two, np.diff(begins).astype(np.int64))
@@ -94,7 +95,7 @@ def _prefixes(docs: DataFrame, words: int, percent: int, frequent) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, counts = frequent.value
         seen: set[tuple[int, int]] = set()
-        for batch in small_batches(batches, 1):
+        for batch in small_batches(batches, 1, TEXT_BYTES):
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             code, begins = shingles.sets_of(batch.column(1), words)
             one, two = shingles.signatures(code, begins)
@@ -171,7 +172,7 @@ def _fragments(docs: DataFrame, words: int, ids: DataFrame) -> DataFrame:
     shift = np.uint64(64 - FRAGMENT_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in small_batches(batches, 1):
+        for part in small_batches(batches, 1, TEXT_BYTES):
             code, begins = shingles.sets_of(part.column(1), words)
             keys, frags, blobs = [], [], []
             for k, key in enumerate(part.column(0).to_pylist()):
@@ -190,7 +191,7 @@ def _sketches(docs: DataFrame, words: int, ids: DataFrame) -> DataFrame:
     """key, bits: eight bits or more per shingle, one of them set by each, of the texts whose ids may be among ``ids``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in small_batches(batches, 1):
+        for part in small_batches(batches, 1, TEXT_BYTES):
             code, begins = shingles.sets_of(part.column(1), words)
             blobs = []
             for k in range(part.num_rows):

@@ -120,7 +120,7 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", language
         return step
 
     sample = training_sample(labelled, key, text, language, train_docs)
-    got = add_columns(sample.select(key, language, text), text, [StructField("__shares", BinaryType())], make).select(key, language, "__shares").toArrow()
+    got = add_columns(sample.select(key, language, text), text, [StructField("__shares", BinaryType())], make, limit=1 << 20).select(key, language, "__shares").toArrow()
     if not got.num_rows:
         return None
     got = got.sort_by([(key, "ascending"), (language, "ascending")])
@@ -166,4 +166,4 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
         return step
 
     fields = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType())]
-    return add_columns(docs, text, fields, make, limit=4 << 20)
+    return add_columns(docs, text, fields, make, limit=1 << 20)

@@ -143,7 +143,7 @@ def train(sample: DataFrame, prior: float, key: str = "doc_id", text: str = "tex
 
     if not 0 < prior < 1:
         return None
-    got = add_columns(sample.select(key, label, text), text, [StructField("__terms", BinaryType())], make).select(key, label, "__terms").toArrow().sort_by(key)
+    got = add_columns(sample.select(key, label, text), text, [StructField("__terms", BinaryType())], make, limit=1 << 20).select(key, label, "__terms").toArrow().sort_by(key)
     y = np.array(got.column(1).to_pylist(), dtype=np.float64)
     if len(np.unique(y)) < 2:
         return None
@@ -169,4 +169,4 @@ def predict(docs: DataFrame, machine: Machine | None, text: str = "text", name:
 
         return step
 
-    return add_columns(docs, text, [StructField(name, DoubleType())], make, limit=2 << 20)
+    return add_columns(docs, text, [StructField(name, DoubleType())], make, limit=1 << 20)
