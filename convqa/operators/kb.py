@@ -77,8 +77,9 @@ def usable(chunks: DataFrame, text: str = "text", minimum: int = MIN_CHARS) -> D
 
 
 def chunk_counts(chunks: DataFrame) -> DataFrame:
-    """Chunks by language and by type in one pass."""
-    return chunks.groupingSets([["language"], ["type"]], "language", "type").agg(F.count(F.lit(1)).alias("chunks"))
+    """Chunks by language and by type in one pass; ``scope`` says by which."""
+    out = chunks.groupingSets([["language"], ["type"]], "language", "type").agg(F.count(F.lit(1)).alias("chunks"), F.grouping("language").alias("__g"))
+    return out.withColumn("scope", F.when(F.col("__g") == 1, "type").otherwise("language")).drop("__g")
 
 
 def candidates(chunks: DataFrame, order: str = "ord", block_rows: int = o.DEFAULT_BLOCK_ROWS) -> DataFrame:

@@ -64,8 +64,9 @@ def _by_language(total: str, first: str = "ar") -> list[Column]:
 
 
 def manifest(questions: DataFrame, first: str = "ar") -> DataFrame:
-    """Questions per topic and sub topic with language counts, and a total row per topic (sub topic null)."""
-    return questions.groupingSets([["topic", "sub_topic"], ["topic"]], "topic", "sub_topic").agg(*_by_language("total", first))
+    """Questions per topic and sub topic with language counts, and a total row per topic; ``scope`` tells it from a missing sub topic."""
+    out = questions.groupingSets([["topic", "sub_topic"], ["topic"]], "topic", "sub_topic").agg(*_by_language("total", first), F.grouping("sub_topic").alias("__g"))
+    return out.withColumn("scope", F.when(F.col("__g") == 1, "topic").otherwise("sub_topic")).drop("__g")
 
 
 def session_counts(sessions: DataFrame) -> DataFrame:

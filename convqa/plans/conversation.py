@@ -17,7 +17,7 @@ ANSWER_STATS = f"""WITH {i.CAPTURED},
 flagged AS (SELECT *, coalesce(answer, '') <> '' AS a, coalesce(answer, '') <> '' AND {i.deflection_sql('answer')} AS dfl FROM captured)
 SELECT language, count(*) AS total_turns, count(*) FILTER (WHERE a) AS answered, count(*) FILTER (WHERE NOT a) AS unanswered,
   count(*) FILTER (WHERE dfl) AS deflections, round_even(100.0 * count(*) FILTER (WHERE a) / count(*), 1) AS answer_rate,
-  CAST(round_even(avg(latency_ms) FILTER (WHERE a), 0) AS BIGINT) AS avg_latency_ms
+  CAST(round_even(avg(latency_ms) FILTER (WHERE a), 0) AS BIGINT) AS avg_latency_ms, CASE WHEN grouping(language) = 1 THEN 'overall' ELSE 'language' END AS scope
 FROM flagged GROUP BY GROUPING SETS ((), (language))"""
 
 

@@ -25,9 +25,9 @@ def _(spark, d):
     return kb.usable(table(spark, d, "documents")).select("doc_id", "source")
 
 
-@query("e12_chunk_counts", f"WITH {i.CHUNKS} SELECT language, grp AS type, count(*) AS chunks FROM chunks GROUP BY GROUPING SETS ((language), (grp))")
+@query("e12_chunk_counts", f"WITH {i.CHUNKS} SELECT language, grp AS type, count(*) AS chunks, CASE WHEN grouping(language) = 1 THEN 'type' ELSE 'language' END AS scope FROM (SELECT nullif(language, 'de') AS language, grp FROM chunks) GROUP BY GROUPING SETS ((language), (grp))")
 def _(spark, d):
-    return kb.chunk_counts(i.chunks(spark, d).withColumnRenamed("grp", "type"))
+    return kb.chunk_counts(i.chunks(spark, d).withColumnRenamed("grp", "type").withColumn("language", F.nullif("language", F.lit("de"))))
 
 
 CLEAN = "trim(regexp_replace(regexp_replace({c}, '<[^>]*>', '', 'g'), '\\s+', ' ', 'g'))"
@@ -276,9 +276,9 @@ def _(spark, d):
     return doc.where(F.col("index").isin(1, 7, 40)).select("doc_id", "source")
 
 
-@query("e8_manifest", f"WITH {i.POOL} SELECT topic, sub_topic, count(*) FILTER (WHERE language = 'fr') AS ar, count(*) FILTER (WHERE language IS DISTINCT FROM 'fr') AS en, count(*) AS total FROM pool GROUP BY GROUPING SETS ((topic, sub_topic), (topic))")
+@query("e8_manifest", f"WITH {i.POOL} SELECT topic, sub_topic, count(*) FILTER (WHERE language = 'fr') AS ar, count(*) FILTER (WHERE language IS DISTINCT FROM 'fr') AS en, count(*) AS total, CASE WHEN grouping(sub_topic) = 1 THEN 'topic' ELSE 'sub_topic' END AS scope FROM (SELECT topic, nullif(sub_topic, 'src3') AS sub_topic, language FROM pool) GROUP BY GROUPING SETS ((topic, sub_topic), (topic))")
 def _(spark, d):
-    return reporting.manifest(i.pool(spark, d), "fr")
+    return reporting.manifest(i.pool(spark, d).withColumn("sub_topic", F.nullif("sub_topic", F.lit("src3"))), "fr")
 
 
 @query("e9_session_counts", f"WITH {i.SESSIONS} SELECT 'KB' AS topic, run AS file, count(*) FILTER (WHERE language = 'ar') AS ar_sessions, count(*) FILTER (WHERE language = 'en') AS en_sessions, count(*) AS total_sessions, CAST(sum(turns) AS BIGINT) AS total_questions FROM sessions GROUP BY run")
@@ -431,8 +431,7 @@ def _(spark, d):
 def _(spark, d):
     root = scratch_path(spark, "questions")
     writers.write_questions(_flat(spark, d), root)
-    stored = spark.read.schema("id string, language string, topic string, sub_topic string, question string").json(root)
-    return stored.groupBy("sub_topic", "language").agg(F.count(F.lit(1)).alias("questions"), F.sum(F.length("question")).alias("chars"))
+    return readers.read_questions(spark, root).groupBy("sub_topic", "language").agg(F.count(F.lit(1)).alias("questions"), F.sum(F.length("question")).alias("chars"))
 
 
 @query("a14_a3_session_files", f"WITH {BUILD} SELECT format('{{}}-{{}}-{{:03d}}', sub_topic, language, session_no) AS session_id, language, CAST(turn AS INTEGER) AS turn, CAST(id AS VARCHAR) AS question_id FROM built")
@@ -442,20 +441,14 @@ def _(spark, d):
     texts = pool.select(F.col("id").cast("string").alias("question_id"), "question", "expected_answer", F.format_string("wav/%d.wav", "id").alias("audio_file"))
     root = scratch_path(spark, "sessions")
     writers.write_sessions(built.join(texts, "question_id"), root)
-    from convqa import schemas
-
-    stored = spark.read.schema(schemas.SESSION).json(root)
-    return readers.session_turns(stored).select("session_id", "language", "turn", "question_id")
+    return readers.session_turns(readers.read_sessions(spark, root)).select("session_id", "language", "turn", "question_id")
 
 
 @query("a16_a7_flow_files", f"WITH {RECORDS} SELECT flow_id, mode, language, CASE WHEN mode = 'incremental' THEN n ELSE -1 END AS steps FROM g")
 def _(spark, d):
     root = scratch_path(spark, "flows")
     writers.write_flows(questions.regroup_records(_records(spark, d)), root)
-    from convqa import schemas
-
-    stored = spark.read.schema(StructType.fromDDL(f"s {schemas.SCENARIO}")["s"].dataType).json(root)
-    return stored.select("flow_id", "mode", "language", F.coalesce(F.size("steps"), F.lit(-1)).cast("bigint").alias("steps"))
+    return readers.read_scenarios(spark, root).select("flow_id", "mode", "language", F.coalesce(F.size("steps"), F.lit(-1)).cast("bigint").alias("steps"))
 
 
 @query("a8_flow_replies", f"""WITH {RECORDS} SELECT flow_id, count(*) AS scenarios, CAST(sum(CASE WHEN mode = 'incremental' THEN n ELSE 0 END) AS BIGINT) AS steps FROM g GROUP BY 1""")

@@ -24,14 +24,14 @@ def results(spark, d):
         F.when(F.col("doc_id") % 2 == 0, "a").otherwise("b").alias("judge"))
 
 
-@query("e2_evaluation_summary", f"""WITH {RESULTS}, h AS (SELECT language, count(*) AS records, count(*) FILTER (WHERE error IS NOT NULL AND error <> 'deflection_detected') AS errors, count(*) FILTER (WHERE error = 'deflection_detected') AS deflections FROM results GROUP BY GROUPING SETS ((), (language))),
-lg AS (SELECT language, 'relevancy' AS metric, relevancy AS score FROM results WHERE error IS NULL UNION ALL SELECT language, 'faithfulness', faithfulness FROM results WHERE error IS NULL),
-m AS (SELECT language, metric, round_even(avg(score), 3) AS avg, round_even(100.0 * avg(CASE WHEN score >= 0.5 THEN 1 ELSE 0 END), 1) AS pass_rate FROM lg GROUP BY GROUPING SETS ((metric), (language, metric)))
-SELECT h.language, records, errors, deflections, metric, avg, pass_rate FROM h LEFT JOIN m ON h.language IS NOT DISTINCT FROM m.language""")
+@query("e2_evaluation_summary", f"""WITH {RESULTS}, r2 AS (SELECT * REPLACE (coalesce(nullif(language, 'de'), 'en') AS language) FROM results), h AS (SELECT language, grouping(language) AS g, count(*) AS records, count(*) FILTER (WHERE error IS NOT NULL AND error <> 'deflection_detected') AS errors, count(*) FILTER (WHERE error = 'deflection_detected') AS deflections FROM r2 GROUP BY GROUPING SETS ((), (language))),
+lg AS (SELECT language, 'relevancy' AS metric, relevancy AS score FROM r2 WHERE error IS NULL UNION ALL SELECT language, 'faithfulness', faithfulness FROM r2 WHERE error IS NULL),
+m AS (SELECT language, grouping(language) AS g, metric, round_even(avg(score), 3) AS avg, round_even(100.0 * avg(CASE WHEN score >= 0.5 THEN 1 ELSE 0 END), 1) AS pass_rate FROM lg GROUP BY GROUPING SETS ((metric), (language, metric)))
+SELECT h.language, CASE WHEN h.g = 1 THEN 'overall' ELSE 'language' END AS scope, records, errors, deflections, metric, avg, pass_rate FROM h LEFT JOIN m ON h.g = m.g AND h.language IS NOT DISTINCT FROM m.language""")
 def _(spark, d):
     r = results(spark, d)
     metric = lambda m: F.struct(F.lit(m).alias("metric"), F.col(m).alias("score"), (F.col(m) >= 0.5).alias("pass"))
-    nested = r.select("language", "error", F.when(F.col("error").isNull(), F.array(metric("relevancy"), metric("faithfulness"))).alias("metrics"))
+    nested = r.select(F.nullif("language", F.lit("de")).alias("language"), "error", F.when(F.col("error").isNull(), F.array(metric("relevancy"), metric("faithfulness"))).alias("metrics"))
     return ev.summary(nested)
 
 
@@ -57,7 +57,7 @@ def _(spark, d):
   string_agg('"' || substr(item, 1, 70) || '" - ' || CASE WHEN reason = '' THEN 'no explanation given' ELSE reason END, ' | ' ORDER BY ord) FILTER (WHERE verdict = ' No') AS rej FROM v GROUP BY 1, 2)
 SELECT record_id, metric, metric || ': ' || accepted || '/' || total || ' ' || CASE WHEN metric = 'relevancy' THEN 'statement' ELSE 'claim' END || 's accepted' || coalesce('. Rejected: ' || rej, '') || CASE WHEN ambiguous > 0 THEN '. (' || ambiguous || ' ambiguous)' ELSE '' END AS reason FROM s""")
 def _(spark, d):
-    return ev.verdict_reason(_verdicts(spark, d))
+    return ev.verdict_reason(_verdicts(spark, d), statement_chars=70)
 
 
 @query("e21_bakeoff", f"""WITH {RESULTS}, r AS (SELECT *, 'Q' || (doc_id // 2) AS question_id FROM results), c AS (SELECT question_id, judge, max(CASE WHEN error IS NOT NULL THEN 'ERR / ERR' ELSE printf('%.2f', relevancy) || ' / ' || printf('%.2f', faithfulness) END) AS cell FROM r GROUP BY 1, 2)
@@ -107,10 +107,17 @@ def _(spark, d):
     return ev.pending(c, done).select("session_id", "turn")
 
 
-@query("k1_pluggable_judge")
+_WORDS = "list_distinct([x FOR x IN string_split(regexp_replace(lower(coalesce({c}, '')), '[^\\p{{L}}\\p{{N}}]', ' ', 'g'), ' ') IF x <> ''])"
+
+
+@query("k1_pluggable_judge", f"""WITH {i.CAPTURED}, g AS (SELECT *, CASE WHEN coalesce(answer, '') = '' THEN 'unanswered' WHEN {i.deflection_sql('answer')} THEN 'deflection_detected' END AS error,
+  {_WORDS.format(c='question')} AS q, {_WORDS.format(c='answer')} AS a, {_WORDS.format(c='expected_answer')} AS e FROM captured)
+SELECT session_id, turn, language, error, CASE WHEN error IS NULL THEN 2 ELSE 0 END AS metrics,
+  CASE WHEN error IS NULL THEN CASE WHEN len(q) = 0 THEN 0.0 ELSE round(len(list_intersect(q, list_concat(a, e))) / len(q), 6) END END AS relevancy,
+  CAST(CASE WHEN error IS NULL THEN 2 ELSE 0 END AS BIGINT) AS calls, CAST(CASE WHEN error IS NULL THEN len(a) ELSE 0 END AS BIGINT) AS prompt_tokens FROM g""")
 def _(spark, d):
     s = ev.score(i.captured(spark, d), ev.overlap_judge(), i.CORPUS_PATTERNS)
-    return s.select("session_id", "turn", "language", "error", F.size("metrics").alias("metrics"), F.round(F.element_at("metrics", 1)["score"], 6).alias("relevancy"), "calls", "prompt_tokens")
+    return s.select("session_id", "turn", "language", "error", F.size("metrics").alias("metrics"), F.round(F.get("metrics", F.lit(0))["score"], 6).alias("relevancy"), "calls", "prompt_tokens")
 
 
 @query("k1_gate_before_judge", f"""WITH {i.CAPTURED} SELECT CASE WHEN coalesce(answer, '') = '' THEN 'unanswered' WHEN {i.deflection_sql('answer')} THEN 'deflection_detected' END AS error, count(*) AS records FROM captured GROUP BY 1""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -32,9 +33,15 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "con
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: the one the cluster names, else a fresh local one."""
+    """Folder every executor can reach: the one that the cluster names in ``spark.checkpoint.dir``.
+
+    Only a session on one machine gets a fresh local folder when the setting is missing; elsewhere that would leave stages on
+    disks that other executors cannot read.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[[^]]*\])?$", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="convqa-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from convqa import schemas
 from convqa.functions import text as tx
@@ -17,7 +18,7 @@ def _path() -> Column:
     return F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), "\\+", "%2B"))
 
 
-def _json(spark: SparkSession, root: str, schema: str, glob: str = "*.json", per_line: bool = False) -> DataFrame:
+def _json(spark: SparkSession, root: str, schema: str | StructType, glob: str = "*.json", per_line: bool = False) -> DataFrame:
     """JSON files below ``root``, one document (or array) per file unless ``per_line``."""
     reader = spark.read.schema(schema).option("multiLine", not per_line).option("recursiveFileLookup", True).option("pathGlobFilter", glob)
     return reader.option("mode", "PERMISSIVE").json(root).withColumn("path", _path())
@@ -27,13 +28,24 @@ def _folder(c: Column, up: int) -> Column:
     return F.element_at(F.split(c, "/"), -up)
 
 
+def _partition(name: str) -> Column:
+    """Value of a partition folder ``name=value`` of the path, null where there is none."""
+    return F.nullif(F.regexp_extract("path", f"/(?:p_)?{name}=([^/]*)/", 1), F.lit(""))
+
+
 def _topic_columns(df: DataFrame, suffix: str = "\\.json$") -> DataFrame:
-    return df.withColumn("file_topic", _folder(F.col("path"), 2)).withColumn("file_sub_topic", F.regexp_replace(_folder(F.col("path"), 1), suffix, ""))
+    """Topic and sub topic out of partition folders as our sinks write them, else out of ``<topic>/<sub topic>.json``."""
+    return df.withColumn("file_topic", F.coalesce(_partition("topic"), _folder(F.col("path"), 2))).withColumn(
+        "file_sub_topic", F.coalesce(_partition("sub_topic"), F.regexp_replace(_folder(F.col("path"), 1), suffix, "")))
+
 
+def read_questions(spark: SparkSession, root: str, topics: Sequence[str] = (), subtopics: Sequence[str] = (), lines: bool = True) -> DataFrame:
+    """Question files; chunk files are skipped, names come from the path.
 
-def read_questions(spark: SparkSession, root: str, topics: Sequence[str] = (), subtopics: Sequence[str] = ()) -> DataFrame:
-    """``<topic>/<sub topic>.json`` question files; chunk files are skipped, names come from the path."""
-    df = _topic_columns(_json(spark, root, schemas.QUESTION)).where(~F.col("path").endswith(".chunks.json"))
+    ``lines``: one record per line, as our sinks write them, so a large file is read by many tasks. Without it a file
+    ``<topic>/<sub topic>.json`` is one document or array.
+    """
+    df = _topic_columns(_json(spark, root, schemas.QUESTION, per_line=lines)).where(~F.col("path").endswith(".chunks.json"))
     df = df.where(F.col("file_sub_topic") != "manifest")
     if topics:
         df = df.where(F.col("file_topic").isin(list(topics)))
@@ -54,9 +66,10 @@ def read_chunks(spark: SparkSession, root: str) -> DataFrame:
     return df.withColumn("match_key", F.lower(F.concat_ws("/", "file_topic", "file_sub_topic")))
 
 
-def read_sessions(spark: SparkSession, root: str, legacy: str | None = None) -> DataFrame:
-    """Session files below ``root``; a single old file is used only when there is none."""
-    df = _topic_columns(_json(spark, root, schemas.SESSION)).where(F.col("session_id").isNotNull())
+def read_sessions(spark: SparkSession, root: str, legacy: str | None = None, lines: bool = True) -> DataFrame:
+    """Session files below ``root``, one session per line unless ``lines`` is false (then one document or array per file);
+    a single old file is used only when there is none."""
+    df = _topic_columns(_json(spark, root, schemas.SESSION, per_line=lines)).where(F.col("session_id").isNotNull())
     if legacy and df.isEmpty():
         return _topic_columns(spark.read.schema(schemas.SESSION).option("multiLine", True).json(legacy).withColumn("path", _path()))
     return df
@@ -115,9 +128,15 @@ def summary_sources(summaries: DataFrame) -> DataFrame:
         F.col("s.saw_source_frame").alias("saw"))
 
 
-def read_flow_specs(spark: SparkSession, root: str) -> DataFrame:
-    """Flow specifications with at least one scenario; unreadable files give no row."""
-    return _json(spark, root, schemas.FLOW_SPEC).where(F.size("flows") > 0)
+def read_scenarios(spark: SparkSession, root: str) -> DataFrame:
+    """Scenarios as ``writers.write_flows`` stores them, one per line."""
+    fields = StructType.fromDDL(f"s {schemas.SCENARIO}")["s"].dataType
+    return _json(spark, root, fields, per_line=True).where(F.col("id").isNotNull() | F.col("flow_id").isNotNull())
+
+
+def read_flow_specs(spark: SparkSession, root: str, lines: bool = True) -> DataFrame:
+    """Flow specifications with at least one scenario, one per line unless ``lines`` is false (then one per file); unreadable ones give no row."""
+    return _json(spark, root, schemas.FLOW_SPEC, per_line=lines).where(F.size("flows") > 0)
 
 
 def spec_scenarios(specs: DataFrame) -> DataFrame:
@@ -147,10 +166,10 @@ def read_flow_replies(spark: SparkSession, folder: str, glob: str = "*.json") ->
     return good, bad
 
 
-def read_conversations(spark: SparkSession, path: str, fmt: str = "json", since: str | None = None) -> DataFrame:
-    """Dump of stored calls. ``since`` (ISO time) is compared as text first, so a columnar dump can skip row groups."""
+def read_conversations(spark: SparkSession, path: str, fmt: str = "json", since: str | None = None, lines: bool = True) -> DataFrame:
+    """Dump of stored calls; JSON holds one call per line unless ``lines`` is false (then a file is one document or array). ``since`` (ISO time) is compared as text first, so a columnar dump can skip row groups."""
     if fmt == "json":
-        df = spark.read.schema(schemas.CONVERSATION).option("multiLine", True).option("recursiveFileLookup", True).json(path)
+        df = spark.read.schema(schemas.CONVERSATION).option("multiLine", not lines).option("recursiveFileLookup", True).json(path)
     else:
         df = spark.read.format(fmt).load(path)
     if since:

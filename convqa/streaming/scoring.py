@@ -2,28 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from convqa.functions.deflection import DEFAULT_PATTERNS
 from convqa.operators import evaluation
 
 
-def score_stream(captured: DataFrame, judge: evaluation.Judge, out: str, checkpoint: str, patterns=DEFAULT_PATTERNS) -> StreamingQuery:
-    """Score every new record once and append the result.
+def _stored(spark: SparkSession, out: str) -> DataFrame | None:
+    """Results written so far; null before the first batch. Any other failure to read them is raised."""
+    try:
+        return spark.read.parquet(out)
+    except AnalysisException as problem:
+        if problem.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
-    A batch that is run again after a failure is compared with what is already stored, so records are
-    neither lost nor scored twice.
+
+def score_stream(
+    captured: DataFrame, judge: evaluation.Judge, out: str, checkpoint: str, patterns=DEFAULT_PATTERNS, judge_name: str = "judge",
+) -> StreamingQuery:
+    """Score every new record once per judge and append the result below the judge's name.
+
+    A record is known by its run (``run_stamp``, where the input has it), session and turn. A batch that is run again after
+    a failure is compared with what this judge has stored for the batch's own records, so none is lost or scored twice.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        try:
-            done = spark.read.parquet(out)
-        except Exception:  # nothing stored before the first batch
-            done = None
-        fresh = batch.dropDuplicates(list(evaluation.RECORD_KEY))
+        key = evaluation.record_key(batch)
+        fresh = batch.dropDuplicates(key)
+        done = _stored(batch.sparkSession, out)
         if done is not None:
-            fresh = evaluation.pending(fresh, done)
-        evaluation.score(fresh, judge, patterns).write.mode("append").parquet(out)
+            own = done.where(F.col("judge") == judge_name)
+            sessions = batch.select("session_id").distinct()
+            fresh = evaluation.pending(fresh, own.join(sessions, own["session_id"].eqNullSafe(sessions["session_id"]), "left_semi"), key)
+        scored = evaluation.score(fresh, judge, patterns).withColumn("judge", F.lit(judge_name))
+        scored.write.mode("append").partitionBy("judge").parquet(out)
 
     return captured.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

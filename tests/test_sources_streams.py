@@ -20,9 +20,9 @@ def test_question_and_chunk_files(spark, tmp_path):
     put(tmp_path / "Loan" / "Car Loan.json", [Q, {**Q, "id": "Q002", "language": "en"}])
     put(tmp_path / "Loan" / "Car loan.chunks.json", [{"id": "c1", "text": "chunk"}])
     put(tmp_path / "Cards" / "Fees.json", [{**Q, "id": "Q001", "question": "later"}])
-    q = readers.read_questions(spark, str(tmp_path))
+    q = readers.read_questions(spark, str(tmp_path), lines=False)
     assert {(r["file_topic"], r["file_sub_topic"], r["id"]) for r in q.collect()} == {("Loan", "Car Loan", "Q001"), ("Loan", "Car Loan", "Q002"), ("Cards", "Fees", "Q001")}
-    assert readers.read_questions(spark, str(tmp_path), topics=["Cards"]).count() == 1 and readers.read_questions(spark, str(tmp_path), subtopics=["Car Loan"]).count() == 2
+    assert readers.read_questions(spark, str(tmp_path), topics=["Cards"], lines=False).count() == 1 and readers.read_questions(spark, str(tmp_path), subtopics=["Car Loan"]).count() == 2
     assert {r["id"]: r["question"] for r in readers.latest_questions(q).collect()} == {"Q001": "q", "Q002": "q"}
     chunks = readers.read_chunks(spark, str(tmp_path))
     key = F.lower(F.concat_ws("/", "file_topic", "file_sub_topic"))
@@ -34,8 +34,8 @@ def test_session_files_and_legacy(spark, tmp_path):
     put(tmp_path / "new" / "Loan" / "A.json", [s])
     put(tmp_path / "old" / "sessions.json", [{**s, "session_id": "old"}])
     (tmp_path / "empty").mkdir()
-    assert readers.session_turns(readers.read_sessions(spark, str(tmp_path / "new"), str(tmp_path / "old" / "sessions.json"))).first()["question_id"] == "Q001"
-    assert readers.read_sessions(spark, str(tmp_path / "empty"), str(tmp_path / "old" / "sessions.json")).first()["session_id"] == "old"
+    assert readers.session_turns(readers.read_sessions(spark, str(tmp_path / "new"), str(tmp_path / "old" / "sessions.json"), lines=False)).first()["question_id"] == "Q001"
+    assert readers.read_sessions(spark, str(tmp_path / "empty"), str(tmp_path / "old" / "sessions.json"), lines=False).first()["session_id"] == "old"
 
 
 def test_capture_from_run_files(spark, tmp_path):
@@ -84,10 +84,10 @@ def test_stored_conversations(spark, tmp_path):
     put(tmp_path / "c.json", [
         {"id": "1", "createdAt": "2026-01-02T00:00:00Z", "recording_url": "u", "metadata": {"participant": {"ani": "tel:+9665"}}, "transcription": [{"role": "assistant", "content": " hi ", "startTime": 0.0, "end": 1.5}, {"speaker": "Customer", "message": "yes", "is_interrupted": True}]},
         {"id": "2", "createdAt": "2026-01-01T00:00:00Z", "metadata": {}, "transcription": []}])
-    convs = readers.read_conversations(spark, str(tmp_path))
+    convs = readers.read_conversations(spark, str(tmp_path), lines=False)
     assert {r["conv_id"]: r["phone_number"] for r in readers.conversation_calls(convs).collect()} == {"1": "+9665", "2": None}
     assert [(r["speaker"], r["text"], r["start_s"], r["end_s"]) for r in readers.conversation_turns(convs).orderBy("ord").collect()] == [("assistant", "hi", 0.0, 1.5), ("customer", "yes", None, None)]
-    assert readers.read_conversations(spark, str(tmp_path), since="2026-01-02").count() == 1
+    assert readers.read_conversations(spark, str(tmp_path), since="2026-01-02", lines=False).count() == 1
 
 
 def test_flow_files_to_sessions(spark, tmp_path):
@@ -99,7 +99,7 @@ def test_flow_files_to_sessions(spark, tmp_path):
         put(tmp_path / "specs" / f"{flow}.json", {"flow_id": flow, "title": flow.title(), "chunks": [{"id": "K1", "text": "chunk one"}], "flows": [scenario(flow, m, l) for m in ("incremental", "full_dump") for l in ("ar", "en")]})
     put(tmp_path / "specs" / "none.json", {"flow_id": "X", "flows": []})
     put(tmp_path / "specs" / "bad.json", "{not json")
-    specs = readers.read_flow_specs(spark, str(tmp_path / "specs"))
+    specs = readers.read_flow_specs(spark, str(tmp_path / "specs"), lines=False)
     assert specs.count() == 3
     scen = readers.spec_scenarios(specs)
     q = questions.flows_to_questions(scen, readers.spec_chunks(specs).distinct())
