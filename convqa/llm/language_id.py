@@ -102,10 +102,14 @@ def fit(x: np.ndarray, y: np.ndarray, languages: list[str], kept_back: np.ndarra
 def training_sample(labelled: DataFrame, key: str = "doc_id", text: str = "text", language: str = "lang", train_docs: int = 2400) -> DataFrame:
     """At most about ``train_docs`` rows: the first of each language in hash order; the ranking sees ids and languages only."""
     usable = labelled.where(F.col(language).isNotNull() & F.col(text).isNotNull())
-    kinds = max(1, usable.select(language).distinct().count())
+    sizes = usable.groupBy(F.col(language).alias("__lang")).agg(F.count("*").alias("__n"))
+    most = max(20, train_docs // max(1, sizes.count()))
     order = F.xxhash64(F.col(key), F.lit(11))
+    # a language that holds most rows sends on little more than its part before it is ranked
+    share = (F.shiftrightunsigned(order, 11).cast("double") / float(1 << 53)) * F.col("__n") <= 2.0 * most + 40
     place = F.row_number().over(Window.partitionBy(language).orderBy(order, key))
-    ids = usable.select(key, language).withColumn("__place", place).where(F.col("__place") <= max(20, train_docs // kinds)).select(F.col(key).alias("__key")).distinct()
+    near = usable.select(key, language).join(sizes, F.col(language) == F.col("__lang")).where(share)
+    ids = near.select(key, language).withColumn("__place", place).where(F.col("__place") <= most).select(F.col(key).alias("__key")).distinct()
     return usable.join(F.broadcast(ids), F.col(key) == F.col("__key")).select(key, text, language)
 
 
