@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -67,7 +68,7 @@ def canonical_speaker(c: str | Column, agent_names: Sequence[str] = ()) -> Colum
     """Agent words are tested before customer words; matching is by substring."""
     label = F.lower(F.coalesce(col(c), F.lit("")))
     return (
-        F.when(label.rlike("|".join((*AGENT_WORDS, *agent_names))), "agent")
+        F.when(label.rlike("|".join((*AGENT_WORDS, *[re.escape(n.lower()) for n in agent_names if n]))), "agent")
         .when(label.rlike("|".join(CUSTOMER_WORDS)), "customer")
         .when(label == "", "unknown")
         .otherwise(label)
@@ -174,7 +175,7 @@ def padded_id(prefix: str | Column, n: str | Column, width: int = 3) -> Column:
 
 def numeric_suffix(c: str | Column, prefix: str) -> Column:
     """Number behind ``prefix``; null when the id has another form."""
-    return F.regexp_extract(col(c), f"^{prefix}(\\d+)$", 1).try_cast("bigint")
+    return F.regexp_extract(col(c), f"^{re.escape(prefix)}(\\d+)$", 1).try_cast("bigint")
 
 
 def looks_garbled(c: str | Column) -> Column:

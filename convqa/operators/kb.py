@@ -177,3 +177,8 @@ def prompt_batches(documents: DataFrame, order: str, instructions: str = "", siz
         tx.padded_id("batch-", "batch").alias("file"), "docs", slugs.alias("flows"),
         F.concat_ws("\n", head, F.lit(""), F.concat(F.lit("BATCH: "), slugs), F.lit(""), texts).alias("prompt"),
     )
+
+
+def select_flows(flows: DataFrame, numbers: Sequence[int] = (), position: str = "index") -> DataFrame:
+    """Flows at the given positions; none given keeps all."""
+    return flows.where(F.col(position).isin([int(n) for n in numbers])) if numbers else flows

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convqa.config import CallConfig
@@ -177,3 +177,8 @@ def resolve_agents(names: list[str], agents: DataFrame) -> DataFrame:
     ])).alias("r")).select(
         "r.*", F.when(F.col("r.matches") == 1, "resolved").when(F.col("r.matches") == 0, "none").otherwise("ambiguous").alias("status")
     )
+
+
+def created_after(conversations: DataFrame, started_ms: int | Column, skew_ms: int = CallConfig.call_match_skew_ms, created: str = "created_ms") -> DataFrame:
+    """Stored calls that can belong to a call begun at ``started_ms``, allowing for clocks that differ by ``skew_ms``."""
+    return conversations.where(F.col(created) >= started_ms - F.lit(skew_ms))

@@ -238,3 +238,8 @@ def nest(turns: DataFrame, keys: Sequence[str] = ("session_id", "subtopic", "lan
 def explode_messages(sessions: DataFrame) -> DataFrame:
     keep = [c for c in sessions.columns if c not in ("messages", "turns")]
     return sessions.select(*keep, F.explode("messages").alias("m")).select(*keep, "m.*")
+
+
+def with_audio(questions: DataFrame, audio: str = "audio_file") -> DataFrame:
+    """Questions that have a clip; the others cannot be played and are left out."""
+    return questions.where(F.coalesce(F.col(audio), F.lit("")) != "")

@@ -493,7 +493,7 @@ def _(spark, d):
 @query("c9_created_after_start", f"""WITH {CALLS} SELECT agent_id, count(*) AS convs FROM convs WHERE created_ms >= {BASE_MS + 864_000_000} - 15000 GROUP BY 1""")
 def _(spark, d):
     convs = _calls(spark, d)[1]
-    return convs.where(F.col("created_ms") >= BASE_MS + 864_000_000 - CallConfig.call_match_skew_ms).groupBy("agent_id").agg(F.count(F.lit(1)).alias("convs"))
+    return matching.created_after(convs, BASE_MS + 864_000_000).groupBy("agent_id").agg(F.count(F.lit(1)).alias("convs"))
 
 
 # Frame-log operators, batch form --------------------------------------------------------------
@@ -520,30 +520,32 @@ def only_frames(log):
     return log.where(F.col("kind") != "signup")
 
 
+# Clicks and views speak, errors only keep an answer open, purchases only name sources.
+KINDS = fr.FrameKinds(("click", "view"), ("click", "view", "error"))
 SLOW = CallConfig(settle_ms=7_200_000, confirm_ms=600_000, turn_timeout_ms=86_400_000)
 
 
-@query("j1_answer_assembly", f"""WITH {LOG}, f AS (SELECT * FROM lg WHERE kind <> 'signup' AND send_no >= 1), g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY session_id, send_no ORDER BY ts, seq) < INTERVAL 7800 SECOND THEN 0 ELSE 1 END AS brk FROM (SELECT f.*, e.ts FROM f JOIN events e ON e.event_id = f.seq)),
+@query("j1_answer_assembly", f"""WITH {LOG}, f AS (SELECT * FROM lg WHERE kind IN ('click', 'view', 'error') AND send_no >= 1), g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY session_id, send_no ORDER BY ts, seq) < INTERVAL 7800 SECOND THEN 0 ELSE 1 END AS brk FROM (SELECT f.*, e.ts FROM f JOIN events e ON e.event_id = f.seq)),
 w AS (SELECT *, sum(brk) OVER (PARTITION BY session_id, send_no ORDER BY ts, seq) AS grp FROM g)
 SELECT session_id, send_no, epoch_us(min(ts)) // 1000 AS first_frame, epoch_us(max(ts)) // 1000 AS last_frame, coalesce(string_agg('w' || (k % 13), ' ' ORDER BY ts, seq) FILTER (WHERE kind IN ('click', 'view')), '') AS answer, count(*) AS frames FROM w GROUP BY session_id, send_no, grp""")
 def _(spark, d):
-    a = fr.assemble(only_frames(frame_log(spark, d)), SLOW)
+    a = fr.assemble(only_frames(frame_log(spark, d)), SLOW, KINDS)
     return a.select("session_id", "send_no", tx.epoch_ms("first_frame").alias("first_frame"), tx.epoch_ms("last_frame").alias("last_frame"), "answer", "frames")
 
 
 @query("j2_close_turns")
 def _(spark, d):
     log = frame_log(spark, d)
-    return fr.close_turns_batch(log.withColumn("kind", F.when(F.col("kind") == "signup", "send").otherwise("frame")), SLOW)
+    return fr.close_turns_batch(log.withColumn("kind", F.when(F.col("kind") == "signup", "send").otherwise(F.col("kind"))), SLOW, KINDS)
 
 
 @query("j4_first_frame_latency", f"""WITH {LOG}, s AS (SELECT session_id, send_no, min(tm) AS sent FROM lg WHERE kind = 'signup' GROUP BY 1, 2)
-SELECT s.session_id, s.send_no, min(f.tm) - s.sent AS latency_ms, min(f.tm) IS NOT NULL AS replied FROM s LEFT JOIN lg f ON f.session_id = s.session_id AND f.send_no = s.send_no AND f.kind <> 'signup' AND f.tm <= s.sent + 86400000 AND f.tm >= s.sent GROUP BY s.session_id, s.send_no, s.sent""")
+SELECT s.session_id, s.send_no, min(f.tm) - s.sent AS latency_ms, min(f.tm) IS NOT NULL AS replied FROM s LEFT JOIN lg f ON f.session_id = s.session_id AND f.send_no = s.send_no AND f.kind IN ('click', 'view') AND f.tm <= s.sent + 86400000 AND f.tm >= s.sent GROUP BY s.session_id, s.send_no, s.sent""")
 def _(spark, d):
     log = frame_log(spark, d)
     sends = log.where(F.col("kind") == "signup").select("session_id", "send_no", F.timestamp_millis("at").alias("sent_at"))
     frames = only_frames(log).withColumn("ts", F.timestamp_millis("at"))
-    return fr.first_latency(fr.latency(sends, frames, SLOW)).drop("sent_at")
+    return fr.first_latency(fr.latency(sends, frames, SLOW, KINDS)).drop("sent_at")
 
 
 @query("j5_turn_sources", f"""WITH {LOG}, f AS (SELECT * FROM lg WHERE kind <> 'signup' AND send_no >= 1)
@@ -551,7 +553,7 @@ SELECT session_id, send_no, coalesce(string_agg('w' || (k % 13), ' ' ORDER BY tm
   arg_max('p' || seq, seq) FILTER (WHERE kind = 'purchase') AS play_id, concat_ws(',', CASE WHEN bool_or(kind = 'view') THEN 'file_ids' END, CASE WHEN bool_or(kind = 'click') THEN 'loaded_files' END, CASE WHEN bool_or(kind = 'purchase') THEN 'play_id' END) AS source_keys,
   bool_or(kind IN ('view', 'click', 'purchase')) AS saw_source_frame FROM f GROUP BY 1, 2""")
 def _(spark, d):
-    a = fr.answers(only_frames(frame_log(spark, d)))
+    a = fr.answers(only_frames(frame_log(spark, d)), KINDS)
     join = lambda c: F.array_join(c, ",").alias(c)
     return a.select("session_id", "send_no", "answer", join("file_ids"), join("loaded_files"), "play_id", join("source_keys"), "saw_source_frame")
 

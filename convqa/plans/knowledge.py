@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from convqa.functions import text as tx
 from convqa.operators import kb, quality, questions, reporting, sessions
@@ -267,13 +266,16 @@ def _(spark, d):
 @query("c6_with_audio", "SELECT coalesce(source, 'none') AS sub_topic, count(*) FILTER (WHERE doc_id % 4 <> 0) AS usable, count(*) FILTER (WHERE doc_id % 4 = 0) AS excluded FROM documents GROUP BY 1")
 def _(spark, d):
     q = i.pool(spark, d).withColumn("audio_file", F.when(F.col("id") % 4 != 0, F.format_string("wav/%d.wav", "id")))
-    return q.groupBy("sub_topic").agg(F.count("audio_file").alias("usable"), F.count_if(F.col("audio_file").isNull()).alias("excluded"))
+    usable = sessions.with_audio(q).groupBy("sub_topic").agg(F.count(F.lit(1)).alias("usable"))
+    every = q.groupBy("sub_topic").agg(F.count(F.lit(1)).alias("every"))
+    kept = F.coalesce("usable", F.lit(0).cast("long"))
+    return every.join(usable, "sub_topic", "left").select("sub_topic", kept.alias("usable"), (F.col("every") - kept).alias("excluded"))
 
 
 @query("c7_flow_selection", "SELECT doc_id, source FROM documents WHERE doc_id % 50 IN (1, 7, 40)")
 def _(spark, d):
     doc = table(spark, d, "documents").withColumn("index", F.col("doc_id") % 50)
-    return doc.where(F.col("index").isin(1, 7, 40)).select("doc_id", "source")
+    return kb.select_flows(doc, (1, 7, 40)).select("doc_id", "source")
 
 
 @query("e8_manifest", f"WITH {i.POOL} SELECT topic, sub_topic, count(*) FILTER (WHERE language = 'fr') AS ar, count(*) FILTER (WHERE language IS DISTINCT FROM 'fr') AS en, count(*) AS total, CASE WHEN grouping(sub_topic) = 1 THEN 'topic' ELSE 'sub_topic' END AS scope FROM (SELECT topic, nullif(sub_topic, 'src3') AS sub_topic, language FROM pool) GROUP BY GROUPING SETS ((topic, sub_topic), (topic))")

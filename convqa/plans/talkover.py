@@ -174,8 +174,7 @@ def _sustained(spark, d):
 @query("c10_sustained_overlap", f"WITH {OVER} SELECT call, net, segment, e - s AS frames FROM seg WHERE (e - s) * 0.02 >= 0.5")
 def _(spark, d):
     seg = audio.overlap_segments(audio.speech_runs(frame_table(spark, d), CFG), CFG)
-    frames = F.col("end") - F.col("start")
-    return seg.where(frames * FRAME_S >= CFG.interruption_seconds).select("call", "net", "segment", frames.alias("frames"))
+    return audio.sustained(seg, FRAME_S, CFG).select("call", "net", "segment", (F.col("end") - F.col("start")).alias("frames"))
 
 
 OUTCOME = f"""{ASSIGN}, wr AS (SELECT conv_id, exch, bool_or(net = 'voiced') AS hi FROM best WHERE s1 - s0 >= 500 GROUP BY 1, 2),

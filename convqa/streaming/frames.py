@@ -7,6 +7,7 @@ follows (0 before the first question). Streams need ``with_lateness`` first.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,23 @@ from convqa.operators.capture import Aligner
 KEY = ["session_id", "send_no"]
 
 
+@dataclass(frozen=True)
+class FrameKinds:
+    """What the kind of a frame means for an answer.
+
+    ``speech`` frames carry it and set the time of its first frame. ``activity`` frames (speech among them) restart its silence. Other
+    kinds, such as frames that only name sources, do neither. ``frame`` is the kind of logs that do not tell more.
+    """
+
+    speech: tuple[str, ...] = ("sentence", "chunk", "frame")
+    activity: tuple[str, ...] = ("sentence", "chunk", "error", "detection", "frame")
+
+
+def of_kinds(frames: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """Frames of these kinds; a table without a ``kind`` holds frames of any."""
+    return frames.where(F.col("kind").isin(list(kinds))) if "kind" in frames.columns else frames
+
+
 def read_frames(spark: SparkSession, path: str, schema: str, max_files: int = 1000) -> DataFrame:
     """File stream of JSON frames; another source with the same columns (Kafka, ...) serves as well."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).json(path)
@@ -33,37 +51,41 @@ def after_first_send(frames: DataFrame) -> DataFrame:
     return frames.where(F.col("send_no") >= 1)
 
 
-def _text():
-    said = F.collect_list(F.when(F.col("sentence").isNotNull(), F.struct("ts", "seq", "sentence")))
+def _speech(frames: DataFrame, kinds: FrameKinds):
+    return F.col("kind").isin(list(kinds.speech)) if "kind" in frames.columns else F.lit(True)
+
+
+def _text(speech):
+    said = F.collect_list(F.when(speech & F.col("sentence").isNotNull(), F.struct("ts", "seq", "sentence")))
     return F.trim(F.array_join(F.transform(F.array_sort(said), lambda s: s["sentence"]), " "))
 
 
-def assemble(frames: DataFrame, config: CallConfig = CallConfig()) -> DataFrame:
+def assemble(frames: DataFrame, config: CallConfig = CallConfig(), kinds: FrameKinds = FrameKinds()) -> DataFrame:
     """Answers by silence: frames of one question belong together until nothing comes for settle plus confirm.
 
     One row per stretch of frames; a late stretch of the same question is a row of its own (``window`` tells).
     """
     gap = f"{config.settle_ms + config.confirm_ms} milliseconds"
-    return after_first_send(frames).groupBy(*KEY, F.session_window("ts", gap).alias("window")).agg(
-        _text().alias("answer"), F.min("ts").alias("first_frame"), F.max("ts").alias("last_frame"), F.count(F.lit(1)).alias("frames"))
+    return after_first_send(of_kinds(frames, kinds.activity)).groupBy(*KEY, F.session_window("ts", gap).alias("window")).agg(
+        _text(_speech(frames, kinds)).alias("answer"), F.min("ts").alias("first_frame"), F.max("ts").alias("last_frame"), F.count(F.lit(1)).alias("frames"))
 
 
-def answers(frames: DataFrame) -> DataFrame:
-    """Per question: the whole answer, first frame, sources (last writer wins), source keys and the seen flag."""
+def answers(frames: DataFrame, kinds: FrameKinds = FrameKinds()) -> DataFrame:
+    """Per question: the whole answer, its first speech frame, sources (last writer wins), source keys and the seen flag."""
     latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("ts", "seq")))
     keys = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("source_keys", F.array().cast("array<string>"))))))
     return after_first_send(frames).groupBy(*KEY).agg(
-        _text().alias("answer"), F.min("ts").alias("first_frame"), latest("file_ids").alias("file_ids"), latest("loaded_files").alias("loaded_files"),
+        _text(_speech(frames, kinds)).alias("answer"), F.min(F.when(_speech(frames, kinds), F.col("ts"))).alias("first_frame"), latest("file_ids").alias("file_ids"), latest("loaded_files").alias("loaded_files"),
         latest("play_id").alias("play_id"), keys.alias("source_keys"), F.coalesce(F.bool_or("saw_source_frame"), F.lit(False)).alias("saw_source_frame"))
 
 
-def latency(sends: DataFrame, frames: DataFrame, config: CallConfig = CallConfig()) -> DataFrame:
-    """Time from each question to its first frame within the turn limit; null when nothing came.
+def latency(sends: DataFrame, frames: DataFrame, config: CallConfig = CallConfig(), kinds: FrameKinds = FrameKinds()) -> DataFrame:
+    """Time from each question to its first speech frame within the turn limit; null when nothing came.
 
     As a stream this is a left join of two watermarked streams bounded in time, so state is dropped
     once the limit has passed.
     """
-    s, f = sends.alias("s"), frames.select("session_id", "send_no", F.col("ts").alias("frame_ts")).alias("f")
+    s, f = sends.alias("s"), of_kinds(frames, kinds.speech).select("session_id", "send_no", F.col("ts").alias("frame_ts")).alias("f")
     within = (
         (F.col("s.session_id") == F.col("f.session_id")) & (F.col("s.send_no") == F.col("f.send_no")) & (F.col("frame_ts") >= F.col("s.sent_at"))
         & (F.col("frame_ts") <= F.col("s.sent_at") + F.expr(f"INTERVAL {config.turn_timeout_ms} MILLISECONDS")))
@@ -108,7 +130,7 @@ TURN_STATE = "send_no bigint, sent_ms bigint, phase string, deadline bigint, set
 class TurnClock:
     """Exact closing rule of one question: settle silence, then a confirm window, with a hard limit per waiting phase.
 
-    Any frame ends a confirm window early, but only a new sentence sends the turn back to waiting.
+    Any active frame ends a confirm window early, but only a new sentence sends the turn back to waiting.
     Time comes from the frames, so replays give the same answers.
     """
 
@@ -157,13 +179,13 @@ class TurnClock:
         self.settle = at + self.c.settle_ms if self.settle is None else self.settle
         return None
 
-    def frame(self, at: int, sentence: str | None):
-        """Take a frame; returns the closed answer when it ends a confirm window without news."""
+    def frame(self, at: int, sentence: str | None, speech: bool = True):
+        """Take an active frame, speech or not; returns the closed answer when it ends a confirm window without news."""
         if self.phase == "idle":
             return None
-        if self.first is None:
+        if speech and self.first is None:
             self.first = at
-        if sentence is not None:
+        if speech and sentence is not None:
             self.sentences.append(sentence)
         self.settle = at + self.c.settle_ms
         return self._after_confirm(at) if self.phase == "confirm" else None
@@ -173,7 +195,7 @@ class TurnClock:
         return done
 
 
-def _run_clock(clock: TurnClock, rows, out: list) -> None:
+def _run_clock(clock: TurnClock, rows, out: list, kinds: FrameKinds = FrameKinds()) -> None:
     for row in rows:
         done = clock.advance(row.at)
         if done:
@@ -181,12 +203,12 @@ def _run_clock(clock: TurnClock, rows, out: list) -> None:
         if row.kind == "send":
             done = clock.send(int(row.send_no), int(row.at))
         else:
-            done = clock.frame(int(row.at), row.sentence if isinstance(row.sentence, str) else None)
+            done = clock.frame(int(row.at), row.sentence if isinstance(row.sentence, str) else None, row.kind in kinds.speech)
         if done:
             out.append(done)
 
 
-def close_turns_batch(frames: DataFrame, config: CallConfig = CallConfig()) -> DataFrame:
+def close_turns_batch(frames: DataFrame, config: CallConfig = CallConfig(), kinds: FrameKinds = FrameKinds()) -> DataFrame:
     """Exact answer closing over a recorded log: rows sorted per session are streamed through the clock."""
     ident = dict(frames.dtypes)["session_id"]
     columns = ["session_id", "send_no", "answer", "latency_ms", "closed_by"]
@@ -202,7 +224,7 @@ def close_turns_batch(frames: DataFrame, config: CallConfig = CallConfig()) -> D
                     if last:
                         found.append((session, *last))
                     session, clock = row.session_id, TurnClock(config)
-                _run_clock(clock, [row], out)
+                _run_clock(clock, [row], out, kinds)
                 found += [(session, *x) for x in out]
             if found:
                 yield pd.DataFrame(found, columns=columns).astype({"latency_ms": "Int64"})
@@ -210,11 +232,11 @@ def close_turns_batch(frames: DataFrame, config: CallConfig = CallConfig()) -> D
         if last:
             yield pd.DataFrame([(session, *last)], columns=columns).astype({"latency_ms": "Int64"})
 
-    ordered = frames.select("session_id", "at", "seq", "kind", "send_no", "sentence").repartition("session_id").sortWithinPartitions("session_id", "at", "seq")
+    ordered = of_kinds(frames, ("send", *kinds.activity)).select("session_id", "at", "seq", "kind", "send_no", "sentence").repartition("session_id").sortWithinPartitions("session_id", "at", "seq")
     return ordered.mapInPandas(run, TURN_SCHEMA.format(id=ident))
 
 
-def close_turns_stream(frames: DataFrame, config: CallConfig = CallConfig()) -> DataFrame:
+def close_turns_stream(frames: DataFrame, config: CallConfig = CallConfig(), kinds: FrameKinds = FrameKinds()) -> DataFrame:
     """Stream form of the exact closing rule; a quiet session is closed by the watermark."""
     ident = dict(frames.dtypes)["session_id"]
 
@@ -227,7 +249,7 @@ def close_turns_stream(frames: DataFrame, config: CallConfig = CallConfig()) ->
             state.remove()
         else:
             rows = pd.concat(list(batches)).sort_values(["at", "seq"])
-            _run_clock(clock, rows.itertuples(index=False), out)
+            _run_clock(clock, rows.itertuples(index=False), out, kinds)
             state.update(clock.values())
             due = clock.next_due()
             if due is not None:
@@ -236,7 +258,7 @@ def close_turns_stream(frames: DataFrame, config: CallConfig = CallConfig()) ->
         if out:
             yield pd.DataFrame([(key[0], *x) for x in out], columns=["session_id", "send_no", "answer", "latency_ms", "closed_by"]).astype({"latency_ms": "Int64"})
 
-    return frames.groupBy("session_id").applyInPandasWithState(
+    return of_kinds(frames, ("send", *kinds.activity)).groupBy("session_id").applyInPandasWithState(
         step, TURN_SCHEMA.format(id=ident), TURN_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
