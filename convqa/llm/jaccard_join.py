@@ -269,9 +269,23 @@ def _shared_counts(open_rows: DataFrame, fragments: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.concatenate(arrays))], names=["key", "code"])
 
     codes = wanted.select("key", "codes").mapInArrow(run, "key long, code long")
-    # one pass: the first and last owner of a shingle differ if it is shared
-    owners = codes.groupBy("code").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("code")
-    return codes.join(owners, "code").groupBy("key").agg(F.count("*").alias("shared"))
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Over rows sorted by code: those whose code a neighbour has too. The last row of a batch waits for the next one."""
+        key, code, met = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        for batch in batches:
+            key, code = np.concatenate([key, batch.column(0).to_numpy()]), np.concatenate([code, batch.column(1).to_numpy()])
+            same = code[1:] == code[:-1]
+            hit = np.concatenate([met, np.zeros(len(code) - len(met), bool)])
+            hit[1:] |= same
+            hit[:-1] |= same
+            owners, n = np.unique(key[:-1][hit[:-1]], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(owners), pa.array(n.astype(np.int64))], names=["key", "shared"])
+            key, code, met = key[-1:], code[-1:], hit[-1:]
+        yield pa.RecordBatch.from_arrays([pa.array(key[met]), pa.array(np.ones(int(met.sum()), np.int64))], names=["key", "shared"])
+
+    sorted_codes = codes.repartition("code").sortWithinPartitions("code")
+    return sorted_codes.mapInArrow(shared, "key long, shared long").groupBy("key").agg(F.sum("shared").alias("shared"))
 
 
 def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, percent: int = 85, leaders: int = 8) -> DataFrame:
@@ -286,7 +300,7 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     counted = materialize(repeated.groupBy(F.col("a").alias("code")).agg(F.sum("b").alias("n")), "repeated")
     total = counted.agg(F.sum("n")).first()[0] or 0
     # at most FREQUENT shingles can hold so large a share each
-    got = counted.where(F.col("n") >= max(16, -(-total // FREQUENT))).toArrow().sort_by("code")
+    got = counted.where(F.col("n") >= max(2, -(-total // FREQUENT))).toArrow().sort_by("code")
     codes = got.column(0).to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(codes)
     frequent = spark.sparkContext.broadcast((codes[order], got.column(1).to_numpy()[order]))
