@@ -97,11 +97,15 @@ def match_by_content(calls: DataFrame, live: DataFrame, convs: DataFrame, stored
     Among the agent's conversations created after the start (less the skew), the nearest in time with a
     similarity of ``transcript_match_min`` wins, else the most similar one from ``conv_match_min`` on.
     ``calls``: ``call_id, agent_id, started_ms``; ``convs``: ``conv_id, agent_id, created_ms``;
-    ``live``/``stored``: turns keyed by ``conv_id`` (call id on the live side). Unmatched calls keep nulls.
+    ``live``/``stored``: turns keyed by ``conv_id`` (call id on the live side). Unmatched calls keep nulls. Where ``convs`` has a
+    column ``saved``, only conversations that are stored completely are candidates. A call without a word in its body is
+    matched by time alone and has no ``sim``.
 
     Equal contents are compared once. For each call and each similar content the nearest conversation
     comes from one as-of scan, so a group of identical calls never forms its pairs.
     """
+    if "saved" in convs.columns:
+        convs = convs.where("saved").drop("saved")
     live_counts, live_sig = _bags(live)
     stored_counts, stored_sig = _bags(stored)
     live_bags = _distinct_bags(live_counts, live_sig, calls.select(F.col("call_id").alias("conv_id"), "agent_id"))
@@ -121,7 +125,10 @@ def match_by_content(calls: DataFrame, live: DataFrame, convs: DataFrame, stored
     sure = F.col("sim") >= config.transcript_match_min
     rank = F.struct(F.when(sure, 0).otherwise(1), F.when(sure, F.col("away")).otherwise(0), -F.col("sim"), F.col("away"), F.col("conv_id"))
     best = candidate.groupBy("call_id").agg(F.min_by(F.struct("conv_id", "sim"), rank).alias("b"))
-    return calls.join(best, "call_id", "left").select("call_id", F.col("b.conv_id").alias("conv_id"), F.col("b.sim").alias("sim"))
+    silent = calls.join(live_sig.select(F.col("conv_id").alias("call_id")), "call_id", "left_anti")
+    timed = asof_conversation(silent, convs, config.call_match_skew_ms, block_width).select("call_id", F.col("conv_id").alias("__timed"))
+    found = calls.join(best, "call_id", "left").join(timed, "call_id", "left")
+    return found.select("call_id", F.coalesce("b.conv_id", "__timed").alias("conv_id"), F.col("b.sim").alias("sim"))
 
 
 def match_artifacts(results: DataFrame, artifacts: DataFrame, allow_newest: bool) -> DataFrame:

@@ -210,9 +210,9 @@ def _(spark, d):
 
 CONTENT = f"""{i.TURNS}, two AS (SELECT * FROM turns WHERE speaker <> 'system'), st AS (SELECT conv_id, coalesce(min(ord) FILTER (WHERE speaker <> 'agent'), min(ord) + 1) AS s FROM two GROUP BY 1),
 body AS (SELECT t.conv_id, t.ord, t.text FROM two t JOIN st USING (conv_id) WHERE t.ord >= st.s),
-lt AS (SELECT conv_id, unnest({i.tokens_sql("CASE WHEN conv_id % 3 = 0 AND ord % 2 = 1 THEN split_part(text, '.', 1) ELSE text END")}) AS token FROM body), ct AS (SELECT conv_id, unnest({i.tokens_sql('text')}) AS token FROM body),
+lt AS (SELECT conv_id, unnest({i.tokens_sql("CASE WHEN conv_id % 7 = 3 THEN '' WHEN conv_id % 3 = 0 AND ord % 2 = 1 THEN split_part(text, '.', 1) ELSE text END")}) AS token FROM body), ct AS (SELECT conv_id, unnest({i.tokens_sql('text')}) AS token FROM body),
 lc AS (SELECT conv_id, token, count(*) AS n FROM lt GROUP BY 1, 2), cc AS (SELECT conv_id, token, count(*) AS n FROM ct GROUP BY 1, 2), ls AS (SELECT conv_id, sum(n) AS s FROM lc GROUP BY 1), cs AS (SELECT conv_id, sum(n) AS s FROM cc GROUP BY 1),
-pr AS (SELECT l.conv_id AS call_id, c.conv_id, 2.0 * sum(least(l.n, c.n)) / (any_value(ls.s) + any_value(cs.s)) AS sim FROM lc l JOIN cc c USING (token) JOIN ls ON ls.conv_id = l.conv_id JOIN cs ON cs.conv_id = c.conv_id WHERE l.conv_id % 4 = c.conv_id % 4 GROUP BY 1, 2),
+pr AS (SELECT l.conv_id AS call_id, c.conv_id, 2.0 * sum(least(l.n, c.n)) / (any_value(ls.s) + any_value(cs.s)) AS sim FROM lc l JOIN cc c USING (token) JOIN ls ON ls.conv_id = l.conv_id JOIN cs ON cs.conv_id = c.conv_id WHERE l.conv_id % 4 = c.conv_id % 4 AND c.conv_id % 11 <> 4 GROUP BY 1, 2),
 cd AS (SELECT *, abs((conv_id * 1000 + (conv_id % 5) * 900) - call_id * 1000) AS away FROM pr WHERE sim >= 0.75 AND conv_id * 1000 + (conv_id % 5) * 900 >= call_id * 1000 - 15000),
 rk AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY CASE WHEN sim >= 0.95 THEN 0 ELSE 1 END, CASE WHEN sim >= 0.95 THEN away ELSE 0 END, -sim, away, conv_id) AS k FROM cd),
 ids AS (SELECT DISTINCT conv_id AS call_id FROM conversations)"""
@@ -221,15 +221,18 @@ ids AS (SELECT DISTINCT conv_id AS call_id FROM conversations)"""
 def _content(spark, d):
     t = i.turns(spark, d).where(F.col("speaker") != "system")
     cut = (F.col("conv_id") % 3 == 0) & (F.col("ord") % 2 == 1)
-    live = t.withColumn("text", F.when(cut, F.split_part("text", F.lit("."), F.lit(1))).otherwise(F.col("text")))
+    live = t.withColumn("text", F.when(F.col("conv_id") % 7 == 3, "").when(cut, F.split_part("text", F.lit("."), F.lit(1))).otherwise(F.col("text")))
     ids = table(spark, d, "conversations").select("conv_id").distinct()
     agent = (F.col("conv_id") % 4).alias("agent_id")
     calls = ids.select(F.col("conv_id").alias("call_id"), agent, (F.col("conv_id") * 1000).alias("started_ms"))
-    convs = ids.select("conv_id", agent, (F.col("conv_id") * 1000 + (F.col("conv_id") % 5) * 900).alias("created_ms"))
+    convs = ids.select("conv_id", agent, (F.col("conv_id") * 1000 + (F.col("conv_id") % 5) * 900).alias("created_ms"), (F.col("conv_id") % 11 != 4).alias("saved"))
     return calls, live, convs, t
 
 
-@query("d7_match_by_content", f"WITH {CONTENT} SELECT call_id, rk.conv_id, CAST(round(rk.sim, 9) AS DOUBLE) AS sim FROM ids LEFT JOIN rk USING (call_id) WHERE k = 1 OR k IS NULL")
+# Every eleventh conversation is not stored completely; every seventh call has an empty body and goes by time.
+@query("d7_match_by_content", f"""WITH {CONTENT}, sv AS (SELECT call_id AS conv_id, call_id * 1000 + (call_id % 5) * 900 AS made FROM ids WHERE call_id % 11 <> 4)
+SELECT i.call_id, CASE WHEN i.call_id % 7 = 3 THEN coalesce((SELECT arg_min(conv_id, made * 1000000 + conv_id) FROM sv WHERE conv_id % 4 = i.call_id % 4 AND made >= i.call_id * 1000), (SELECT arg_max(conv_id, made * 1000000 - conv_id) FROM sv WHERE conv_id % 4 = i.call_id % 4 AND made <= i.call_id * 1000)) ELSE rk.conv_id END AS conv_id,
+  CAST(round(rk.sim, 9) AS DOUBLE) AS sim FROM ids i LEFT JOIN rk ON rk.call_id = i.call_id WHERE k = 1 OR k IS NULL""")
 def _(spark, d):
     m = matching.match_by_content(*_content(spark, d))
     return m.withColumn("sim", F.round("sim", 9))
