@@ -239,3 +239,12 @@ def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float, buc
         F.min(F.when(F.col("__upto") > F.floor("__at"), F.col(value))).alias("__lo"), F.min(F.when(F.col("__upto") > F.ceil("__at"), F.col(value))).alias("__hi"),
         F.first(F.col("__at") - F.floor("__at")).alias("__frac"),
     ).select(*keys, (F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.col("__frac")).alias(name))
+
+
+def repeated(df: DataFrame, times: Column, number: str = "__copy", step: int = 10_000) -> DataFrame:
+    """Every row ``times`` times with ``number`` counting from 0; no array is longer than ``step`` or ``times / step``."""
+    whole = df.withColumn("__times", times.cast("bigint")).where("__times > 0")
+    parts = whole.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("__times") - 1) / step))))
+    last = F.least(F.col("__times") - F.col("__part") * step, F.lit(step)) - 1
+    start = F.col("__part") * step
+    return parts.withColumn(number, F.explode(F.sequence(start, start + last))).drop("__times", "__part")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from convqa.config import CallConfig
 from convqa.functions import text as tx
+from convqa.operators import ordered as o
 from convqa.operators import transcripts
 
 LANGUAGES = ("ar", "en")
@@ -28,7 +29,7 @@ def _issues(df: DataFrame, ident: str, tests: Sequence[Column]) -> DataFrame:
 def duplicates(df: DataFrame, ident: str = "id") -> DataFrame:
     """One row per repetition of an id after its first use."""
     counted = df.where(F.coalesce(F.col(ident), F.lit("")) != "").groupBy(F.col(ident).alias("id")).agg((F.count(F.lit(1)) - 1).alias("__extra"))
-    return counted.where("__extra > 0").select("id", F.explode(F.array_repeat(F.lit("duplicate id"), F.col("__extra").cast("int"))).alias("issue"))
+    return o.repeated(counted.where("__extra > 0"), F.col("__extra")).select("id", F.lit("duplicate id").alias("issue"))
 
 
 def unknown_chunks(questions: DataFrame, chunks: DataFrame, ids: str = "source_chunks", only_id_like: bool = False) -> DataFrame:
@@ -85,9 +86,9 @@ def accepted(issues: DataFrame) -> DataFrame:
     return issues.agg((F.count(F.lit(1)) == 0).alias("accepted"), F.count(F.lit(1)).alias("issues"))
 
 
-def validate_flows(entries: DataFrame, limit: int = 8) -> DataFrame:
+def validate_flows(entries: DataFrame, limit: int | None = None) -> DataFrame:
     """Flow entries: id, language, mode and question; a full dump needs its answer, the step form needs complete steps.
-    At most ``limit`` issues are reported per entry; texts with lost encoding are reported on top."""
+    All issues are reported, or at most ``limit`` per entry; texts with lost encoding are reported on top."""
     blank = lambda c: tx.blank_to_null(c).isNull()
     ident = F.coalesce(tx.blank_to_null("flow_id"), tx.blank_to_null("id"), F.lit("?"))
     steps = F.coalesce("steps", F.array().cast(entries.schema["steps"].dataType))
@@ -100,7 +101,8 @@ def validate_flows(entries: DataFrame, limit: int = 8) -> DataFrame:
         F.when(blank("mode"), "missing mode"), F.when(blank("question"), "missing question"),
         F.when((F.col("mode") == "full_dump") & blank("expected_answer"), "full_dump missing expected_answer"),
         F.when((F.col("mode") == "incremental") & F.col("steps").isNull(), "incremental missing steps[]"))
-    rules = F.slice(F.array_compact(F.concat(own, step_issues)), 1, limit)
+    rules = F.array_compact(F.concat(own, step_issues))
+    rules = rules if limit is None else F.slice(rules, 1, limit)
     lost = lambda c, name: F.when(tx.looks_garbled(c), F.lit(f"{name} has ??? pattern"))
     garbled = F.array_compact(F.concat(
         F.array(*[lost(c, c) for c in ("sub_topic", "question", "expected_answer")]),

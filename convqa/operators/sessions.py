@@ -64,7 +64,7 @@ def build_quota(questions: DataFrame, sessions: int, size: int, seed: str | int,
     pool = questions.groupBy("language").agg(F.count(F.lit(1)).alias("__n"))
     if reuse:
         pool = pool.withColumn("__passes", F.expr(f"({wanted} + __n - 1) div __n"))
-        copies = questions.join(pool, "language").withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("__passes").cast("int"))))
+        copies = o.repeated(questions.join(pool, "language"), F.col("__passes"), "pass").withColumn("pass", (F.col("pass") + 1).cast("int"))
     else:
         copies = questions.join(pool, "language").withColumn("pass", F.lit(1))
     hashed = copies.withColumn("__h", o.seeded_hash(seed, "pass", "id"))
@@ -153,8 +153,7 @@ def reshuffle_turns(turns: DataFrame, seed: str | int) -> DataFrame:
 
 def repeat(sessions: DataFrame, times: int) -> DataFrame:
     """Every session ``times`` times; copies get ``#2`` .. and all of one cycle come before the next."""
-    cycle = F.explode(F.sequence(F.lit(1), F.lit(times)))
-    copies = sessions.withColumn("cycle", cycle)
+    copies = o.repeated(sessions, F.lit(times), "cycle").withColumn("cycle", (F.col("cycle") + 1).cast("int"))
     suffix = F.when(F.col("cycle") == 1, "").otherwise(F.concat(F.lit("#"), F.col("cycle").cast("string")))
     return copies.withColumn("session_id", F.concat("session_id", suffix))
 
@@ -168,9 +167,7 @@ def recycle(sessions: DataFrame, order: str, targets: dict[str, int], block: Col
     target = F.create_map(*[F.lit(x) for kv in targets.items() for x in kv])
     counted = counted.withColumn("__target", target[F.col("language")]).where(F.col("__target").isNotNull())
     ranked = o.ordinal(sessions, ["language"], [order], "__rn", block if block is not None else o.blocks_of(order))
-    copies = ranked.join(counted, "language").withColumn("cycle", F.explode(
-        F.sequence(F.lit(1), F.expr("greatest((__target + __n - 1) div __n, 1)").cast("int"))
-    ))
+    copies = o.repeated(ranked.join(counted, "language"), F.expr("greatest((__target + __n - 1) div __n, 1)"), "cycle").withColumn("cycle", (F.col("cycle") + 1).cast("int"))
     copies = copies.withColumn("call_no", (F.col("cycle") - 1) * F.col("__n") + F.col("__rn"))
     return copies.where(F.col("call_no") <= F.col("__target")).drop("__n", "__target", "__rn")
 

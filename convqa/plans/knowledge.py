@@ -538,7 +538,7 @@ def _(spark, d):
         F.when(F.col("doc_id") % 3 == 0, "what ???").otherwise(F.col("text")).alias("question"))
     step = lambda n, s: F.struct(F.lit(n).alias("step_n"), s.alias("stimulus"), (F.col("expected_answer") if n == 1 else F.lit("x")).alias("expected_answer"), F.array(F.lit("c")).alias("chunk_ids"))
     q = q.withColumn("steps", F.when(F.col("mode") == "incremental", F.array(step(1, F.col("question")), step(2, F.lit("")))))
-    return quality.validate_flows(q)
+    return quality.validate_flows(q, limit=8)
 
 
 @query("l7_grounding_rules", """WITH r AS (SELECT doc_id AS id, split_part(text, chr(10), 1) AS question, text || ' 77' AS answer, text AS document, CASE WHEN doc_id % 4 = 0 THEN upper(substr(text, 1, 30)) || '#' ELSE substr(text, 1, 200) END AS src FROM documents),
