@@ -8,10 +8,10 @@ counts are summed. Texts with equal sets are one class from the start.
 No group of texts is paired off. In a prefix list the ``leaders`` most central texts (fewest rarer shingles before the
 common one) meet all others. What a list still holds in different components after that is settled in rounds: texts
 outside the list's largest component meet all texts of other components, until every list lies in one component or is
-used up. A text whose shingles are mostly its own cannot reach the threshold and leaves a list before. So each link
+used up. So each link
 between different texts is either found or lies inside a component that is already joined.
 
-Before sets are compared, bit sketches of the candidates (a bit per shingle, eight bits of room for each) rule out most pairs that
+Before sets are compared, bit sketches of the candidates (a bit per shingle, sixteen bits of room for each) rule out most pairs that
 miss the threshold; they never rule out a link.
 
 Frequencies steer the order only: shingles repeated within a chunk of a task's texts are summed over all texts, and the
@@ -38,8 +38,9 @@ from convqa.session import materialize, scratch_path
 
 FREQUENT = 1 << 20
 CHUNK = 2_000_000
+LATER_LEADERS = 1024
 TEXT_BYTES = 1 << 20  # texts hashed at a time; the arrays made of them take some hundred times as much
-FRAGMENT_BITS = 2
+FRAGMENT_BITS = 1
 ROW = "kind int, a long, b long, c long, d long"
 
 
@@ -188,7 +189,7 @@ def _fragments(docs: DataFrame, words: int, ids: DataFrame) -> DataFrame:
 
 
 def _sketches(docs: DataFrame, words: int, ids: DataFrame) -> DataFrame:
-    """key, bits: eight bits or more per shingle, one of them set by each, of the texts whose ids may be among ``ids``."""
+    """key, bits: sixteen bits or more per shingle, one of them set by each, of the texts whose ids may be among ``ids``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in small_batches(batches, 1, TEXT_BYTES):
@@ -196,7 +197,7 @@ def _sketches(docs: DataFrame, words: int, ids: DataFrame) -> DataFrame:
             blobs = []
             for k in range(part.num_rows):
                 own = code[begins[k]:begins[k + 1]]
-                size = 1 << max(6, int(8 * len(own) - 1).bit_length())
+                size = 1 << max(6, int(16 * len(own) - 1).bit_length())
                 bits = np.zeros(size, bool)
                 bits[(own & np.uint64(size - 1)).astype(np.int64)] = True
                 blobs.append(np.packbits(bits).tobytes())
@@ -257,35 +258,41 @@ def _links(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
     return total.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
-def _shared_counts(open_rows: DataFrame, fragments: DataFrame) -> DataFrame:
-    """key, shared: how many of a text's shingles another open text has as well."""
-    wanted = fragments.join(open_rows.select("key").distinct(), "key", "left_semi")
+def _later_round(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b, na, nb`` that the sketches do not rule out, of each list's leaders with all its rows of other components.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            arrays = [np.frombuffer(b, np.int64) for b in batch.column(1).to_pylist()]
-            if arrays:
-                keys = np.repeat(batch.column(0).to_numpy(), [len(x) for x in arrays])
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.concatenate(arrays))], names=["key", "code"])
-
-    codes = wanted.select("key", "codes").mapInArrow(run, "key long, code long")
+    ``rows``: token, lead, key, n, i, component, bits, tokens (all open lists of the text), sorted by token with leaders
+    first. A pair is looked at in the first list that both texts are in. One list's leaders are held at a time.
+    """
 
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Over rows sorted by code: those whose code a neighbour has too. The last row of a batch waits for the next one."""
-        key, code, met = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token, facts, bits, lists = None, np.zeros((0, 4), np.int64), [], []
         for batch in batches:
-            key, code = np.concatenate([key, batch.column(0).to_numpy()]), np.concatenate([code, batch.column(1).to_numpy()])
-            same = code[1:] == code[:-1]
-            hit = np.concatenate([met, np.zeros(len(code) - len(met), bool)])
-            hit[1:] |= same
-            hit[:-1] |= same
-            owners, n = np.unique(key[:-1][hit[:-1]], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(owners), pa.array(n.astype(np.int64))], names=["key", "shared"])
-            key, code, met = key[-1:], code[-1:], hit[-1:]
-        yield pa.RecordBatch.from_arrays([pa.array(key[met]), pa.array(np.ones(int(met.sum()), np.int64))], names=["key", "shared"])
-
-    sorted_codes = codes.repartition("code").sortWithinPartitions("code")
-    return sorted_codes.mapInArrow(shared, "key long, shared long").groupBy("key").agg(F.sum("shared").alias("shared"))
+            out: list[tuple[int, int, int, int]] = []
+            for t, lead, key, n, i, component, blob, tokens in zip(*[c.to_pylist() for c in batch.columns]):
+                if t != token:
+                    token, facts, bits, lists = t, np.zeros((0, 4), np.int64), [], []
+                own = np.frombuffer(blob, np.uint8)
+                near = np.flatnonzero((facts[:, 3] != component) & may_link(facts[:, 1], facts[:, 2], n, i, percent)) if len(facts) else ()
+                for size in {len(bits[k]) for k in near}:
+                    at = [k for k in near if len(bits[k]) == size]
+                    least = min(size, len(own))
+                    mine = _folded(own, least)
+                    theirs = np.stack([_folded(bits[k], least) for k in at])
+                    most = np.minimum(n - _ONES[mine & ~theirs].sum(axis=1, dtype=np.int64), facts[at, 1] - _ONES[theirs & ~mine].sum(axis=1, dtype=np.int64))
+                    for k in np.asarray(at)[100 * most >= percent * (n + facts[at, 1] - most)]:
+                        if min(lists[k].intersection(tokens)) == t:
+                            other = (int(facts[k, 0]), int(facts[k, 1]))
+                            (x, nx), (y, ny) = sorted([other, (key, n)])
+                            out.append((x, y, nx, ny))
+                if lead:
+                    facts = np.vstack([facts, [[key, n, i, component]]])
+                    bits.append(own)
+                    lists.append(frozenset(tokens))
+            made = np.array(out, np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([pa.array(made[:, k]) for k in range(4)], names=["a", "b", "na", "nb"])
+
+    return rows.mapInArrow(run, "a long, b long, na long, nb long")
 
 
 def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, percent: int = 85, leaders: int = 8) -> DataFrame:
@@ -329,43 +336,37 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     rest = as_classes(raw_open.select(F.col("a").alias("token"), F.col("b").alias("key"), F.col("c").alias("packed")), "key").distinct()
     rest = materialize(rest.select("token", "key", size.alias("n"), place.alias("i")), "open")
     def ids_of(some: DataFrame) -> DataFrame:
-        return some.select(F.col("a").alias("key")).union(some.select(F.col("b").alias("key"))).union(rest.select("key")).distinct()
+        return some.select(F.col("a").alias("key")).union(some.select(F.col("b").alias("key"))).distinct()
 
-    sketches = materialize(_sketches(usable, words, ids_of(pairs)).join(copies, "key", "left_anti"), "sketches")
+    sketches = materialize(_sketches(usable, words, ids_of(pairs).union(rest.select("key")).distinct()).join(copies, "key", "left_anti"), "sketches")
     pairs = materialize(_possible(pairs, sketches, percent), "pairs")
-    ids = ids_of(pairs)
-    fragments = materialize(_fragments(usable, words, ids).join(copies, "key", "left_anti"), "fragments")
+    fragments = _fragments(usable, words, ids_of(pairs)).join(copies, "key", "left_anti")
     links = materialize(_links(pairs, fragments, percent), "links")
     labels = materialize(components(links), "labels")
 
-    rounds = 0
     while True:
         named = rest.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
         split = named.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
         named = materialize(named.join(split, "token", "left_semi"), "open")
         if named.isEmpty():
             break
-        if not rounds:
-            shared = _shared_counts(named, fragments)
-            named = named.join(shared, "key", "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
-            named = materialize(named.where(100 * F.col("shared") >= percent * F.col("n")), "open")
         per = named.groupBy("token", "component").agg(F.count("*").alias("members"))
         largest = per.groupBy("token").agg(F.max_by("component", F.struct("members", "component")).alias("largest"))
-        outside = named.join(largest, "token").where(F.col("component") != F.col("largest"))
+        outside = named.join(largest, "token").where(F.col("component") != F.col("largest")).select("token", "key", "n", "i")
         first = F.row_number().over(Window.partitionBy("token").orderBy(F.col("i") / F.col("n"), "key"))
-        lead = materialize(outside.withColumn("__r", first).where(F.col("__r") <= leaders << (rounds + 1)).select("token", "key", "n", "i", "shared", "component"), "leaders")
-        other = lead.select("token", *[F.col(c).alias(f"l_{c}") for c in ("key", "n", "i", "shared", "component")])
-        need = F.ceil(percent * (F.col("n") + F.col("l_n")) / (100 + percent))
-        bound = F.least(F.least("i", "l_i") + 1 + F.least(F.col("n") - F.col("i") - 1, F.col("l_n") - F.col("l_i") - 1), "shared", "l_shared")
-        near = 100 * F.least("n", "l_n") >= percent * F.greatest("n", "l_n")
-        met = named.join(other, "token").where((F.col("component") != F.col("l_component")) & near & (bound >= need))
-        more = materialize(ordered_pairs(met.select(F.col("key").alias("a"), F.col("l_key").alias("b"), F.col("n").alias("na"), F.col("l_n").alias("nb"))), "pairs")
-        found = materialize(_links(materialize(_possible(more, sketches, percent), "pairs"), fragments, percent), "links")
+        lead = materialize(outside.withColumn("__r", first).where(F.col("__r") <= LATER_LEADERS).select("token", "key", F.lit(True).alias("lead")), "leaders")
+        lists = named.groupBy("key").agg(F.sort_array(F.collect_set("token")).alias("tokens"))  # no longer than a text's prefix
+        shown = named.join(lead, ["token", "key"], "left").join(sketches.dropDuplicates(["key"]), "key").join(lists, "key")
+        rows = shown.select("token", F.coalesce("lead", F.lit(False)).alias("lead"), "key", "n", "i", "component", "bits", "tokens")
+        ordered = rows.repartition("token").sortWithinPartitions("token", F.desc("lead"), F.col("i") / F.col("n"), "key")
+        more = materialize(_later_round(ordered, percent).distinct(), "pairs")
         rest = named.drop("component").join(lead.select("token", "key"), ["token", "key"], "left_anti")
+        if more.isEmpty():
+            continue
+        found = materialize(_links(more, _fragments(usable, words, ids_of(more)).join(copies, "key", "left_anti"), percent), "links")
         if not found.isEmpty():
             links = links.union(found)
             labels = materialize(components(links), "labels")
-        rounds += 1
 
     joined = sizes.join(classes.select("s1", "s2", "n", "rep"), ["s1", "s2", "n"], "left")
     joined = joined.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
