@@ -75,7 +75,7 @@ def source_targets(sized: DataFrame, cycle: Sequence[float] = (1.0, 2.0, 3.0), s
 
 
 def mix(docs: DataFrame, key: str = "doc_id", size: Column | None = None, quality: Column | None = None, seed: int = 7,
-        cycle: Sequence[float] = (1.0, 2.0, 3.0), share: float = 1.0, stop: float = 3.0, bucket_docs: int = 20_000) -> DataFrame:
+        cycle: Sequence[float] = (1.0, 2.0, 3.0), share: float = 1.0, stop: float = 3.0, bucket_docs: int = 5_000) -> DataFrame:
     """One row per document: ``key, source, size, source_size, target, copies, taken``.
 
     ``copies`` is how often the whole document is read; ``taken = copies * size``. The document that crosses the budget is
