@@ -14,6 +14,8 @@ other columns pass through.
 from __future__ import annotations
 
 import array
+import functools
+import re
 from collections.abc import Callable, Iterable
 
 import ahocorasick
@@ -27,7 +29,7 @@ from convqa.llm.arrow import add_columns
 
 SPACE = "▁"
 NORMAL, BYTE, CONTROL = 1, 6, 3
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 
 class PieceCoder:
@@ -45,10 +47,15 @@ class PieceCoder:
             self.automaton.add_word(p, (len(p), i))
         self.automaton.make_automaton()
         self.pairs: dict[tuple[int, int], bool] = {}
+        # chunks met lately, and those met before them
         self.chunks: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}
+        self.unknown = re.compile("[^" + "".join(re.escape(p) for p in self.ids if len(p) == 1) + "]")
 
     @staticmethod
+    @functools.lru_cache(maxsize=2)
     def load(path: str) -> PieceCoder:
+        """Coder of a model file; a worker process keeps it, with what it remembers, from task to task."""
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         model = pb.ModelProto()
@@ -60,13 +67,16 @@ class PieceCoder:
 
     def merged(self, text: str) -> list[str]:
         """Pieces left after joining neighbours, best score first and leftmost among equals."""
-        parts = list(text)
-        while len(parts) > 1:
-            best = max(((self.scores.get(parts[k] + parts[k + 1], -np.inf), -k) for k in range(len(parts) - 1)))
-            if best[0] == -np.inf:
-                break
-            k = -best[1]
+        parts, score, none = list(text), self.scores.get, float("-inf")
+        gains = [score(a + b, none) for a, b in zip(parts, parts[1:])]
+        while gains and (best := max(gains)) > none:
+            k = gains.index(best)
             parts[k:k + 2] = [parts[k] + parts[k + 1]]
+            del gains[k]
+            if k < len(gains):
+                gains[k] = score(parts[k] + parts[k + 1], none)
+            if k:
+                gains[k - 1] = score(parts[k - 1] + parts[k], none)
         return parts
 
     def fits(self, left: int, right: int) -> bool:
@@ -75,7 +85,7 @@ class PieceCoder:
         if known is None:
             parts = [self.texts[right]] if left < 0 else [self.texts[left], self.texts[right]]
             known = self.merged("".join(parts)) == parts
-            if len(self.pairs) > 4 * REMEMBERED:
+            if len(self.pairs) > 3 * REMEMBERED:
                 self.pairs.clear()
             self.pairs[left, right] = known
         return known
@@ -110,12 +120,11 @@ class PieceCoder:
     def encode_chunk(self, chunk: str) -> list[int]:
         out: list[int] = []
         start = 0
-        for k, ch in enumerate(chunk):
-            if ch not in self.ids:
-                if start < k:
-                    out += self._known_run(chunk[start:k])
-                out += [self.byte_ids[b] for b in ch.encode()]
-                start = k + 1
+        for found in self.unknown.finditer(chunk):
+            if start < found.start():
+                out += self._known_run(chunk[start:found.start()])
+            out += [self.byte_ids[b] for b in found[0].encode()]
+            start = found.end()
         if start < len(chunk):
             out += self._known_run(chunk[start:])
         return out
@@ -134,11 +143,13 @@ class PieceCoder:
         return out + [" " * (spaces - 1)] if spaces else out
 
     def _of(self, chunk: str) -> tuple[bytes, str]:
-        ids = self.encode_chunk(SPACE + chunk.replace(" ", SPACE))
-        made = array.array("i", ids).tobytes(), self.surface(ids)
+        made = self.older.get(chunk)
+        if made is None:
+            ids = self.encode_chunk(SPACE + chunk.replace(" ", SPACE))
+            made = array.array("i", ids).tobytes(), self.surface(ids)
         if len(chunk) < 64:
             if len(self.chunks) >= REMEMBERED:
-                self.chunks.clear()
+                self.older, self.chunks = self.chunks, {}
             self.chunks[chunk] = made
         return made
 
