@@ -171,9 +171,10 @@ def _first_round(rows: DataFrame, percent: int, leaders: int) -> DataFrame:
 def _fragments(docs: DataFrame, words: int, ids: DataFrame) -> DataFrame:
     """key, fragment, codes (packed sorted numbers) of the texts whose ids may be among ``ids``."""
     shift = np.uint64(64 - FRAGMENT_BITS)
+    table = docs.sparkSession.sparkContext.broadcast(bloom.of_ids(ids, "key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in small_batches(batches, 1, TEXT_BYTES):
+        for part in small_batches((bloom.hits(b, table.value) for b in batches), 1, TEXT_BYTES):
             code, begins = shingles.sets_of(part.column(1), words)
             keys, frags, blobs = [], [], []
             for k, key in enumerate(part.column(0).to_pylist()):
@@ -185,14 +186,15 @@ def _fragments(docs: DataFrame, words: int, ids: DataFrame) -> DataFrame:
                     blobs.append(own[cuts[f]:cuts[f + 1]].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(frags, pa.int32()), pa.array(blobs, pa.binary())], names=["key", "frag", "codes"])
 
-    return bloom.maybe(docs, ids, "key").mapInArrow(run, "key long, frag int, codes binary")
+    return bloom.hashed(docs, "key").mapInArrow(run, "key long, frag int, codes binary")
 
 
 def _sketches(docs: DataFrame, words: int, ids: DataFrame) -> DataFrame:
     """key, bits: sixteen bits or more per shingle, one of them set by each, of the texts whose ids may be among ``ids``."""
+    table = docs.sparkSession.sparkContext.broadcast(bloom.of_ids(ids, "key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in small_batches(batches, 1, TEXT_BYTES):
+        for part in small_batches((bloom.hits(b, table.value) for b in batches), 1, TEXT_BYTES):
             code, begins = shingles.sets_of(part.column(1), words)
             blobs = []
             for k in range(part.num_rows):
@@ -203,7 +205,7 @@ def _sketches(docs: DataFrame, words: int, ids: DataFrame) -> DataFrame:
                 blobs.append(np.packbits(bits).tobytes())
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(blobs, pa.binary())], names=["key", "bits"])
 
-    return bloom.maybe(docs, ids, "key").mapInArrow(run, "key long, bits binary")
+    return bloom.hashed(docs, "key").mapInArrow(run, "key long, bits binary")
 
 
 _ONES = np.array([bin(b).count("1") for b in range(256)], np.uint8)
