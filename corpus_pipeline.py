@@ -24,9 +24,18 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked texts, the one with the smallest id; a row without an id stays."""
-    groups = jaccard_join.linked(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group of linked texts, the one with the smallest id; of equal ids the one with the smallest text hash.
+
+    Texts link from similarity 0.8 over 5-word shingles on. Rows are told apart by a number of their own, so rows without
+    an id or with the same id are compared like all others; an id comes last only when it is null.
+    """
+    keyed = materialize(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("__row")), "rows")
+    groups = jaccard_join.linked(keyed, key="__row", words=5, percent=80).select("__row", "component_id")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text").alias("hash"), "__row")
+    placed = materialize(groups.join(keyed.select("__row", place.alias("place")), "__row"), "places")
+    first = placed.groupBy("component_id").agg(F.min("place").alias("first"), F.count("*").alias("members")).where("members > 1")
+    lost = placed.join(first, "component_id").where(F.col("place.__row") != F.col("first.__row")).select("__row")
+    return keyed.join(lost, "__row", "left_anti").select(*COLUMNS)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

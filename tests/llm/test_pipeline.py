@@ -1,5 +1,6 @@
 """The pipeline's rows against a plain model built from the operators' own contracts."""
 
+import random
 from collections import defaultdict
 
 import public_tokenizers
@@ -44,3 +45,29 @@ def test_stages_on_odd_rows(spark):
             docs = stage(spark, docs, SF)
             assert docs.columns == list(corpus_pipeline.COLUMNS)
         assert corpus_pipeline.pieces(spark, docs, SF).count() >= 0
+
+
+def test_near_copies_at_80_percent_of_5_words(spark):
+    rng = random.Random(4)
+    rows = []
+    for k, more in enumerate((85, 90, 96, 104, 120)):
+        base = [f"w{k}x{i}" for i in range(400)]
+        rows += [(10 * k, " ".join(base)), (10 * k + 1, " ".join(base + [f"y{k}x{i}" for i in range(more)]))]
+    for k in range(100, 160):
+        words = [f"z{k // 4}x{i}" for i in range(rng.choice([40, 200]))]
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(len(words))] = f"q{k}"
+        rows.append((k, " ".join(words)))
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, docs, SF).collect())
+    assert got == sorted(k for k, (_, first) in plain(rows, words=5, percent=80).items() if k == first)
+    assert not {1, 11, 21} & set(got) and 41 in got
+
+
+def test_near_copies_without_or_with_equal_ids(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(50)) for c in "abc")
+    rows = [(1, one), (2, two), (2, one + " more"), (3, three), (3, three), (None, three), (None, two + " more"), (None, "alone " * 3), (None, None), (4, None), (4, "")]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, docs, SF).collect()]
+    want = [(1, one), (2, two), (3, three), (None, "alone " * 3), (None, None), (4, None), (4, "")]
+    assert sorted(got, key=str) == sorted(want, key=str)
