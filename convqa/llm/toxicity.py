@@ -1,10 +1,11 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are words and, for longer words, their first four to seven bytes (compounds share them); each is a 64-bit hash number, and a
-text is the set of its terms. A bounded labelled sample gives the terms that speak for or against the label (signed root
-of the likelihood ratio), at most ``max_terms`` of them; on these, weights and pairwise factors are fitted by AdaGrad, so that terms that matter only
-together (an insult and the mention of a group) count by their product. Scores are calibrated on a part of the sample that
-was kept back. Whole texts are scored inside Arrow batches; nothing is shuffled.
+text is the set of its terms. Every term that enough documents of a bounded labelled sample hold enters the machine, whatever its share
+of labels, with a weight and pairwise factors fitted by AdaGrad (weights and factors that do not help shrink to zero), so that terms that
+matter only together (an insult and the mention of a group that is as common elsewhere) count by their product, and terms may speak
+against the label. Scores are calibrated on a part of the sample that was kept back. Whole texts are scored inside Arrow
+batches; nothing is shuffled.
 
 Defined results: null and empty texts get the score of a text without terms; without any label, or with one class only, every score
 is 0. Other columns pass through.
@@ -37,15 +38,16 @@ class Machine:
     slope: float
     shift: float
 
-    def score(self, x: np.ndarray) -> np.ndarray:
-        z = self.slope * raw_score(x, self.weights, self.factors, self.bias) + self.shift
+    def score(self, flat: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
+        z = self.slope * raw_score(flat, doc, docs, self.weights, self.factors, self.bias)[0] + self.shift
         return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
-def raw_score(x: np.ndarray, w: np.ndarray, v: np.ndarray, bias: float) -> np.ndarray:
-    """Linear part and the sum over pairs of factor products."""
-    s = x @ v
-    return bias + x @ w + 0.5 * ((s * s).sum(axis=1) - (x * x) @ (v * v).sum(axis=1))
+def raw_score(flat: np.ndarray, doc: np.ndarray, docs: int, w: np.ndarray, v: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarray]:
+    """Linear part and the sum over pairs of factor products, and the factor sums, of ``docs`` texts; ``flat`` are places of terms, once a text."""
+    add = lambda values: np.bincount(doc, weights=values, minlength=docs)
+    s = np.stack([add(v[flat, f]) for f in range(v.shape[1])], axis=1)
+    return bias + add(w[flat]) + 0.5 * ((s * s).sum(axis=1) - add((v * v).sum(axis=1)[flat])), s
 
 
 def term_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,44 +75,43 @@ def term_sets(column: pa.Array) -> list[np.ndarray]:
     return np.split(codes, np.searchsorted(docs, np.arange(1, len(offsets) - 1)))
 
 
-def fit(sets: list[np.ndarray], y: np.ndarray, prior: float, max_terms: int = 1500, min_docs: int = 4, least: float = 3.3, epochs: int = 30, seed: int = 3) -> Machine:
+def fit(sets: list[np.ndarray], y: np.ndarray, prior: float, min_docs: int = 4, epochs: int = 45, seed: int = 3, sparse: float = 4e-3, spread: float = 0.02) -> Machine:
     """``prior`` is the share of label 1 among all labelled rows; the sample may hold another share."""
     kept_back = np.arange(len(y)) % 5 == 4
     rows = np.flatnonzero(~kept_back)
-    all_terms = np.concatenate([sets[r] for r in rows])
-    hot = np.concatenate([np.full(len(sets[r]), y[r]) for r in rows])
-    terms, where, n = np.unique(all_terms, return_inverse=True, return_counts=True)
-    ones = np.bincount(where, weights=hot, minlength=len(terms))
+    # terms are chosen by how many documents hold them alone: a partner of a pair may be equally common in both classes
+    terms, n = np.unique(np.concatenate([sets[r] for r in rows]), return_counts=True)
+    terms = terms[n >= min_docs]
+    held_terms = []
+    for own in sets:
+        at = np.searchsorted(terms, own)
+        at[at == len(terms)] = 0
+        held_terms.append(at[terms[at] == own] if len(terms) else at[:0])
+
+    def flat_of(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lists = [held_terms[r] for r in part]
+        return np.concatenate(lists), np.repeat(np.arange(len(part)), [len(x) for x in lists])
+
     p0 = y[rows].mean()
-    p = np.clip(ones / n, 1e-6, 1 - 1e-6)
-    gain = 2 * n * (p * np.log(p / p0) + (1 - p) * np.log((1 - p) / (1 - p0)))
-    strength = np.sqrt(np.maximum(gain, 0))
-    # terms for the label, and pairs' partners that are merely common among labelled rows
-    useful = (n >= min_docs) & (strength >= least) & (p > p0)
-    keep = np.flatnonzero(useful)
-    keep = keep[np.argsort(-strength[keep], kind="stable")][:max_terms]
-    terms = np.sort(terms[keep])
-    x = np.zeros((len(y), len(terms)), np.float32)
-    for r, s in enumerate(sets):
-        if len(terms):
-            at = np.searchsorted(terms, s)
-            at[at == len(terms)] = 0
-            x[r, at[terms[at] == s]] = 1
     rng = np.random.default_rng(seed)
-    w, v, bias = np.zeros(len(terms)), rng.normal(0, 0.02, (len(terms), FACTORS)), float(np.log(p0 / (1 - p0)))
+    w, v, bias = np.zeros(len(terms)), rng.normal(0, spread, (len(terms), FACTORS)), float(np.log(p0 / (1 - p0)))
     gw, gv, gb = np.full_like(w, 1e-2), np.full_like(v, 1e-2), 1e-2
     for _ in range(epochs):
         for part in np.array_split(rng.permutation(rows), max(1, len(rows) // 64)):
-            xp = x[part].astype(np.float64)
-            s = xp @ v
-            z = bias + xp @ w + 0.5 * ((s * s).sum(axis=1) - xp @ (v * v).sum(axis=1))
+            flat, doc = flat_of(part)
+            z, s = raw_score(flat, doc, len(part), w, v, bias)
             e = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[part]) / len(part)
-            dw = xp.T @ e + 1e-5 * w
-            dv = xp.T @ (e[:, None] * s) - (xp.T @ e)[:, None] * v + 1e-4 * v
+            back = lambda values: np.bincount(flat, weights=values[doc], minlength=len(terms))  # noqa: B023, E731
+            dw = back(e)
+            dv = np.stack([back(e * s[:, f]) for f in range(FACTORS)], axis=1) - dw[:, None] * v + 1e-4 * v
             gw, gv, gb = gw + dw * dw, gv + dv * dv, gb + e.sum() ** 2
             w, v, bias = w - 0.3 * dw / np.sqrt(gw), v - 0.1 * dv / np.sqrt(gv), bias - 0.3 * e.sum() / np.sqrt(gb)
+            w = np.sign(w) * np.maximum(np.abs(w) - 0.3 * sparse / np.sqrt(gw), 0)
+            size = np.sqrt((v * v).sum(axis=1))
+            v *= np.maximum(1 - 0.1 * sparse / np.sqrt(gv.mean(axis=1)) / np.maximum(size, 1e-12), 0)[:, None]
     held = kept_back if kept_back.any() and 0 < y[kept_back].mean() < 1 else np.ones(len(y), bool)
-    z, t = raw_score(x[held].astype(np.float64), w, v, bias), y[held]
+    flat, doc = flat_of(np.flatnonzero(held))
+    z, t = raw_score(flat, doc, int(held.sum()), w, v, bias)[0], y[held]
     # kept-back rows weighted to the share that the label has among all labelled rows
     share = t.mean()
     cost = np.where(t == 1, prior / share, (1 - prior) / (1 - share))
@@ -161,13 +162,12 @@ def predict(docs: DataFrame, machine: Machine | None, text: str = "text", name:
                 return {name: pa.array(np.zeros(len(column)))}
             raw, offsets = text_bytes(column)
             codes, docs_of = term_spans(raw, offsets)
-            x = np.zeros((len(column), len(machine.terms)), np.float64)
-            if len(machine.terms):
-                at = np.searchsorted(machine.terms, codes)
-                at[at == len(machine.terms)] = 0
-                hit = machine.terms[at] == codes
-                x[docs_of[hit], at[hit]] = 1
-            return {name: pa.array(machine.score(x))}
+            size = len(machine.terms)
+            at = np.searchsorted(machine.terms, codes)
+            at[at == size] = 0
+            hit = machine.terms[at] == codes if size else np.zeros(len(codes), bool)
+            doc, flat = np.divmod(np.unique(docs_of[hit] * size + at[hit]), max(size, 1))  # each term once a text
+            return {name: pa.array(machine.score(flat, doc, len(column)))}
 
         return step
 

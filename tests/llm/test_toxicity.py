@@ -33,6 +33,20 @@ def test_pairs_beyond_sums(spark):
     assert got[3] > 0.7 and max(got[k] for k in (1, 2, 4, 5)) < 0.3
 
 
+def test_partner_as_common_in_both_classes(spark):
+    rng, rows = random.Random(1), []
+    for i in range(1200):
+        strong, weak, group = (rng.random() < 0.5 for _ in range(3))
+        words = ["plain"] * 5 + (["vermin"] if strong else []) + (["scum"] if weak else []) + (["martians"] if group else [])
+        rows.append((i, " ".join(words), int(strong if group else weak)))
+    share = [sum(y for _, t, y in rows if ("martians" in t) == g) / sum(("martians" in t) == g for _, t, _ in rows) for g in (True, False)]
+    assert abs(share[0] - share[1]) < 0.06
+    odd = spark.createDataFrame([(1, "plain vermin"), (2, "plain martians"), (3, "vermin martians"), (4, "plain scum"), (5, "scum martians")], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.predict(odd, machine(spark, rows)).collect()}
+    print(got)
+    assert got[3] > 0.7 and max(got[1], got[2]) < 0.3 and got[4] > got[5] + 0.3
+
+
 def test_edges(spark):
     schema = "doc_id long, text string, score string"
     odd = spark.createDataFrame([(1, None, "s"), (1, None, "s"), (None, "word " * 40_000, None)], schema)
