@@ -51,8 +51,8 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 
 @query("op5_quality_rules", QUALITY_SQL)
 def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality_rules.clean(table(spark, sf_dir, "documents"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return quality_rules.clean(table(spark, sf_dir, "documents"), made=counts).select("doc_id", *counts)
 
 
 @query("op2_sentencepiece")

@@ -7,11 +7,15 @@ arrays of their row, so one hot source or a very long text costs what its charac
 Defined results: a null text is treated as an empty one, gives zero counts, ``base_failed`` true and ``cleaned`` empty. Lines without a
 word are kept as they are and weigh nothing. Repeated rows each give their own row. Other columns of the input pass
 through :func:`clean` unchanged; its own working columns start with ``__`` and are dropped.
+
+The result of :func:`clean` leaves through ``explode`` of one struct. Spark moves no filter on a made column below that
+step, so ``clean(...).where("kept")`` works every text out once instead of copying the rules into the filter.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -128,11 +132,14 @@ def repeated_words(words: Column, placed: Column, window: int = 5) -> Column:
         lambda acc: acc["covered"]).cast("long")
 
 
-def clean(docs: DataFrame, text: str = "text", rules: LineRules | None = None) -> DataFrame:
-    """Input columns and ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_chars,
-    failed_lines (rule -> number), cleaned, kept``. Input columns of these names are replaced."""
+MADE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_chars", "failed_lines", "cleaned", "kept")
+
+
+def clean(docs: DataFrame, text: str = "text", rules: LineRules | None = None, made: Sequence[str] = MADE) -> DataFrame:
+    """Input columns and those of ``made``: ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_chars,
+    failed_lines (rule -> number), cleaned, kept``. Input columns of these names are replaced. What ``made`` leaves out is not worked out."""
     rules = rules or LineRules()
-    own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_chars", "failed_lines", "cleaned", "kept"]
+    own = MADE
     keep = [F.col(f"`{c}`") for c in docs.columns if c not in own]
     t = F.coalesce(F.col(text), F.lit(""))
     # Each step is a projection of its own, so that what several columns ask of it is worked out once.
@@ -152,5 +159,7 @@ def clean(docs: DataFrame, text: str = "text", rules: LineRules | None = None) -
         F.map_from_arrays(names, F.transform(names, lambda name: F.size(F.filter("__failed", lambda x: x["rule"] == name)))).alias("failed_lines"),
         F.array_join(F.transform(F.filter("__judged", lambda x: x["rule"].isNull()), lambda x: x["line"]), "\n").alias("cleaned"))
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return measured.withColumn("base_failed", base).withColumn(
+    judged = measured.withColumn("base_failed", base).withColumn(
         "kept", ~F.col("base_failed") & (F.col("lost_chars") <= rules.lost_share * F.col("word_chars")))
+    packed = judged.select(*keep, F.explode(F.array(F.struct(*made))).alias("__row"))
+    return packed.select(*keep, *[F.col(f"__row.{c}").alias(c) for c in made])

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 from convqa.llm import quality_rules as q
 
@@ -51,3 +52,19 @@ def test_edges(spark):
     assert [r.kept for r in out] == [False, True, True, True, False] and out[1] == out[2] and out[3].n_words == 30_000
     assert out[0].cleaned == "" and out[1].cleaned == line and out[1].text.endswith("here")
     assert q.clean(df.limit(0)).count() == 0
+
+
+def splits(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("split(")
+
+
+def test_filter_does_not_copy_the_rules(spark):
+    """A filter on the verdict leaves the plan as it is, so one long text with repeated lines takes a moment, not minutes."""
+    text = "\n".join("Some plain words that make a line of good length here, ending well." for _ in range(8_000)) + "\n" + " ".join(f"w{k}" for k in range(40_000)) + "."
+    df = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    out = q.clean(df)
+    assert splits(out.where("kept")) == splits(out) < 8
+    start = time.perf_counter()
+    assert [r.doc_id for r in out.where("not kept").collect()] == [1, 2]
+    assert q.clean(df, made=("cleaned", "kept")).where("kept").columns == ["doc_id", "text", "cleaned", "kept"]
+    assert time.perf_counter() - start < 10
