@@ -5,11 +5,15 @@ weighted sample without replacement: each document draws the key -ln(u) / qualit
 and sizes are summed up until the budget is met. ``u`` comes from a hash of the document's id and a seed, so that a rerun
 takes the same documents.
 
-No source is ever sorted in one task: keys are cut into ranges of about ``bucket_docs`` documents (their number follows
-the source's count), range totals are summed per source, and only the ranges are ordered inside.
-
-Defined results: a null text has size 0; documents of size 0 are never taken; null is a source of its own, the last one; repeated rows
-are documents of their own when ``tie`` tells them apart and share a key otherwise.
+No source is ever sorted in one task: the table is sorted over sources and keys into ranges of about ``bucket_docs``
+documents whose limits Spark draws from the rows themselves, so neither a hot source nor low qualities, which crowd the
+high keys, make a range long; range totals are summed per source, and only the ranges are ordered inside.
+
+Defined results: a null text has size 0; documents of size 0 are never taken; null is a source of its own, the last one;
+an empty table gives none; a very long text is one document of its size. Rows without an id draw by their text. Rows of
+equal id share a draw and come in the order of size and text; those equal in all of it are documents of their own and
+exchangeable, and only ``row`` lets a range end between them. Other columns of the input are not carried on,
+so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -75,33 +79,43 @@ def source_targets(sized: DataFrame, cycle: Sequence[float] = (1.0, 2.0, 3.0), s
 
 
 def mix(docs: DataFrame, key: str = "doc_id", size: Column | None = None, quality: Column | None = None, seed: int = 7,
-        cycle: Sequence[float] = (1.0, 2.0, 3.0), share: float = 1.0, stop: float = 3.0, bucket_docs: int = 5_000) -> DataFrame:
+        cycle: Sequence[float] = (1.0, 2.0, 3.0), share: float = 1.0, stop: float = 3.0, bucket_docs: int = 50_000, row: str | None = None) -> DataFrame:
     """One row per document: ``key, source, size, source_size, target, copies, taken``.
 
     ``copies`` is how often the whole document is read; ``taken = copies * size``. The document that crosses the budget is
-    taken when that brings its source nearer to the target, and never more than ``stop`` times.
+    taken when that brings its source nearer to the target, and never more than ``stop`` times. ``row`` may name a column
+    that tells rows of equal ``key`` apart; it is carried to the result.
     """
+    spark = docs.sparkSession
     size = word_count(F.col("text")) if size is None else size
     quality = quality_weight(F.col("text")) if quality is None else quality
     # 52 bits of the hash give a number strictly between 0 and 1
-    u = (F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(seed)), 12).cast("double") + 0.5) / float(1 << 52)
-    sized = materialize(docs.select(F.col(key), "source", size.alias("size"), (-F.log(u) / quality).alias("draw"), F.col(key).cast("string").alias("tie")), "sized")
+    content = F.xxhash64("text") if "text" in docs.columns else F.lit(0).cast("long")
+    number = F.when(F.col(key).isNull(), F.xxhash64(content, F.lit(seed))).otherwise(F.xxhash64(F.col(key), F.lit(seed)))
+    u = (F.shiftrightunsigned(number, 12).cast("double") + 0.5) / float(1 << 52)
+    carried = [key] if row is None else [key, row]
+    ties = [F.col(key).cast("string").alias("tie"), content.alias("tie2")]
+    sized = materialize(docs.select(*[F.col(c) for c in carried], "source", size.alias("size"), (-F.log(u) / quality).alias("draw"), *ties), "sized")
     targets = materialize(source_targets(sized, cycle, share, stop), "targets")
+    rows = int(targets.agg(F.sum("source_docs")).first()[0] or 0)
+    order = ["draw", "tie", "size", "tie2", *carried[1:]]
+    # A range is one task's part of the sorted table, so neither a hot source nor a draw that many documents come near fills one.
+    parts = max(1, -(-rows // bucket_docs), int(spark.conf.get("spark.sql.shuffle.partitions")) if rows > bucket_docs else 1)
+    placed = materialize(sized.repartitionByRange(parts, "source", *order).withColumn("range", F.spark_partition_id()), "ranges")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     facts = targets.select(
-        F.col("source").alias("__source"), "source_size", "target", epochs.alias("epochs"), (F.col("target") - epochs * F.col("source_size")).alias("rest"),
-        F.ceil(F.col("source_docs") / bucket_docs).alias("ranges"))
-    # Sources are few beside documents; the join must not gather a hot source, so it is left to size-based planning and AQE's skew handling.
-    known = sized.join(facts, F.col("source").eqNullSafe(F.col("__source")))
-    placed = known.withColumn("range", F.floor((1 - F.exp(-F.col("draw"))) * F.col("ranges")).cast("long"))
+        F.col("source").alias("__source"), "source_size", "target", epochs.alias("epochs"), (F.col("target") - epochs * F.col("source_size")).alias("rest"))
     sums = placed.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     earlier = F.sum("range_size").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sums.select(F.col("source").alias("__s"), F.col("range").alias("__r"), F.coalesce(earlier, F.lit(0)).alias("before"))
-    with_start = placed.join(starts, F.col("source").eqNullSafe(F.col("__s")) & (F.col("range") == F.col("__r")))
-    inside = F.sum("size").over(Window.partitionBy("source", "range").orderBy("draw", "tie", key).rowsBetween(Window.unboundedPreceding, -1))
+    starts = sums.select("source", F.col("range").alias("__r"), F.coalesce(earlier, F.lit(0)).alias("before"))
+    known = starts.join(facts, F.col("source").eqNullSafe(F.col("__source"))).select(
+        F.col("source").alias("__s"), "__r", "before", "source_size", "target", "epochs", "rest")
+    # one row per source and range: small beside the documents, whose join with it is left to size-based planning and skew handling
+    with_start = placed.join(known, F.col("source").eqNullSafe(F.col("__s")) & (F.col("range") == F.col("__r")))
+    inside = F.sum("size").over(Window.partitionBy("source", "range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
     sofar = F.col("before") + F.coalesce(inside, F.lit(0))
     # whole documents: in while their middle lies below the rest of the budget
     fits = (F.col("size") > 0) & (F.col("epochs") < stop) & (2 * sofar + F.col("size") <= 2 * F.col("rest"))
     copies = F.when(F.col("size") > 0, F.col("epochs") + fits.cast("long")).otherwise(0)
     return with_start.select(
-        key, "source", "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+        *carried, "source", "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))

@@ -3,6 +3,9 @@
 import math
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
+from convqa import session
 from convqa.llm import mixing
 
 
@@ -67,3 +70,35 @@ def test_better_documents_come_first(spark):
     out = mixing.mix(spark.createDataFrame(text, "doc_id long, text string, source string"), cycle=(1.0, 3.0)).where("source = 's'").collect()
     good, bad = sum(r.copies for r in out if r.doc_id % 2), sum(r.copies for r in out if not r.doc_id % 2)
     assert good > 4 * bad
+
+
+def plain_taken(rows, targets, stop=3):
+    """Words taken of each row: whole epochs, then rows in draw order while their middle lies inside the budget."""
+    size, taken = defaultdict(int), {}
+    for _, _, n, source in rows:
+        size[source] += n
+    for s in size:
+        epochs = int(targets[s] // size[s]) if size[s] else 0
+        rest, sofar = targets[s] - epochs * size[s], 0
+        for draw, key, n, _ in sorted(r for r in rows if r[3] == s):
+            fits = n > 0 and epochs < stop and 2 * sofar + n <= 2 * rest
+            taken[key] = n * (epochs + fits)
+            sofar += n
+    return taken
+
+
+def test_selection_against_a_plain_model(spark):
+    df = spark.createDataFrame([r for r in rows() if r[2] is not None], "doc_id long, text string, source string, size string")
+    u = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(7)), 12).cast("double") + 0.5) / float(1 << 52)
+    known = df.select((-F.log(u) / mixing.quality_weight(F.col("text"))).alias("draw"), "doc_id", mixing.word_count(F.col("text")).alias("n"), "source")
+    got = mixing.mix(df, bucket_docs=40).collect()
+    want = plain_taken([tuple(r) for r in known.collect()], {r.source: r.target for r in got})
+    assert {r.doc_id: r.taken for r in got} == want
+
+
+def test_ranges_stay_even_with_low_quality(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_dir", lambda spark: str(tmp_path))
+    df = spark.createDataFrame([(i, "#" * 40 + " word", "s") for i in range(20_000)], "doc_id long, text string, source string")
+    mixing.mix(df, bucket_docs=200).count()
+    ranges = spark.read.parquet(str(next(tmp_path.glob("ranges-*"))))
+    assert ranges.groupBy("range").count().agg(F.max("count")).first()[0] < 1_000
