@@ -18,8 +18,12 @@ KEY = b"one key for the whole corpus"
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass, with their failing lines taken out; rows that would be left without a word go."""
-    judged = quality_rules.clean(docs).where("kept")
+    """Documents that pass, with their failing lines taken out; rows that would be left without a word go.
+
+    A null text has no word and goes; each of several equal rows is judged alike; an empty table stays one; columns beyond
+    those of documents are not carried on.
+    """
+    judged = quality_rules.clean(docs, made=("cleaned", "kept")).where("kept")
     return judged.select("doc_id", F.col("cleaned").alias("text"), "lang", "source", F.length("cleaned").cast("long").alias("n_chars"))
 
 
@@ -39,21 +43,25 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and secrets replaced within their format; a null text stays null with null characters, equal rows change alike."""
     hidden = pseudonyms.pseudonymize(docs, KEY)
     return hidden.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix reads it; repeated rows alike."""
-    mixed = mixing.mix(docs.select("doc_id", "source", "text")).where("copies > 0")
-    copies = mixed.groupBy("doc_id", F.col("source").alias("__source"), "size").agg(F.max("copies").alias("copies"))
-    same = docs["doc_id"].eqNullSafe(copies["doc_id"]) & docs["source"].eqNullSafe(copies["__source"]) & (mixing.word_count(docs["text"]) == copies["size"])
-    read = docs.join(copies, same).select(*[docs[c] for c in COLUMNS], F.explode(F.sequence(F.lit(1).cast("long"), copies["copies"])).alias("__epoch"))
+    """Each document as often as the mix reads it. Rows are told apart by a number of their own, so rows without an id or
+    with the same id are weighed and taken one by one."""
+    keyed = materialize(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("__row")), "rows")
+    copies = mixing.mix(keyed, row="__row").where("copies > 0").select("__row", "copies")
+    read = keyed.join(copies, "__row").select(*COLUMNS, F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("__epoch"))
     return read.select(*COLUMNS)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids closed by an end id, as training reads them, with their number and the digest of the decoded text."""
+    """Piece ids closed by an end id, as training reads them, with their number and the digest of the decoded text.
+
+    A null or empty text is the end id alone; every row is encoded, repeated ones too.
+    """
     coded = sentencepiece_bpe.encode(docs.select("doc_id", "source", "text"), public_tokenizers.path("piece_bpe_32k.model"))
     return coded.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
