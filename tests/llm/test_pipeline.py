@@ -18,7 +18,7 @@ def test_run(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     clean = {r.doc_id: r for r in corpus_pipeline.rules(spark, docs, SF).collect()}
     assert 0 < len(clean) <= docs.count()
-    groups = plain([(k, r.text) for k, r in clean.items()])
+    groups = plain([(k, r.text) for k, r in clean.items()], words=5, percent=80)
     left = {k: r for k, r in clean.items() if groups[k][1] == k}
     texts = {k: pseudonyms.replace_private(r.text, corpus_pipeline.KEY)[0] for k, r in left.items()}
     size = defaultdict(int)
@@ -71,3 +71,14 @@ def test_near_copies_without_or_with_equal_ids(spark):
     got = [(r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, docs, SF).collect()]
     want = [(1, one), (2, two), (3, three), (None, "alone " * 3), (None, None), (4, None), (4, "")]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_mix_of_rows_without_or_with_equal_ids(spark):
+    """Three rows in four have no id or the same one; each is taken on its own, so no source passes its target by more than a text."""
+    rows = [(None if k % 4 == 0 else 7 if k % 4 < 3 else k, f"word{k} and more words", "en", "ab"[k % 5 == 0], 1) for k in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    target = plain_targets({"a": 4 * 1600, "b": 4 * 400})
+    got = defaultdict(int)
+    for r in corpus_pipeline.mix(spark, docs, SF).collect():
+        got[r.source] += 4
+    assert all(abs(got[s] - target[s]) <= 2 for s in target)
