@@ -3,42 +3,24 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convqa.functions import text as tx
 from convqa.operators import ordered as o
 from convqa.operators import provenance
+from convqa.operators.alignment import align, overlap, stays
 
-# Fixed values of the alignment rule.
-FRAGMENT_FLOOR = 0.1
-TAIL_CHARS = 12
-TAIL_MARGIN = 0.15
-NOISE_CHARS = 8
-
+__all__ = ["Aligner", "align", "alignment_rows", "capture_answers", "choose_answers", "known_sessions", "played_order", "totals"]
 
 class Aligner:
-    """Moves through one session's questions as its turns arrive; holds only the questions still ahead.
-
-    The same state machine serves the batch form (rows sorted within a partition) and the stream form.
-    """
+    """Moves through one session's questions as its turns arrive, for streams; holds only the questions still ahead."""
 
     def __init__(self, ahead=(), pos: int = 0, opened: bool = False, text: str = "", answer: str | None = None):
         self.ahead = deque(ahead)  # (question words, expected words), current question first
         self.pos, self.opened, self.text, self.answer = pos, opened, text, answer
 
-    @staticmethod
-    def _score(words: set, question) -> float:
-        best = 0.0
-        for other in question:
-            smaller = min(len(words), len(other))
-            if smaller:
-                best = max(best, len(words & other) / smaller)
-        return best
-
     def question(self, question_words, expected_words) -> None:
         self.ahead.append((frozenset(question_words), frozenset(expected_words)))
 
@@ -53,18 +35,8 @@ class Aligner:
         if not self.opened:
             self.opened, self.text = True, text
             return None
-        if len(self.ahead) == 1:
-            fragment = True
-        else:
-            words = frozenset(words)
-            here, there = self._score(words, self.ahead[0]), self._score(words, self.ahead[1])
-            if self.answer is not None:
-                fragment = chars <= TAIL_CHARS and here >= there - TAIL_MARGIN
-            elif here < FRAGMENT_FLOOR and there < FRAGMENT_FLOOR:
-                fragment = chars <= NOISE_CHARS
-            else:
-                fragment = there <= here
-        if fragment:
+        words = frozenset(words)
+        if len(self.ahead) == 1 or stays(overlap(words, self.ahead[0]), overlap(words, self.ahead[1]), self.answer is not None, chars):
             if len(text) > len(self.text):
                 self.text = text
             return None
@@ -79,7 +51,7 @@ class Aligner:
 
 
 def alignment_rows(turns: DataFrame, order: DataFrame, questions: DataFrame, block_rows: int = o.DEFAULT_BLOCK_ROWS) -> DataFrame:
-    """Questions and turns of each session in one sequence.
+    """Questions and turns of each session in one sequence, for streams.
 
     After k customer utterances at most k questions are open, so question k is placed right before the
     k-th utterance and never has to wait in memory from the start of the session.
@@ -102,49 +74,6 @@ def alignment_rows(turns: DataFrame, order: DataFrame, questions: DataFrame, blo
     return question_rows.unionByName(turn_rows)
 
 
-def _align_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    session, state, out = None, Aligner(), []
-
-    def emit(done):
-        if done:
-            out.append((session, *done))
-
-    columns = ["session_id", "pos", "question", "answer"]
-    for batch in batches:
-        for row in batch.itertuples(index=False):
-            if row.session_id != session:
-                emit(state.current())
-                session, state = row.session_id, Aligner()
-            if row.kind == 0:
-                state.question(row.words, row.expected_words)
-            elif row.customer:
-                emit(state.customer(row.text, row.words, row.chars))
-            else:
-                state.reply(row.text)
-        if out:
-            yield pd.DataFrame(out, columns=columns)
-            out.clear()
-    emit(state.current())
-    if out:
-        yield pd.DataFrame(out, columns=columns)
-
-
-def align(turns: DataFrame, order: DataFrame, questions: DataFrame, block_rows: int = o.DEFAULT_BLOCK_ROWS) -> DataFrame:
-    """Assign customer utterances to the played questions by content and take the first reply to each.
-
-    The rule is a sequential state machine per session. Rows are sorted by Spark within partitions and
-    streamed through it in Arrow batches; the state is a few fields, so no session is held in memory.
-    Questions never reached stay empty. ``order``: ``session_id, pos, question_id``.
-    """
-    rows = alignment_rows(turns, order, questions, block_rows)
-    session_type = dict(turns.dtypes)["session_id"]
-    sequence = rows.repartition("session_id").sortWithinPartitions("session_id", "slot", "kind", "ord")
-    found = sequence.mapInPandas(_align_sorted, f"session_id {session_type}, pos bigint, question string, answer string")
-    return order.join(found, ["session_id", "pos"], "left").select(
-        "session_id", "pos", "question_id", F.coalesce("question", F.lit("")).alias("question"), "answer"
-    )
-
-
 def played_order(session_turns: DataFrame, checks: DataFrame, clips: DataFrame) -> DataFrame:
     """Question at each position of a run: from the checks if there is one per message, else from the
     staged clips if there is one per message, else as built. Adds ``order_source``.
