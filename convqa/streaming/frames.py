@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from convqa.config import CallConfig
+from convqa.operators import ordered as o
 from convqa.operators.capture import Aligner
+from convqa.streaming.reorder import in_order
 
 KEY = ["session_id", "send_no"]
 
@@ -124,6 +126,7 @@ def split_late(frames: DataFrame, closes: DataFrame) -> tuple[DataFrame, DataFra
 
 
 TURN_SCHEMA = "session_id {id}, send_no bigint, answer string, latency_ms bigint, closed_by string"
+PART_MS = 3_600_000  # frames of an hour are numbered together
 TURN_STATE = "send_no bigint, sent_ms bigint, phase string, deadline bigint, settle_end bigint, snapshot bigint, sentences array<string>, first_ms bigint"
 
 
@@ -209,61 +212,117 @@ def _run_clock(clock: TurnClock, rows, out: list, kinds: FrameKinds = FrameKinds
 
 
 def close_turns_batch(frames: DataFrame, config: CallConfig = CallConfig(), kinds: FrameKinds = FrameKinds()) -> DataFrame:
-    """Exact answer closing over a recorded log: rows sorted per session are streamed through the clock."""
+    """Exact answer closing over a recorded log.
+
+    A question's clock starts anew, so what closes its answer are the frames up to the next question and that question's
+    time. Rows are dealt by question, not by session, and streamed through the clock in order.
+    """
     ident = dict(frames.dtypes)["session_id"]
-    columns = ["session_id", "send_no", "answer", "latency_ms", "closed_by"]
+    fields = [f.split()[0] for f in TURN_SCHEMA.format(id=ident).split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        session, clock = None, TurnClock(config)
+        now, clock = None, TurnClock(config)
         for batch in batches:
             found: list = []
             for row in batch.itertuples(index=False):
-                out: list = []
-                if row.session_id != session:
+                if (row.session_id, row.part) != now:
                     last = clock.flush()
                     if last:
-                        found.append((session, *last))
-                    session, clock = row.session_id, TurnClock(config)
-                _run_clock(clock, [row], out, kinds)
-                found += [(session, *x) for x in out]
+                        found.append((now[0], *last))
+                    now, clock = (row.session_id, row.part), TurnClock(config)
+                out: list = []
+                if row.ends:
+                    done = clock.advance(row.at) or (None if clock.phase == "idle" else clock._close("next-send"))
+                    clock = TurnClock(config)
+                    out += [done] if done else []
+                else:
+                    _run_clock(clock, [row], out, kinds)
+                found += [(row.session_id, *x) for x in out]
             if found:
-                yield pd.DataFrame(found, columns=columns).astype({"latency_ms": "Int64"})
+                yield pd.DataFrame(found, columns=fields).astype({"latency_ms": "Int64"})
         last = clock.flush()
         if last:
-            yield pd.DataFrame([(session, *last)], columns=columns).astype({"latency_ms": "Int64"})
-
-    ordered = of_kinds(frames, ("send", *kinds.activity)).select("session_id", "at", "seq", "kind", "send_no", "sentence").repartition("session_id").sortWithinPartitions("session_id", "at", "seq")
+            yield pd.DataFrame([(now[0], *last)], columns=fields).astype({"latency_ms": "Int64"})
+
+    log = of_kinds(frames, ("send", *kinds.activity)).select("session_id", "at", "seq", "kind", "send_no", "sentence")
+    # the part of a frame is its question's place in the session; a question also ends the part before it
+    sends = F.when(F.col("kind") == "send", 1).otherwise(0)
+    parts = o.running_sum(log, ["session_id"], ["at", "seq"], sends, "part", o.blocks_of("at", PART_MS)).withColumn("ends", F.lit(False))
+    ends = parts.where("kind = 'send' and part > 1").withColumn("part", F.col("part") - 1).withColumn("ends", F.lit(True))
+    rows = parts.where("part > 0").unionByName(ends)
+    ordered = rows.repartition("session_id", "part").sortWithinPartitions("session_id", "part", "ends", "at", "seq")
     return ordered.mapInPandas(run, TURN_SCHEMA.format(id=ident))
 
 
+class ClockMachine:
+    """The closing rule over rows in event order: frames and sends move it, and so does event time alone."""
+
+    def __init__(self, config: CallConfig, kinds: FrameKinds, values=None):
+        self.clock, self.kinds = TurnClock(config, values), kinds
+
+    def take(self, row) -> list[tuple]:
+        out: list = []
+        _run_clock(self.clock, [row], out, self.kinds)
+        return out
+
+    def reach(self, ms: int) -> list[tuple]:
+        done = self.clock.advance(ms + 1)
+        return [done] if done else []
+
+    def due(self) -> int | None:
+        return self.clock.next_due()
+
+    def values(self) -> tuple | None:
+        return None if self.clock.phase == "idle" else self.clock.values()
+
+
 def close_turns_stream(frames: DataFrame, config: CallConfig = CallConfig(), kinds: FrameKinds = FrameKinds()) -> DataFrame:
-    """Stream form of the exact closing rule; a quiet session is closed by the watermark."""
+    """Stream form of the exact closing rule. Rows may come in any order within the watermark's delay; settle, confirm and
+    the limit of a waiting phase are event-time timers, and a session between two questions has no state."""
     ident = dict(frames.dtypes)["session_id"]
+    log = of_kinds(frames, ("send", *kinds.activity)).select("session_id", "at", "seq", "kind", "send_no", "sentence", "ts")
+    return in_order(log, "session_id", ["at", "seq"], lambda values: ClockMachine(config, kinds, values), TURN_STATE, TURN_SCHEMA.format(id=ident))
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        clock = TurnClock(config, state.get if state.exists else None)
-        out: list = []
-        if state.hasTimedOut:
-            done = clock.flush()
-            out += [done] if done else []
-            state.remove()
-        else:
-            rows = pd.concat(list(batches)).sort_values(["at", "seq"])
-            _run_clock(clock, rows.itertuples(index=False), out, kinds)
-            state.update(clock.values())
-            due = clock.next_due()
-            if due is not None:
-                # Both silence phases have to pass without a frame before the answer is final.
-                state.setTimeoutTimestamp(max(due + config.settle_ms + config.confirm_ms, state.getCurrentWatermarkMs() + 1))
-        if out:
-            yield pd.DataFrame([(key[0], *x) for x in out], columns=["session_id", "send_no", "answer", "latency_ms", "closed_by"]).astype({"latency_ms": "Int64"})
 
-    return of_kinds(frames, ("send", *kinds.activity)).groupBy("session_id").applyInPandasWithState(
-        step, TURN_SCHEMA.format(id=ident), TURN_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+class CarryMachine:
+    """The last seen file set of a session, until its ``end`` row."""
+
+    def __init__(self, values=None):
+        self.files = list(values[0]) if values else []
+        self.open = values is not None
+
+    def take(self, row) -> list[tuple]:
+        if row.ended:
+            self.files, self.open = [], False
+            return []
+        if row.saw is None or row.saw:
+            self.files = list(row.files) if row.files is not None else []
+        self.open = True
+        return [(row.turn, self.files)]
+
+    def reach(self, ms: int) -> list[tuple]:
+        return []
+
+    def due(self) -> int | None:
+        return None
+
+    def values(self) -> tuple | None:
+        return (self.files,) if self.open else None
+
+
+def carry_sources_in_order(turn_sources: DataFrame) -> DataFrame:
+    """Source carry-forward over ``session_id, turn, ts, files, saw, ended`` when files bring turns late or in another order.
+
+    Turns wait until the watermark has passed their time. A row with ``ended`` closes its session, whose state then goes.
+    """
+    ident = dict(turn_sources.dtypes)["session_id"]
+    rows = turn_sources.select("session_id", F.unix_millis("ts").alias("at"), "turn", "files", "saw", F.coalesce("ended", F.lit(False)).alias("ended"), "ts")
+    return in_order(rows, "session_id", ["at", "turn"], CarryMachine, "files array<string>", f"session_id {ident}, turn bigint, source_file_ids array<string>")
 
 
 def carry_sources_stream(turn_sources: DataFrame) -> DataFrame:
-    """Stream form of the source carry-forward: one small state per session (the last seen file set)."""
+    """Source carry-forward of a stream that keeps the order of turns and has no event time: one small state per session (the last
+    seen file set), for as long as the query runs. ``carry_sources_in_order`` reorders and forgets."""
     ident = dict(turn_sources.dtypes)["session_id"]
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
