@@ -11,8 +11,6 @@ from convqa.functions import text as tx
 from convqa.operators import kb
 from convqa.operators import ordered as o
 
-STEP = "struct<step_n:int,stimulus:string,expected_answer:string,chunk_ids:array<string>>"
-
 
 def source_key(ids: str | Column) -> Column:
     return F.array_join(F.array_sort(tx.col(ids)), ",")
@@ -66,28 +64,6 @@ def twins(questions: DataFrame) -> DataFrame:
         "pair_id", F.col("ar.id").alias("ar_id"), F.col("en.id").alias("en_id"), F.col("ar.question").alias("ar_question"), F.col("en.question").alias("en_question"))
 
 
-def regroup_records(records: DataFrame) -> DataFrame:
-    """Flat question records regrouped to flow scenarios by (sub topic, language, mode).
-
-    ``records``: ``ord, pair_id, language, topic, sub_topic, question, expected_answer, chunk_ids``.
-    Full answers are joined with blanks; step form keeps one step per record.
-    """
-    flow = F.coalesce(tx.blank_to_null("sub_topic"), tx.blank_to_null("topic"), F.lit("FLOW"))
-    mode = F.when(F.lower(F.coalesce("pair_id", F.lit(""))).contains("dump"), "full_dump").otherwise("incremental")
-    grouped = records.withColumn("flow_id", flow).withColumn("mode", mode).groupBy("flow_id", "language", "mode").agg(
-        F.array_sort(F.collect_list(F.struct("ord", "question", "expected_answer", F.coalesce("chunk_ids", F.array().cast("array<string>")).alias("chunk_ids")))).alias("items"))
-    short = F.when(F.col("mode") == "full_dump", "DUMP").otherwise("INC")
-    steps = F.transform("items", lambda x, i: F.struct(
-        (i + 1).alias("step_n"), x["question"].alias("stimulus"), x["expected_answer"].alias("expected_answer"), x["chunk_ids"].alias("chunk_ids")))
-    dump = F.col("mode") == "full_dump"
-    return grouped.select(
-        F.concat_ws("-", "flow_id", short, F.upper("language")).alias("id"), "flow_id", F.concat_ws("-", "flow_id", short).alias("pair_id"),
-        "mode", F.when(F.col("language") == "en", "en").otherwise("ar").alias("language"), F.element_at("items", 1)["question"].alias("question"),
-        F.when(dump, F.array_join(F.transform("items", lambda x: x["expected_answer"]), " ")).alias("expected_answer"),
-        F.when(~dump, steps).alias("steps"), F.col("flow_id").alias("sub_topic"),
-    )
-
-
 def merge_flows(scenarios: DataFrame) -> DataFrame:
     """Scenarios of many reply files by flow; the title is the first sub topic or the flow id in words."""
     flow = F.coalesce(tx.blank_to_null("flow_id"), tx.blank_to_null("id"), F.lit("UNKNOWN"))

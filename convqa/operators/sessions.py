@@ -176,27 +176,33 @@ def compose_flows(questions: DataFrame, first: Column | str, second: Column | st
                   plan: DataFrame, topic: str = "KnowledgeHub", name: str = "MultiFlow") -> DataFrame:
     """Sessions of all steps of one flow, all steps of a second, then the full answer of a third.
 
-    ``questions``: ``base, mode, language, step, id, question, expected_answer``;
-    ``plan``: one row per session, ``session_no`` and the three flow names.
-    A session is built for a language only when all three parts exist in it.
+    ``questions``: ``base, mode, language, step, id, question, expected_answer``, and ``part`` where an answer comes in pieces (then
+    the rows of one turn share its number); ``plan``: one row per session, ``session_no`` and the three flow names.
+    A session is built for a language only when all three parts exist in it. The questions of a flow are numbered once
+    for all its sessions; a session's turn is that number behind the lengths of the parts before it.
     """
+    pieces = questions if "part" in questions.columns else questions.withColumn("part", F.lit(1))
+    pieces = pieces.withColumn("step", F.col("step").cast("bigint"))
+    flow = ["base", "mode", "language"]
+    numbered = o.running_sum(pieces, flow, ["step", "part"], F.when(F.col("part") == 1, 1).otherwise(0).cast("bigint"), "__nth", o.blocks_of("step"))
+    lengths = numbered.groupBy(*flow).agg(F.max("__nth").alias("__len"))
     parts = plan.select("session_no", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("part"), tx.col(c).alias("base"), F.lit(mode).alias("mode"))
+        F.struct(F.lit(i).alias("__part"), tx.col(c).alias("base"), F.lit(mode).alias("mode"))
         for i, (c, mode) in enumerate(((first, "incremental"), (second, "incremental"), (third, "fulldump")))
-    ])).alias("p")).select("session_no", "p.*")
-    rows = parts.join(questions, ["base", "mode"])
-    complete = rows.groupBy("session_no", "language").agg(F.countDistinct("part").alias("__parts")).where("__parts = 3")
+    ])).alias("p")).select("session_no", "p.*").join(lengths, ["base", "mode"])
+    length = lambda i: F.max(F.when(F.col("__part") == i, F.col("__len"))).alias(f"__len{i}")
+    complete = parts.groupBy("session_no", "language").agg(*[length(i) for i in range(3)]).where("__len0 is not null and __len1 is not null and __len2 is not null")
     # Sessions are numbered in plan order with the languages of one plan row next to each other.
-    ids = o.ordinal(
-        complete.select("session_no", "language"), [], ["session_no", "language"], "number", o.blocks_of("session_no", 4096)
-    )
-    rows = rows.join(ids, ["session_no", "language"]).withColumn("__at", F.col("part") * F.lit(1 << 40) + F.col("step"))
-    turns = o.ordinal(rows, ["session_no", "language"], ["__at"], "turn", F.col("part").cast("bigint"))
-    return turns.select(
+    ids = o.ordinal(complete, [], ["session_no", "language"], "number", o.blocks_of("session_no", 4096))
+    before = F.when(F.col("__part") == 0, 0).when(F.col("__part") == 1, F.col("__len0")).otherwise(F.col("__len0") + F.col("__len1"))
+    placed = parts.join(ids, ["session_no", "language"]).select(*flow, "number", before.alias("__before"))
+    turns = placed.join(numbered, flow)
+    out = [
         session_id(F.lit(name), "language", F.col("number")).alias("session_id"), F.lit(f"{topic}/{name}").alias("subtopic"),
-        "language", "turn", F.col("id").alias("question_id"), "question", "expected_answer",
+        "language", (F.col("__before") + F.col("__nth")).alias("turn"), F.col("id").alias("question_id"), "question", "expected_answer",
         F.concat(F.lit("wav/"), "id", F.lit(".wav")).alias("audio_file"),
-    )
+    ]
+    return turns.select(*out, *(["part"] if "part" in questions.columns else []))
 
 
 def auto_flow_plan(questions: DataFrame, seed: str | int) -> DataFrame:
@@ -204,7 +210,8 @@ def auto_flow_plan(questions: DataFrame, seed: str | int) -> DataFrame:
 
     Flows lacking a step-by-step form cannot open a session. The third flow is the next one in the
     shuffled ring that has a full answer, so it differs from the pair, and from the third flow of
-    other sessions while enough flows are available.
+    other sessions while enough flows are available. A pair that holds every flow with a full answer
+    has no third flow and gives no session.
     """
     modes = questions.groupBy("base").agg(
         F.bool_or(F.col("mode") == "incremental").alias("__inc"), F.bool_or(F.col("mode") == "fulldump").alias("__dump")
@@ -215,7 +222,7 @@ def auto_flow_plan(questions: DataFrame, seed: str | int) -> DataFrame:
     ).where("__n = 2").drop("__n")
     dumps = shuffle(modes.where("__dump").select("base"), "base", f"{seed}-third", (), "__slot")
     total = modes.agg(F.count_if("__dump").alias("__total"))
-    # Three neighbouring ring slots always hold one flow outside the pair (given three flows with a full answer).
+    # Of three neighbouring ring slots one lies outside the pair, if any flow with a full answer does.
     ring = pairs.join(F.broadcast(total)).withColumn("__try", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     ring = ring.withColumn("__slot", F.expr("(session_no - 1 + __try) % __total + 1"))
     allowed = ring.join(dumps.withColumnRenamed("base", "third"), "__slot").where(

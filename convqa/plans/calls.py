@@ -286,7 +286,10 @@ def _(spark, d):
 CAPTURE = f"""{i.CAPTURED},
 st AS (SELECT session_id || CASE WHEN r.n = 1 THEN '' ELSE '#' || r.n END AS session_id, session_id AS base_id, turn, language, question_id, question, answer, expected_answer, latency_ms, first_audio_ms, CAST(substr(session_id, 2) AS BIGINT) AS c FROM captured, (SELECT unnest([1, 2]) AS n) r),
 src AS (SELECT *, CASE WHEN (c + turn) % 3 = 0 THEN 'f' || (c % 9) || '-' || turn WHEN (c + turn) % 3 = 1 AND turn > 3 THEN '' END AS seen FROM st),
-cf AS (SELECT *, coalesce(last_value(seen IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY turn), '') AS files FROM src)"""
+cf AS (SELECT *, coalesce(last_value(seen IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY turn), '') AS files FROM src),
+ct AS (SELECT *, CASE WHEN c % 2 = 0 THEN answer WHEN c % 6 = 3 THEN NULL WHEN turn % 3 <> 0 THEN upper(session_id) ELSE answer END AS got,
+  CASE WHEN c % 2 = 0 THEN answer IS NOT NULL OR turn % 5 = 1 WHEN c % 6 = 3 THEN turn % 2 = 0 ELSE turn % 3 <> 0 OR answer IS NOT NULL END AS ok,
+  CASE WHEN c % 2 = 0 THEN latency_ms + 7 WHEN c % 6 = 3 THEN turn * 10 ELSE latency_ms END AS waited, CASE WHEN c % 2 = 0 THEN first_audio_ms + 3 ELSE first_audio_ms END AS heard FROM cf)"""
 
 
 def _capture(spark, d):
@@ -308,23 +311,26 @@ def _capture(spark, d):
     sources = both.select("session_id", "turn", F.when((F.col("c") + F.col("turn")) % 3 == 0, F.array(F.concat(F.lit("f"), (F.col("c") % 9).cast("string"), F.lit("-"), "turn"))).otherwise(provenance.empty()).alias("files"),
                           ((F.col("c") + F.col("turn")) % 3 == 0) | (((F.col("c") + F.col("turn")) % 3 == 1) & (F.col("turn") > 3)))
     sources = sources.toDF("session_id", "turn", "files", "saw")
-    replies = exchanges.limit(0).select("session_id", F.col("exch").alias("ord"), F.lit(True).alias("responded"), F.lit(1).cast("bigint").alias("latency_ms"), F.lit(1).cast("bigint").alias("first_audio_ms"))
+    # the extract's replies: beside the exchanges, and alone where a call has no exchanges
+    alone = F.col("c") % 6 == 3
+    replies = both.where(responded | alone).select(
+        "session_id", F.col("turn").alias("ord"), F.when(responded, F.col("turn") % 5 == 1).otherwise(F.col("turn") % 2 == 0).alias("responded"),
+        F.when(responded, F.col("latency_ms") + 7).otherwise(F.col("turn") * 10).alias("latency_ms"), F.when(responded, F.col("first_audio_ms") + 3).alias("first_audio_ms"))
     questions = cap.groupBy(F.col("question_id").alias("id")).agg(F.min("question").alias("question"), F.min("expected_answer").alias("expected_answer")).withColumn("source_chunks", F.array("question"))
     return capture.capture_answers(
         results.unionByName(unknown), turns, questions, checks=checks, exchanges=exchanges.unionByName(greeting), replies=replies, turn_sources=sources, aligned=aligned, order=order)
 
 
 @query("d2_capture_answers", f"""WITH {CAPTURE}, q AS (SELECT question_id, min(question) AS question, min(expected_answer) AS expected_answer FROM captured GROUP BY 1)
-SELECT cf.session_id, language, 'https://app.test/en/agents/a1/conversations/C' || c AS call_url, turn, cf.question_id, q.question, q.expected_answer,
-  CASE WHEN c % 2 = 0 THEN answer WHEN turn % 3 <> 0 THEN upper(cf.session_id) ELSE answer END AS answer, CASE WHEN c % 2 = 0 THEN answer IS NOT NULL ELSE turn % 3 <> 0 OR answer IS NOT NULL END AS answered,
-  files AS source_file_ids, latency_ms, first_audio_ms FROM cf JOIN q USING (question_id)""")
+SELECT ct.session_id, language, 'https://app.test/en/agents/a1/conversations/C' || c AS call_url, turn, ct.question_id, q.question, q.expected_answer,
+  got AS answer, ok AS answered, files AS source_file_ids, waited AS latency_ms, heard AS first_audio_ms FROM ct JOIN q USING (question_id)""")
 def _(spark, d):
     c = _capture(spark, d)
     return c.select("session_id", "language", "call_url", "turn", "question_id", "question", "expected_answer", "answer", "answered", F.array_join("source_file_ids", ",").alias("source_file_ids"), "latency_ms", "first_audio_ms")
 
 
-@query("e3_capture_totals", f"""WITH {CAPTURE}, a AS (SELECT *, CASE WHEN c % 2 = 0 THEN answer IS NOT NULL ELSE turn % 3 <> 0 OR answer IS NOT NULL END AS ok FROM cf)
-SELECT count(*) AS total_turns, count(*) FILTER (WHERE ok) AS answered, count(*) FILTER (WHERE NOT ok) AS unanswered, CAST(floor(avg(latency_ms) + 0.5) AS BIGINT) AS avg_latency_ms, CAST(floor(avg(first_audio_ms) + 0.5) AS BIGINT) AS avg_first_audio_ms FROM a""")
+@query("e3_capture_totals", f"""WITH {CAPTURE}
+SELECT count(*) AS total_turns, count(*) FILTER (WHERE ok) AS answered, count(*) FILTER (WHERE NOT ok) AS unanswered, CAST(floor(avg(waited) + 0.5) AS BIGINT) AS avg_latency_ms, CAST(floor(avg(heard) + 0.5) AS BIGINT) AS avg_first_audio_ms FROM ct""")
 def _(spark, d):
     return capture.totals(_capture(spark, d))
 
@@ -536,10 +542,76 @@ def _(spark, d):
     return a.select("session_id", "send_no", tx.epoch_ms("first_frame").alias("first_frame"), tx.epoch_ms("last_frame").alias("last_frame"), "answer", "frames")
 
 
-@query("j2_close_turns")
-def _(spark, d):
+# The clock as a recursion over the frames of a question: w waits, c confirms, x is closed; n counts the sentences so far.
+CLOCK = f"""{LOG}, sends AS (SELECT session_id, send_no, tm AS sent, lead(tm) OVER (PARTITION BY session_id ORDER BY send_no) AS until FROM lg WHERE kind = 'signup'),
+ev AS (SELECT session_id, send_no, tm, seq, kind <> 'error' AS speaks, row_number() OVER (PARTITION BY session_id, send_no ORDER BY tm, seq) AS i FROM lg WHERE kind IN ('click', 'view', 'error') AND send_no >= 1),
+steps AS (SELECT session_id, send_no, i, tm, speaks FROM ev UNION ALL
+  SELECT session_id, send_no, coalesce(m, 0) + 1, coalesce(until, 9000000000000000), NULL FROM sends LEFT JOIN (SELECT session_id, send_no, max(i) AS m FROM ev GROUP BY 1, 2) USING (session_id, send_no)),
+clock(session_id, send_no, i, phase, hard, settle, snap, n, first, how) AS (
+  SELECT session_id, send_no, CAST(0 AS BIGINT), 'w', sent + {SLOW.turn_timeout_ms}, CAST(NULL AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR) FROM sends
+  UNION ALL
+  SELECT session_id, send_no, i, CASE WHEN gone OR ends OR quiet THEN 'x' WHEN p = 'c' THEN 'w' ELSE p END,
+    CASE WHEN p = 'c' AND NOT gone AND NOT quiet AND NOT ends THEN tm + {SLOW.turn_timeout_ms} ELSE h END, CASE WHEN gone OR ends THEN settle ELSE tm + {SLOW.settle_ms} END, k,
+    CASE WHEN gone OR ends THEN n ELSE n + said END, CASE WHEN gone OR ends THEN first ELSE coalesce(first, CASE WHEN speaks THEN tm END) END,
+    CASE WHEN phase = 'x' THEN how WHEN gone THEN CASE WHEN first IS NULL THEN 'timeout' ELSE 'silence' END WHEN ends THEN 'next-send'
+      WHEN quiet THEN CASE WHEN first IS NULL AND NOT speaks THEN 'timeout' ELSE 'silence' END END
+  FROM (SELECT *, p = 'c' AND NOT gone AND NOT ends AND n + said = k AS quiet FROM (
+    SELECT *, phase = 'x' OR (p = 'c' AND h < tm) AS gone, speaks IS NULL AS ends, CASE WHEN speaks THEN 1 ELSE 0 END AS said FROM (
+      SELECT c.session_id, c.send_no, e.i, c.phase, c.settle, c.n, c.first, c.how, e.tm, e.speaks, due,
+        CASE WHEN c.phase = 'w' AND due < e.tm THEN 'c' ELSE c.phase END AS p, CASE WHEN c.phase = 'w' AND due < e.tm THEN due + {SLOW.confirm_ms} ELSE c.hard END AS h,
+        CASE WHEN c.phase = 'w' AND due < e.tm THEN c.n ELSE c.snap END AS k
+      FROM (SELECT *, least(hard, coalesce(settle, hard)) AS due FROM clock) c JOIN steps e ON e.session_id = c.session_id AND e.send_no = c.send_no AND e.i = c.i + 1)))),
+closed AS (SELECT session_id, send_no, arg_max(n, i) AS n, arg_max(coalesce(first, -1), i) AS first, arg_max(how, i) AS how FROM clock GROUP BY 1, 2),
+words AS (SELECT session_id, send_no, 'w' || (k % 13) AS w, row_number() OVER (PARTITION BY session_id, send_no ORDER BY tm, seq) AS r FROM lg WHERE kind IN ('click', 'view') AND send_no >= 1)
+SELECT c.session_id, c.send_no, coalesce(string_agg(w, ' ' ORDER BY r), '') AS answer, CASE WHEN any_value(c.first) >= 0 THEN any_value(c.first) - any_value(sent) END AS latency_ms, any_value(how) AS closed_by
+FROM closed c JOIN sends s ON s.session_id = c.session_id AND s.send_no = c.send_no LEFT JOIN words w ON w.session_id = c.session_id AND w.send_no = c.send_no AND w.r <= c.n GROUP BY 1, 2"""
+CLOCK_SQL = "WITH RECURSIVE " + CLOCK
+
+
+def _clock_log(spark, d):
     log = frame_log(spark, d)
-    return fr.close_turns_batch(log.withColumn("kind", F.when(F.col("kind") == "signup", "send").otherwise(F.col("kind"))), SLOW, KINDS)
+    return log.withColumn("kind", F.when(F.col("kind") == "signup", "send").otherwise(F.col("kind")))
+
+
+@query("j2_close_turns", CLOCK_SQL)
+def _(spark, d):
+    return fr.close_turns_batch(_clock_log(spark, d), SLOW, KINDS)
+
+
+def _shuffled_files(rows, path, parts=4):
+    """Rows as files of neighbouring event times, in no order inside, and one row far ahead that moves the watermark past them."""
+    rows.repartitionByRange(parts, "ts").sortWithinPartitions(F.md5(F.col("at").cast("string"))).write.parquet(path)
+    ahead = rows.limit(1).withColumn("ts", F.lit("2100-01-01").cast("timestamp")).withColumn("at", F.unix_millis("ts")).withColumn("session_id", F.lit(-1).cast("bigint"))
+    ahead.coalesce(1).write.mode("append").parquet(path)
+
+
+def _streamed(spark, name, rows, stream):
+    """Run a streaming operator over the files of ``rows`` and return what it wrote."""
+    src, out, checkpoint = (scratch_path(spark, f"{name}-{n}") for n in ("in", "out", "state"))
+    _shuffled_files(rows, src)
+    # files of a batch may come in any order, so lateness covers the whole log
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(src).withWatermark("ts", "400 days")
+    stream(source).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).where("session_id >= 0")
+
+
+@query("j3_close_turns_stream", CLOCK_SQL)
+def _(spark, d):
+    """The clock as a stream over the stored log in shuffled files: timers for silence, confirmation and the limit of a phase."""
+    log = _clock_log(spark, d).select("session_id", "send_no", "at", "seq", "kind", "sentence", F.timestamp_millis("at").alias("ts"))
+    return _streamed(spark, "clock", log, lambda s: fr.close_turns_stream(s, SLOW, KINDS))
+
+
+@query("j6_source_carry_in_order", f"WITH {CARRY} SELECT session_id, turn, coalesce(last_value(files IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY turn), '') AS source_file_ids FROM ts")
+def _(spark, d):
+    """Carried sources over files that bring turns in any order; the last row of a session ends it."""
+    f = i.frames(spark, d).select("session_id", F.col("seq").alias("turn"), "at")
+    rows = _turn_sources(spark, d).join(f, ["session_id", "turn"]).withColumn("ended", F.lit(False))
+    over = rows.groupBy("session_id").agg((F.max("turn") + 1).alias("turn"), (F.max("at") + 1).alias("at")).select(
+        "session_id", "turn", provenance.empty().alias("files"), F.lit(None).cast("boolean").alias("saw"), "at", F.lit(True).alias("ended"))
+    log = rows.unionByName(over).withColumn("ts", F.timestamp_millis("at"))
+    out = _streamed(spark, "carry", log, fr.carry_sources_in_order)
+    return out.select("session_id", "turn", F.array_join("source_file_ids", ",").alias("source_file_ids"))
 
 
 @query("j4_first_frame_latency", f"""WITH {LOG}, s AS (SELECT session_id, send_no, min(tm) AS sent FROM lg WHERE kind = 'signup' GROUP BY 1, 2)

@@ -272,7 +272,25 @@ def _(spark, d):
     return rebuild_transcript(p.select(F.col("conv_id").alias("session_id"), F.col("pair").alias("send_no"), "question", "answer", F.col("answer").isNotNull().alias("responded")))
 
 
-@query("f5_align_answers")
+_LOOSE_WORDS = lambda c: f"list_distinct([x FOR x IN string_split({LOOSE.format(c=c)}, ' ') IF x <> ''])"
+_BEST = lambda w, q: f"greatest(CASE WHEN len({w}) > 0 AND len({q}.qw) > 0 THEN CAST(len(list_intersect({w}, {q}.qw)) AS DOUBLE) / least(len({w}), len({q}.qw)) ELSE 0 END, CASE WHEN len({w}) > 0 AND len({q}.ew) > 0 THEN CAST(len(list_intersect({w}, {q}.ew)) AS DOUBLE) / least(len({w}), len({q}.ew)) ELSE 0 END)"
+
+ALIGN_SQL = f"""WITH RECURSIVE {i.PAIRS},
+said AS (SELECT conv_id, ord, speaker = 'customer' AS asks, text, sum(CASE WHEN speaker = 'customer' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY ord) AS slot FROM sub WHERE speaker <> 'system' AND text <> ''),
+u AS (SELECT conv_id, slot, max(CASE WHEN asks THEN text END) AS text, arg_min(text, ord) FILTER (WHERE NOT asks) AS reply FROM said WHERE slot > 0 GROUP BY 1, 2),
+uw AS (SELECT *, {_LOOSE_WORDS('text')} AS w, length({LOOSE.format(c='text')}) AS chars FROM u),
+q AS (SELECT conv_id, pair AS pos, {_LOOSE_WORDS('question')} AS qw, {_LOOSE_WORDS("coalesce(answer, '')")} AS ew FROM pairs),
+walk(conv_id, slot, pos, answered) AS (SELECT conv_id, slot, CAST(1 AS BIGINT), reply IS NOT NULL FROM uw WHERE slot = 1 AND conv_id IN (SELECT conv_id FROM q)
+  UNION ALL SELECT conv_id, slot, CASE WHEN stay THEN pos ELSE pos + 1 END, CASE WHEN stay THEN answered OR replied ELSE replied END FROM (
+    SELECT conv_id, slot, pos, answered, replied, CASE WHEN last THEN TRUE WHEN answered THEN chars <= 12 AND here >= there - CAST(0.15 AS DOUBLE)
+      WHEN here < CAST(0.1 AS DOUBLE) AND there < CAST(0.1 AS DOUBLE) THEN chars <= 8 ELSE there <= here END AS stay FROM (
+      SELECT walk.conv_id, uw.slot, walk.pos, walk.answered, uw.reply IS NOT NULL AS replied, uw.chars, b.pos IS NULL AS last, {_BEST('uw.w', 'a')} AS here, {_BEST('uw.w', 'b')} AS there
+      FROM walk JOIN uw ON uw.conv_id = walk.conv_id AND uw.slot = walk.slot + 1 JOIN q a ON a.conv_id = walk.conv_id AND a.pos = walk.pos LEFT JOIN q b ON b.conv_id = walk.conv_id AND b.pos = walk.pos + 1))),
+got AS (SELECT walk.conv_id, pos, arg_max(text, length(text) * 1000000000 - slot) AS question, arg_min(reply, slot) FILTER (WHERE reply IS NOT NULL) AS answer FROM walk JOIN uw USING (conv_id, slot) GROUP BY 1, 2)
+SELECT q.conv_id AS session_id, q.pos, 'Q' || q.conv_id || '-' || q.pos AS question_id, coalesce(got.question, '') AS question, got.answer FROM q LEFT JOIN got USING (conv_id, pos)"""
+
+
+@query("f5_align_answers", ALIGN_SQL)
 def _(spark, d):
     turns, order, questions = alignment_inputs(spark, d)
     return capture.align(turns, order, questions)

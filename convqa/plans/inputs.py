@@ -92,14 +92,14 @@ def captured(spark: SparkSession, d: str) -> DataFrame:
     latency = F.when(F.col("answer").isNotNull() & ((c + n) % 5 != 0), (c * 37 + n * 911) % 9000)
     return p.select(
         F.concat(F.lit("S"), c.cast("string")).alias("session_id"), n.alias("turn"), F.concat(F.lit("Q"), (c % 50).cast("string"), F.lit("-"), n.cast("string")).alias("question_id"),
-        tx.detect_language("question", SCRIPT, "fr").alias("language"), "question", "answer", F.substring("question", 1, 60).alias("expected_answer"),
+        tx.detect_language("question", SCRIPT, "fr").alias("language"), "question", "answer", F.col("question").alias("expected_answer"),
         F.concat(F.lit("C"), c.cast("string")).alias("conversation_id"), latency.alias("latency_ms"), F.when(latency.isNotNull(), F.floor(latency / 2)).alias("first_audio_ms"),
         F.array("question").alias("source_chunks"), F.array(F.concat(F.lit("f"), (c % 9).cast("string"))).alias("source_file_ids"))
 
 
 CAPTURED = f"""{PAIRS},
 captured AS (SELECT 'S' || conv_id AS session_id, pair AS turn, 'Q' || (conv_id % 50) || '-' || pair AS question_id, {language_sql('question')} AS language,
-  question, answer, substr(question, 1, 60) AS expected_answer, 'C' || conv_id AS conversation_id,
+  question, answer, question AS expected_answer, 'C' || conv_id AS conversation_id,
   CASE WHEN answer IS NOT NULL AND (conv_id + pair) % 5 <> 0 THEN (conv_id * 37 + pair * 911) % 9000 END AS latency_ms,
   CASE WHEN answer IS NOT NULL AND (conv_id + pair) % 5 <> 0 THEN CAST(floor(((conv_id * 37 + pair * 911) % 9000) / 2.0) AS BIGINT) END AS first_audio_ms
   FROM pairs)"""
@@ -118,10 +118,10 @@ def pool(spark: SparkSession, d: str) -> DataFrame:
     doc = table(spark, d, "documents")
     return doc.select(
         F.col("doc_id").alias("id"), F.lit("KB").alias("topic"), F.coalesce("source", F.lit("none")).alias("sub_topic"), F.col("lang").alias("language"),
-        F.split_part("text", F.lit("\n"), F.lit(1)).alias("question"), F.col("text").alias("expected_answer"))
+        F.col("text").alias("question"), F.col("text").alias("expected_answer"))
 
 
-POOL = "pool AS (SELECT doc_id AS id, 'KB' AS topic, coalesce(source, 'none') AS sub_topic, lang AS language, split_part(text, chr(10), 1) AS question, text AS expected_answer FROM documents)"
+POOL = "pool AS (SELECT doc_id AS id, 'KB' AS topic, coalesce(source, 'none') AS sub_topic, lang AS language, text AS question, text AS expected_answer FROM documents)"
 
 
 def checks(spark: SparkSession, d: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from convqa.functions import text as tx
-from convqa.operators import kb, quality, questions, reporting, sessions
+from convqa.operators import flows, kb, quality, questions, reporting, sessions
 from convqa.operators import ordered as o
 from convqa.plans import inputs as i
 from convqa.plans.registry import query, table
@@ -47,16 +47,15 @@ def _(spark, d):
 
 
 @query("f12_first_occurrence", """WITH l AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
-f AS (SELECT coalesce(source, 'none') AS source, line, min(doc_id * 1000000 + pos) AS at_pos FROM l WHERE regexp_matches(line, '\\S') GROUP BY 1, 2),
+f AS (SELECT coalesce(source, 'none') AS source, line, min({'doc_id': doc_id, 'pos': pos}) AS at_pos FROM l WHERE regexp_matches(line, '\\S') GROUP BY 1, 2),
 n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY at_pos) AS rn FROM f)
-SELECT source, format('chunk_{:03d}', rn) AS id, at_pos, line FROM n""")
+SELECT source, format('chunk_{:03d}', rn) AS id, at_pos.doc_id AS doc_id, CAST(at_pos.pos AS INTEGER) AS pos, line FROM n""")
 def _(spark, d):
     doc = table(spark, d, "documents")
     lines = doc.select(F.coalesce("source", F.lit("none")).alias("source"), "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.col("line").rlike("\\S"))
-    lines = lines.withColumn("at_pos", F.col("doc_id") * 1000000 + F.col("pos"))
-    first = kb.first_occurrences(lines, ["source"], "line", ["at_pos"])
-    numbered = o.ordinal(first, ["source"], ["at_pos"], "rn", o.blocks_of("at_pos", 1_000_000_000))
-    return numbered.select("source", tx.padded_id("chunk_", "rn").alias("id"), "at_pos", "line")
+    first = kb.first_occurrences(lines, ["source"], "line", ["doc_id", "pos"])
+    numbered = o.ordinal(first, ["source"], ["doc_id", "pos"], "rn", o.blocks_of("doc_id", 1_000))
+    return numbered.select("source", tx.padded_id("chunk_", "rn").alias("id"), "doc_id", "pos", "line")
 
 
 @query("f15_candidates", f"""WITH {i.CHUNKS}, u AS (SELECT * FROM chunks WHERE length(text) >= 15),
@@ -218,13 +217,17 @@ def _(spark, d):
     return kb.batches(table(spark, d, "documents").select("doc_id"), "doc_id", 8)
 
 
-@query("a22_prompt_batches", """WITH n AS (SELECT *, (row_number() OVER (ORDER BY doc_id) - 1) // 8 + 1 AS batch, 'D' || doc_id AS slug FROM documents)
-SELECT format('batch-{:03d}', batch) AS file, count(*) AS docs, string_agg(slug, ', ' ORDER BY doc_id) AS flows,
+@query("a22_prompt_batches", f"""WITH {BLOCKS}, listed AS (SELECT page_id, 'TABLE 1:' || chr(10) || string_agg('  - ' || text, chr(10) ORDER BY pos) AS listed FROM allb WHERE part = 1 GROUP BY 1),
+n AS (SELECT documents.*, (row_number() OVER (ORDER BY doc_id) - 1) // 8 + 1 AS batch, 'D' || doc_id AS slug, coalesce(chr(10) || listed, '') AS listed FROM documents LEFT JOIN listed ON page_id = doc_id)
+SELECT format('batch-{{:03d}}', batch) AS file, count(*) AS docs, string_agg(slug, ', ' ORDER BY doc_id) AS flows,
   'Below are ' || count(*) || ' documents.' || chr(10) || chr(10) || 'BATCH: ' || string_agg(slug, ', ' ORDER BY doc_id) || chr(10) || chr(10) || string_agg(
-  'FLOW: ' || slug || '  (' || upper(lang) || ', file: ' || slug || '.docx)' || chr(10) || split_part(text, chr(10), 1) || chr(10) || chr(10) || '---', chr(10) ORDER BY doc_id) AS prompt FROM n GROUP BY batch""")
+  'FLOW: ' || slug || '  (' || upper(lang) || ', file: ' || slug || '.docx)' || chr(10) || text || listed || chr(10) || chr(10) || '---', chr(10) ORDER BY doc_id) AS prompt FROM n GROUP BY batch""")
 def _(spark, d):
-    doc = table(spark, d, "documents").select(
-        "doc_id", F.concat(F.lit("D"), "doc_id").alias("slug"), "lang", F.array(F.split_part("text", F.lit("\n"), F.lit(1))).alias("paragraphs"), F.array().cast("array<string>").alias("rows"))
+    """Every line of a document as a paragraph, and the list rows of the page of its number as table rows."""
+    cut = kb.extract_chunks(table(spark, d, "pages")).where(F.col("type") == "table_row")
+    place = F.struct(F.regexp_extract("id", "(\\d+)$", 1).cast("int").alias("at"), "text")
+    rows = cut.groupBy(F.col("page_id").alias("doc_id")).agg(F.transform(F.array_sort(F.collect_list(place)), lambda x: x["text"]).alias("rows"))
+    doc = table(spark, d, "documents").select("doc_id", F.concat(F.lit("D"), "doc_id").alias("slug"), "lang", F.split("text", "\n").alias("paragraphs")).join(rows, "doc_id", "left")
     doc = doc.withColumn("file", F.concat("slug", F.lit(".docx"))).withColumn("doc_text", kb.document_text("slug", "lang", "file", "paragraphs", "rows"))
     return kb.prompt_batches(doc, "doc_id", "Below are {count} documents.", 8)
 
@@ -304,64 +307,66 @@ def _(spark, d):
 
 # Flows ----------------------------------------------------------------------------------------
 
-RECORDS = """rec AS (SELECT doc_id AS ord, CASE WHEN doc_id % 3 = 0 THEN 'X-Dump' ELSE 'X-1' END AS pair_id, CASE WHEN lang = 'en' THEN 'en' ELSE 'ar' END AS language, coalesce(source, 'none') AS sub_topic,
-  split_part(text, chr(10), 1) AS question, text AS expected_answer FROM documents),
-g AS (SELECT sub_topic AS flow_id, language, CASE WHEN lower(pair_id) LIKE '%dump%' THEN 'full_dump' ELSE 'incremental' END AS mode, count(*) AS n, arg_min(question, ord) AS question,
-  string_agg(expected_answer, ' ' ORDER BY ord) AS joined FROM rec GROUP BY 1, 2, 3)"""
+RECORDS = """rec AS (SELECT doc_id AS ord, CASE WHEN doc_id % 3 = 0 THEN 'full_dump' ELSE 'incremental' END AS mode, CASE WHEN lang = 'en' THEN 'en' ELSE 'ar' END AS language, coalesce(source, 'none') AS flow_id,
+  text AS question, text AS expected_answer FROM documents),
+st AS (SELECT *, row_number() OVER (PARTITION BY flow_id, language, mode ORDER BY ord) AS step_n, CASE mode WHEN 'full_dump' THEN 'DUMP' ELSE 'INC' END AS short FROM rec),
+g AS (SELECT flow_id, language, mode, count(*) AS n, arg_min(question, ord) AS question FROM rec GROUP BY 1, 2, 3)"""
 
 
-def _records(spark, d):
+def _steps(spark, d):
+    """Every document as a question record with its whole text, numbered within its flow."""
     doc = table(spark, d, "documents")
-    return doc.select(
+    return flows.steps(doc.select(
         F.col("doc_id").alias("ord"), F.when(F.col("doc_id") % 3 == 0, "X-Dump").otherwise("X-1").alias("pair_id"), F.when(F.col("lang") == "en", "en").otherwise("ar").alias("language"),
-        F.lit("KB").alias("topic"), F.coalesce("source", F.lit("none")).alias("sub_topic"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("question"),
-        F.col("text").alias("expected_answer"), F.array(F.format_string("chunk_%03d", "doc_id")).alias("chunk_ids"))
+        F.lit("KB").alias("topic"), F.coalesce("source", F.lit("none")).alias("sub_topic"), F.col("text").alias("question"),
+        F.col("text").alias("expected_answer"), F.array(F.format_string("chunk_%03d", "doc_id")).alias("chunk_ids")))
 
 
-@query("h5_regroup_records", f"""WITH {RECORDS} SELECT flow_id || '-' || CASE mode WHEN 'full_dump' THEN 'DUMP' ELSE 'INC' END || '-' || upper(language) AS id, flow_id, mode, language, question,
-  CASE WHEN mode = 'full_dump' THEN joined END AS expected_answer, CASE WHEN mode = 'incremental' THEN n END AS steps FROM g""")
+@query("h5_regroup_records", f"""WITH {RECORDS} SELECT flow_id || '-' || short || '-' || upper(language) AS id, flow_id, mode, language, step_n, question, expected_answer FROM st""")
 def _(spark, d):
-    s = questions.regroup_records(_records(spark, d))
-    return s.select("id", "flow_id", "mode", "language", "question", "expected_answer", F.when(F.col("steps").isNotNull(), F.size("steps").cast("bigint")).alias("steps"))
+    return _steps(spark, d).select(flows.scenario_id().alias("id"), "flow_id", "mode", "language", "step_n", "question", "expected_answer")
+
+
+@query("h5_scenario_heads", f"""WITH {RECORDS} SELECT flow_id || '-' || CASE mode WHEN 'full_dump' THEN 'DUMP' ELSE 'INC' END || '-' || upper(language) AS id, flow_id, mode, language, question, n AS steps FROM g""")
+def _(spark, d):
+    return flows.heads(_steps(spark, d)).select("id", "flow_id", "mode", "language", "question", "steps")
 
 
 @query("h5_merge_flows", f"WITH {RECORDS} SELECT flow_id, flow_id AS title, count(*) AS scenarios FROM g GROUP BY 1")
 def _(spark, d):
-    return questions.merge_flows(questions.regroup_records(_records(spark, d)))
+    return questions.merge_flows(flows.heads(_steps(spark, d)))
 
 
-FLAT = f"""{RECORDS}, steps AS (SELECT *, row_number() OVER (PARTITION BY sub_topic, language ORDER BY ord) AS i FROM rec WHERE lower(pair_id) NOT LIKE '%dump%'),
-flat AS (SELECT format('{{}}-INC-{{}}-{{:03d}}', sub_topic, upper(language), i) AS id, upper(sub_topic || '-INC') AS pair_id, language, sub_topic || '-Incremental' AS sub_topic, question, expected_answer FROM steps
-UNION ALL SELECT format('{{}}-DUMP-{{}}-001', flow_id, upper(language)), upper(flow_id || '-DUMP'), language, flow_id || '-FullDump', question, joined FROM g WHERE mode = 'full_dump')"""
+FLAT = f"""{RECORDS},
+flat AS (SELECT CASE mode WHEN 'full_dump' THEN format('{{}}-DUMP-{{}}-001', flow_id, upper(language)) ELSE format('{{}}-INC-{{}}-{{:03d}}', flow_id, upper(language), step_n) END AS id, upper(flow_id || '-' || short) AS pair_id, language,
+  flow_id || CASE mode WHEN 'full_dump' THEN '-FullDump' ELSE '-Incremental' END AS sub_topic, flow_id AS base, CASE mode WHEN 'full_dump' THEN 'fulldump' ELSE mode END AS mode,
+  CASE mode WHEN 'full_dump' THEN 1 ELSE step_n END AS step, CASE mode WHEN 'full_dump' THEN step_n ELSE 1 END AS part, CASE WHEN mode <> 'full_dump' OR step_n = 1 THEN question END AS question, expected_answer FROM st)"""
 
 
 def _flat(spark, d):
-    s = questions.regroup_records(_records(spark, d)).withColumn("title", F.col("flow_id")).withColumn("chunk_ids", F.array().cast("array<string>"))
-    return questions.flatten_flows(s)
+    return flows.questions(_steps(spark, d))
 
 
-@query("h6_flatten_flows", f"WITH {FLAT} SELECT id, pair_id, language, sub_topic, question, expected_answer FROM flat")
+@query("h6_flatten_flows", f"WITH {FLAT} SELECT id, pair_id, language, sub_topic, part, question, expected_answer FROM flat")
 def _(spark, d):
-    return _flat(spark, d).select("id", "pair_id", "language", "sub_topic", "question", "expected_answer")
+    return _flat(spark, d).select("id", "pair_id", "language", "sub_topic", "part", "question", "expected_answer")
 
 
 @query("b23_flow_ids", f"WITH {RECORDS} SELECT flow_id, language, mode, substr(flow_id, 1, 10) || CASE mode WHEN 'full_dump' THEN '-DUMP-' ELSE '-INC-' END || upper(language) || '-001' AS short_id, upper(flow_id || '-' || mode) AS pair_key FROM g")
 def _(spark, d):
-    s = questions.regroup_records(_records(spark, d))
+    s = flows.heads(_steps(spark, d))
     short = F.when(F.col("mode") == "full_dump", questions.flow_question_id(F.col("flow_id"), "DUMP", F.col("language"), F.lit(1), True)).otherwise(
         questions.flow_question_id(F.col("flow_id"), "INC", F.col("language"), F.lit(1), True))
     return s.select("flow_id", "language", "mode", short.alias("short_id"), F.upper(F.concat_ws("-", "flow_id", "mode")).alias("pair_key"))
 
 
 def _flow_questions(spark, d):
-    flat = _flat(spark, d)
     base = F.regexp_replace("sub_topic", "-(Incremental|FullDump)$", "")
-    step = F.regexp_extract("id", "(\\d+)$", 1).cast("bigint")
     mode = F.when(F.col("id").contains("-INC-"), "incremental").otherwise("fulldump")
-    return flat.select(base.alias("base"), mode.alias("mode"), "language", step.alias("step"), "id", "question", "expected_answer")
+    return _flat(spark, d).select(base.alias("base"), mode.alias("mode"), "language", "step", "part", "id", "question", "expected_answer")
 
 
-FLOWQ = f"""{FLAT}, fq AS (SELECT regexp_replace(sub_topic, '-(Incremental|FullDump)$', '') AS base, CASE WHEN id LIKE '%-INC-%' THEN 'incremental' ELSE 'fulldump' END AS mode, language, CAST(regexp_extract(id, '(\\d+)$', 1) AS BIGINT) AS step, id, question, expected_answer FROM flat)"""
+FLOWQ = FLAT.replace("flat AS (", "fq AS (")
 AUTO = f"""{FLOWQ}, m AS (SELECT base, bool_or(mode = 'incremental') AS inc, bool_or(mode = 'fulldump') AS dump FROM fq GROUP BY 1),
 s AS (SELECT base, row_number() OVER (ORDER BY {H(5, 'base')}, base) AS pos FROM m WHERE inc),
 pr AS (SELECT (pos + 1) // 2 AS session_no, arg_min(base, pos) AS a, arg_max(base, pos) AS b FROM s GROUP BY 1 HAVING count(*) = 2),
@@ -375,21 +380,21 @@ def _(spark, d):
     return sessions.auto_flow_plan(_flow_questions(spark, d), 5)
 
 
-@query("f11_compose_flows", f"""WITH {AUTO}, parts AS (SELECT session_no, 0 AS part, first AS base, 'incremental' AS mode FROM pl UNION ALL SELECT session_no, 1, second, 'incremental' FROM pl UNION ALL SELECT session_no, 2, third, 'fulldump' FROM pl),
-rw AS (SELECT parts.session_no, part, fq.* FROM parts JOIN fq USING (base, mode)), ok AS (SELECT session_no, language FROM rw GROUP BY 1, 2 HAVING count(DISTINCT part) = 3),
+@query("f11_compose_flows", f"""WITH {AUTO}, parts AS (SELECT session_no, 0 AS slot, first AS base, 'incremental' AS mode FROM pl UNION ALL SELECT session_no, 1, second, 'incremental' FROM pl UNION ALL SELECT session_no, 2, third, 'fulldump' FROM pl),
+rw AS (SELECT parts.session_no, slot, fq.* FROM parts JOIN fq USING (base, mode)), ok AS (SELECT session_no, language FROM rw GROUP BY 1, 2 HAVING count(DISTINCT slot) = 3),
 nb AS (SELECT *, row_number() OVER (ORDER BY session_no, language) AS number FROM ok)
-SELECT format('MultiFlow-{{}}-{{:03d}}', language, number) AS session_id, language, row_number() OVER (PARTITION BY session_no, language ORDER BY part, step) AS turn, id AS question_id, question, expected_answer
+SELECT format('MultiFlow-{{}}-{{:03d}}', language, number) AS session_id, language, dense_rank() OVER (PARTITION BY session_no, language ORDER BY slot, step) AS turn, part, id AS question_id, question, expected_answer
 FROM rw JOIN nb USING (session_no, language)""")
 def _(spark, d):
     q = _flow_questions(spark, d)
-    return sessions.compose_flows(q, "first", "second", "third", sessions.auto_flow_plan(q, 5)).select("session_id", "language", "turn", "question_id", "question", "expected_answer")
+    return sessions.compose_flows(q, "first", "second", "third", sessions.auto_flow_plan(q, 5)).select("session_id", "language", "turn", "part", "question_id", "question", "expected_answer")
 
 
 @query("e13_flow_pools", f"""WITH {RECORDS}, f AS (SELECT flow_id AS base, CASE mode WHEN 'full_dump' THEN 'fulldump' ELSE mode END AS mode, language FROM g)
 SELECT base, count(*) FILTER (WHERE mode = 'incremental' AND language = 'ar') AS incremental_ar, count(*) FILTER (WHERE mode = 'incremental' AND language = 'en') AS incremental_en,
   count(*) FILTER (WHERE mode = 'fulldump' AND language = 'ar') AS fulldump_ar, count(*) FILTER (WHERE mode = 'fulldump' AND language = 'en') AS fulldump_en FROM f GROUP BY 1""")
 def _(spark, d):
-    s = questions.regroup_records(_records(spark, d))
+    s = flows.heads(_steps(spark, d))
     mode = F.when(F.col("mode") == "full_dump", "FullDump").otherwise("Incremental")
     return questions.flow_pools(s.select(F.concat("flow_id", F.lit("-"), mode, F.lit("_"), F.upper("language"), F.lit(".json")).alias("file")))
 
@@ -429,11 +434,12 @@ def _(spark, d):
 
 # File layouts: written with a sink and read back with the matching scan -----------------------
 
-@query("a15_a1_question_files", f"""WITH {FLAT} SELECT sub_topic, language, count(*) AS questions, CAST(sum(length(question)) AS BIGINT) AS chars FROM flat GROUP BY 1, 2""")
+@query("a15_a1_question_files", f"""WITH {FLAT} SELECT sub_topic, language, count(*) AS questions, CAST(sum(length(question)) AS BIGINT) AS chars, CAST(sum(length(expected_answer)) AS BIGINT) AS answer_chars FROM flat GROUP BY 1, 2""")
 def _(spark, d):
     root = scratch_path(spark, "questions")
     writers.write_questions(_flat(spark, d), root)
-    return readers.read_questions(spark, root).groupBy("sub_topic", "language").agg(F.count(F.lit(1)).alias("questions"), F.sum(F.length("question")).alias("chars"))
+    asked = readers.read_questions(spark, root, lines=True)
+    return asked.groupBy("sub_topic", "language").agg(F.count(F.lit(1)).alias("questions"), F.sum(F.length("question")).alias("chars"), F.sum(F.length("expected_answer")).alias("answer_chars"))
 
 
 @query("a14_a3_session_files", f"WITH {BUILD} SELECT format('{{}}-{{}}-{{:03d}}', sub_topic, language, session_no) AS session_id, language, CAST(turn AS INTEGER) AS turn, CAST(id AS VARCHAR) AS question_id FROM built")
@@ -446,21 +452,44 @@ def _(spark, d):
     return readers.session_turns(readers.read_sessions(spark, root)).select("session_id", "language", "turn", "question_id")
 
 
-@query("a16_a7_flow_files", f"WITH {RECORDS} SELECT flow_id, mode, language, CASE WHEN mode = 'incremental' THEN n ELSE -1 END AS steps FROM g")
+@query("a16_a7_flow_files", f"WITH {RECORDS} SELECT flow_id, mode, language, step_n, question, expected_answer FROM st")
+def _(spark, d):
+    """Flat steps written by flow and read back."""
+    root = scratch_path(spark, "flow-steps")
+    writers.write_flow_steps(_steps(spark, d), root)
+    return readers.read_flow_steps(spark, root).select("flow_id", "mode", "language", "step_n", "question", "expected_answer")
+
+
+SPECS = """per AS (SELECT flow_id, language, mode, count(*) AS n, md5(CASE mode WHEN 'full_dump' THEN string_agg(expected_answer, ' ' ORDER BY ord) ELSE string_agg(question || '|' || expected_answer, '#' ORDER BY ord) END) AS said,
+  md5(arg_min(question, ord)) AS question FROM rec GROUP BY 1, 2, 3)"""
+
+
+@query("a16_a7_flow_specs", f"""WITH {RECORDS}, {SPECS} SELECT flow_id, flow_id AS title, flow_id || '-' || CASE mode WHEN 'full_dump' THEN 'DUMP' ELSE 'INC' END || '-' || upper(language) AS id, language, mode, question, said,
+  CASE mode WHEN 'full_dump' THEN -1 ELSE n END AS steps FROM per""")
 def _(spark, d):
+    """Nested documents, one per flow, written from sorted pieces and read with the scan of flow specifications."""
     root = scratch_path(spark, "flows")
-    writers.write_flows(questions.regroup_records(_records(spark, d)), root)
-    return readers.read_scenarios(spark, root).select("flow_id", "mode", "language", F.coalesce(F.size("steps"), F.lit(-1)).cast("bigint").alias("steps"))
+    writers.write_flows(_steps(spark, d), root)
+    s = readers.spec_scenarios(readers.read_flow_specs(spark, root, lines=False, glob="*.txt"))
+    said = F.when(F.col("mode") == "full_dump", F.col("expected_answer")).otherwise(
+        F.array_join(F.transform("steps", lambda x: F.concat(x["stimulus"], F.lit("|"), x["expected_answer"])), "#"))
+    return s.select("flow_id", "title", "id", "language", "mode", F.md5("question").alias("question"), F.md5(said).alias("said"), F.coalesce(F.size("steps"), F.lit(-1)).cast("bigint").alias("steps"))
 
 
-@query("a8_flow_replies", f"""WITH {RECORDS} SELECT flow_id, count(*) AS scenarios, CAST(sum(CASE WHEN mode = 'incremental' THEN n ELSE 0 END) AS BIGINT) AS steps FROM g GROUP BY 1""")
+@query("a8_flow_replies", f"""WITH {RECORDS} SELECT '' AS bad_file, flow_id, count(*) AS scenarios, CAST(sum(CASE WHEN mode = 'incremental' THEN n ELSE 0 END) AS BIGINT) AS steps FROM g GROUP BY 2
+UNION ALL SELECT DISTINCT 'bad-' || (doc_id % 3) || '.txt', '', 0, 0 FROM documents""")
 def _(spark, d):
-    """Reply files of one scenario each, read back with the tolerant import."""
+    """Reply files, an object per flow among files that are no JSON, read back with the tolerant import."""
     folder = scratch_path(spark, "replies")
-    flows = questions.regroup_records(_records(spark, d))
-    flows.select("id", F.to_json(F.struct("*")).alias("value")).repartition("id").write.partitionBy("id").option("compression", "none").format("text").save(folder)
-    good, _ = readers.read_flow_replies(spark, folder, "*.txt")
-    return good.groupBy("flow_id").agg(F.count(F.lit(1)).alias("scenarios"), F.sum(F.greatest(F.coalesce(F.size("steps"), F.lit(0)), F.lit(0))).alias("steps"))
+    writers.write_flows(_steps(spark, d), folder)
+    lost = table(spark, d, "documents").select(F.concat(F.lit("bad-"), F.col("doc_id") % 3, F.lit(".txt")).alias("file")).distinct()
+    broken = lost.select(F.lit("{ no record").alias("value"), "file").repartition("file")
+    broken.write.mode("append").partitionBy("file").text(folder)
+    good, bad = readers.read_flow_replies(spark, folder, "*.txt")
+    counted = good.groupBy("flow_id").agg(F.count(F.lit(1)).alias("scenarios"), F.sum(F.greatest(F.coalesce(F.size("steps"), F.lit(0)), F.lit(0))).alias("steps"))
+    none = F.lit(0).cast("bigint")
+    return counted.select(F.lit("").alias("bad_file"), "flow_id", "scenarios", "steps").unionByName(
+        bad.select(F.regexp_extract("path", "/file=([^/]*)/", 1).alias("bad_file"), F.lit("").alias("flow_id"), none.alias("scenarios"), none.alias("steps")).distinct())
 
 
 @query("a5_newest_artifact", """WITH f AS (SELECT event_type AS kind, CASE WHEN event_id % 10 = 0 THEN 'eval-results-backup' || event_id || '.json' ELSE 'eval-results-' || strftime(ts, '%Y-%m-%dT%H-00-00') || '-000Z-j' || event_id || '.json' END AS name, event_id * 7 % 1000 AS mtime FROM events)
@@ -541,15 +570,15 @@ def _(spark, d):
     return quality.validate_flows(q, limit=8)
 
 
-@query("l7_grounding_rules", """WITH r AS (SELECT doc_id AS id, split_part(text, chr(10), 1) AS question, text || ' 77' AS answer, text AS document, CASE WHEN doc_id % 4 = 0 THEN upper(substr(text, 1, 30)) || '#' ELSE substr(text, 1, 200) END AS src FROM documents),
+@query("l7_grounding_rules", """WITH r AS (SELECT doc_id AS id, text AS question, text || ' 77' AS answer, text AS document, CASE WHEN doc_id % 4 = 0 THEN upper(text) || '#' ELSE text END AS src FROM documents),
 nums AS (SELECT id, list_distinct([regexp_replace(n, '[,.]+$', '') FOR n IN regexp_extract_all(answer, '\\d[\\d,.]*')]) AS a, list_distinct([regexp_replace(n, '[,.]+$', '') FOR n IN regexp_extract_all(src, '\\d[\\d,.]*')]) AS s FROM r),
 k AS (SELECT id, """ + i.normalize_sql("question") + """ AS k FROM r)
 SELECT id, 'number not in sources: ' || n AS issue FROM (SELECT id, unnest([x FOR x IN a IF NOT list_contains(s, x)]) AS n FROM nums) UNION ALL SELECT id, 'excerpt is not verbatim' FROM r WHERE NOT contains(document, src)
 UNION ALL SELECT id, 'question is not distinct' FROM (SELECT id, row_number() OVER (PARTITION BY k ORDER BY id) AS n FROM k) WHERE n > 1""")
 def _(spark, d):
     doc = table(spark, d, "documents")
-    src = F.when(F.col("doc_id") % 4 == 0, F.concat(F.upper(F.substring("text", 1, 30)), F.lit("#"))).otherwise(F.substring("text", 1, 200))
-    r = doc.select(F.col("doc_id").alias("id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("question"), F.concat("text", F.lit(" 77")).alias("expected_answer"), F.array(src).alias("sources"), F.col("text").alias("document"))
+    src = F.when(F.col("doc_id") % 4 == 0, F.concat(F.upper("text"), F.lit("#"))).otherwise(F.col("text"))
+    r = doc.select(F.col("doc_id").alias("id"), F.col("text").alias("question"), F.concat("text", F.lit(" 77")).alias("expected_answer"), F.array(src).alias("sources"), F.col("text").alias("document"))
     return quality.grounding_issues(r)
 
 

@@ -12,6 +12,7 @@ SCENARIO = (
     "struct<id:string,flow_id:string,pair_id:string,mode:string,language:string,question:string,expected_answer:string,"
     f"steps:array<{STEP}>,chunk_ids:array<string>,sub_topic:string,topic:string>"
 )
+FLOW_STEP = "flow_id string, spoken string, mode string, step_n bigint, language string, question string, expected_answer string, chunk_ids array<string>"
 FLOW_SPEC = f"flow_id string, title string, topic string, chunks array<struct<id:string,text:string>>, flows array<{SCENARIO}>"
 TURN = (
     "struct<speaker:string,role:string,type:string,text:string,message:string,content:string,transcript:string,"

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from convqa import schemas
 from convqa.functions import text as tx
@@ -14,14 +14,41 @@ from convqa.operators import provenance
 from convqa.operators.transcripts import from_conversations
 
 
+BROKEN = "__broken"
+
+
 def _path() -> Column:
     return F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), "\\+", "%2B"))
 
 
-def _json(spark: SparkSession, root: str, schema: str | StructType, glob: str = "*.json", per_line: bool = False) -> DataFrame:
-    """JSON files below ``root``, one document (or array) per file unless ``per_line``."""
-    reader = spark.read.schema(schema).option("multiLine", not per_line).option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-    return reader.option("mode", "PERMISSIVE").json(root).withColumn("path", _path())
+def _has_lines(spark: SparkSession, root: str, glob: str, skip: str) -> bool:
+    """Whether the JSON files below ``root`` hold one record per line, or whole documents (pretty-printed, or arrays).
+
+    Looks at the first line of each file. A record closes its braces there; a document or an array over several
+    lines does not. Folders that hold both raise an error, because reading them either way would lose rows.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root)
+    place = F.struct("_metadata.file_block_start", F.monotonically_increasing_id())
+    spoken = lines.where(F.col("value").rlike("\\S") & ~_path().rlike(skip)).select(F.col("_metadata.file_path").alias("path"), "value", place.alias("at"))
+    first = spoken.groupBy("path").agg(F.min_by("value", "at").alias("first"))
+    whole = F.col("first").rlike("^\\s*\\{") & F.try_parse_json("first").isNotNull()
+    got = first.agg(F.count_if(whole).alias("lines"), F.count_if(~whole).alias("documents"), F.min(F.when(~whole, F.col("path"))).alias("example")).first()
+    if got["lines"] and got["documents"]:
+        raise ValueError(f"{root} holds files with one record per line and others, such as {got['example']}; read them apart, or say lines=True or lines=False")
+    return not got["documents"]
+
+
+def _json(spark: SparkSession, root: str, schema: str | StructType, glob: str = "*.json", lines: bool | None = False, skip: str = "^$") -> DataFrame:
+    """JSON files below ``root``: a record per line, a document or array per file, or (None) whichever the files hold. Rows that cannot be read raise an error when they are reached, so none is lost without a word."""
+    fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    held = StructType([*fields.fields, StructField(BROKEN, StringType())])
+    lines = _has_lines(spark, root, glob, skip) if lines is None else lines
+    reader = spark.read.schema(held).option("multiLine", not lines).option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+    read = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BROKEN).json(root).withColumn("path", _path()).where(~F.col("path").rlike(skip))
+    # Spark reads no file for the broken text alone, so the message names a field as well
+    found = F.coalesce(F.col(fields.names[0]).cast("string"), F.lit("none"))
+    problem = F.raise_error(F.concat(F.lit("not a record of this kind in "), F.col("path"), F.lit(f": {fields.names[0]} is "), found, F.lit(" in "), F.substring(BROKEN, 1, 80)))
+    return read.withColumn("path", F.when(F.col(BROKEN).isNull(), F.col("path")).otherwise(problem)).drop(BROKEN)
 
 
 def _folder(c: Column, up: int) -> Column:
@@ -39,14 +66,13 @@ def _topic_columns(df: DataFrame, suffix: str = "\\.json$") -> DataFrame:
         "file_sub_topic", F.coalesce(_partition("sub_topic"), F.regexp_replace(_folder(F.col("path"), 1), suffix, "")))
 
 
-def read_questions(spark: SparkSession, root: str, topics: Sequence[str] = (), subtopics: Sequence[str] = (), lines: bool = True) -> DataFrame:
-    """Question files; chunk files are skipped, names come from the path.
+def read_questions(spark: SparkSession, root: str, topics: Sequence[str] = (), subtopics: Sequence[str] = (), lines: bool | None = None) -> DataFrame:
+    """Question files; chunk files and manifests are skipped, names come from the path.
 
-    ``lines``: one record per line, as our sinks write them, so a large file is read by many tasks. Without it a file
-    ``<topic>/<sub topic>.json`` is one document or array.
+    ``lines``: true for one record per line, as our sinks write them, so a large file is read by many tasks; false for files
+    ``<topic>/<sub topic>.json`` of one document or array, indented or not; by default a pass over the files finds out.
     """
-    df = _topic_columns(_json(spark, root, schemas.QUESTION, per_line=lines)).where(~F.col("path").endswith(".chunks.json"))
-    df = df.where(F.col("file_sub_topic") != "manifest")
+    df = _topic_columns(_json(spark, root, schemas.QUESTION, lines=lines, skip="(\\.chunks|/manifest)\\.json$"))
     if topics:
         df = df.where(F.col("file_topic").isin(list(topics)))
     if subtopics:
@@ -66,10 +92,10 @@ def read_chunks(spark: SparkSession, root: str) -> DataFrame:
     return df.withColumn("match_key", F.lower(F.concat_ws("/", "file_topic", "file_sub_topic")))
 
 
-def read_sessions(spark: SparkSession, root: str, legacy: str | None = None, lines: bool = True) -> DataFrame:
-    """Session files below ``root``, one session per line unless ``lines`` is false (then one document or array per file);
+def read_sessions(spark: SparkSession, root: str, legacy: str | None = None, lines: bool | None = None) -> DataFrame:
+    """Session files below ``root``, one session per line or one document or array per file (``lines``, as for questions);
     a single old file is used only when there is none."""
-    df = _topic_columns(_json(spark, root, schemas.SESSION, per_line=lines)).where(F.col("session_id").isNotNull())
+    df = _topic_columns(_json(spark, root, schemas.SESSION, lines=lines)).where(F.col("session_id").isNotNull())
     if legacy and df.isEmpty():
         return _topic_columns(spark.read.schema(schemas.SESSION).option("multiLine", True).json(legacy).withColumn("path", _path()))
     return df
@@ -128,15 +154,14 @@ def summary_sources(summaries: DataFrame) -> DataFrame:
         F.col("s.saw_source_frame").alias("saw"))
 
 
-def read_scenarios(spark: SparkSession, root: str) -> DataFrame:
-    """Scenarios as ``writers.write_flows`` stores them, one per line."""
-    fields = StructType.fromDDL(f"s {schemas.SCENARIO}")["s"].dataType
-    return _json(spark, root, fields, per_line=True).where(F.col("id").isNotNull() | F.col("flow_id").isNotNull())
+def read_flow_steps(spark: SparkSession, root: str) -> DataFrame:
+    """Flat steps as ``writers.write_flow_steps`` stores them, one per line."""
+    return _json(spark, root, schemas.FLOW_STEP, lines=True).where(F.col("flow_id").isNotNull())
 
 
-def read_flow_specs(spark: SparkSession, root: str, lines: bool = True) -> DataFrame:
-    """Flow specifications with at least one scenario, one per line unless ``lines`` is false (then one per file); unreadable ones give no row."""
-    return _json(spark, root, schemas.FLOW_SPEC, per_line=lines).where(F.size("flows") > 0)
+def read_flow_specs(spark: SparkSession, root: str, lines: bool | None = None, glob: str = "*.json") -> DataFrame:
+    """Flow specifications with at least one scenario, one per line or one per file (``lines``, as for questions)."""
+    return _json(spark, root, schemas.FLOW_SPEC, glob, lines).where(F.size("flows") > 0)
 
 
 def spec_scenarios(specs: DataFrame) -> DataFrame:
@@ -153,9 +178,10 @@ def read_flow_replies(spark: SparkSession, folder: str, glob: str = "*.json") ->
 
     Three forms are accepted: an object with ``flows``, one scenario, or an array of scenarios.
     """
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(folder).select(_folder(_path(), 1).alias("file"), "value")
+    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(folder)
+    raw = raw.select(_folder(_path(), 1).alias("file"), _path().alias("path"), "value")
     tested = raw.withColumn("ok", F.try_parse_json("value").isNotNull())
-    bad = tested.where(~F.col("ok")).select("file")
+    bad = tested.where(~F.col("ok")).select("file", "path")
     text = tx.strip("value")
     scenarios = f"array<{schemas.SCENARIO}>"
     as_object = F.from_json("value", schemas.FLOW_SPEC)
@@ -166,10 +192,11 @@ def read_flow_replies(spark: SparkSession, folder: str, glob: str = "*.json") ->
     return good, bad
 
 
-def read_conversations(spark: SparkSession, path: str, fmt: str = "json", since: str | None = None, lines: bool = True) -> DataFrame:
-    """Dump of stored calls; JSON holds one call per line unless ``lines`` is false (then a file is one document or array). ``since`` (ISO time) is compared as text first, so a columnar dump can skip row groups."""
+def read_conversations(spark: SparkSession, path: str, fmt: str = "json", since: str | None = None, lines: bool | None = None) -> DataFrame:
+    """Dump of stored calls; JSON holds one call per line or one document or array per file (``lines``, as for questions).
+    ``since`` (ISO time) is compared as text first, so a columnar dump can skip row groups."""
     if fmt == "json":
-        df = spark.read.schema(schemas.CONVERSATION).option("multiLine", not lines).option("recursiveFileLookup", True).json(path)
+        df = _json(spark, path, schemas.CONVERSATION, lines=lines).drop("path")
     else:
         df = spark.read.format(fmt).load(path)
     if since:

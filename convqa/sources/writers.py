@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convqa import schemas
+from convqa.operators import flows
 from convqa.operators import sessions as ses
 
 
@@ -14,6 +15,16 @@ def _dynamic(df: DataFrame, mode: str):
     return df.write.mode(mode).option("partitionOverwriteMode", "dynamic")
 
 
+def _file_name(column: str):
+    """A flow id without the characters that file names must not have; ids that lose some get a mark, so no two share a file.
+
+    Never null, so that the writer takes the rows in the order they come in.
+    """
+    plain = F.regexp_replace(column, "[\\\\/:*?\"<>|]", "_")
+    marked = F.when(plain == F.col(column), plain).otherwise(F.concat(plain, F.lit("-"), F.substring(F.md5(column), 1, 8)))
+    return F.coalesce(marked, F.lit("_"))
+
+
 def write_sessions(turns: DataFrame, root: str, mode: str = "overwrite") -> None:
     """Nested sessions by topic and sub topic (``subtopic`` is ``topic/name``)."""
     nested = ses.nest(turns)
@@ -29,11 +40,23 @@ def write_questions(questions: DataFrame, root: str, mode: str = "overwrite") ->
     _dynamic(placed, mode).partitionBy("p_topic", "p_sub_topic", "p_mode", "p_language").json(root)
 
 
-def write_flows(scenarios: DataFrame, root: str, mode: str = "overwrite") -> None:
-    placed = scenarios.withColumn("p_flow", F.regexp_replace("flow_id", "[\\\\/:*?\"<>|]", "_"))
+def write_flow_steps(steps: DataFrame, root: str, mode: str = "overwrite") -> None:
+    """Flat steps by flow, as ``readers.read_flow_steps`` takes them; a hot flow is many files."""
+    placed = steps.withColumn("p_flow", _file_name("flow_id"))
     _dynamic(placed, mode).partitionBy("p_flow").json(root)
 
 
+def write_flows(steps: DataFrame, root: str, mode: str = "overwrite") -> None:
+    """One nested JSON document per flow, as other tools read it, from the flat steps of ``operators.flows``.
+
+    Rows are sorted by flow and place and appended to the flow's file piece by piece; a document is one file, so one task
+    writes it, but no task holds more of it than a row. Pieces are divided by a blank, which JSON allows between them.
+    """
+    lines = flows.spec_lines(steps).withColumn("p_flow", _file_name("flow_id"))
+    ordered = lines.repartition("p_flow").sortWithinPartitions("p_flow", "flow_id", "at")
+    _dynamic(ordered.select("value", "p_flow"), mode).partitionBy("p_flow").option("lineSep", " ").text(root)
+
+
 def write_captured(captured: DataFrame, root: str, stamp: str) -> None:
     """Records and their header totals of one capture."""
     from convqa.operators.capture import totals
