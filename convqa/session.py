@@ -56,4 +56,15 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Cut lineage through a written table, so a lost executor costs a re-read and not a re-run."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made.scratch = path
+    return made
+
+
+def discard(spark: SparkSession, *made: DataFrame | str) -> None:
+    """Delete written stages (tables of :func:`materialize`, or paths) that nothing reads any more; other tables are left alone."""
+    for one in made:
+        path = one if isinstance(one, str) else getattr(one, "scratch", None) if "scratch" in vars(one) else None
+        if path and path.startswith(shared_dir(spark)):
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
