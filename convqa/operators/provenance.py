@@ -69,14 +69,14 @@ def turn_windows(turns: DataFrame, settle_ms: int, block_rows: int = o.DEFAULT_B
     )
 
 
-def bucket_frames(frames: DataFrame, turns: DataFrame, settle_ms: int = CallConfig.settle_ms, width_ms: int = 3_600_000) -> DataFrame:
+def bucket_frames(frames: DataFrame, turns: DataFrame, settle_ms: int = CallConfig.settle_ms) -> DataFrame:
     """Distinct files per turn from the frames inside its window, and the play id of the last frame.
 
     Windows overlap on purpose, so a frame can serve two turns. ``frames``: ``session_id, at, seq,
     file_ids, loaded_files, play_id``; ``turns``: ``session_id, turn, call_start, reply_at`` (milliseconds).
     """
     windows = turn_windows(turns, settle_ms)
-    hits = intervals.points_in(frames, windows.where(F.col("win_end") >= F.col("win_start")), ["session_id"], "at", "win_start", "win_end", width_ms)
+    hits = intervals.points_in(frames, windows.where(F.col("win_end") >= F.col("win_start")), ["session_id"], "at", "win_start", "win_end")
     play = hits.groupBy("session_id", "turn").agg(F.max_by(F.struct("play_id"), F.struct("at", "seq")).alias("__p"))
     ids = hits.select("session_id", "turn", F.explode(F.concat(
         F.transform(F.coalesce("file_ids", empty()), lambda f: F.struct(F.lit("file").alias("k"), f.alias("f"))),

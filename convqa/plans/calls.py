@@ -35,7 +35,7 @@ hit AS (SELECT w.session_id, w.turn, f.kind, 'f' || (f.k % 20) AS file, CASE WHE
 lst AS (SELECT session_id, turn, play FROM (SELECT *, row_number() OVER (PARTITION BY session_id, turn ORDER BY tm DESC, seq DESC) AS k FROM hit) WHERE k = 1)
 SELECT w.session_id, w.turn, coalesce(array_to_string(a, ','), '') AS file_ids, coalesce(array_to_string(b, ','), '') AS loaded_files, play AS play_id FROM win w LEFT JOIN s USING (session_id, turn) LEFT JOIN lst USING (session_id, turn)""")
 def _(spark, d):
-    r = provenance.bucket_frames(_source_frames(spark, d), i.replies(spark, d), settle_ms=600_000, width_ms=43_200_000)
+    r = provenance.bucket_frames(_source_frames(spark, d), i.replies(spark, d), settle_ms=600_000)
     return r.select("session_id", "turn", F.array_join("file_ids", ",").alias("file_ids"), F.array_join("loaded_files", ",").alias("loaded_files"), "play_id")
 
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegralType, StructType
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -39,10 +39,11 @@ class Machine(Protocol):
 class InOrder(StatefulProcessor):
     """``columns`` after the key: the order columns, then the rest; ``at`` (event time in ms) is one of them."""
 
-    def __init__(self, machine: Callable[[tuple | None], Machine], order: Sequence[str], columns: Sequence[str], order_type: str, rest_type: str, state: str, out: Sequence[str]):
+    def __init__(self, machine: Callable[[tuple | None], Machine], order: Sequence[str], columns: Sequence[str], order_type: StructType, rest_type: StructType, state: str, out: Sequence[str]):
         self.machine, self.order, self.rest, self.out = machine, list(order), [c for c in columns if c not in order], list(out)
         self.order_type, self.rest_type, self.state = order_type, rest_type, state
         self.at = self.order.index("at")
+        self.whole = [isinstance(f.dataType, IntegralType) for f in (*order_type, *rest_type)]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -70,7 +71,7 @@ class InOrder(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for batch in rows:
             for row in batch[[*self.order, *self.rest]].itertuples(index=False, name=None):
-                plain = tuple(_plain(v) for v in row)
+                plain = tuple(map(_plain, row, self.whole))
                 self.waiting.updateValue(plain[:len(self.order)], plain[len(self.order):])
         self._next(self._machine(), timerValues.getCurrentWatermarkInMs())
         yield pd.DataFrame([], columns=self.out, dtype=object)
@@ -94,13 +95,13 @@ class InOrder(StatefulProcessor):
         pass
 
 
-def _plain(v: Any) -> Any:
-    """A cell as state takes it: missing values as None, arrays as lists, numpy numbers as numbers."""
+def _plain(v: Any, whole: bool) -> Any:
+    """A cell as state takes it: missing values as None, arrays as lists, whole numbers whole (pandas makes a column with gaps a float one)."""
     if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
         return None
     if hasattr(v, "tolist"):
-        return v.tolist()
-    return v
+        v = v.tolist()
+    return int(v) if whole else v
 
 
 def in_order(rows: DataFrame, key: str, order: Sequence[str], machine: Callable[[tuple | None], Machine], state: str, output: str) -> DataFrame:

@@ -94,7 +94,7 @@ def test_interval_joins(spark):
     got = [(r["i"], r["j"], r["overlap_start"], r["overlap_end"]) for r in intervals.overlaps(adf, bdf, ["k"], ("s", "e"), ("bs", "be"), 16).collect()]
     want = [(i, j, max(s, x), min(e, y)) for i, s, e in a for j, x, y in b if s < y and x < e]
     assert sorted(got) == sorted(want)
-    pts = intervals.points_in(adf.select("k", "i", "s"), bdf, ["k"], "s", "bs", "be", 16).select("i", "j").collect()
+    pts = intervals.points_in(adf.select("k", "i", "s"), bdf, ["k"], "s", "bs", "be").select("i", "j").collect()
     assert sorted(map(tuple, pts)) == sorted((i, j) for i, s, _ in a for j, x, y in b if x <= s <= y)
 
 
@@ -114,3 +114,17 @@ def test_seeded_order_is_reproducible(spark):
     first = o.hash_ordinal(df, [], "h", "id", "n").orderBy("n").select("id").collect()
     second = o.hash_ordinal(df.repartition(7), [], "h", "id", "n").orderBy("n").select("id").collect()
     assert first == second and [r["id"] for r in first] != list(range(500))
+
+
+def test_points_in_forms_few_candidates(spark):
+    """A hot key with spans of all lengths: candidates stay within a small factor of the matches."""
+    rnd = random.Random(3)
+    spans = [("hot", j, s, s + rnd.choice((0, 3, 50, 900, 20_000))) for j, s in enumerate(rnd.sample(range(0, 200_000), 400))] + [("cold", 900, -5_000, -100)]
+    points = [("hot" if k % 50 else "cold", k, rnd.randrange(-6_000, 200_000)) for k in range(4000)]
+    sdf, pdf = spark.createDataFrame(spans, "k string, j int, a bigint, b bigint"), spark.createDataFrame(points, "k string, i int, at bigint")
+    got = intervals.points_in(pdf, sdf, ["k"], "at", "a", "b")
+    want = sorted((i, j) for k, i, at in points for kk, j, a, b in spans if k == kk and a <= at <= b)
+    assert sorted((r.i, r.j) for r in got.select("i", "j").collect()) == want
+    sized = sdf.selectExpr("k", "a", "b", "length(bin(b - a)) AS c").collect()
+    formed = sum(1 for k, _, at in points for s in sized if s.k == k and s.a >> s.c <= at >> s.c <= s.b >> s.c)
+    assert formed <= 6 * len(want) and formed < len(points) * len(spans) / 20
