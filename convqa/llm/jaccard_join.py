@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from convqa.llm import bloom, shingles
 from convqa.llm.arrow import small_batches
 from convqa.llm.graph import components
-from convqa.session import materialize, scratch_path
+from convqa.session import discard, materialize, scratch_path
 
 FREQUENT = 1 << 20
 CHUNK = 2_000_000

@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from convqa.session import materialize
+from convqa.session import discard, materialize
 
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
@@ -78,30 +78,29 @@ def source_targets(sized: DataFrame, cycle: Sequence[float] = (1.0, 2.0, 3.0), s
     return known.select("source", "source_size", "source_docs", "weight", target.cast("double").alias("target"))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", size: Column | None = None, quality: Column | None = None, seed: int = 7,
-        cycle: Sequence[float] = (1.0, 2.0, 3.0), share: float = 1.0, stop: float = 3.0, bucket_docs: int = 50_000, row: str | None = None) -> DataFrame:
-    """One row per document: ``key, source, size, source_size, target, copies, taken``.
+ORDER = ("draw", "tie", "tie2", "size")
 
-    ``copies`` is how often the whole document is read; ``taken = copies * size``. The document that crosses the budget is
-    taken when that brings its source nearer to the target, and never more than ``stop`` times. ``row`` may name a column
-    that tells rows of equal ``key`` apart; it is carried to the result.
-    """
-    spark = docs.sparkSession
-    size = word_count(F.col("text")) if size is None else size
-    quality = quality_weight(F.col("text")) if quality is None else quality
-    # 52 bits of the hash give a number strictly between 0 and 1
-    content = F.xxhash64("text") if "text" in docs.columns else F.lit(0).cast("long")
+
+def _draws(key: str, seed: int, text: bool, quality: Column) -> list[Column]:
+    """Exponential key of a row and what tells rows of equal keys apart; rows without an id draw by their text."""
+    content = F.xxhash64("text") if text else F.lit(0).cast("long")
     number = F.when(F.col(key).isNull(), F.xxhash64(content, F.lit(seed))).otherwise(F.xxhash64(F.col(key), F.lit(seed)))
+    # 52 bits of the hash give a number strictly between 0 and 1
     u = (F.shiftrightunsigned(number, 12).cast("double") + 0.5) / float(1 << 52)
-    carried = [key] if row is None else [key, row]
-    ties = [F.col(key).cast("string").alias("tie"), content.alias("tie2")]
-    sized = materialize(docs.select(*[F.col(c) for c in carried], "source", size.alias("size"), (-F.log(u) / quality).alias("draw"), *ties), "sized")
+    return [(-F.log(u) / quality).alias("draw"), F.col(key).cast("string").alias("tie"), content.alias("tie2")]
+
+
+def _decided(docs: DataFrame, carried: Sequence[str], size: Column, draws: Sequence[Column], cycle: Sequence[float], share: float, stop: float, bucket_docs: int) -> DataFrame:
+    """``carried, source, size, draw, tie, tie2, source_size, target, epochs, fits`` of every row."""
+    spark = docs.sparkSession
+    sized = materialize(docs.select(*[F.col(c) for c in carried], "source", size.alias("size"), *draws), "sized")
     targets = materialize(source_targets(sized, cycle, share, stop), "targets")
     rows = int(targets.agg(F.sum("source_docs")).first()[0] or 0)
-    order = ["draw", "tie", "size", "tie2", *carried[1:]]
+    order = [*ORDER, *carried[1:]]
     # A range is one task's part of the sorted table, so neither a hot source nor a draw that many documents come near fills one.
     parts = max(1, -(-rows // bucket_docs), int(spark.conf.get("spark.sql.shuffle.partitions")) if rows > bucket_docs else 1)
     placed = materialize(sized.repartitionByRange(parts, "source", *order).withColumn("range", F.spark_partition_id()), "ranges")
+    discard(spark, sized)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     facts = targets.select(
         F.col("source").alias("__source"), "source_size", "target", epochs.alias("epochs"), (F.col("target") - epochs * F.col("source_size")).alias("rest"))
@@ -116,6 +115,46 @@ def mix(docs: DataFrame, key: str = "doc_id", size: Column | None = None, qualit
     sofar = F.col("before") + F.coalesce(inside, F.lit(0))
     # whole documents: in while their middle lies below the rest of the budget
     fits = (F.col("size") > 0) & (F.col("epochs") < stop) & (2 * sofar + F.col("size") <= 2 * F.col("rest"))
-    copies = F.when(F.col("size") > 0, F.col("epochs") + fits.cast("long")).otherwise(0)
-    return with_start.select(
+    return with_start.select(*carried, "source", *ORDER, "source_size", "target", "epochs", fits.alias("fits"))
+
+
+def mix(docs: DataFrame, key: str = "doc_id", size: Column | None = None, quality: Column | None = None, seed: int = 7,
+        cycle: Sequence[float] = (1.0, 2.0, 3.0), share: float = 1.0, stop: float = 3.0, bucket_docs: int = 50_000, row: str | None = None) -> DataFrame:
+    """One row per document: ``key, source, size, source_size, target, copies, taken``.
+
+    ``copies`` is how often the whole document is read; ``taken = copies * size``. The document that crosses the budget is
+    taken when that brings its source nearer to the target, and never more than ``stop`` times. ``row`` may name a column
+    that tells rows of equal ``key`` apart; it is carried to the result.
+    """
+    carried = [key] if row is None else [key, row]
+    size = word_count(F.col("text")) if size is None else size
+    quality = quality_weight(F.col("text")) if quality is None else quality
+    decided = _decided(docs, carried, size, _draws(key, seed, "text" in docs.columns, quality), cycle, share, stop, bucket_docs)
+    copies = F.when(F.col("size") > 0, F.col("epochs") + F.col("fits").cast("long")).otherwise(0)
+    return decided.select(
         *carried, "source", "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+
+
+def repeat(docs: DataFrame, row: str, key: str = "doc_id", seed: int = 7, cycle: Sequence[float] = (1.0, 2.0, 3.0), share: float = 1.0, stop: float = 3.0,
+           bucket_docs: int = 50_000) -> DataFrame:
+    """``docs`` with every row as often as :func:`mix` reads it. ``row`` tells rows apart and must come out alike at every reading.
+
+    Texts are not moved: within a source all rows up to some place in the order are in, the rest are out, but for a few that
+    still fit behind the first that did not. A row meets its source's place and those few, both small tables.
+    """
+    spark = docs.sparkSession
+    draws = _draws(key, seed, True, quality_weight(F.col("text")))
+    place = F.struct("draw", "tie", "tie2", row)
+    decided = _decided(docs, [key, row], word_count(F.col("text")), draws, cycle, share, stop, bucket_docs)
+    decided = materialize(decided.select(row, "source", "size", "epochs", "fits", place.alias("place")), "decided")
+    cuts = decided.groupBy("source").agg(F.max("epochs").alias("__epochs"), F.min(F.when((F.col("size") > 0) & ~F.col("fits"), F.col("place"))).alias("__out"))
+    cuts = materialize(cuts.withColumnRenamed("source", "__source"), "cuts")
+    late = decided.where("fits").join(cuts, F.col("source").eqNullSafe(F.col("__source"))).where(F.col("place") > F.col("__out")).select(F.col(row).alias("__late"))
+    late = materialize(late, "late")
+    discard(spark, decided)
+    drawn = docs.select("*", *draws).join(cuts, F.col("source").eqNullSafe(F.col("__source"))).join(late, F.col(row) == F.col("__late"), "left")
+    inside = F.col("__out").isNull() | (place < F.col("__out")) | F.col("__late").isNotNull()
+    spoken = F.coalesce(F.rlike(F.col("text"), F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
+    copies = F.when(spoken, F.col("__epochs") + inside.cast("long")).otherwise(F.lit(0).cast("long"))
+    counted = drawn.select(*docs.columns, copies.alias("__copies")).where("__copies > 0")
+    return counted.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), "__copies")).alias("__epoch")).select(*docs.columns)
