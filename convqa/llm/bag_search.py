@@ -34,6 +34,7 @@ from convqa.session import materialize
 
 TEXT_BYTES = 1 << 21
 PART = 256  # classes scored at a time
+BROADCAST_BYTES = 1 << 26
 LAST = np.iinfo(np.int64).max  # place of documents without an id
 IN_TERM = np.arange(256) >= 0x80
 for _first, _last in ((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A)):
@@ -228,8 +229,10 @@ def _rank_block(docs: DataFrame, asked: DataFrame, top: int) -> DataFrame:
     order = Window.partitionBy("item").orderBy(F.desc("score"), "first", "class")
     best = materialize(best.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= top).drop("__r"), "best")
 
-    # winning classes are at most top times the block's items
+    # winning classes are at most top times the block's items; they go to the documents where their bags are small enough
     won = materialize(classes.join(best.select("class").distinct(), "class", "left_semi").select("class", "hash", "m", "bag"), "won")
+    if (won.agg(F.sum(F.octet_length("bag") + 100)).first()[0] or 0) <= BROADCAST_BYTES:
+        won = F.broadcast(won)
     place = Window.partitionBy("class").orderBy(F.asc_nulls_last(key))
     members = measured.join(won, ["hash", "m", "bag"]).select("class", key).withColumn("__r", F.row_number().over(place)).where(F.col("__r") <= top)
     final = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last(key), "class", "__r")

@@ -2,8 +2,8 @@
 
 One global order of all shingles (rare ones by their number, frequent ones behind them by frequency) does two jobs. The first
 shingles of a text in that order (its prefix) must meet the prefix of any text it links with, which gives candidates; the
-order by number is cut into fragments, the overlap of a candidate pair is counted in each fragment on its own and the
-counts are summed. Texts with equal sets are one class from the start.
+order is cut by pivots into fragments (ranges of the rare shingles, and the frequent ones), the overlap of a candidate pair
+is counted in each fragment on its own and the counts are summed. Texts with equal sets are one class from the start.
 
 No group of texts is paired off. In a prefix list the ``leaders`` most central texts (fewest rarer shingles before the
 common one) meet all others. What a list still holds in different components after that is settled in rounds: texts
@@ -11,15 +11,17 @@ outside the list's largest component meet all texts of other components, until e
 used up. So each link
 between different texts is either found or lies inside a component that is already joined.
 
-Before sets are compared, bit sketches of the candidates (a bit per shingle, sixteen bits of room for each) rule out most pairs that
-miss the threshold; they never rule out a link.
+Before sets are compared, bit sketches of the candidates (a bit per shingle, four to eight bits of room for each) rule out most
+pairs that miss the threshold; they never rule out a link.
 
 Frequencies steer the order only: shingles repeated within a chunk of a task's texts are summed over all texts, and the
 most frequent, at most ``FREQUENT`` by construction, are sent to the tasks. The needed texts' ids go out as a Bloom filter of fixed size;
 its false positives cost time, not results.
 
 Defined results: null and empty texts have no shingles and are components of their own; rows with equal keys are one
-node; rows with a null key get a null component; other columns are ignored.
+node, linked to whatever one of their texts links with; rows with a null key get a null component and link nothing; an
+empty table gives no rows; ties cannot arise, as a component is named by its smallest key; a very long text is one set,
+held by one task at a time; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from convqa.llm import bloom, shingles
+from convqa.llm import bloom, rows, shingles
 from convqa.llm.arrow import small_batches
 from convqa.llm.graph import components
 from convqa.session import discard, materialize, scratch_path
@@ -40,7 +42,7 @@ FREQUENT = 1 << 20
 CHUNK = 2_000_000
 LATER_LEADERS = 1024
 TEXT_BYTES = 1 << 20  # texts hashed at a time; the arrays made of them take some hundred times as much
-FRAGMENT_BITS = 1
+FRAGMENTS = 4  # the last one holds the frequent shingles
 ROW = "kind int, a long, b long, c long, d long"
 
 
@@ -49,11 +51,11 @@ def _batch(kind: int, a, b: np.ndarray, c: np.ndarray, d: np.ndarray | None = No
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(c), kind, np.int32)), *made], names=["kind", "a", "b", "c", "d"])
 
 
-def _by_kind(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+def _by_kind(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame, str]:
     path = scratch_path(df.sparkSession, name)
     df.write.partitionBy("kind").parquet(path)
     read = df.sparkSession.read.schema(ROW).option("basePath", path).parquet(path)
-    return read.where("kind = 0").drop("kind"), read.where("kind = 1").drop("kind")
+    return read.where("kind = 0").drop("kind"), read.where("kind = 1").drop("kind"), path
 
 
 def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
@@ -168,29 +170,35 @@ def _first_round(rows: DataFrame, percent: int, leaders: int) -> DataFrame:
     return rows.mapInArrow(run, ROW)
 
 
-def _fragments(docs: DataFrame, words: int, ids: DataFrame) -> DataFrame:
-    """key, fragment, codes (packed sorted numbers) of the texts whose ids may be among ``ids``."""
-    shift = np.uint64(64 - FRAGMENT_BITS)
+def _fragments(docs: DataFrame, words: int, ids: DataFrame, frequent) -> DataFrame:
+    """key, fragment, codes (packed sorted numbers) of the texts whose ids may be among ``ids``.
+
+    Pivots of the global order: rare shingles, whose numbers are evenly spread, by equal ranges; frequent ones behind them.
+    """
+    pivots = np.array([(k << 64) // (FRAGMENTS - 1) for k in range(1, FRAGMENTS - 1)], np.uint64)
     table = docs.sparkSession.sparkContext.broadcast(bloom.of_ids(ids, "key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = frequent.value[0]
         for part in small_batches((bloom.hits(b, table.value) for b in batches), 1, TEXT_BYTES):
             code, begins = shingles.sets_of(part.column(1), words)
             keys, frags, blobs = [], [], []
             for k, key in enumerate(part.column(0).to_pylist()):
                 own = code[begins[k]:begins[k + 1]]
-                cuts = np.searchsorted(own >> shift, np.arange((1 << FRAGMENT_BITS) + 1, dtype=np.uint64))
-                for f in range(1 << FRAGMENT_BITS):
+                often = np.isin(own, common, assume_unique=True) if len(common) else np.zeros(len(own), bool)
+                rare = own[~often]
+                cuts = [0, *np.searchsorted(rare, pivots), len(rare)]
+                for f in range(FRAGMENTS):
                     keys.append(key)
                     frags.append(f)
-                    blobs.append(own[cuts[f]:cuts[f + 1]].tobytes())
+                    blobs.append((own[often] if f == FRAGMENTS - 1 else rare[cuts[f]:cuts[f + 1]]).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(frags, pa.int32()), pa.array(blobs, pa.binary())], names=["key", "frag", "codes"])
 
-    return bloom.hashed(docs, "key").mapInArrow(run, "key long, frag int, codes binary")
+    return bloom.hashed(docs, "key").mapInArrow(run, "key long, frag int, codes binary").where(F.octet_length("codes") > 0)
 
 
 def _sketches(docs: DataFrame, words: int, ids: DataFrame) -> DataFrame:
-    """key, bits: sixteen bits or more per shingle, one of them set by each, of the texts whose ids may be among ``ids``."""
+    """key, bits: four bits or more per shingle, one of them set by each, of the texts whose ids may be among ``ids``."""
     table = docs.sparkSession.sparkContext.broadcast(bloom.of_ids(ids, "key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +207,7 @@ def _sketches(docs: DataFrame, words: int, ids: DataFrame) -> DataFrame:
             blobs = []
             for k in range(part.num_rows):
                 own = code[begins[k]:begins[k + 1]]
-                size = 1 << max(6, int(16 * len(own) - 1).bit_length())
+                size = 1 << max(6, int(4 * len(own) - 1).bit_length())
                 bits = np.zeros(size, bool)
                 bits[(own & np.uint64(size - 1)).astype(np.int64)] = True
                 blobs.append(np.packbits(bits).tobytes())
@@ -250,13 +258,11 @@ def _links(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
                     out[k] = np.count_nonzero(y[at] == x)
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(5)] + [pa.array(out)], names=["a", "b", "na", "nb", "frag", "part"])
 
-    cut = pairs.withColumn("frag", F.explode(F.lit(list(range(1 << FRAGMENT_BITS)))))
+    cut = pairs.withColumn("frag", F.explode(F.lit(list(range(FRAGMENTS)))))
     first = cut.join(fragments.select(F.col("key").alias("a"), "frag", F.col("codes").alias("x")), ["a", "frag"])
     second = first.join(fragments.select(F.col("key").alias("b"), "frag", F.col("codes").alias("y")), ["b", "frag"])
     parts = second.select("a", "b", "na", "nb", "frag", "x", "y").mapInArrow(run, "a long, b long, na long, nb long, frag int, part long")
-    # rows that are repeated in the input give the same count of a fragment again
-    once = parts.groupBy("a", "b", "na", "nb", "frag").agg(F.max("part").alias("part"))
-    total = once.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("both"))
+    total = parts.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("both"))
     return total.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
@@ -302,9 +308,34 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
 
     Two texts link when the Jaccard similarity of their sets of ``words``-word shingles is at least ``percent`` hundredths.
     """
+    named = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
+    if named.where("key is not null").groupBy("key").count().where("count > 1").isEmpty():
+        found = _linked(named, words, percent, leaders)
+    else:
+        found = _rows_of_equal_keys(docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text")), words, percent, leaders)
+    return found.select(F.col("key").alias(key), "n_shingles", "component_id")
+
+
+def _rows_of_equal_keys(docs: DataFrame, words: int, percent: int, leaders: int) -> DataFrame:
+    """The same when keys repeat: rows are linked one by one, and then rows of one key with each other."""
+    each = rows.numbered(docs, ["key", "text"])
+    apart = _linked(each.select(F.when(F.col("key").isNotNull(), F.col("__row")).alias("key"), "text"), words, percent, leaders)
+    apart = apart.where("key is not null").select(F.col("key").alias("__row"), "n_shingles", F.col("component_id").alias("part"))
+    found = materialize(each.where("key is not null").select("__row", "key").join(apart, "__row"), "rows")
+    least = found.groupBy("key").agg(F.min("part").alias("least"))
+    bridges = found.join(least, "key").where(F.col("part") != F.col("least")).select(F.col("part").alias("a"), F.col("least").alias("b")).distinct()
+    labels = materialize(components(bridges), "labels")
+    joined = materialize(found.join(labels.withColumnRenamed("node", "part"), "part", "left").withColumn("part", F.coalesce("component", "part")).drop("component"), "rows")
+    smallest = joined.groupBy("part").agg(F.min("key").alias("component_id"))
+    with_key = joined.join(smallest, "part").select("key", "n_shingles", "component_id")
+    nameless = docs.where("key is null")
+    return with_key.unionByName(_described(nameless, words).where("kind = 0").select(F.col("a").alias("key"), F.col("d").alias("n_shingles"), F.col("a").alias("component_id")))
+
+
+def _linked(docs: DataFrame, words: int, percent: int, leaders: int) -> DataFrame:
+    """``key, n_shingles, component_id`` of ``key, text`` with distinct keys (null ones aside)."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    sizes, repeated = _by_kind(_described(docs, words), "described")
+    sizes, repeated, _ = _by_kind(_described(docs, words), "described")
     sizes = sizes.select(F.col("a").alias("key"), F.col("b").alias("s1"), F.col("c").alias("s2"), F.col("d").alias("n"))
     counted = materialize(repeated.groupBy(F.col("a").alias("code")).agg(F.sum("b").alias("n")), "repeated")
     total = counted.agg(F.sum("n")).first()[0] or 0
@@ -321,7 +352,7 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     usable = docs.where(F.col("key").isNotNull() & F.col("text").isNotNull())
     place, size = F.col("packed").bitwiseAND(0xFFFFFFFF), F.shiftright("packed", 32)
     spread = _prefixes(usable, words, percent, frequent).repartition("token").sortWithinPartitions("token", place / size, "key")
-    raw_pairs, raw_open = _by_kind(_first_round(spread, percent, leaders), "first")
+    raw_pairs, raw_open, first_round = _by_kind(_first_round(spread, percent, leaders), "first")
 
     def as_classes(rows: DataFrame, name: str) -> DataFrame:
         mapped = rows.join(copies.select(F.col("key").alias(name), F.col("rep").alias("__rep")), name, "left")
@@ -337,12 +368,15 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     pairs = materialize(ordered_pairs(as_classes(as_classes(pairs, "a"), "b")), "pairs")
     rest = as_classes(raw_open.select(F.col("a").alias("token"), F.col("b").alias("key"), F.col("c").alias("packed")), "key").distinct()
     rest = materialize(rest.select("token", "key", size.alias("n"), place.alias("i")), "open")
+    discard(spark, first_round)
     def ids_of(some: DataFrame) -> DataFrame:
         return some.select(F.col("a").alias("key")).union(some.select(F.col("b").alias("key"))).distinct()
 
     sketches = materialize(_sketches(usable, words, ids_of(pairs).union(rest.select("key")).distinct()).join(copies, "key", "left_anti"), "sketches")
-    pairs = materialize(_possible(pairs, sketches, percent), "pairs")
-    fragments = _fragments(usable, words, ids_of(pairs)).join(copies, "key", "left_anti")
+    possible = materialize(_possible(pairs, sketches, percent), "pairs")
+    discard(spark, pairs)
+    pairs = possible
+    fragments = _fragments(usable, words, ids_of(pairs), frequent).join(copies, "key", "left_anti")
     links = materialize(_links(pairs, fragments, percent), "links")
     labels = materialize(components(links), "labels")
 
@@ -350,6 +384,7 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
         named = rest.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
         split = named.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
         named = materialize(named.join(split, "token", "left_semi"), "open")
+        discard(spark, rest)
         if named.isEmpty():
             break
         per = named.groupBy("token", "component").agg(F.count("*").alias("members"))
@@ -358,18 +393,19 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
         first = F.row_number().over(Window.partitionBy("token").orderBy(F.col("i") / F.col("n"), "key"))
         lead = materialize(outside.withColumn("__r", first).where(F.col("__r") <= LATER_LEADERS).select("token", "key", F.lit(True).alias("lead")), "leaders")
         lists = named.groupBy("key").agg(F.sort_array(F.collect_set("token")).alias("tokens"))  # no longer than a text's prefix
-        shown = named.join(lead, ["token", "key"], "left").join(sketches.dropDuplicates(["key"]), "key").join(lists, "key")
+        shown = named.join(lead, ["token", "key"], "left").join(sketches, "key").join(lists, "key")
         rows = shown.select("token", F.coalesce("lead", F.lit(False)).alias("lead"), "key", "n", "i", "component", "bits", "tokens")
         ordered = rows.repartition("token").sortWithinPartitions("token", F.desc("lead"), F.col("i") / F.col("n"), "key")
         more = materialize(_later_round(ordered, percent).distinct(), "pairs")
-        rest = named.drop("component").join(lead.select("token", "key"), ["token", "key"], "left_anti")
+        rest = materialize(named.drop("component").join(lead.select("token", "key"), ["token", "key"], "left_anti"), "open")
+        discard(spark, named, lead)
         if more.isEmpty():
             continue
-        found = materialize(_links(more, _fragments(usable, words, ids_of(more)).join(copies, "key", "left_anti"), percent), "links")
+        found = materialize(_links(more, _fragments(usable, words, ids_of(more), frequent).join(copies, "key", "left_anti"), percent), "links")
         if not found.isEmpty():
             links = links.union(found)
             labels = materialize(components(links), "labels")
 
     joined = sizes.join(classes.select("s1", "s2", "n", "rep"), ["s1", "s2", "n"], "left")
     joined = joined.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    return joined.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("key").isNotNull(), F.coalesce("component", "rep", "key")).alias("component_id"))
+    return joined.select("key", F.col("n").alias("n_shingles"), F.when(F.col("key").isNotNull(), F.coalesce("component", "rep", "key")).alias("component_id"))

@@ -69,3 +69,33 @@ def test_edges(spark):
     rows += [(7, far), (7, far), (8, near), (8, near)]
     got = [r for r in jaccard_join.linked(spark.createDataFrame(rows, schema)).collect() if r.doc_id not in (7, 8) or r.component_id != r.doc_id]
     assert sorted((r.doc_id or -1, r.n_shingles, r.component_id) for r in got) == [(-1, 2, None), (1, 0, 1), (2, 2, 2), (2, 2, 2), (5, 2, 2)]
+
+
+def test_equal_ids_with_different_texts(spark):
+    """A key links with whatever one of its texts links with, wherever its other texts stand."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (9, b + " tail"), (9, None), (12, c), (12, c), (None, b), (None, None), (20, c + " more words"), (30, "alone"), (30, "")]
+    got = sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in jaccard_join.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    want = [(1, 57, 1), (5, 57, 1), (5, 57, 1), (9, 58, 1), (9, 0, 1), (12, 57, 12), (12, 57, 12), (-1, 57, -1), (-1, 0, -1), (20, 59, 12), (30, 1, 30), (30, 0, 30)]
+    assert got == sorted(want)
+
+
+def test_equal_ids_against_all_pairs(spark):
+    rows = [(k % 90, t) for k, (_, t) in enumerate(corpus(5, 160))]
+    per_row = plain(list(enumerate(t for _, t in rows)))
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for i, (key, _) in enumerate(rows):
+        x, y = find(("key", key)), find(("part", per_row[i][1]))
+        root[x] = y
+    least = {}
+    for key, _ in rows:
+        least[find(("key", key))] = min(key, least.get(find(("key", key)), key))
+    want = sorted((key, per_row[i][0], least[find(("key", key))]) for i, (key, _) in enumerate(rows))
+    got = jaccard_join.linked(spark.createDataFrame(rows, "doc_id long, text string"), leaders=2).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
