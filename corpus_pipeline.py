@@ -5,14 +5,11 @@ Each stage works on whole texts of all rows that the stage before kept. All but
 
 from __future__ import annotations
 
-import itertools
-
 import public_tokenizers
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convqa.llm import jaccard_join, mixing, pseudonyms, quality_rules, sentencepiece_bpe
+from convqa.llm import jaccard_join, mixing, pseudonyms, quality_rules, rows, sentencepiece_bpe
 from convqa.session import discard, materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -31,29 +28,13 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", F.col("cleaned").alias("text"), "lang", "source", F.length("cleaned").cast("long").alias("n_chars"))
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """Columns of documents and ``__row``, a number that tells rows apart and comes out alike at every reading.
-
-    Rows of files are named by their file and place, so nothing is written; should two of them share a hash, another seed is
-    taken. Rows that come from elsewhere are written once with a running number.
-    """
-    try:
-        placed = docs.select(*COLUMNS, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
-    except AnalysisException:
-        return materialize(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("__row")), "rows")
-    for seed in itertools.count():
-        keyed = placed.select(*COLUMNS, F.xxhash64("__file", "__at", F.lit(seed)).alias("__row"))
-        if keyed.groupBy("__row").count().where("count > 1").isEmpty():
-            return keyed
-
-
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of linked texts, the one with the smallest id; of equal ids the one with the smallest text hash.
 
     Texts link from similarity 0.8 over 5-word shingles on. Rows are told apart by a number of their own, so rows without
     an id or with the same id are compared like all others; an id comes last only when it is null.
     """
-    keyed = numbered(docs)
+    keyed = rows.numbered(docs, COLUMNS)
     groups = materialize(jaccard_join.linked(keyed, key="__row", words=5, percent=80).select("__row", "component_id"), "groups")
     alone = groups.groupBy("component_id").agg(F.count("*").alias("members")).where("members > 1").select("component_id")
     shared = groups.join(alone, "component_id", "left_semi")
@@ -76,7 +57,7 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix reads it. Rows are told apart by a number of their own, so rows without an id or
     with the same id are weighed and taken one by one."""
-    return mixing.repeat(numbered(docs), "__row").select(*COLUMNS)
+    return mixing.repeat(rows.numbered(docs, COLUMNS), "__row").select(*COLUMNS)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
