@@ -17,7 +17,8 @@ def points_in(points: DataFrame, spans: DataFrame, keys: Sequence[str], at: str,
     and a point looks into one bucket per class that occurs (at most 64, few in practice). So what is formed before the test
     of the ends stays within a small factor of the matches, also where one key holds most rows, and each match appears once.
     """
-    sized = materialize(spans.withColumn("__class", F.length(F.bin(F.col(end) - F.col(start)))), "spans")
+    written = spans if "scratch" in vars(spans) else materialize(spans, "spans")
+    sized = written.withColumn("__class", F.length(F.bin(F.col(end) - F.col(start))))
     classes = sorted(r[0] for r in sized.select("__class").distinct().collect() if r[0] is not None)
     bucket = lambda c: F.expr(f"shiftright(cast(`{c}` as bigint), __class)")
     s = sized.withColumn("__bucket", F.explode(F.sequence(bucket(start), bucket(end))))

@@ -16,6 +16,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from convqa.session import materialize
+
 BLOCK = "__block"
 CARRY = "__carry"
 SUMMARY = "__summary"
@@ -220,21 +222,23 @@ def asof_both(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: s
 
 
 def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float, bucket: Column, name: str) -> DataFrame:
-    """Linear-interpolated quantile per key without holding a key's values in one task.
+    """Linear-interpolated quantile per key without holding or moving a key's values.
 
-    Equal values are counted first; bucket totals show which buckets hold the two ranks needed, and only
-    those buckets are ranked.
+    Rows are counted per ``bucket`` (a function of the value that never decreases), which combines before any shuffle. The
+    totals show which buckets hold the two ranks needed; in a second pass only rows of those buckets are counted by value.
+    The buckets wanted, two a key at most, are written, so that small ones go to the rows and not the rows to them.
     """
-    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n")).withColumn("__bucket", bucket)
+    known = df.where(F.col(value).isNotNull()).select(*keys, value, bucket.alias("__bucket"))
     by_bucket = Window.partitionBy(*keys).orderBy("__bucket")
-    totals = counts.groupBy(*keys, "__bucket").agg(F.sum("__n").alias("__in")).select(
+    totals = known.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__in")).select(
         *keys, "__bucket", "__in", F.coalesce(F.sum("__in").over(by_bucket.rowsBetween(*ALL_BEFORE)), F.lit(0)).alias("__below"),
         F.sum("__in").over(Window.partitionBy(*keys)).alias("__total"))
     at = (F.col("__total") - 1) * F.lit(q)
     holds = lambda rank: (F.col("__below") <= rank) & (rank < F.col("__below") + F.col("__in"))
-    wanted = totals.withColumn("__at", at).where(holds(F.floor("__at")) | holds(F.ceil("__at")))
+    wanted = materialize(totals.withColumn("__at", at).where(holds(F.floor("__at")) | holds(F.ceil("__at"))).drop("__in", "__total"), "wanted")
+    counts = known.join(wanted, [*keys, "__bucket"]).groupBy(*keys, "__bucket", "__below", "__at", value).agg(F.count(F.lit(1)).alias("__n"))
     inside = Window.partitionBy(*keys, "__bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.join(wanted, [*keys, "__bucket"]).withColumn("__upto", F.col("__below") + F.sum("__n").over(inside))
+    ranked = counts.withColumn("__upto", F.col("__below") + F.sum("__n").over(inside))
     return ranked.groupBy(*keys).agg(
         F.min(F.when(F.col("__upto") > F.floor("__at"), F.col(value))).alias("__lo"), F.min(F.when(F.col("__upto") > F.ceil("__at"), F.col(value))).alias("__hi"),
         F.first(F.col("__at") - F.floor("__at")).alias("__frac"),
