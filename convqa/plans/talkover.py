@@ -244,6 +244,23 @@ def _(spark, d):
     return f.groupBy("call", "channel").agg(F.count("frame").alias("frames"), F.count_if("voiced").alias("voiced"), F.round(F.max("db"), 1).alias("loudest_db"))
 
 
+LEVELS = f"""{i.TURNS}, sp AS (SELECT conv_id, ord, speaker = 'customer' AS human, length(text) % 40 + 40 AS n FROM turns WHERE speaker IN ('agent', 'customer')),
+smp AS (SELECT human, f, 0.1::DOUBLE * list_sum([sin(2 * pi() * h * (CASE WHEN human THEN 130 ELSE 190 END) * ((f * 160 + s) / 8000.0::DOUBLE)) / sqrt(h::DOUBLE) FOR h IN [1, 2, 3, 4, 5, 6, 7, 8]]) AS x
+  FROM (SELECT unnest([true, false]) AS human), (SELECT unnest(range(80)) AS f), (SELECT unnest(range(160)) AS s)),
+lev AS (SELECT human, f, 20 * log10(sqrt(avg(pow(trunc(greatest(-1, least(1, x)) * 32000) / 32768.0::DOUBLE, 2))) + 1e-12) AS db FROM smp GROUP BY 1, 2),
+top AS (SELECT conv_id, human, max(db) AS db FROM sp JOIN lev USING (human) WHERE f < n GROUP BY 1, 2),
+len AS (SELECT conv_id, (max(ord) + 2) * 60 AS frames FROM sp GROUP BY 1)
+SELECT 'c' || len.conv_id AS call, channel, frames, round(coalesce(db, 20 * log10(1e-12::DOUBLE)), 1) AS loudest_db
+FROM len CROSS JOIN (SELECT unnest([0, 1]) AS channel) LEFT JOIN top ON top.conv_id = len.conv_id AND top.human = (channel = 0)"""  # channel 0 is the human's
+
+
+@query("m1_frame_levels", f"WITH {LEVELS}")
+def _(spark, d):
+    """Number and levels of the frames, which follow from the formula that rendered the recordings."""
+    f = audio.frames(recordings(spark, d), CFG)
+    return f.groupBy("call", "channel").agg(F.count("frame").alias("frames"), F.round(F.max("db"), 1).alias("loudest_db"))
+
+
 @query("a10_recording_report")
 def _(spark, d):
     # the frame table is read several times; the written copy spares the second pass over the audio

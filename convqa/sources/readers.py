@@ -51,6 +51,17 @@ def _json(spark: SparkSession, root: str, schema: str | StructType, glob: str =
     return read.withColumn("path", F.when(F.col(BROKEN).isNull(), F.col("path")).otherwise(problem)).drop(BROKEN)
 
 
+def unquoted_path() -> Column:
+    return _path()
+
+
+def unquoted(name: str) -> str:
+    """A folder name as partitions write it, without its escapes."""
+    from urllib.parse import unquote
+
+    return unquote(name)
+
+
 def _folder(c: Column, up: int) -> Column:
     return F.element_at(F.split(c, "/"), -up)
 
@@ -178,7 +189,7 @@ def read_flow_replies(spark: SparkSession, folder: str, glob: str = "*.json") ->
 
     Three forms are accepted: an object with ``flows``, one scenario, or an array of scenarios.
     """
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(folder)
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(folder, wholetext=True)
     raw = raw.select(_folder(_path(), 1).alias("file"), _path().alias("path"), "value")
     tested = raw.withColumn("ok", F.try_parse_json("value").isNotNull())
     bad = tested.where(~F.col("ok")).select("file", "path")
@@ -235,7 +246,7 @@ def read_labelled_transcripts(spark: SparkSession, folder: str) -> DataFrame:
     """Text files of ``AGENT:`` / ``CUSTOMER:`` lines to turns (``conv_id`` = file name)."""
     from convqa.operators.transcripts import parse_labelled
 
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(folder)
+    raw = spark.read.option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
     return parse_labelled(raw.select(F.regexp_replace(_folder(_path(), 1), "\\.txt$", "").alias("conv_id"), F.col("value").alias("reply")))
 
 

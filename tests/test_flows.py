@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 
 from convqa.operators import flows, questions, sessions
-from convqa.sources import readers, writers
+from convqa.sources import arrays, readers, writers
 
 RECORD = "ord bigint, pair_id string, language string, topic string, sub_topic string, question string, expected_answer string, chunk_ids array<string>"
 
@@ -140,3 +140,41 @@ def test_what_cannot_be_read_is_said(spark, tmp_path):
     (tmp_path / "b" / "x.json").write_text('{"id": "Q1"}\n{"id": "Q2"')
     with pytest.raises(Exception, match="not a record of this kind"):
         readers.read_questions(spark, str(tmp_path / "b")).collect()
+
+
+def test_indented_replies_and_transcripts_are_read_whole(spark, tmp_path):
+    put(tmp_path / "r" / "a.json", {"flows": [{"id": "x", "flow_id": "F", "mode": "full_dump"}, {"id": "y", "flow_id": "F"}]}, 2)
+    put(tmp_path / "r" / "b.json", [{"id": "z", "flow_id": "G"}], 4)
+    (tmp_path / "r" / "c.json").write_text("{\n no")
+    good, bad = readers.read_flow_replies(spark, str(tmp_path / "r"))
+    assert sorted(r.id for r in good.collect()) == ["x", "y", "z"] and [r.file for r in bad.collect()] == ["c.json"]
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "one.txt").write_text("AGENT: hi\n\nCUSTOMER: yes\n2. BANK: so\n")
+    got = readers.read_labelled_transcripts(spark, str(tmp_path / "t")).orderBy("ord").collect()
+    assert [tuple(r) for r in got] == [("one", 0, "AGENT", "hi"), ("one", 1, "CUSTOMER", "yes"), ("one", 2, "AGENT", "so")]
+
+
+TRICKY = ['a "}" b', "]} , [{", '\\"}{', "\\\\", "é漢}字{", "", "}" * 30, '"', "line\nbreak }", "{[" * 5]
+
+
+@pytest.mark.parametrize("indent", [None, 2])
+def test_array_cut_at_braces(spark, tmp_path, indent):
+    """Splits of some hundred bytes fall inside strings, characters and nested objects; every element comes out once."""
+    rows = [{"id": f"r{k}", "text": TRICKY[k % len(TRICKY)] * (k % 4), "steps": [{"stimulus": TRICKY[(k * 3) % len(TRICKY)]}] * (k % 3)} for k in range(400)]
+    (tmp_path / "one.json").write_text(json.dumps(rows, indent=indent, ensure_ascii=False))
+    (tmp_path / "two.json").write_text(json.dumps(rows[0]))
+    (tmp_path / "three.json").write_text(json.dumps(rows[:2]) + "\n\n")
+    (tmp_path / "four.json").write_text(json.dumps({"id": "last", "steps": [{"stimulus": "x"}]}) + "\n")
+    (tmp_path / "none.json").write_text("[ ]\n")
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700"), spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = arrays.read_json_array(spark, str(tmp_path), "id string, text string, steps array<struct<stimulus:string>>")
+        assert arrays.pieces(spark, str(tmp_path), "one.json").rdd.getNumPartitions() > 20
+        found = [(r.path.rsplit("/", 1)[1], r.id, r.text, tuple(s.stimulus for s in r.steps or ())) for r in got.collect()]
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    want = [("one.json", r["id"], r["text"], tuple(s["stimulus"] for s in r["steps"])) for r in rows] + [("two.json", "r0", "", ())]
+    want += [("three.json", r["id"], r["text"], tuple(s["stimulus"] for s in r["steps"])) for r in rows[:2]] + [("four.json", "last", None, ("x",))]
+    assert sorted(found, key=str) == sorted(want, key=str)
