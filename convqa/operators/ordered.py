@@ -150,10 +150,10 @@ def stretches(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns:
     return _done(joined.withColumn(name, count), df, "__start")
 
 
-def nearest_both(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, before: str, after: str, block: Column) -> DataFrame:
+def nearest_both(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, before: str, after: str, block: Column | None = None) -> DataFrame:
     """``last_seen`` and ``next_seen`` in one pass."""
     known = F.when(value.isNotNull(), F.struct(*order))
-    work = df.withColumn(BLOCK, block)
+    work = df if BLOCK in df.columns else df.withColumn(BLOCK, block)
     per_block = work.groupBy(*keys, BLOCK).agg(F.min_by(value, known).alias("__first"), F.max_by(value, known).alias("__last"))
     over_blocks = Window.partitionBy(*keys).orderBy(BLOCK)
     carried = per_block.select(
@@ -190,8 +190,26 @@ def _with_left(r: DataFrame, left: DataFrame, keys, left_at: str, side: int) ->
     return both.unionByName(l.select("*", F.lit(None).cast(r.schema["__right"].dataType).alias("__right"), F.lit(side).alias("__side")))
 
 
+BLOCK_LIMIT = 4 * DEFAULT_BLOCK_ROWS
+
+
+def limited_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, limit: int = BLOCK_LIMIT) -> DataFrame:
+    """``df`` with its block, no block of which has many more than ``limit`` rows.
+
+    Blocks of equal width serve while none is too full. Where a burst fills one, the table is written in ranges of about
+    equal numbers of rows, cut also between rows of equal ``order``, and the ranges are the blocks.
+    """
+    cut = with_block(df, block)
+    filled = cut.groupBy(*keys, BLOCK).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
+    if (filled[0] or 0) <= limit:
+        return cut
+    ranges = -(-2 * filled[1] // limit)
+    spread = df.withColumn("__spread", F.xxhash64(*df.columns)).repartitionByRange(int(ranges), *keys, *order, "__spread")
+    return materialize(spread.drop("__spread").withColumn(BLOCK, F.spark_partition_id().cast("bigint")), "ranges")
+
+
 def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str, right_at: str, payload: Sequence[str],
-         block_width: int, forward: bool, prefix: str = "asof_", tie: Sequence[str] = ()) -> DataFrame:
+         block_width: int, forward: bool, prefix: str = "asof_", tie: Sequence[str] = (), limit: int = BLOCK_LIMIT) -> DataFrame:
     """Nearest right row at or after (``forward``) or at or before each left row, per key.
 
     One union and one block scan instead of a range join. Left columns are kept; matched time and
@@ -200,14 +218,15 @@ def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str, r
     r = _unique_times(right, keys, right_at, dict(left.dtypes)[left_at], payload, tie, prefix)
     # At equal times the left row has to see the right row in either direction.
     both = _with_left(r.withColumn("__side", F.lit(1 if forward else 0)), left, keys, left_at, 0 if forward else 1)
+    both = limited_blocks(both, keys, ["__at", "__side"], blocks_of("__at", block_width), limit)
     scan = next_seen if forward else last_seen
-    found = scan(both, keys, ["__at", "__side"], F.col("__right"), "__hit", blocks_of("__at", block_width))
+    found = scan(both, keys, ["__at", "__side"], F.col("__right"), "__hit")
     return found.where(F.col("__left").isNotNull()).select(
         *[F.col(f"__left.{c}").alias(c) for c in left.columns], *[F.col(f"__hit.{prefix}{c}").alias(f"{prefix}{c}") for c in (right_at, *payload)])
 
 
 def asof_both(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str, right_at: str, payload: Sequence[str],
-              block_width: int, tie: Sequence[str] = ()) -> DataFrame:
+              block_width: int, tie: Sequence[str] = (), limit: int = BLOCK_LIMIT) -> DataFrame:
     """As-of in both directions in one pass; columns get the prefixes ``before_`` and ``after_``.
 
     Every right row is placed before and after left rows of its time, so an equal time counts both ways.
@@ -215,7 +234,8 @@ def asof_both(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: s
     r = _unique_times(right, keys, right_at, dict(left.dtypes)[left_at], payload, tie, "")
     twice = r.withColumn("__side", F.explode(F.array(F.lit(0), F.lit(2))))
     both = _with_left(twice, left, keys, left_at, 1)
-    found = nearest_both(both, keys, ["__at", "__side"], F.col("__right"), "__b", "__a", blocks_of("__at", block_width))
+    both = limited_blocks(both, keys, ["__at", "__side"], blocks_of("__at", block_width), limit)
+    found = nearest_both(both, keys, ["__at", "__side"], F.col("__right"), "__b", "__a")
     return found.where(F.col("__left").isNotNull()).select(
         *[F.col(f"__left.{c}").alias(c) for c in left.columns],
         *[F.col(f"__{p[0]}.{c}").alias(f"{p}_{c}") for p in ("before", "after") for c in (right_at, *payload)])

@@ -76,3 +76,23 @@ def test_thresholds_from_file():
     with pytest.warns(UserWarning, match="unknown config key"):
         cfg = load(AudioConfig, json.loads('{"interruption_seconds": 1.5, "note": "x", "voice_band_hz": [100, 200]}'))
     assert cfg.interruption_seconds == 1.5 and cfg.voice_band_hz == (100, 200) and cfg.hangover_frames == 7
+
+
+def test_replayed_batches_and_other_streams(spark, tmp_path):
+    """A batch run again replaces its rows; another stream of the judge scores only what is new; own batches are not read again."""
+    from convqa.streaming import scoring
+
+    out = str(tmp_path / "out")
+    schema = "session_id string, turn bigint, language string, question string, answer string, expected_answer string, source_chunks array<string>"
+    rows = [(f"s{k % 7}", k, "en", "what rate", "the rate is five", "five", ["rate five"]) for k in range(40)] + [(None, 1, "en", "q", None, "a", [])]
+    df = spark.createDataFrame(rows, schema)
+    part = lambda low, high: df.where(f"coalesce(turn, 0) between {low} and {high}")
+    run = lambda batch, n, writer: scoring.write_batch(batch, n, ev.overlap_judge(), out, writer)
+    stored = lambda: sorted((r.session_id or "", r.turn) for r in spark.read.parquet(out).collect())
+    run(part(0, 19), 0, "w1"), run(part(0, 19), 0, "w1"), run(part(20, 29), 1, "w1")
+    assert len(stored()) == 31 and len(set(stored())) == 31
+    run(part(10, 39), 0, "w2"), run(part(10, 39), 0, "w2")
+    assert len(stored()) == 41 and len(set(stored())) == 41
+    seen = scoring.others_done(spark.read.parquet(out), "judge", "w1", list(range(scoring.BUCKETS)), ["session_id", "turn"])
+    plan = seen._jdf.queryExecution().executedPlan().toString()
+    assert seen.count() == 10 and "NOT (writer" in plan.split("PartitionFilters", 1)[1]

@@ -128,3 +128,20 @@ def test_points_in_forms_few_candidates(spark):
     sized = sdf.selectExpr("k", "a", "b", "length(bin(b - a)) AS c").collect()
     formed = sum(1 for k, _, at in points for s in sized if s.k == k and s.a >> s.c <= at >> s.c <= s.b >> s.c)
     assert formed <= 6 * len(want) and formed < len(points) * len(spans) / 20
+
+
+def test_blocks_have_a_limit_in_a_burst(spark):
+    """Nearly all rows of one key fall into one block of time, many at the same instant; the result is that of small blocks."""
+    rnd = random.Random(5)
+    left = [("hot" if k % 10 else "cold", k, 1_000 if k % 3 else rnd.randrange(3_000)) for k in range(6000)]
+    right = [("hot" if k % 9 else "cold", f"r{k}", rnd.randrange(3_000)) for k in range(800)]
+    ldf, rdf = spark.createDataFrame(left, "k string, i int, t bigint"), spark.createDataFrame(right, "k string, name string, u bigint")
+    rows = lambda df: sorted(map(str, df.collect()))
+    small = rows(o.asof_both(ldf, rdf, ["k"], "t", "u", ["name"], 50))
+    assert rows(o.asof_both(ldf, rdf, ["k"], "t", "u", ["name"], 10**9, limit=500)) == small and len(small) == 6000
+    for forward in (True, False):
+        assert rows(o.asof(ldf, rdf, ["k"], "t", "u", ["name"], 10**9, forward, limit=300)) == rows(o.asof(ldf, rdf, ["k"], "t", "u", ["name"], 50, forward))
+    cut = o.limited_blocks(ldf, ["k"], ["t"], o.blocks_of("t", 10**9), 500)
+    assert cut.groupBy("k", o.BLOCK).count().agg(F.max("count")).first()[0] <= 700
+    ordered = cut.groupBy("k", o.BLOCK).agg(F.min("t").alias("a"), F.max("t").alias("b")).orderBy("k", o.BLOCK).collect()
+    assert all(x.b <= y.a for x, y in zip(ordered, ordered[1:]) if x.k == y.k)
