@@ -13,7 +13,9 @@ Queries and shards meet block by block (``block`` queries with one shard at a ti
 whatever the data; copies of one vector spread over the shards.
 
 Defined results: vectors that are null, zero, of another length than most, or that hold null or non-finite components take
-no part; with fewer candidates than ``top`` all are returned; ties go to the smaller id; a query never finds rows of its own id.
+no part; with fewer candidates than ``top`` all are returned; ties go to the smaller id; a query never finds rows of its own id;
+an empty table, and one without queries, gives no rows; equal rows are found once, rows of one id with other vectors are candidates of
+their own and as queries are answered together; other columns are ignored.
 """
 
 from __future__ import annotations

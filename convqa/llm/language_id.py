@@ -7,7 +7,8 @@ under which a prediction counts as rejected. Predicting multiplies embedding and
 over whole texts, inside Arrow batches; nothing is shuffled.
 
 Defined results: a null text and one without a letter get ``und`` with score 0 and are rejected; so does everything when
-nothing can be learned. Other columns pass through.
+nothing can be learned. A very long text is averaged whole, a batch of its own; repeated rows get the same prediction and each counts
+for the sample; an empty table gives no rows. Other columns pass through, those named like the result's are replaced.
 """
 
 from __future__ import annotations

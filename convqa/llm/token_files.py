@@ -5,8 +5,10 @@ documents; each block is searched for the end id with one vectorised comparison;
 summaries of a file (tokens, ends, last end) carries what lies before a block into it, so a document may begin many blocks before
 it ends. One block summary stands for a million tokens, so the scan sees few rows even for a very large file.
 
-Defined results: an empty document counts 0; tokens after the last end id are a document with ``closed`` false; a file without
-tokens has no documents.
+Defined results: an empty document counts 0, and so does a null text, which is written as an end id alone; tokens after the last
+end id are a document with ``closed`` false; a file without tokens has no documents and an empty table no files; repeated rows
+are documents of their own; a very long document lies in as many blocks as it needs; columns beside key and text are not read, so
+their names cannot clash.
 """
 
 from __future__ import annotations

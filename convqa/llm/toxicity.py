@@ -8,7 +8,8 @@ against the label. Scores are calibrated on a part of the sample that was kept b
 batches; nothing is shuffled.
 
 Defined results: null and empty texts get the score of a text without terms; without any label, or with one class only, every score
-is 0. Other columns pass through.
+is 0. A very long text is scored whole, a batch of its own; repeated rows score alike, labels of one id count once; an empty table gives
+no rows. Other columns pass through, those named like the result's are replaced.
 """
 
 from __future__ import annotations
