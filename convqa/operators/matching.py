@@ -12,6 +12,7 @@ from convqa.operators import transcripts
 from convqa.session import materialize
 
 DAY_MS = 86_400_000
+LIST_PAIRS = 4_000_000  # pairs that one token of one agent may form in a task
 
 
 def asof_conversation(calls: DataFrame, convs: DataFrame, skew_ms: int = CallConfig.call_match_skew_ms,
@@ -56,18 +57,19 @@ def _distinct_bags(counts: DataFrame, signed: DataFrame, owners: DataFrame) -> D
     return counts.join(one, "conv_id").select("agent_id", "sig", "size", "token", "n")
 
 
-def similar_contents(left: DataFrame, right: DataFrame, minimum: float) -> DataFrame:
+def similar_contents(left: DataFrame, right: DataFrame, minimum: float, limit: int = LIST_PAIRS) -> DataFrame:
     """Content pairs ``agent_id, sig, other, sim`` of one agent whose multiset Dice reaches ``minimum``.
 
-    Exact prefix and position filters. With tokens ordered from rare to frequent, two similar bags share
+    Exact prefix and position filters. With tokens ordered from rare to frequent among the agent's contents, two similar bags share
     an element among their first ``size - ceil(t * size / (2 - t)) + 1``; pairs without one are never
     formed. For the others, the tokens shared in both prefixes plus all that is left behind the last of
     them bound the overlap from above, and only pairs whose bound suffices are counted in full.
+    A token that many of an agent's contents have in their prefix is met block by block, each block a task's part.
     """
     elements = left.select("agent_id", "sig", "size", "token", "n", F.lit(0).alias("side")).unionByName(
         right.select("agent_id", "sig", "size", "token", "n", F.lit(1).alias("side")))
-    df = elements.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    keyed = elements.join(df, "token").withColumn("h", F.md5("token")).withColumn("rare", F.floor(F.log2("df")).cast("bigint"))
+    df = elements.groupBy("agent_id", "token").agg(F.count(F.lit(1)).alias("df"))
+    keyed = elements.join(df, ["agent_id", "token"]).withColumn("h", F.md5("token")).withColumn("rare", F.floor(F.log2("df")).cast("bigint"))
     # Rank by (rare, hash). Only large bags are cut, by the same pair, so small ones stay in one piece.
     cut = F.col("rare") * 16 + F.conv(F.substring("h", 1, 1), 16, 10).cast("bigint")
     block = F.when(F.col("size") < o.DEFAULT_BLOCK_ROWS, F.lit(0).cast("bigint")).otherwise(cut)
@@ -78,8 +80,16 @@ def similar_contents(left: DataFrame, right: DataFrame, minimum: float) -> DataF
     b = prefix.where("side = 1").select("agent_id", F.col("sig").alias("other"), F.col("size").alias("other_size"), "token", F.col("n").alias("n_b"), F.col("upto").alias("upto_b"))
     need = F.lit(minimum / 2) * (F.col("size") + F.col("other_size")) - 1e-9
     pair = ["agent_id", "sig", "size", "other", "other_size"]
+    met = ["agent_id", "token"]
+    lists = prefix.groupBy("agent_id", "token").agg(F.count_if(F.col("side") == 0).alias("na"), F.count_if(F.col("side") == 1).alias("nb"))
+    if (lists.agg(F.max(F.col("na") * F.col("nb"))).first()[0] or 0) > limit:
+        heavy = materialize(lists.where(F.col("na") * F.col("nb") > limit).select("agent_id", "token", F.ceil(F.col("na") * F.col("nb") / limit).alias("blocks")), "heavy")
+        cut = lambda df: df.join(heavy, ["agent_id", "token"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        a = cut(a).withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks"))).drop("blocks")
+        b = cut(b).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).drop("blocks")
+        met = [*met, "block"]
     pairs = (
-        a.join(b, ["agent_id", "token"]).where(F.least("size", "other_size") >= need).groupBy(*pair)
+        a.join(b, met).where(F.least("size", "other_size") >= need).groupBy(*pair)
         .agg(F.sum(F.least("n", "n_b")).alias("__shared"), F.max("upto").alias("__ua"), F.max("upto_b").alias("__ub"))
         .where(F.col("__shared") + F.least(F.col("size") - F.col("__ua"), F.col("other_size") - F.col("__ub")) >= need).select(*pair))
     shared = (

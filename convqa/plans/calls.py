@@ -101,15 +101,14 @@ VERDICT = """lat AS (SELECT *, CASE WHEN responded THEN latency_ms END AS l FROM
 
 
 @query("e6_latency_verdict", f"""WITH {i.CHECKS}, {VERDICT} SELECT session_id, max(l) AS max_ms, CAST(floor(avg(l) + 0.5) AS BIGINT) AS avg_ms, count(*) FILTER (WHERE l > 6000) AS slow_count,
-  coalesce(string_agg(clip || '=' || l, ',' ORDER BY clip, l) FILTER (WHERE l > 6000), '') AS slow, count(*) FILTER (WHERE l > 6000) > 0 AS warn, coalesce(max(l) > 9000, false) AS exceeded_max FROM lat GROUP BY 1""")
+  count(*) FILTER (WHERE l > 6000) > 0 AS warn, coalesce(max(l) > 9000, false) AS exceeded_max FROM lat GROUP BY 1""")
 def _(spark, d):
-    v = latency.verdict(i.checks(spark, d), CallConfig(reply_latency_max_ms=9000))
-    return v.withColumn("slow", F.array_join(F.transform("slow", lambda s: F.concat_ws("=", s["clip"], s["latency_ms"].cast("string"))), ","))
+    return latency.verdict(i.checks(spark, d), CallConfig(reply_latency_max_ms=9000))
 
 
-@query("c11_slow_replies", f"WITH {i.CHECKS} SELECT session_id, ord, latency_ms FROM checks WHERE responded AND latency_ms > 6000")
+@query("c11_slow_replies", f"WITH {i.CHECKS} SELECT session_id, ord, clip, latency_ms FROM checks WHERE responded AND latency_ms > 6000")
 def _(spark, d):
-    return latency.slow_replies(i.checks(spark, d)).select("session_id", "ord", "latency_ms")
+    return latency.slow_replies(i.checks(spark, d)).select("session_id", "ord", "clip", "latency_ms")
 
 
 @query("e4_session_results", f"""WITH {i.CHECKS}, {i.SESSIONS}, p AS (SELECT session_id, count(*) AS n, count(*) FILTER (WHERE responded) AS replies, max(latency_ms) AS max_ms, CAST(floor(avg(latency_ms) + 0.5) AS BIGINT) AS avg_ms, arg_min(error, ord) FILTER (WHERE error IS NOT NULL) AS err FROM checks GROUP BY 1),
@@ -536,7 +535,7 @@ SLOW = CallConfig(settle_ms=7_200_000, confirm_ms=600_000, turn_timeout_ms=86_40
 
 @query("j1_answer_assembly", f"""WITH {LOG}, f AS (SELECT * FROM lg WHERE kind IN ('click', 'view', 'error') AND send_no >= 1), g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY session_id, send_no ORDER BY ts, seq) < INTERVAL 7800 SECOND THEN 0 ELSE 1 END AS brk FROM (SELECT f.*, e.ts FROM f JOIN events e ON e.event_id = f.seq)),
 w AS (SELECT *, sum(brk) OVER (PARTITION BY session_id, send_no ORDER BY ts, seq) AS grp FROM g)
-SELECT session_id, send_no, epoch_us(min(ts)) // 1000 AS first_frame, epoch_us(max(ts)) // 1000 AS last_frame, coalesce(string_agg('w' || (k % 13), ' ' ORDER BY ts, seq) FILTER (WHERE kind IN ('click', 'view')), '') AS answer, count(*) AS frames FROM w GROUP BY session_id, send_no, grp""")
+SELECT session_id, send_no, epoch_us(min(ts) FILTER (WHERE kind IN ('click', 'view'))) // 1000 AS first_frame, epoch_us(max(ts)) // 1000 AS last_frame, coalesce(string_agg('w' || (k % 13), ' ' ORDER BY ts, seq) FILTER (WHERE kind IN ('click', 'view')), '') AS answer, count(*) AS frames FROM w GROUP BY session_id, send_no, grp""")
 def _(spark, d):
     a = fr.assemble(only_frames(frame_log(spark, d)), SLOW, KINDS)
     return a.select("session_id", "send_no", tx.epoch_ms("first_frame").alias("first_frame"), tx.epoch_ms("last_frame").alias("last_frame"), "answer", "frames")

@@ -115,15 +115,20 @@ def _(spark, d):
     return doc.select("doc_id", tx.padded_id("chunk_", "doc_id").alias("chunk"), tx.padded_id("Q", "doc_id").alias("q"), sessions.session_id(F.coalesce("source", F.lit("")), "lang", F.col("doc_id")).alias("session"))
 
 
-PROMPT_SQL = ("CASE lang WHEN 'fr' THEN 'Write the question and answer in Arabic.' ELSE 'Write the question and answer in English (translate the content''s meaning faithfully — do not fabricate).' END "
-              "|| chr(10) || chr(10) || 'Knowledge base content:' || chr(10) || '\"\"\"' || chr(10) || text || chr(10) || '\"\"\"'")
+_QUOTED = lambda title, c: f"'{title}:' || chr(10) || '\"\"\"' || chr(10) || {c} || chr(10) || '\"\"\"'"
+_LEAD = "CASE lang WHEN 'fr' THEN 'Write the question and answer in Arabic.' ELSE 'Write the question and answer in English (translate the content''s meaning faithfully — do not fabricate).' END || chr(10) || chr(10)"
+PROMPT_SQL = (f"CASE WHEN second IS NULL THEN {_LEAD} || {_QUOTED('Knowledge base content', 'text')} ELSE {_LEAD} || "
+              "'The question must require BOTH pieces of content below to answer (a question answerable from only one of them is not acceptable).' || chr(10) || chr(10) || "
+              f"{_QUOTED('Knowledge base content 1', 'text')} || chr(10) || chr(10) || {_QUOTED('Knowledge base content 2', 'second')} END")
 
 
-@query("b33_prompt", f"SELECT doc_id, {PROMPT_SQL} AS prompt FROM documents")
+@query("b33_prompt", f"SELECT doc_id, {PROMPT_SQL} AS prompt FROM (SELECT a.doc_id, a.lang, a.text, b.text AS second FROM documents a LEFT JOIN documents b ON a.doc_id % 2 = 0 AND b.doc_id = a.doc_id + 1)")
 def _(spark, d):
+    """Prompts out of one chunk, or out of two for every other document."""
     doc = table(spark, d, "documents")
+    after = doc.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("second")).where("doc_id % 2 = 0")
     lang = F.when(F.col("lang") == "fr", "ar").otherwise("en")
-    return doc.select("doc_id", questions.prompt(lang, F.col("text"), F.lit(None).cast("string")).alias("prompt"))
+    return doc.join(after, "doc_id", "left").select("doc_id", questions.prompt(lang, F.col("text"), F.col("second")).alias("prompt"))
 
 
 # Sessions -------------------------------------------------------------------------------------

@@ -65,17 +65,18 @@ def _text(speech):
 def assemble(frames: DataFrame, config: CallConfig = CallConfig(), kinds: FrameKinds = FrameKinds()) -> DataFrame:
     """Answers by silence: frames of one question belong together until nothing comes for settle plus confirm.
 
-    One row per stretch of frames; a late stretch of the same question is a row of its own (``window`` tells).
+    One row per stretch of frames; a late stretch of the same question is a row of its own (``window`` tells). Only speech sets the
+    time of the first frame, any active frame that of the last one.
     """
     gap = f"{config.settle_ms + config.confirm_ms} milliseconds"
     return after_first_send(of_kinds(frames, kinds.activity)).groupBy(*KEY, F.session_window("ts", gap).alias("window")).agg(
-        _text(_speech(frames, kinds)).alias("answer"), F.min("ts").alias("first_frame"), F.max("ts").alias("last_frame"), F.count(F.lit(1)).alias("frames"))
+        _text(_speech(frames, kinds)).alias("answer"), F.min(F.when(_speech(frames, kinds), F.col("ts"))).alias("first_frame"), F.max("ts").alias("last_frame"), F.count(F.lit(1)).alias("frames"))
 
 
 def answers(frames: DataFrame, kinds: FrameKinds = FrameKinds()) -> DataFrame:
     """Per question: the whole answer, its first speech frame, sources (last writer wins), source keys and the seen flag."""
     latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("ts", "seq")))
-    keys = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("source_keys", F.array().cast("array<string>"))))))
+    keys = F.array_sort(F.array_distinct(F.flatten(F.collect_set("source_keys"))))  # a frame's keys are few, and so are their combinations
     return after_first_send(frames).groupBy(*KEY).agg(
         _text(_speech(frames, kinds)).alias("answer"), F.min(F.when(_speech(frames, kinds), F.col("ts"))).alias("first_frame"), latest("file_ids").alias("file_ids"), latest("loaded_files").alias("loaded_files"),
         latest("play_id").alias("play_id"), keys.alias("source_keys"), F.coalesce(F.bool_or("saw_source_frame"), F.lit(False)).alias("saw_source_frame"))
