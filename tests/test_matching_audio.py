@@ -165,3 +165,25 @@ def test_recordings_end_to_end(spark, tmp_path):
     assert (rates["web_excluded"], rates["calls"], rates["low"], rates["errors"]) == (1, 5, 1, 2)
     write_interruption_csv(rated, str(tmp_path / "report"))
     assert spark.read.option("header", True).csv(str(tmp_path / "report")).columns[:4] == ["file", "duration_s", "is_bug", "confidence"]
+
+
+def test_heavy_token_lists_are_met_in_blocks(spark):
+    """One agent holds most contents and all of them share words; split lists give the pairs of whole ones, and all of them."""
+    rnd = random.Random(9)
+    def side(prefix, n):
+        bags = {}
+        for k in range(n):
+            words = rnd.choices(["the", "of", "and"] + [f"w{x}" for x in range(25)], k=rnd.randint(4, 12))
+            bags[("hot" if k % 6 else "cold", f"{prefix}{k}")] = {w: words.count(w) for w in words}
+        return bags
+    left, right = side("l", 90), side("r", 90)
+    frame = lambda bags: spark.createDataFrame([(a, s, sum(b.values()), t, n) for (a, s), b in bags.items() for t, n in b.items()], "agent_id string, sig string, size bigint, token string, n bigint")
+    want = set()
+    for (a, s), x in left.items():
+        for (b, t), y in right.items():
+            both = sum(min(n, y.get(w, 0)) for w, n in x.items())
+            if a == b and 2 * both / (sum(x.values()) + sum(y.values())) >= 0.6:
+                want.add((a, s, t, round(2 * both / (sum(x.values()) + sum(y.values())), 9)))
+    for limit in (40, 10**9):
+        got = matching.similar_contents(frame(left), frame(right), 0.6, limit).collect()
+        assert {(r.agent_id, r.sig, r.other, round(r.sim, 9)) for r in got} == want and len(got) == len(want) > 20
