@@ -49,7 +49,7 @@ def test_against_all_documents(spark, monkeypatch):
     monkeypatch.setattr(bag_search, "PART", 17)
     docs, items = corpus(1, 400)
     check(spark, docs, items)
-    check(spark, docs, items, top=3, block_terms=60)
+    check(spark, docs, items, top=3, block_terms=150)
 
 
 def test_classes_of_copies(spark):
