@@ -346,8 +346,10 @@ def _linked(docs: DataFrame, words: int, percent: int, leaders: int) -> DataFram
     frequent = spark.sparkContext.broadcast((codes[order], got.column(1).to_numpy()[order]))
 
     known = sizes.where(F.col("key").isNotNull() & (F.col("n") > 0))
-    classes = known.groupBy("s1", "s2", "n").agg(F.min("key").alias("rep"), F.count("*").alias("copies"))
-    copies = materialize(known.join(classes.where("copies > 1"), ["s1", "s2", "n"]).where("key <> rep").select("key", "rep").distinct(), "copies")
+    # classes of several texts, one row each; written, so that the rows of a very large class are not gathered to meet theirs
+    classes = known.groupBy("s1", "s2", "n").agg(F.min("key").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
+    classes = materialize(classes.select("s1", "s2", "n", "rep"), "classes")
+    copies = materialize(known.join(classes, ["s1", "s2", "n"]).where("key <> rep").select("key", "rep"), "copies")
 
     usable = docs.where(F.col("key").isNotNull() & F.col("text").isNotNull())
     place, size = F.col("packed").bitwiseAND(0xFFFFFFFF), F.shiftright("packed", 32)
@@ -406,6 +408,6 @@ def _linked(docs: DataFrame, words: int, percent: int, leaders: int) -> DataFram
             links = links.union(found)
             labels = materialize(components(links), "labels")
 
-    joined = sizes.join(classes.select("s1", "s2", "n", "rep"), ["s1", "s2", "n"], "left")
+    joined = sizes.join(classes, ["s1", "s2", "n"], "left").withColumn("rep", F.when(F.col("key").isNotNull(), F.coalesce("rep", "key")))
     joined = joined.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    return joined.select("key", F.col("n").alias("n_shingles"), F.when(F.col("key").isNotNull(), F.coalesce("component", "rep", "key")).alias("component_id"))
+    return joined.select("key", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
