@@ -186,9 +186,11 @@ class PieceCoder:
         return text[1:] if text.startswith(" ") else text
 
 
-def encode(docs: DataFrame, model_path: str, text: str = "text", end_id: int | None = 2) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, text: str = "text", end_id: int | None = 2, batch_bytes: int = 8 << 20) -> DataFrame:
     """Input columns, ``ids`` (array of int, closed by ``end_id``) and ``decoded`` (the text of the ids).
 
+    ``batch_bytes`` of texts are worked on at a time; what they become takes several times as much of a worker's memory.
+
     ``model_path`` is a file that every worker has, or one sent out with ``SparkContext.addFile`` (then its bare name).
     """
 
@@ -206,4 +208,4 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", end_id: int | N
         return step
 
     fields = [StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())]
-    return add_columns(docs, text, fields, make)
+    return add_columns(docs, text, fields, make, limit=batch_bytes)
