@@ -65,7 +65,7 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null or empty text is the end id alone; every row is encoded, repeated ones too.
     """
-    coded = sentencepiece_bpe.encode(docs.select("doc_id", "source", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    coded = sentencepiece_bpe.encode(docs.select("doc_id", "source", "text"), public_tokenizers.path("piece_bpe_32k.model"), batch_bytes=1 << 20)
     return coded.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
