@@ -53,7 +53,8 @@ def write_flows(steps: DataFrame, root: str, mode: str = "overwrite") -> None:
     writes it, but no task holds more of it than a row. Pieces are divided by a blank, which JSON allows between them.
     """
     lines = flows.spec_lines(steps).withColumn("p_flow", _file_name("flow_id"))
-    ordered = lines.repartition("p_flow").sortWithinPartitions("p_flow", "flow_id", "at")
+    # dealt by a hash of the name, because the planner leaves out a dealing that a join seems to have done
+    ordered = lines.repartition(F.xxhash64("p_flow")).sortWithinPartitions("p_flow", "flow_id", "at")
     _dynamic(ordered.select("value", "p_flow"), mode).partitionBy("p_flow").option("lineSep", " ").text(root)
 
 
