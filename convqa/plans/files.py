@@ -28,7 +28,8 @@ def named_files(lines: DataFrame, root: str, ending: str) -> str:
         name = readers.unquoted(place.getPath().getParent().getName()[len("file="):])
         target = path(f"{root}/{name}{ending}")
         store.mkdirs(target.getParent())
-        store.rename(place.getPath(), target)
+        if store.exists(target) or not store.rename(place.getPath(), target):
+            raise OSError(f"{name}{ending} is in several pieces, or cannot be placed below {root}")
     return root
 
 

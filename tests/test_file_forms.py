@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from convqa.plans import files
@@ -24,3 +25,10 @@ def test_an_array_is_one_file_when_its_rows_were_joined_by_file(spark):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     read = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
     assert sorted(r["id"] for one in read.collect() for r in json.loads(one["value"])) == list(range(100_000))
+
+
+def test_a_piece_that_cannot_be_placed_is_no_silent_loss(spark):
+    lines = spark.createDataFrame([("a", 1, "x")], "file string, at int, value string")
+    root = files.named_files(lines, scratch_path(spark, "named"), ".json")
+    with pytest.raises(OSError, match="several pieces"):
+        files.named_files(lines, root, ".json")
