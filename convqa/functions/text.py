@@ -34,6 +34,16 @@ def strip(c: str | Column) -> Column:
     return F.regexp_replace(col(c), "(?U)^\\s+|\\s+$", "")
 
 
+def is_json(c: str | Column) -> Column:
+    """Whether a text is one JSON value from end to end; null for null.
+
+    The engine's parser reads the first value and leaves what follows, so the text has to parse as an only element and as an
+    only member: what follows a value breaks one of them.
+    """
+    alone = lambda before, after: F.try_parse_json(F.concat(F.lit(before), col(c), F.lit(after))).isNotNull()
+    return F.when(col(c).isNotNull(), alone("[", "]") & alone('{"v":', "}"))
+
+
 def blank_to_null(c: str | Column) -> Column:
     trimmed = strip(c)
     return F.when(trimmed != "", trimmed)

@@ -265,8 +265,7 @@ def parse_replies(df: DataFrame, reply: str = "reply", schema: str = "map<string
 
     Adds ``parsed`` and ``parse_error``.
     """
-    whole = F.try_parse_json(reply)
-    plain = df.withColumn("__plain", whole.isNotNull())
+    plain = df.withColumn("__plain", F.coalesce(tx.is_json(reply), F.lit(False)))
     fast = plain.where("__plain").withColumn("__json", F.col(reply))
     slow = plain.where("not __plain").withColumn("__json", _first_object(F.coalesce(reply, F.lit(""))))
     text = F.coalesce(reply, F.lit(""))

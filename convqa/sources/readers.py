@@ -191,7 +191,7 @@ def read_flow_replies(spark: SparkSession, folder: str, glob: str = "*.json") ->
     """
     raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(folder, wholetext=True)
     raw = raw.select(_folder(_path(), 1).alias("file"), _path().alias("path"), "value")
-    tested = raw.withColumn("ok", F.try_parse_json("value").isNotNull())
+    tested = raw.withColumn("ok", tx.is_json("value"))
     bad = tested.where(~F.col("ok")).select("file", "path")
     text = tx.strip("value")
     scenarios = f"array<{schemas.SCENARIO}>"
