@@ -11,16 +11,17 @@ from convqa.operators import ordered as o
 
 
 def verdict(checks: DataFrame, config: CallConfig = CallConfig()) -> DataFrame:
-    """Slowest and mean reply per session, number of slow replies, and whether the hard limit was passed.
+    """Slowest and mean reply per session, its slow replies and their number, and whether the hard limit was passed.
 
-    Only clips with a reply and a finite latency count. ``checks``: ``session_id, clip, responded, latency_ms``. The slow replies
-    themselves are the rows of :func:`slow_replies`.
+    Only clips with a reply and a finite latency count. ``checks``: ``session_id, clip, responded, latency_ms``. ``slow`` holds
+    the slow replies as ``clip, latency_ms`` by clip; :func:`slow_replies` has them a row each.
     """
     lat = F.when(F.col("responded"), tx.finite("latency_ms"))
     slow = lat > config.reply_latency_warn_ms
     out = checks.groupBy("session_id").agg(
         F.max(lat).cast("bigint").alias("max_ms"), tx.round_half_up(F.avg(lat)).alias("avg_ms"),
         F.count_if(F.coalesce(slow, F.lit(False))).alias("slow_count"),
+        F.array_sort(F.collect_list(F.when(slow, F.struct("clip", "latency_ms")))).alias("slow"),
     )
     exceeded = F.coalesce(F.col("max_ms") > config.reply_latency_max_ms, F.lit(False)) if config.reply_latency_max_ms > 0 else F.lit(False)
     return out.withColumn("warn", F.col("slow_count") > 0).withColumn("exceeded_max", exceeded)
