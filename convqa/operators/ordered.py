@@ -22,7 +22,6 @@ BLOCK = "__block"
 CARRY = "__carry"
 SUMMARY = "__summary"
 ALL_BEFORE = (Window.unboundedPreceding, -1)
-ALL_AFTER = (1, Window.unboundedFollowing)
 
 DEFAULT_BLOCK_ROWS = 65_536
 
@@ -47,11 +46,11 @@ def hash_blocks(hash_col: str, hex_digits: int = 3) -> Column:
     return F.conv(F.substring(F.col(hash_col), 1, hex_digits), 16, 10).cast("bigint")
 
 
-def _carried(df: DataFrame, keys: Sequence[str], block: Column | None, summary: Column, spread, frame) -> DataFrame:
-    """Attach, per block, ``spread(SUMMARY)`` taken over the other blocks in ``frame``."""
+def _carried(df: DataFrame, keys: Sequence[str], block: Column | None, summary: Column, spread, forward: bool = False) -> DataFrame:
+    """Attach, per block, ``spread(SUMMARY)`` taken over the blocks before it, or (``forward``) over those behind it from the last one on."""
     work = df if BLOCK in df.columns else df.withColumn(BLOCK, block)
     per_block = work.groupBy(*keys, BLOCK).agg(summary.alias(SUMMARY))
-    over_blocks = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(*frame)
+    over_blocks = Window.partitionBy(*keys).orderBy(*_direction([BLOCK], forward)).rowsBetween(*ALL_BEFORE)
     carried = (
         per_block.select(*keys, BLOCK, spread(F.col(SUMMARY)).over(over_blocks).alias(CARRY))
         .where(F.col(CARRY).isNotNull())
@@ -59,18 +58,27 @@ def _carried(df: DataFrame, keys: Sequence[str], block: Column | None, summary:
     return work.join(carried, [*keys, BLOCK], "left")
 
 
+def _direction(order: Sequence[str], forward: bool) -> list[Column]:
+    """``order``, or its reverse for a look ahead.
+
+    Spark reads a frame that reaches to the end anew for every row, in time quadratic in the rows. From the end on, the same rows
+    are a frame that grows.
+    """
+    return [F.desc(c) if forward else F.asc(c) for c in order]
+
+
 def _done(work: DataFrame, source: DataFrame, *temporary: str) -> DataFrame:
     """Remove helper columns, but keep a block the caller brought along."""
     return work.drop(CARRY, *temporary) if BLOCK in source.columns else work.drop(BLOCK, CARRY, *temporary)
 
 
-def _local(keys: Sequence[str], order: Sequence[str]):
-    return Window.partitionBy(*keys, BLOCK).orderBy(*order)
+def _local(keys: Sequence[str], order: Sequence[str], forward: bool = False):
+    return Window.partitionBy(*keys, BLOCK).orderBy(*_direction(order, forward))
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str, block: Column | None = None) -> DataFrame:
     """Inclusive running sum of ``value``."""
-    work = _carried(df, keys, block, F.sum(value), F.sum, ALL_BEFORE)
+    work = _carried(df, keys, block, F.sum(value), F.sum)
     local = F.sum(value).over(_local(keys, order).rowsBetween(Window.unboundedPreceding, 0))
     zero = F.lit(0)
     return _done(work.withColumn(name, F.coalesce(local, zero) + F.coalesce(F.col(CARRY), zero)), df)
@@ -89,11 +97,8 @@ def hash_ordinal(df: DataFrame, keys: Sequence[str], hash_col: str, tie: str, na
 def _neighbour(df, keys, order, columns, block, prefix, forward: bool) -> DataFrame:
     packed = F.struct(*columns)
     position = F.struct(*order)
-    if forward:
-        edge, frame, pick, local = F.min_by, ALL_AFTER, F.first, F.lead
-    else:
-        edge, frame, pick, local = F.max_by, ALL_BEFORE, F.last, F.lag
-    work = _carried(df, keys, block, edge(packed, position), pick, frame)
+    edge, local = (F.min_by, F.lead) if forward else (F.max_by, F.lag)
+    work = _carried(df, keys, block, edge(packed, position), F.last, forward)
     found = F.coalesce(local(packed).over(_local(keys, order)), F.col(CARRY))
     work = work.withColumn("__found", found)
     work = work.select("*", *[F.col(f"__found.{c}").alias(f"{prefix}{c}") for c in columns])
@@ -112,14 +117,9 @@ def following(df, keys, order, columns, block=None, prefix="next_") -> DataFrame
 
 def _nearest_value(df, keys, order, value, name, block, forward: bool, inclusive: bool) -> DataFrame:
     known = F.when(value.isNotNull(), F.struct(*order))
-    if forward:
-        edge, frame, pick = F.min_by, ALL_AFTER, F.first
-        local = (0 if inclusive else 1, Window.unboundedFollowing)
-    else:
-        edge, frame, pick = F.max_by, ALL_BEFORE, F.last
-        local = (Window.unboundedPreceding, 0 if inclusive else -1)
-    work = _carried(df, keys, block, edge(value, known), lambda c: pick(c, ignorenulls=True), frame)
-    here = pick(value, ignorenulls=True).over(_local(keys, order).rowsBetween(*local))
+    edge = F.min_by if forward else F.max_by
+    work = _carried(df, keys, block, edge(value, known), lambda c: F.last(c, ignorenulls=True), forward)
+    here = F.last(value, ignorenulls=True).over(_local(keys, order, forward).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
     return _done(work.withColumn(name, F.coalesce(here, F.col(CARRY))), df)
 
 
@@ -155,14 +155,11 @@ def nearest_both(df: DataFrame, keys: Sequence[str], order: Sequence[str], value
     known = F.when(value.isNotNull(), F.struct(*order))
     work = df if BLOCK in df.columns else df.withColumn(BLOCK, block)
     per_block = work.groupBy(*keys, BLOCK).agg(F.min_by(value, known).alias("__first"), F.max_by(value, known).alias("__last"))
-    over_blocks = Window.partitionBy(*keys).orderBy(BLOCK)
+    over_blocks = lambda forward: Window.partitionBy(*keys).orderBy(*_direction([BLOCK], forward)).rowsBetween(*ALL_BEFORE)
     carried = per_block.select(
-        *keys, BLOCK, F.last("__last", ignorenulls=True).over(over_blocks.rowsBetween(*ALL_BEFORE)).alias("__cb"),
-        F.first("__first", ignorenulls=True).over(over_blocks.rowsBetween(*ALL_AFTER)).alias("__ca"))
+        *keys, BLOCK, F.last("__last", ignorenulls=True).over(over_blocks(False)).alias("__cb"), F.last("__first", ignorenulls=True).over(over_blocks(True)).alias("__ca"))
     work = work.join(carried.where("__cb is not null or __ca is not null"), [*keys, BLOCK], "left")
-    local = _local(keys, order)
-    back = F.last(value, ignorenulls=True).over(local.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first(value, ignorenulls=True).over(local.rowsBetween(0, Window.unboundedFollowing))
+    back, ahead = (F.last(value, ignorenulls=True).over(_local(keys, order, forward).rowsBetween(Window.unboundedPreceding, 0)) for forward in (False, True))
     return work.withColumn(before, F.coalesce(back, "__cb")).withColumn(after, F.coalesce(ahead, "__ca")).drop(BLOCK, "__cb", "__ca")
 
 
