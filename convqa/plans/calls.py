@@ -599,6 +599,8 @@ def _streamed(spark, name, rows, stream):
 def _(spark, d):
     """The clock as a stream over the stored log in shuffled files: timers for silence, confirmation and the limit of a phase."""
     log = _clock_log(spark, d).select("session_id", "send_no", "at", "seq", "kind", "sentence", F.timestamp_millis("at").alias("ts"))
+    # event time goes by the rows that the clock takes, so the row that ends the log has to be one of them
+    log = fr.of_kinds(log, ("send", *KINDS.activity))
     return _streamed(spark, "clock", log, lambda s: fr.close_turns_stream(s, SLOW, KINDS))
 
 
