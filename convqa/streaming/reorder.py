@@ -1,8 +1,9 @@
 """Streams whose rows come in any order within their lateness: a buffer per key hands them on in order.
 
-Rows wait in map state until the watermark has passed their time; then nothing earlier can come, and they go to a small
-machine in order. One event-time timer per key stands at the next thing to do: the earliest waiting row or the machine's own
-deadline. When the machine has nothing open and no row waits, the key has no state left.
+Rows wait in list state until the watermark has passed their time; then nothing earlier can come, and they go to a small
+machine in order. They are stored and fetched as lists, because every single access to state is a call out of Python. One
+event-time timer per key stands at the next thing to do: the earliest waiting row or the machine's own deadline. When the
+machine has nothing open and no row waits, the key has no state left.
 """
 
 from __future__ import annotations
@@ -47,49 +48,63 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", self.order_type, self.rest_type)
+        self.waiting = handle.getListState("waiting", StructType([*self.order_type, *self.rest_type]))
+        # when the earliest row waits, when the machine wants to be called, and where the timer stands
+        self.plan = handle.getValueState("plan", "first bigint, due bigint, timer bigint")
         self.kept = handle.getValueState("kept", self.state)
         self.row = namedtuple("row", [*self.order, *self.rest])
 
-    def _set_timer(self, wanted: int | None) -> None:
-        standing = list(self.handle.listTimers())
-        for t in standing:
-            if t != wanted:
-                self.handle.deleteTimer(t)
-        if wanted is not None and wanted not in standing:
-            self.handle.registerTimer(wanted)
-
-    def _next(self, machine: Machine, now: int) -> None:
-        times = [k[self.at] for k in self.waiting.keys()]
-        if machine.due() is not None:
-            times.append(machine.due())
-        self._set_timer(max(min(times), now + 1) if times else None)
-
-    def _machine(self) -> Machine:
-        return self.machine(tuple(self.kept.get()) if self.kept.exists() else None)
+    def _next(self, first: int | None, due: int | None, timer: int | None, now: int, before: tuple) -> None:
+        """Set the timer (``timer`` is the one standing) and remember what changed."""
+        times = [ms for ms in (first, due) if ms is not None]
+        wanted = max(min(times), now + 1) if times else None
+        if timer != wanted:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if wanted is not None:
+                self.handle.registerTimer(wanted)
+        if wanted is None:
+            self.plan.clear()
+        elif (first, due, wanted) != before:
+            self.plan.update((first, due, wanted))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        before = tuple(self.plan.get() or (None, None, None))
+        first, due, timer = before
         for batch in rows:
-            for row in batch[[*self.order, *self.rest]].itertuples(index=False, name=None):
-                plain = tuple(map(_plain, row, self.whole))
-                self.waiting.updateValue(plain[:len(self.order)], plain[len(self.order):])
-        self._next(self._machine(), timerValues.getCurrentWatermarkInMs())
-        yield pd.DataFrame([], columns=self.out, dtype=object)
+            cells = [[_plain(v, whole) for v in batch[c].tolist()] for c, whole in zip((*self.order, *self.rest), self.whole)]
+            if cells[0]:
+                self.waiting.appendList(list(zip(*cells)))
+                first = min(cells[self.at]) if first is None else min(first, *cells[self.at])
+        self._next(first, due, timer, timerValues.getCurrentWatermarkInMs(), before)
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs()
-        machine, found = self._machine(), []
-        for place in sorted(k for k in map(tuple, self.waiting.keys()) if k[self.at] <= now):
-            found += machine.take(self.row(*place, *self.waiting.getValue(place)))
-            self.waiting.removeKey(place)
+        now, n = timerValues.getCurrentWatermarkInMs(), len(self.order)
+        before = tuple(self.plan.get() or (None, None, None))
+        first = before[0]
+        kept = self.kept.get()
+        machine, found = self.machine(None if kept is None else tuple(kept)), []
+        if first is not None and first <= now:
+            # of rows with one place the last that came holds
+            rows = {row[:n]: row[n:] for row in map(tuple, self.waiting.get())}
+            for place in sorted(place for place in rows if place[self.at] <= now):
+                found += machine.take(self.row(*place, *rows.pop(place)))
+            first = min((place[self.at] for place in rows), default=None)
+            if rows:
+                self.waiting.put([place + rest for place, rest in rows.items()])
+            else:
+                self.waiting.clear()
         found += machine.reach(now)
         values = machine.values()
-        if values is None:
-            self.kept.clear()
-        else:
+        if values is not None:
             self.kept.update(values)
-        self._next(machine, now)
-        yield pd.DataFrame([(key[0], *x) for x in found], columns=self.out, dtype=object)
+        elif kept is not None:
+            self.kept.clear()
+        # the timer that came is gone
+        self._next(first, machine.due(), None, now, before)
+        if found:
+            yield pd.DataFrame([(key[0], *x) for x in found], columns=self.out, dtype=object)
 
     def close(self) -> None:
         pass
