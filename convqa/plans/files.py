@@ -2,34 +2,87 @@
 
 from __future__ import annotations
 
+import os
+import re
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convqa.functions import text as tx
 from convqa.plans import inputs as i
 from convqa.plans.registry import query, table
-from convqa.session import scratch_path
+from convqa.session import materialize, scratch_path
 from convqa.sources import arrays, readers
 from convqa.streaming import frames as fr
 
 
-def named_files(lines: DataFrame, root: str, ending: str) -> str:
-    """Text files ``<file><ending>`` below ``root`` (``file`` may name folders) from rows ``file, at, value``, in the order of ``at``."""
-    spark = lines.sparkSession
+def _placed_by_tasks(dealt: DataFrame, root: str, ending: str) -> DataFrame:
+    """Names of the files that tasks wrote below a folder on a shared disk, each from its neighbouring rows ``file, value``."""
+    below = re.sub("^file:/+", "/", root)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, out, begun = None, None, f".begun-{uuid.uuid4().hex}"
+
+        def end() -> None:
+            if out is not None:
+                out.close()
+                os.replace(f"{below}/{name}{ending}{begun}", f"{below}/{name}{ending}")
+
+        for batch in batches:
+            made = []
+            for file, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if file != name:
+                    end()
+                    name = file
+                    made.append(name)
+                    os.makedirs(os.path.dirname(f"{below}/{name}"), exist_ok=True)
+                    out = open(f"{below}/{name}{ending}{begun}", "w", encoding="utf-8", newline="")
+                out.write((value or "") + "\n")
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.string())], names=["file"])
+        end()
+
+    return dealt.mapInArrow(run, "file string")
+
+
+def _placed_by_moving(dealt: DataFrame, root: str, ending: str) -> DataFrame:
+    """The same in any store that Spark writes to: a folder per file, whose only piece is moved to its place."""
+    spark = dealt.sparkSession
     out = scratch_path(spark, "parts")
-    numbered = lines.withColumn("file", F.coalesce("file", F.lit("_")))
-    # dealt by a hash of the name: the planner takes rows that a join has dealt by the name as they are, and may then read that join task by task
-    dealt = numbered.repartition(F.xxhash64("file")).sortWithinPartitions("file", "at")
     dealt.select("value", "file").write.partitionBy("file").text(out)
     path = spark._jvm.org.apache.hadoop.fs.Path
     folder = path(out)
     store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = []
     for place in store.globStatus(path(f"{out}/file=*/part-*")):
-        name = readers.unquoted(place.getPath().getParent().getName()[len("file="):])
-        target = path(f"{root}/{name}{ending}")
+        names.append((readers.unquoted(place.getPath().getParent().getName()[len("file="):]),))
+        target = path(f"{root}/{names[-1][0]}{ending}")
         store.mkdirs(target.getParent())
-        if store.exists(target) or not store.rename(place.getPath(), target):
-            raise OSError(f"{name}{ending} is in several pieces, or cannot be placed below {root}")
+        if not store.exists(target) and not store.rename(place.getPath(), target):
+            raise OSError(f"{target} cannot be placed")
+    return spark.createDataFrame(names, "file string")
+
+
+def named_files(lines: DataFrame, root: str, ending: str) -> str:
+    """Text files ``<file><ending>`` below the new folder ``root`` (``file`` may name folders) from rows ``file, at, value``, in the order of ``at``.
+
+    Tasks write the files themselves where the folder is on a shared disk: Spark's writer takes some 50 ms of work for a small file there.
+    """
+    spark = lines.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.exists(path):
+        raise OSError(f"{root} is there already; its files would be in several pieces")
+    store.mkdirs(path)
+    named = lines.select(F.coalesce("file", F.lit("_")).alias("file"), "at", "value")
+    # dealt by a hash of the name: the planner takes rows that a join has dealt by the name as they are, and may then read that join task by task
+    dealt = named.repartition(F.xxhash64("file")).sortWithinPartitions("file", "at").select("file", "value")
+    placed = _placed_by_tasks if store.getScheme() == "file" else _placed_by_moving
+    twice = materialize(placed(dealt, root, ending), "placed").groupBy("file").count().where("count > 1").first()
+    if twice:
+        raise OSError(f"{twice['file']}{ending} is in several pieces")
     return root
 
 

@@ -32,3 +32,15 @@ def test_a_piece_that_cannot_be_placed_is_no_silent_loss(spark):
     root = files.named_files(lines, scratch_path(spark, "named"), ".json")
     with pytest.raises(OSError, match="several pieces"):
         files.named_files(lines, root, ".json")
+
+
+def test_small_files_are_not_written_by_partition_folders(spark):
+    """A folder a file and its move took tens of milliseconds each; rows of a file stay in order, and names may hold any folder."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, "x")).getParent()
+    parts = lambda: {n for n in (s.getPath().getName() for s in place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place)) if n.startswith("parts-")}
+    before = parts() if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place) else set()
+    lines = spark.range(3000).select(F.concat(F.lit("S%/"), F.col("id") % 1000, F.lit(" é")).alias("file"), F.col("id").alias("at"), F.col("id").cast("string").alias("value"))
+    root = files.named_files(lines, scratch_path(spark, "small"), ".txt")
+    read = spark.read.text(root, wholetext=True, recursiveFileLookup=True).select("value", F.regexp_extract("_metadata.file_path", "([^/]*)$", 1).alias("name"))
+    assert {(r["name"], r["value"]) for r in read.collect()} == {(f"{n}%20é.txt", f"{n}\n{n + 1000}\n{n + 2000}\n") for n in range(1000)}
+    assert parts() == before
