@@ -23,10 +23,15 @@ PER_TURN = 200
 CFG = AudioConfig(interruption_seconds=0.5)
 
 
+def _spread(rows, *keys):
+    """Rows over all cores with a fixed number of parts: joined by their size, small rows that become large ones are a task or two."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def frame_table(spark, d):
     """200 frames per turn and channel; loud while the turn's own side speaks, and sometimes the other side cuts in."""
     # a small file is one partition; spread the turns before each becomes 400 frames
-    t = i.turns(spark, d).where(F.col("speaker").isin("agent", "customer")).select("conv_id", "ord", "speaker").repartition("conv_id", "ord")
+    t = _spread(i.turns(spark, d).where(F.col("speaker").isin("agent", "customer")).select("conv_id", "ord", "speaker"), "conv_id", "ord")
     own = F.when(F.col("speaker") == "customer", 0).otherwise(1)
     f = t.select("conv_id", "ord", own.alias("own"), F.explode(F.array(F.lit(0), F.lit(1))).alias("channel")).select(
         "*", F.explode(F.sequence(F.lit(0), F.lit(PER_TURN - 1))).alias("f"))
@@ -235,7 +240,7 @@ def recordings(spark, d):
                     w.writeframes((np.clip(pcm, -1, 1) * 32000).astype("<i2").tobytes())
                 yield pd.DataFrame({"call": [f"c{conv}"], "content": [out.getvalue()]})
 
-    return calls.mapInPandas(render, "call string, content binary")
+    return _spread(calls, "conv_id").mapInPandas(render, "call string, content binary")
 
 
 @query("m1_m2_recording_frames")
