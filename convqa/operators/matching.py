@@ -51,10 +51,16 @@ def _bags(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     return counts, signed
 
 
-def _distinct_bags(counts: DataFrame, signed: DataFrame, owners: DataFrame) -> DataFrame:
-    """``agent_id, sig, size, token, n`` once per agent and distinct content (``owners``: ``conv_id, agent_id``)."""
-    one = signed.join(owners, "conv_id").groupBy("agent_id", "sig", "size").agg(F.min("conv_id").alias("conv_id"))
-    return counts.join(one, "conv_id").select("agent_id", "sig", "size", "token", "n")
+def _distinct_bags(counts: DataFrame, signed: DataFrame, owners: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``agent_id, sig, size, token, n`` once per agent and distinct content, and ``conv_id, agent_id, sig`` of all (``owners``: ``conv_id, agent_id``).
+
+    ``sig`` is the smallest conversation of the agent with that content: signatures are long texts that no shuffle can pack.
+    """
+    owned = signed.join(owners, "conv_id")
+    one = owned.groupBy("agent_id", F.col("sig").alias("__sig"), "size").agg(F.min("conv_id").alias("sig"))
+    counted = counts.join(one.select(F.col("sig").alias("conv_id"), "agent_id", "size"), "conv_id")
+    members = owned.withColumnRenamed("sig", "__sig").join(one.drop("size"), ["agent_id", "__sig"])
+    return counted.select("agent_id", F.col("conv_id").alias("sig"), "size", "token", "n"), members.select("conv_id", "agent_id", "sig")
 
 
 def similar_contents(left: DataFrame, right: DataFrame, minimum: float, limit: int = LIST_PAIRS) -> DataFrame:
@@ -69,9 +75,9 @@ def similar_contents(left: DataFrame, right: DataFrame, minimum: float, limit: i
     elements = left.select("agent_id", "sig", "size", "token", "n", F.lit(0).alias("side")).unionByName(
         right.select("agent_id", "sig", "size", "token", "n", F.lit(1).alias("side")))
     df = elements.groupBy("agent_id", "token").agg(F.count(F.lit(1)).alias("df"))
-    keyed = elements.join(df, ["agent_id", "token"]).withColumn("h", F.md5("token")).withColumn("rare", F.floor(F.log2("df")).cast("bigint"))
+    keyed = elements.join(df, ["agent_id", "token"]).withColumn("h", F.xxhash64("token")).withColumn("rare", F.floor(F.log2("df")).cast("bigint"))
     # Rank by (rare, hash). Only large bags are cut, by the same pair, so small ones stay in one piece.
-    cut = F.col("rare") * 16 + F.conv(F.substring("h", 1, 1), 16, 10).cast("bigint")
+    cut = F.col("rare") * 16 + F.shiftright("h", 60) + 8
     block = F.when(F.col("size") < o.DEFAULT_BLOCK_ROWS, F.lit(0).cast("bigint")).otherwise(cut)
     upto = o.running_sum(keyed, ["side", "agent_id", "sig"], ["rare", "h", "token"], F.col("n"), "upto", block)
     keep = F.col("size") - F.ceil(F.lit(minimum) * F.col("size") / (2 - minimum) - F.lit(1e-9)) + 1
@@ -118,14 +124,15 @@ def match_by_content(calls: DataFrame, live: DataFrame, convs: DataFrame, stored
         convs = convs.where("saved").drop("saved")
     live_counts, live_sig = _bags(live)
     stored_counts, stored_sig = _bags(stored)
-    live_bags = _distinct_bags(live_counts, live_sig, calls.select(F.col("call_id").alias("conv_id"), "agent_id"))
-    stored_bags = _distinct_bags(stored_counts, stored_sig, convs.select("conv_id", "agent_id"))
-    pairs = similar_contents(live_bags, stored_bags, config.conv_match_min)
+    live_bags, said = _distinct_bags(live_counts, live_sig, calls.select(F.col("call_id").alias("conv_id"), "agent_id"))
+    stored_bags, kept = _distinct_bags(stored_counts, stored_sig, convs.select("conv_id", "agent_id"))
+    # written, because the as-of scan reads its rows more than once
+    pairs = materialize(similar_contents(live_bags, stored_bags, config.conv_match_min), "pairs")
     wanted = (
-        calls.join(live_sig.select(F.col("conv_id").alias("call_id"), "sig"), "call_id")
+        calls.join(said.select(F.col("conv_id").alias("call_id"), "agent_id", "sig"), ["call_id", "agent_id"])
         .join(pairs, ["agent_id", "sig"]).select("call_id", "agent_id", "started_ms", F.col("other").alias("sig"), "sim")
     )
-    have = convs.join(stored_sig.select("conv_id", "sig"), "conv_id").select("agent_id", "sig", "created_ms", "conv_id")
+    have = convs.join(kept, ["conv_id", "agent_id"]).select("agent_id", "sig", "created_ms", "conv_id")
     both = o.asof_both(wanted, have, ["agent_id", "sig"], "started_ms", "created_ms", ["conv_id"], block_width, ["conv_id"])
     near = F.col("before_created_ms") >= F.col("started_ms") - config.call_match_skew_ms
     candidate = both.select("call_id", "sim", F.explode(F.array(
