@@ -10,7 +10,7 @@ from convqa.operators import ordered as o
 from convqa.plans import inputs as i
 from convqa.plans.registry import query, table
 from convqa.session import scratch_path
-from convqa.sources import readers, writers
+from convqa.sources import readers, replies, writers
 
 
 @query("b1_detect_language", f"""SELECT doc_id, {i.language_sql('text')} AS script, CASE WHEN text = '' THEN '?' WHEN regexp_matches(text, '[\\x{{0600}}-\\x{{06FF}}]') THEN 'ar' ELSE 'en' END AS language FROM documents""")
@@ -484,14 +484,14 @@ def _(spark, d):
 @query("a8_flow_replies", f"""WITH {RECORDS} SELECT '' AS bad_file, flow_id, count(*) AS scenarios, CAST(sum(CASE WHEN mode = 'incremental' THEN n ELSE 0 END) AS BIGINT) AS steps FROM g GROUP BY 2
 UNION ALL SELECT DISTINCT 'bad-' || (doc_id % 3) || '.txt', '', 0, 0 FROM documents""")
 def _(spark, d):
-    """Reply files, an object per flow among files that are no JSON, read back with the tolerant import."""
+    """Reply files, an object per flow among files that are no JSON, read back with the tolerant import that cuts large files."""
     folder = scratch_path(spark, "replies")
     writers.write_flows(_steps(spark, d), folder)
     lost = table(spark, d, "documents").select(F.concat(F.lit("bad-"), F.col("doc_id") % 3, F.lit(".txt")).alias("file")).distinct()
     broken = lost.select(F.lit("{ no record").alias("value"), "file").repartition("file")
     broken.write.mode("append").partitionBy("file").text(folder)
-    good, bad = readers.read_flow_replies(spark, folder, "*.txt")
-    counted = good.groupBy("flow_id").agg(F.count(F.lit(1)).alias("scenarios"), F.sum(F.greatest(F.coalesce(F.size("steps"), F.lit(0)), F.lit(0))).alias("steps"))
+    good, bad = replies.read_reply_scenarios(spark, folder, "*.txt")
+    counted = good.groupBy("flow_id").agg(F.count(F.lit(1)).alias("scenarios"), F.sum(F.greatest(F.coalesce("n_steps", F.lit(0)), F.lit(0))).alias("steps"))
     none = F.lit(0).cast("bigint")
     return counted.select(F.lit("").alias("bad_file"), "flow_id", "scenarios", "steps").unionByName(
         bad.select(F.regexp_extract("path", "/file=([^/]*)/", 1).alias("bad_file"), F.lit("").alias("flow_id"), none.alias("scenarios"), none.alias("steps")).distinct())

@@ -187,7 +187,8 @@ def spec_chunks(specs: DataFrame) -> DataFrame:
 def read_flow_replies(spark: SparkSession, folder: str, glob: str = "*.json") -> tuple[DataFrame, DataFrame]:
     """All reply files of a folder: scenarios of the readable ones, and the names of the rest.
 
-    Three forms are accepted: an object with ``flows``, one scenario, or an array of scenarios.
+    Three forms are accepted: an object with ``flows``, one scenario, or an array of scenarios. A file is held whole; ``sources.replies``
+    reads files of any size, with steps and answers as rows of their own.
     """
     raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(folder, wholetext=True)
     raw = raw.select(_folder(_path(), 1).alias("file"), _path().alias("path"), "value")
