@@ -7,6 +7,8 @@ or state ever holds a flow.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,6 +70,15 @@ def questions(numbered: DataFrame, topic: str = "KnowledgeHub", short_ids: bool
         F.when(dump, F.expr(NONE)).otherwise(F.col("chunk_ids")).alias("chunk_ids"))
 
 
+def whole_answers(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per question (``keys``) out of rows per ``part``: ``question`` and the ``expected_answer`` of all parts in order, a blank between.
+
+    A missing part is empty, as in the nested document. The row itself is the full answer, so it has to fit a row of the engine.
+    """
+    said = F.array_sort(F.collect_list(F.struct("part", F.coalesce("expected_answer", F.lit("")).alias("text"))))
+    return parts.groupBy(*keys).agg(F.max("question").alias("question"), F.array_join(F.transform(said, lambda x: x["text"]), " ").alias("expected_answer"))
+
+
 def _inside(text: Column) -> Column:
     """A text as it stands between the quotes of a JSON string."""
     packed = F.to_json(F.struct(F.coalesce(text, F.lit("")).alias("t")))

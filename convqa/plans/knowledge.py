@@ -352,9 +352,10 @@ def _flat(spark, d):
     return flows.questions(_steps(spark, d))
 
 
-@query("h6_flatten_flows", f"WITH {FLAT} SELECT id, pair_id, language, sub_topic, part, question, expected_answer FROM flat")
+@query("h6_flatten_flows", f"WITH {FLAT} SELECT id, pair_id, language, sub_topic, max(question) AS question, string_agg(coalesce(expected_answer, ''), ' ' ORDER BY part) AS expected_answer FROM flat GROUP BY 1, 2, 3, 4")
 def _(spark, d):
-    return _flat(spark, d).select("id", "pair_id", "language", "sub_topic", "part", "question", "expected_answer")
+    """A row per question; the parts of a full answer are one text."""
+    return flows.whole_answers(_flat(spark, d), ["id", "pair_id", "language", "sub_topic"])
 
 
 @query("b23_flow_ids", f"WITH {RECORDS} SELECT flow_id, language, mode, substr(flow_id, 1, 10) || CASE mode WHEN 'full_dump' THEN '-DUMP-' ELSE '-INC-' END || upper(language) || '-001' AS short_id, upper(flow_id || '-' || mode) AS pair_key FROM g")
