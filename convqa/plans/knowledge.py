@@ -389,11 +389,13 @@ def _(spark, d):
 @query("f11_compose_flows", f"""WITH {AUTO}, parts AS (SELECT session_no, 0 AS slot, first AS base, 'incremental' AS mode FROM pl UNION ALL SELECT session_no, 1, second, 'incremental' FROM pl UNION ALL SELECT session_no, 2, third, 'fulldump' FROM pl),
 rw AS (SELECT parts.session_no, slot, fq.* FROM parts JOIN fq USING (base, mode)), ok AS (SELECT session_no, language FROM rw GROUP BY 1, 2 HAVING count(DISTINCT slot) = 3),
 nb AS (SELECT *, row_number() OVER (ORDER BY session_no, language) AS number FROM ok)
-SELECT format('MultiFlow-{{}}-{{:03d}}', language, number) AS session_id, language, dense_rank() OVER (PARTITION BY session_no, language ORDER BY slot, step) AS turn, part, id AS question_id, question, expected_answer
-FROM rw JOIN nb USING (session_no, language)""")
+SELECT session_id, language, turn, question_id, max(question) AS question, string_agg(coalesce(expected_answer, ''), ' ' ORDER BY part) AS expected_answer
+FROM (SELECT format('MultiFlow-{{}}-{{:03d}}', language, number) AS session_id, language, dense_rank() OVER (PARTITION BY session_no, language ORDER BY slot, step) AS turn, part, id AS question_id, question, expected_answer
+  FROM rw JOIN nb USING (session_no, language)) GROUP BY 1, 2, 3, 4""")
 def _(spark, d):
+    """Turns of the composed sessions, each with its whole answer."""
     q = _flow_questions(spark, d)
-    return sessions.compose_flows(q, "first", "second", "third", sessions.auto_flow_plan(q, 5)).select("session_id", "language", "turn", "part", "question_id", "question", "expected_answer")
+    return flows.whole_answers(sessions.compose_flows(q, "first", "second", "third", sessions.auto_flow_plan(q, 5)), ["session_id", "language", "turn", "question_id"])
 
 
 @query("e13_flow_pools", f"""WITH {RECORDS}, f AS (SELECT flow_id AS base, CASE mode WHEN 'full_dump' THEN 'fulldump' ELSE mode END AS mode, language FROM g)

@@ -15,3 +15,5 @@ def test_flow_queries_have_a_row_per_question(spark):
     """They handed on the parts of a full answer and never joined them."""
     flat = QUERIES["h6_flatten_flows"](spark, SF)
     assert flat.count() == flat.select("id").distinct().count() and "part" not in flat.columns
+    turns = QUERIES["f11_compose_flows"](spark, SF)
+    assert turns.count() == turns.select("session_id", "turn").distinct().count() and "part" not in turns.columns
