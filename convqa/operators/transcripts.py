@@ -127,7 +127,7 @@ def profile(turns: DataFrame, config: CallConfig = CallConfig()) -> DataFrame:
 def compare(live: DataFrame, stored: DataFrame, config: CallConfig = CallConfig()) -> DataFrame:
     """Token overlap of two transcripts per call: overall, agent and customer, with a verdict.
 
-    Tokens are counted before the two sides meet, so the shuffle carries distinct tokens only.
+    Tokens are counted for both sides and all scopes in one pass, so the only shuffle of tokens carries a row per call and distinct token.
     """
     sides = live.select(*KEY, "speaker", "text", F.lit(1).alias("__live")).unionByName(
         stored.select(*KEY, "speaker", "text", F.lit(0).alias("__live"))
@@ -135,18 +135,13 @@ def compare(live: DataFrame, stored: DataFrame, config: CallConfig = CallConfig(
     turn_counts = sides.groupBy(*KEY).agg(
         F.sum("__live").alias("live_count"), F.sum(1 - F.col("__live")).alias("stored_count")
     )
-    counted = token_counts(sides, [*KEY, "speaker", "__live"])
-    scope = F.explode(F.when(F.col("speaker").isin("agent", "customer"), F.array(F.lit("overall"), F.col("speaker")))
-                      .otherwise(F.array(F.lit("overall"))))
-    per_token = counted.withColumn("scope", scope).groupBy(*KEY, "scope", "token").agg(
-        F.sum(F.when(F.col("__live") == 1, F.col("n")).otherwise(0)).alias("a"),
-        F.sum(F.when(F.col("__live") == 0, F.col("n")).otherwise(0)).alias("b"),
-    )
-    def of(scope_name: str, value: Column) -> Column:
-        return F.coalesce(F.sum(F.when(F.col("scope") == scope_name, value)), F.lit(0))
+    scopes = {"overall": F.lit(True), "agent": F.col("speaker") == "agent", "customer": F.col("speaker") == "customer"}
+    side = {"a": F.col("__live") == 1, "b": F.col("__live") == 0}
+    spoken = sides.select(*KEY, "speaker", "__live", F.explode(tx.tokens("text")).alias("token"))
+    per_token = spoken.groupBy(*KEY, "token").agg(*[F.count_if(held & of).alias(f"{s}_{n}") for s, of in scopes.items() for n, held in side.items()])
     sums = per_token.groupBy(*KEY).agg(*[
-        of(s, v).alias(f"{s}_{n}") for s in ("overall", "agent", "customer")
-        for n, v in (("both", F.least("a", "b")), ("a", F.col("a")), ("b", F.col("b")))
+        F.sum(v).alias(f"{s}_{n}") for s in scopes
+        for n, v in (("both", F.least(f"{s}_a", f"{s}_b")), ("a", F.col(f"{s}_a")), ("b", F.col(f"{s}_b")))
     ])
     def similarity(s: str) -> Column:
         a, b, both = (F.coalesce(f"{s}_{n}", F.lit(0)) for n in ("a", "b", "both"))
