@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 from collections import deque
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from convqa.functions import text as tx
 from convqa.operators import ordered as o
 from convqa.operators import provenance
 from convqa.operators.alignment import align, overlap, stays
+from convqa.session import materialize
 
 __all__ = ["Aligner", "align", "alignment_rows", "capture_answers", "choose_answers", "known_sessions", "played_order", "totals"]
 
@@ -85,19 +87,24 @@ def played_order(session_turns: DataFrame, checks: DataFrame, clips: DataFrame)
     staged = clips.withColumn("qid", tx.question_id_from_clip_strict("clip")).where(F.col("qid") != "")
     built = session_turns.select("session_id", F.col("turn").cast("bigint").alias("pos"), F.col("question_id").alias("__built"))
 
-    def numbered(df: DataFrame, name: str) -> DataFrame:
-        return o.ordinal(df.select(*key, F.col("ord").cast("bigint").alias("ord"), F.col("qid").alias(name)), key, ["ord"], "pos", o.blocks_of("ord")).drop("ord")
-
-    counts = (
-        built.select(*key, F.lit(1).alias("m"), F.lit(0).alias("c"), F.lit(0).alias("s"))
-        .unionByName(named.select(*key, F.lit(0).alias("m"), F.lit(1).alias("c"), F.lit(0).alias("s")))
-        .unionByName(staged.select(*key, F.lit(0).alias("m"), F.lit(0).alias("c"), F.lit(1).alias("s")))
-        .groupBy(*key).agg(F.sum("m").alias("m"), F.sum("c").alias("c"), F.sum("s").alias("s"))
-    )
-    joined = (
-        built.join(numbered(named, "__check"), ["session_id", "pos"], "left")
-        .join(numbered(staged, "__clip"), ["session_id", "pos"], "left").join(counts, key)
-    )
+    place = F.col("ord").cast("bigint").alias("ord")
+    # written, so that each list is worked out once and its length is known
+    lists = [materialize(df, "list") for df in (built, named.select(*key, place, F.col("qid").alias("__check")), staged.select(*key, place, F.col("qid").alias("__clip")))]
+    rows = max(df.count() for df in lists)
+    by_place, by_block = [*key, "pos"], [*key, o.BLOCK]
+    block = lambda c: F.coalesce(o.blocks_of(c), F.lit(-1).cast("bigint"))
+
+    def numbered(df: DataFrame) -> DataFrame:
+        cut = o.in_tasks(o.with_block(df, o.blocks_of("ord")), rows, *by_block)
+        return o.in_tasks(o.ordinal(cut, key, ["ord"], "pos").drop("ord", o.BLOCK), rows, *by_place)
+
+    # how long a session's lists are meets its rows block by block, so that a long session is many tasks
+    marks = [df.select(*key, block(c).alias(o.BLOCK), *[F.lit(int(k == at)).alias(mark) for at, mark in enumerate("mcs")]) for k, (df, c) in enumerate(zip(lists, ("pos", "ord", "ord")))]
+    per_block = o.in_tasks(functools.reduce(DataFrame.unionByName, marks), rows, *by_block).groupBy(*by_block).agg(*[F.sum(mark).alias(mark) for mark in "mcs"])
+    lengths = o.in_tasks(per_block, rows, *key).select(
+        *by_block, F.col("m").alias("__here"), *[F.sum(mark).over(Window.partitionBy(*key)).alias(mark) for mark in "mcs"]).where("__here > 0").drop("__here")
+    paired = o.in_tasks(lists[0], rows, *by_place).join(numbered(lists[1]), by_place, "left").join(numbered(lists[2]), by_place, "left")
+    joined = o.in_tasks(o.with_block(paired, block("pos")), rows, *by_block).join(o.in_tasks(lengths, rows, *by_block), by_block)
     use_checks, use_clips = F.col("c") == F.col("m"), F.col("s") == F.col("m")
     return joined.select(
         "session_id", "pos",

@@ -31,6 +31,18 @@ def blocks_of(ordinal: str, rows: int = DEFAULT_BLOCK_ROWS) -> Column:
     return F.expr(f"`{ordinal}` div {int(rows)}")
 
 
+TASK_ROWS = 262_144
+
+
+def in_tasks(df: DataFrame, rows: int, *keys: str | Column, task_rows: int = TASK_ROWS) -> DataFrame:
+    """``df`` dealt by ``keys`` into tasks of about ``task_rows`` of its ``rows``.
+
+    Adaptive planning joins partitions by their bytes, up to 64 MB, which are many millions of narrow rows that one task then sorts.
+    A number of partitions that is asked for is kept, so what a task holds does not grow with the table.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // task_rows)), *keys)
+
+
 def with_block(df: DataFrame, block: Column) -> DataFrame:
     """Fix the block once, so that several scans over the same key share one shuffle of the rows."""
     return df.withColumn(BLOCK, block)

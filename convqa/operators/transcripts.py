@@ -162,10 +162,18 @@ def compare(live: DataFrame, stored: DataFrame, config: CallConfig = CallConfig(
 
 
 def zip_ordinal(left: DataFrame, right: DataFrame, keys: Sequence[str], left_order: str, right_order: str,
-                how: str = "left", block_rows: int = o.DEFAULT_BLOCK_ROWS) -> DataFrame:
-    """Pair the i-th row of one list with the i-th row of another within each key (``pos`` from 1)."""
-    a = o.ordinal(left, keys, [left_order], "pos", o.blocks_of(left_order, block_rows))
-    b = o.ordinal(right, keys, [right_order], "pos", o.blocks_of(right_order, block_rows))
+                how: str = "left", block_rows: int = o.DEFAULT_BLOCK_ROWS, rows: int | None = None) -> DataFrame:
+    """Pair the i-th row of one list with the i-th row of another within each key (``pos`` from 1).
+
+    ``rows``, the length of the longer table if it is known, bounds what a task sorts.
+    """
+    def numbered(df: DataFrame, order: str) -> DataFrame:
+        if rows is None:
+            return o.ordinal(df, keys, [order], "pos", o.blocks_of(order, block_rows))
+        cut = o.in_tasks(o.with_block(df, o.blocks_of(order, block_rows)), rows, *keys, o.BLOCK)
+        return o.in_tasks(o.ordinal(cut, keys, [order], "pos").drop(o.BLOCK), rows, *keys, "pos")
+
+    a, b = numbered(left, left_order), numbered(right, right_order)
     if right_order in a.columns:
         b = b.drop(right_order)
     return a.join(b, [*keys, "pos"], how)

@@ -349,8 +349,8 @@ def _(spark, d):
 @query("f16_played_order", f"""WITH {i.CHECKS}, b AS (SELECT session_id, ord, row_number() OVER (PARTITION BY session_id ORDER BY ord) AS pos, count(*) OVER (PARTITION BY session_id) AS n, part FROM raw_checks)
 SELECT session_id, pos, CASE WHEN session_id % 3 = 0 THEN 'Q' || part WHEN session_id % 3 = 1 THEN 'K' || part ELSE 'built' || pos END AS question_id, CASE WHEN session_id % 3 = 0 THEN 'checks' WHEN session_id % 3 = 1 THEN 'clips' ELSE 'built' END AS order_source FROM b""")
 def _(spark, d):
-    c = i.checks(spark, d)
-    built = transcripts.zip_ordinal(c.select("session_id", F.col("ord").alias("a"), "clip"), c.select("session_id", F.col("ord").alias("b")), ["session_id"], "a", "b")
+    c = materialize(i.checks(spark, d), "checks")
+    built = transcripts.zip_ordinal(c.select("session_id", F.col("ord").alias("a"), "clip"), c.select("session_id", F.col("ord").alias("b")), ["session_id"], "a", "b", rows=c.count())
     turns = built.select("session_id", F.col("pos").alias("turn"), F.concat(F.lit("built"), "pos").alias("question_id"))
     checks = c.where(F.col("session_id") % 3 == 0).select("session_id", "ord", "clip")
     clips = c.where(F.col("session_id") % 3 == 1).select("session_id", "ord", F.regexp_replace("clip", "_Q", "_K").alias("clip"))

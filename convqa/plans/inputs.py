@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from convqa.functions import text as tx
 from convqa.functions.deflection import Patterns
-from convqa.operators import transcripts
+from convqa.operators import ordered, transcripts
 from convqa.plans.registry import table
 
 # The driver texts are invented words, so these lists and this script range stand in for the real ones.
@@ -127,7 +127,8 @@ POOL = "pool AS (SELECT doc_id AS id, 'KB' AS topic, coalesce(source, 'none') AS
 def checks(spark: SparkSession, d: str) -> DataFrame:
     """Clip outcomes: order = session, line number = position."""
     li = table(spark, d, "lineitem")
-    return li.groupBy(F.col("l_orderkey").alias("session_id"), F.col("l_linenumber").cast("bigint").alias("ord")).agg(
+    dealt = ordered.in_tasks(li.select("l_orderkey", "l_linenumber", "l_returnflag", "l_extendedprice", "l_partkey"), li.count(), "l_orderkey", F.col("l_linenumber").cast("bigint"))
+    return dealt.groupBy(F.col("l_orderkey").alias("session_id"), F.col("l_linenumber").cast("bigint").alias("ord")).agg(
         (F.max("l_returnflag") != "R").alias("responded"), F.floor(F.max("l_extendedprice") / 10).alias("__lat"),
         F.max("l_partkey").alias("__part"),
     ).select(
