@@ -40,8 +40,9 @@ STEP_BYTES = 1 << 20  # text hashed at once
 SHARD_BYTES = 8 << 20  # text for each shard of terms
 PAIRS_A_SHARD = 1 << 19
 OUT_ROWS, PACK_ROWS = 1 << 18, 1 << 20
-ROUNDS = 3
+ROUNDS = 4
 PACKED = "shard int, batch long, a binary, b binary, c binary"
+SUMS = "batch long, shard int, places binary, sums binary, alone binary"
 RESULT = ("perplexity", "perplexity_new")
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -248,21 +249,43 @@ def _meet(asked: pa.Table, model: pa.Table) -> pa.Table:
             texts = np.flatnonzero(np.bincount(place))
             worth = weight[at].astype(np.float64) * times
             alone = np.bincount(place, weights=np.where(n[at] <= times, worth, 0))[texts]
-            for name, value in zip(out, (batch, shard, texts.astype(np.uint16).tobytes(), np.bincount(place, weights=worth)[texts].tobytes(), alone.tobytes())):
+            sums = np.bincount(place, weights=worth)[texts]
+            for name, value in zip(out, (batch, shard, *map(pack, (texts.astype(np.uint16), sums, alone)))):
                 out[name].append(value)
     kinds = {"batch": pa.int64(), "shard": pa.int32(), "places": pa.binary(), "sums": pa.binary(), "alone": pa.binary()}
     return pa.table({name: pa.array(out[name], kind) for name, kind in kinds.items()})
 
 
+def _added(parts: pa.Table) -> tuple[list, np.ndarray, np.ndarray]:
+    """What stands below zero in the rows of a batch, and the sums of the others by text."""
+    table = sorted(zip(*(parts[c].to_pylist() for c in ("shard", "places", "sums", "alone"))))  # one order of summation
+    below = [r for r in table if r[0] < 0]
+    every, alone = np.zeros((2, BATCH_ROWS))
+    for _, places, worth, lost in table[len(below):]:
+        at = unpack(places, np.uint16)
+        every[at] += unpack(worth, np.float64)
+        alone[at] += unpack(lost, np.float64)
+    return below, every, alone
+
+
+def _together(parts: pa.Table) -> pa.Table:
+    """The rows of one batch and round as one, which has the number of the first shard."""
+    below, every, alone = _added(parts)
+    made = [(r[0], *r[1:]) for r in below]
+    if len(parts) > len(below):
+        texts = np.flatnonzero(every != 0)
+        first = min(s for s in parts["shard"].to_pylist() if s >= 0)
+        made.append((first, *map(pack, (texts.astype(np.uint16), every[texts], alone[texts]))))
+    shard, *blobs = zip(*made)
+    return pa.Table.from_arrays(
+        [pa.array([parts["batch"][0].as_py()] * len(made), pa.int64()), pa.array(shard, pa.int32()), *[pa.array(b, pa.binary()) for b in blobs]], names=["batch", "shard", "places", "sums", "alone"])
+
+
 def _total(unseen: float):
     def run(parts: pa.Table) -> pa.Table:
-        (_, row, n, _), *found = sorted(zip(*(parts[c].to_pylist() for c in ("shard", "places", "sums", "alone"))))  # one order of summation
+        ((_, row, n, _),), every, alone = _added(parts)
         row, n = unpack(row, np.int64), unpack(n, np.int64)
-        every, alone = np.zeros((2, len(row)))
-        for _, places, worth, lost in found:
-            at = np.frombuffer(places, np.uint16)
-            every[at] += np.frombuffer(worth, np.float64)
-            alone[at] += np.frombuffer(lost, np.float64)
+        every, alone = every[:len(row)], alone[:len(row)]
         made = [pa.array(np.exp(-(logs / (n + 1) + unseen)), pa.float64(), mask=n == 0) for logs in (every, every - alone)]
         return pa.Table.from_arrays([pa.array(row), *made], names=["__row", *RESULT])
 
@@ -285,7 +308,7 @@ def perplexity(docs: DataFrame, model: tuple[DataFrame, float, int] | None, text
         parts = []
         for k in range(rounds):
             met = asked(texts, shards, (k, rounds)).groupBy("shard").cogroup(table.where(F.col("shard") % rounds == k).groupBy("shard"))
-            parts.append(materialize(met.applyInArrow(_meet, "batch long, shard int, places binary, sums binary, alone binary"), "sums"))
+            parts.append(materialize(met.applyInArrow(_meet, SUMS).groupBy("batch").applyInArrow(_together, SUMS), "sums"))
         together = functools.reduce(DataFrame.unionByName, parts)
         scored = together.groupBy("batch").applyInArrow(_total(unseen), f"__row long, {RESULT[0]} double, {RESULT[1]} double")
         found = materialize(scored, "perplexity")
