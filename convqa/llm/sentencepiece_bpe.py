@@ -2,9 +2,11 @@
 
 An Aho-Corasick automaton lists the pieces that start at each position. The encoder walks from the left with the
 longest piece first; a piece may follow another if merging their joined text by score leaves just these two (checked by
-re-merging, kept per pair); where no piece fits, the position is marked in a bitfield and the last piece is shortened.
-No piece has a space mark after another character, so a text falls into chunks (spaces, then other characters) that are
-encoded apart, and a task remembers the chunks it has met, up to a fixed number.
+re-merging, kept per pair); where no piece fits, the position is marked as closed and the last piece is shortened.
+No piece has a space mark after another character, and characters fall into kinds of which no piece holds two (letters
+of a script, digits), so no merge joins neighbours of two kinds. A text falls into chunks (spaces, then characters of one
+kind) that are encoded apart, and a worker remembers the ids of the chunks it has met, up to a fixed number. Short chunks
+are merged outright. Texts are decoded from their ids.
 
 Defined results: null and empty texts give only the end id; characters outside the vocabulary become byte pieces; text that looks
 like a control piece is ordinary text; ids of control pieces decode to nothing. Repeated rows give repeated results;
@@ -15,6 +17,8 @@ from __future__ import annotations
 
 import array
 import functools
+import itertools
+import operator
 import re
 from collections.abc import Callable, Iterable
 
@@ -29,7 +33,9 @@ from convqa.llm.arrow import add_columns
 
 SPACE = "▁"
 NORMAL, BYTE, CONTROL = 1, 6, 3
-REMEMBERED = 250_000
+REMEMBERED = 200_000
+# up to so many characters, merging takes less time than the walk
+SHORT = 24
 
 
 class PieceCoder:
@@ -41,16 +47,35 @@ class PieceCoder:
         self.ids = {p: i for i, (p, _, k) in enumerate(pieces) if k == NORMAL}
         self.scores = {p: s for p, s, k in pieces if k == NORMAL}
         self.byte_ids = {int(p[1:-1], 16): i for i, (p, _, k) in enumerate(pieces) if k == BYTE}
-        self.byte_of = {i: b for b, i in self.byte_ids.items()}
+        # bytes beyond ASCII stand as lone surrogates until the whole text is read as UTF-8
+        byte_of = {i: chr(b) if b < 128 else chr(0xDC00 + b) for b, i in self.byte_ids.items()}
+        self.shown = [p if k == NORMAL else byte_of.get(i, "") for i, (p, _, k) in enumerate(pieces)]
         self.automaton = ahocorasick.Automaton()
         for p, i in self.ids.items():
             self.automaton.add_word(p, (len(p), i))
         self.automaton.make_automaton()
         self.pairs: dict[tuple[int, int], bool] = {}
-        # chunks met lately, and those met before them
-        self.chunks: dict[str, tuple[bytes, str]] = {}
-        self.older: dict[str, tuple[bytes, str]] = {}
+        # packed ids of chunks met lately, and of those met before them
+        self.chunks: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.unknown = re.compile("[^" + "".join(re.escape(p) for p in self.ids if len(p) == 1) + "]")
+        kinds = ["[" + "".join(map(re.escape, kind)) + "]++" for kind in self._kinds()]
+        self.split = re.compile(" *+(?:" + "|".join([*kinds, "[^ ]"]) + ")| +").findall
+
+    def _kinds(self) -> list[list[str]]:
+        """Characters that pieces hold side by side, directly or by way of others, most first; those that stand alone are left out."""
+        kind: dict[str, list[str]] = {}
+        for p in self.ids:
+            chars = p.lstrip(SPACE)
+            if SPACE in chars:
+                raise ValueError("a piece has a space mark after another character")
+            for a, b in zip(chars, chars[1:]):
+                x, y = (kind.setdefault(c, [c]) for c in (a, b))
+                if x is not y:
+                    x, y = (x, y) if len(x) >= len(y) else (y, x)
+                    x += y
+                    kind.update(dict.fromkeys(y, x))
+        return sorted({id(k): k for k in kind.values() if len(k) > 1 or k[0] * 2 in self.ids}.values(), key=len, reverse=True)
 
     @staticmethod
     @functools.lru_cache(maxsize=2)
@@ -68,15 +93,15 @@ class PieceCoder:
     def merged(self, text: str) -> list[str]:
         """Pieces left after joining neighbours, best score first and leftmost among equals."""
         parts, score, none = list(text), self.scores.get, float("-inf")
-        gains = [score(a + b, none) for a, b in zip(parts, parts[1:])]
+        gains = list(map(score, map(operator.add, text, text[1:]), itertools.repeat(none)))
         while gains and (best := max(gains)) > none:
             k = gains.index(best)
-            parts[k:k + 2] = [parts[k] + parts[k + 1]]
+            parts[k] = joined = parts[k] + parts.pop(k + 1)
             del gains[k]
             if k < len(gains):
-                gains[k] = score(parts[k] + parts[k + 1], none)
+                gains[k] = score(joined + parts[k + 1], none)
             if k:
-                gains[k - 1] = score(parts[k - 1] + parts[k], none)
+                gains[k - 1] = score(parts[k - 1] + joined, none)
         return parts
 
     def fits(self, left: int, right: int) -> bool:
@@ -93,17 +118,19 @@ class PieceCoder:
     def _known_run(self, text: str) -> list[int]:
         """Ids of a text all of whose characters are pieces."""
         n = len(text)
+        if n <= SHORT:
+            return [self.ids[p] for p in self.merged(text)]
         at: list[list[tuple[int, int]]] = [[] for _ in range(n)]
         for end, (length, i) in self.automaton.iter(text):
             at[end - length + 1].append((length, i))  # ends only grow, so the longest comes last
-        open_ends = (1 << (n + 1)) - 1
+        closed = bytearray(n + 1)
         taken: list[tuple[int, int]] = []  # (index among the pieces at its start, id)
         pos, try_from = 0, len(at[0]) - 1
         while pos < n:
             left = taken[-1][1] if taken else -1
             for k in range(try_from, -1, -1):
                 length, i = at[pos][k]
-                if open_ends >> (pos + length) & 1 and self.fits(left, i):
+                if not closed[pos + length] and self.fits(left, i):
                     taken.append((k, i))
                     pos += length
                     try_from = len(at[pos]) - 1 if pos < n else 0
@@ -111,13 +138,15 @@ class PieceCoder:
             else:
                 if not taken:
                     return [self.ids[p] for p in self.merged(text)]
-                open_ends &= ~(1 << pos)
+                closed[pos] = 1
                 k, i = taken.pop()
                 pos -= len(self.texts[i])
                 try_from = k - 1
         return [i for _, i in taken]
 
     def encode_chunk(self, chunk: str) -> list[int]:
+        if not self.unknown.search(chunk):
+            return self._known_run(chunk)
         out: list[int] = []
         start = 0
         for found in self.unknown.finditer(chunk):
@@ -129,24 +158,8 @@ class PieceCoder:
             out += self._known_run(chunk[start:])
         return out
 
-    def _chunks(self, text: str) -> Iterable[str]:
-        parts = text.replace(SPACE, " ").split(" ")
-        if "" not in parts:
-            return parts
-        out, spaces = [], 0
-        for p in parts:
-            if p:
-                out.append(" " * spaces + p)
-                spaces = 0
-            else:
-                spaces += 1
-        return out + [" " * (spaces - 1)] if spaces else out
-
-    def _of(self, chunk: str) -> tuple[bytes, str]:
-        made = self.older.get(chunk)
-        if made is None:
-            ids = self.encode_chunk(SPACE + chunk.replace(" ", SPACE))
-            made = array.array("i", ids).tobytes(), self.surface(ids)
+    def _of(self, chunk: str) -> bytes:
+        made = self.chunks.get(chunk) or self.older.get(chunk) or array.array("i", self.encode_chunk(chunk.replace(" ", SPACE))).tobytes()
         if len(chunk) < 64:
             if len(self.chunks) >= REMEMBERED:
                 self.older, self.chunks = self.chunks, {}
@@ -158,27 +171,16 @@ class PieceCoder:
         if not text:
             return b"", ""
         known, of = self.chunks.get, self._of
-        made = [known(c) or of(c) for c in self._chunks(text)]
-        return b"".join([m[0] for m in made]), "".join([m[1] for m in made])[1:]
+        packed = b"".join([known(c) or of(c) for c in self.split(" " + text.replace(SPACE, " "))])
+        return packed, self.decode(memoryview(packed).cast("i"))
 
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.coded(text or "")[0], dtype=np.int32).tolist()
 
     def surface(self, ids: Iterable[int]) -> str:
         """Text of ids with every space mark shown as a space, the first one included."""
-        out, raw = [], bytearray()
-        for i in ids:
-            if i in self.byte_of:
-                raw.append(self.byte_of[i])
-                continue
-            if raw:
-                out.append(raw.decode(errors="replace"))
-                raw = bytearray()
-            if self.kinds[i] == NORMAL:
-                out.append(self.texts[i])
-        if raw:
-            out.append(raw.decode(errors="replace"))
-        return "".join(out).replace(SPACE, " ")
+        shown = "".join(map(self.shown.__getitem__, ids))
+        return shown.encode(errors="surrogateescape").decode(errors="replace").replace(SPACE, " ")
 
     def decode(self, ids: Iterable[int]) -> str:
         """Text of ids; the space that encoding puts before a text is taken off."""

@@ -59,3 +59,40 @@ def test_query(spark, pair):
         assert r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(lib.decode(ids).encode()).hexdigest()
+
+
+def test_work_and_memory_of_remembered_chunks(pair):
+    """Words with marks and line ends behind them share the entry of the bare word, and an entry holds ids alone."""
+    lib, _ = pair
+    own = sentencepiece_bpe.PieceCoder.load.__wrapped__(MODEL)
+    words = [a + b + c for a in ("stom", "lanti", "erho") for b in ("ver", "ung", "tion") for c in ("ble", "keit", "mos")]
+    text = " ".join(w + end for w in words for end in ("", ",", ".", "!!", ".\nThe", "&&&", "42"))
+    assert own.encode(text) == lib.encode(text) and own.coded(text)[1] == lib.decode(lib.encode(text))
+    assert len(own.chunks) < 2 * len(words) and all(isinstance(v, bytes) for v in own.chunks.values())
+    assert not own.pairs  # short chunks are merged, so no pairs are kept
+
+
+def test_long_runs_and_full_caches(pair, monkeypatch):
+    lib, _ = pair
+    monkeypatch.setattr(sentencepiece_bpe, "REMEMBERED", 7)
+    own = sentencepiece_bpe.PieceCoder.load.__wrapped__(MODEL)
+    rng = random.Random(8)
+    for n in (23, 24, 25, 26, 60, 700):
+        for letters in ("etaoinshr", "нарикоег", "=-#();", "漢字数据获取一个", "aé\U0001f600н1=", "a ▁\n"):
+            t = "".join(rng.choice(letters) for _ in range(n))
+            assert own.encode(t) == lib.encode(t) and own.coded(t)[1] == lib.decode(lib.encode(t)), t
+    assert len(own.chunks) <= 7 and len(own.older) <= 7
+
+
+def test_kinds_part_no_piece(pair):
+    """No piece holds characters of two kinds, so no merge reaches over a cut."""
+    _, own = pair
+    for p in own.ids:
+        assert len(own.split(p.replace(sentencepiece_bpe.SPACE, " "))) == 1, p
+
+
+def test_bytes_decode_as_the_library_does(pair):
+    lib, own = pair
+    for t in ("\x00\x7f", "\u20bf😀😀", "𝒜b\nc", "\ufffd", "\U0010ffff\u0301"):
+        ids = lib.encode(t)
+        assert own.decode(ids) == lib.decode(ids) == t
