@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,8 +14,19 @@ from pyspark.sql.types import StructField, StructType
 Step = Callable[[pa.RecordBatch], dict[str, pa.Array]]
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], column: int, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that the texts of one hold about ``limit`` bytes; a longer text is a batch of its own."""
+def give_back() -> None:
+    """Return freed memory to the system. A worker outlives its task, and would hold what the arrays of one stage took through the next ones."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim:
+        trim(0)
+
+
+def small_batches(batches: Iterator[pa.RecordBatch], column: int, limit: int = 8 << 20, tidy: bool = False) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that the texts of one hold about ``limit`` bytes; a longer text is a batch of its own.
+
+    ``tidy``: freed memory goes back to the system after each batch that came in.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -25,6 +37,8 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: int, limit: int = 8
             stop = max(start + 1, int(np.searchsorted(sizes, base + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+        if tidy:
+            give_back()
 
 
 def add_columns(df: DataFrame, column: str, fields: list[StructField], make: Callable[[], Step], limit: int = 8 << 20) -> DataFrame:
@@ -39,7 +53,7 @@ def add_columns(df: DataFrame, column: str, fields: list[StructField], make: Cal
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
-        for batch in small_batches(batches, len(kept), limit):
+        for batch in small_batches(batches, len(kept), limit, tidy=True):
             made = step(batch.column(len(kept)))
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(kept))] + [made[n] for n in names], names=kept + names)
 

@@ -73,7 +73,7 @@ def _described(docs: DataFrame, words: int) -> DataFrame:
             code, n = np.unique(np.concatenate(held), return_counts=True)
             return _batch(1, code[n > 1].view(np.int64), n[n > 1], n[n > 1])
 
-        for batch in small_batches(batches, 1, TEXT_BYTES):
+        for batch in small_batches(batches, 1, TEXT_BYTES, tidy=True):
             code, begins = shingles.sets_of(batch.column(1), words)
             one, two = shingles.signatures(code, begins)
             yield _batch(0, batch.column(0), one, two, np.diff(begins).astype(np.int64))
@@ -98,7 +98,7 @@ def _prefixes(docs: DataFrame, words: int, percent: int, frequent) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, counts = frequent.value
         seen: set[tuple[int, int]] = set()
-        for batch in small_batches(batches, 1, TEXT_BYTES):
+        for batch in small_batches(batches, 1, TEXT_BYTES, tidy=True):
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             code, begins = shingles.sets_of(batch.column(1), words)
             one, two = shingles.signatures(code, begins)
@@ -180,7 +180,7 @@ def _fragments(docs: DataFrame, words: int, ids: DataFrame, frequent) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = frequent.value[0]
-        for part in small_batches((bloom.hits(b, table.value) for b in batches), 1, TEXT_BYTES):
+        for part in small_batches((bloom.hits(b, table.value) for b in batches), 1, TEXT_BYTES, tidy=True):
             code, begins = shingles.sets_of(part.column(1), words)
             keys, frags, blobs = [], [], []
             for k, key in enumerate(part.column(0).to_pylist()):
@@ -202,7 +202,7 @@ def _sketches(docs: DataFrame, words: int, ids: DataFrame) -> DataFrame:
     table = docs.sparkSession.sparkContext.broadcast(bloom.of_ids(ids, "key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in small_batches((bloom.hits(b, table.value) for b in batches), 1, TEXT_BYTES):
+        for part in small_batches((bloom.hits(b, table.value) for b in batches), 1, TEXT_BYTES, tidy=True):
             code, begins = shingles.sets_of(part.column(1), words)
             blobs = []
             for k in range(part.num_rows):
