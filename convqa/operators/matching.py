@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from convqa.config import CallConfig
 from convqa.functions import text as tx
+from convqa.operators import content_pairs, transcripts
 from convqa.operators import ordered as o
-from convqa.operators import transcripts
-from convqa.session import materialize
+from convqa.session import discard, materialize
 
 DAY_MS = 86_400_000
-LIST_PAIRS = 4_000_000  # pairs that one token of one agent may form in a task
+HELD = 8_000_000  # distinct tokens of the contents that a task holds
+PASSING = 4  # times as many pass by
+CONTENT = 16  # tokens that take as much as the rest of a content
 
 
 def asof_conversation(calls: DataFrame, convs: DataFrame, skew_ms: int = CallConfig.call_match_skew_ms,
@@ -34,76 +36,86 @@ def asof_conversation(calls: DataFrame, convs: DataFrame, skew_ms: int = CallCon
     )
 
 
+def _packed(counts: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+    """One row per content from its rows ``token, n``: the number of distinct tokens (``kinds``), and these with their counts compressed
+    (``bag``). Tokens hold no blank."""
+    bag = F.sort_array(F.collect_list(F.struct("token", "n"))).alias("__bag")
+    rows = counts.groupBy(*keys).agg(*more, F.count(F.lit(1)).alias("kinds"), bag)
+    n = F.col("__bag.n").cast("array<string>")
+    joined = rows.withColumn("words", F.array_join("__bag.token", " ")).withColumn("counts", F.array_join(n, " "))
+    return content_pairs.squeezed(joined.drop("__bag"))
+
+
 def _bags(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Token counts per transcript body, and one content signature per transcript.
+    """Packed token counts per transcript body, and one content signature per transcript.
 
     The signature combines two order-free 64-bit sums, so equal bags share it and copies can be
-    matched once instead of pair by pair. The counts are read many times afterwards, so the text is
-    tokenized once and the counts are written to the shared folder.
+    matched once instead of pair by pair. Turns are dealt by transcript before anything else: their text
+    is shuffled once, and its tokens are counted and packed where it arrives. Both tables are read many times and written.
     """
-    counts = materialize(transcripts.token_counts(transcripts.body(turns), ["conv_id"]), "tokens")
     h = F.xxhash64("token", "n")
     g = F.xxhash64(F.lit("bag"), "n", "token").cast("decimal(38,0)")
-    signed = counts.groupBy("conv_id").agg(
-        F.concat_ws(":", F.bit_xor(h).cast("string"), F.sum(g).cast("string"), F.sum("n").cast("string")).alias("sig"),
-        F.sum("n").alias("size"),
-    )
-    return counts, signed
+    signature = F.concat_ws(":", F.bit_xor(h).cast("string"), F.sum(g).cast("string"), F.sum("n").cast("string")).alias("sig")
+    counts = transcripts.token_counts(transcripts.body(turns.repartition("conv_id")), ["conv_id"])
+    bags = materialize(_packed(counts, ["conv_id"], signature, F.sum("n").alias("size")), "bags", tidy=True)
+    return bags, materialize(bags.select("conv_id", "sig", "size"), "signed")
 
 
-def _distinct_bags(counts: DataFrame, signed: DataFrame, owners: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``agent_id, sig, size, token, n`` once per agent and distinct content, and ``conv_id, agent_id, sig`` of all (``owners``: ``conv_id, agent_id``).
+def _distinct_bags(bags: DataFrame, signed: DataFrame, owners: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Packed bags ``agent_id, sig, size, kinds, bag`` once per agent and distinct content, and ``conv_id, agent_id, sig`` of all
+    (``owners``: ``conv_id, agent_id``).
 
-    ``sig`` is the smallest conversation of the agent with that content: signatures are long texts that no shuffle can pack.
+    ``sig`` is the smallest conversation of the agent with that content: signatures are long texts that no shuffle can pack. The second
+    table is written, for all that follows goes by it.
     """
     owned = signed.join(owners, "conv_id")
     one = owned.groupBy("agent_id", F.col("sig").alias("__sig"), "size").agg(F.min("conv_id").alias("sig"))
-    counted = counts.join(one.select(F.col("sig").alias("conv_id"), "agent_id", "size"), "conv_id")
     members = owned.withColumnRenamed("sig", "__sig").join(one.drop("size"), ["agent_id", "__sig"])
-    return counted.select("agent_id", F.col("conv_id").alias("sig"), "size", "token", "n"), members.select("conv_id", "agent_id", "sig")
+    members = materialize(members.select("conv_id", "agent_id", "sig", "size"), "members")
+    counted = bags.drop("sig", "size").join(members.where("conv_id = sig").drop("sig"), "conv_id")
+    return counted.withColumnRenamed("conv_id", "sig"), members.drop("size")
 
 
-def similar_contents(left: DataFrame, right: DataFrame, minimum: float, limit: int = LIST_PAIRS) -> DataFrame:
+def similar_contents(left: DataFrame, right: DataFrame, minimum: float, limit: int = HELD) -> DataFrame:
     """Content pairs ``agent_id, sig, other, sim`` of one agent whose multiset Dice reaches ``minimum``.
 
-    Exact prefix and position filters. With tokens ordered from rare to frequent among the agent's contents, two similar bags share
-    an element among their first ``size - ceil(t * size / (2 - t)) + 1``; pairs without one are never
-    formed. For the others, the tokens shared in both prefixes plus all that is left behind the last of
-    them bound the overlap from above, and only pairs whose bound suffices are counted in full.
-    A token that many of an agent's contents have in their prefix is met block by block, each block a task's part.
+    Both sides have ``agent_id, sig, size`` and either a row per ``token, n`` or ``kinds, bag`` (see :func:`_packed`).
+    Pairs are formed, ruled out and counted inside tasks (:func:`content_pairs.similar_pairs`), so contents and found pairs are
+    all that reaches a disk. An agent's contents are cut, in the order of their sizes, into blocks that a task can hold
+    (``limit`` distinct tokens); larger blocks of the left side are read past those of the right
+    side whose sizes allow ``minimum``. A content is sent once to every block it can have a pair in.
     """
-    elements = left.select("agent_id", "sig", "size", "token", "n", F.lit(0).alias("side")).unionByName(
-        right.select("agent_id", "sig", "size", "token", "n", F.lit(1).alias("side")))
-    df = elements.groupBy("agent_id", "token").agg(F.count(F.lit(1)).alias("df"))
-    keyed = elements.join(df, ["agent_id", "token"]).withColumn("h", F.xxhash64("token")).withColumn("rare", F.floor(F.log2("df")).cast("bigint"))
-    # Rank by (rare, hash). Only large bags are cut, by the same pair, so small ones stay in one piece.
-    cut = F.col("rare") * 16 + F.shiftright("h", 60) + 8
-    block = F.when(F.col("size") < o.DEFAULT_BLOCK_ROWS, F.lit(0).cast("bigint")).otherwise(cut)
-    upto = o.running_sum(keyed, ["side", "agent_id", "sig"], ["rare", "h", "token"], F.col("n"), "upto", block)
-    keep = F.col("size") - F.ceil(F.lit(minimum) * F.col("size") / (2 - minimum) - F.lit(1e-9)) + 1
-    prefix = materialize(upto.where(F.col("upto") - F.col("n") < keep).select("side", "agent_id", "sig", "size", "token", "n", "upto"), "prefix")
-    a = prefix.where("side = 0").drop("side")
-    b = prefix.where("side = 1").select("agent_id", F.col("sig").alias("other"), F.col("size").alias("other_size"), "token", F.col("n").alias("n_b"), F.col("upto").alias("upto_b"))
-    need = F.lit(minimum / 2) * (F.col("size") + F.col("other_size")) - 1e-9
-    pair = ["agent_id", "sig", "size", "other", "other_size"]
-    met = ["agent_id", "token"]
-    lists = prefix.groupBy("agent_id", "token").agg(F.count_if(F.col("side") == 0).alias("na"), F.count_if(F.col("side") == 1).alias("nb"))
-    if (lists.agg(F.max(F.col("na") * F.col("nb"))).first()[0] or 0) > limit:
-        heavy = materialize(lists.where(F.col("na") * F.col("nb") > limit).select("agent_id", "token", F.ceil(F.col("na") * F.col("nb") / limit).alias("blocks")), "heavy")
-        cut = lambda df: df.join(heavy, ["agent_id", "token"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        a = cut(a).withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks"))).drop("blocks")
-        b = cut(b).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).drop("blocks")
-        met = [*met, "block"]
-    pairs = (
-        a.join(b, met).where(F.least("size", "other_size") >= need).groupBy(*pair)
-        .agg(F.sum(F.least("n", "n_b")).alias("__shared"), F.max("upto").alias("__ua"), F.max("upto_b").alias("__ub"))
-        .where(F.col("__shared") + F.least(F.col("size") - F.col("__ua"), F.col("other_size") - F.col("__ub")) >= need).select(*pair))
-    shared = (
-        pairs.join(left.select("agent_id", "sig", "token", F.col("n").alias("n_a")), ["agent_id", "sig"])
-        .join(right.select("agent_id", F.col("sig").alias("other"), "token", F.col("n").alias("n_b")), ["agent_id", "other", "token"])
-        .groupBy(*pair).agg(F.sum(F.least("n_a", "n_b")).alias("both")))
-    sim = F.lit(2.0) * F.col("both") / (F.col("size") + F.col("other_size"))
-    return shared.select("agent_id", "sig", "other", sim.alias("sim")).where(F.col("sim") >= minimum)
+    left, right = (df if "bag" in df.columns else _packed(df, ["agent_id", "sig", "size"]) for df in (left, right))
+    sided = lambda df, side: df.select("agent_id", "sig", "size", (F.col("kinds") + CONTENT).alias("weight"), F.lit(side).alias("side"))
+    sizes = sided(right, content_pairs.RIGHT).unionByName(sided(left, content_pairs.LEFT))
+    upto = o.running_sum(sizes, ["side", "agent_id"], ["size", "sig"], F.col("weight"), "upto", F.floor(16 * F.log2("size")).cast("bigint"))
+    holds = F.when(F.col("side") == content_pairs.RIGHT, limit).otherwise(PASSING * limit)
+    placed = materialize(upto.withColumn("block", F.floor((F.col("upto") - F.col("weight")) / holds).cast("bigint")).drop("upto"), "placed")
+    blocks = placed.groupBy("side", "agent_id", "block").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.sum("weight").alias("weight"))
+    named = lambda side, tag: blocks.where(F.col("side") == side).select(
+        "agent_id", *[F.col(c).alias(f"{tag}_{c}") for c in ("block", "low", "high", "weight")])
+    # Of two contents that reach the minimum, the smaller one has at least minimum / (2 - minimum) of the tokens of the larger one.
+    allows = lambda high, low: high * F.lit(2 - minimum) >= low * F.lit(minimum) - 1e-6
+    met = named(content_pairs.RIGHT, "r").join(named(content_pairs.LEFT, "l"), "agent_id").where(
+        allows(F.col("l_high"), F.col("r_low")) & allows(F.col("r_high"), F.col("l_low")))
+    groups = materialize(met.withColumn("group", F.monotonically_increasing_id()), "groups")
+    count, weight = groups.agg(F.count(F.lit(1)), F.sum(F.col("r_weight") + F.col("l_weight"))).first()
+    tasks = max(1, min(count, max(left.sparkSession.sparkContext.defaultParallelism, -(-(weight or 0) // HELD))))
+
+    def sent(df: DataFrame, side: int, own: str, other: str) -> DataFrame:
+        """Rows of one side, once per group. Joined by ``sig`` alone, by which they are already dealt."""
+        to = (
+            placed.where(F.col("side") == side).join(groups.withColumnRenamed(f"{own}_block", "block"), ["agent_id", "block"])
+            .where(allows(F.col("size"), F.col(f"{other}_low")) & allows(F.col(f"{other}_high"), F.col("size")))
+            .groupBy("sig").agg(F.collect_list(F.struct("agent_id", "group")).alias("__to")))
+        here = F.explode(F.filter("__to", lambda t: t["agent_id"] == F.col("agent_id")))
+        return df.join(to, "sig").withColumn("__to", here).select(
+            F.col("__to.group").alias("group"), F.lit(side).alias("side"), "agent_id", "sig", "size", "bag")
+
+    rows = sent(right, content_pairs.RIGHT, "r", "l").unionByName(sent(left, content_pairs.LEFT, "l", "r"))
+    dealt = rows.repartitionById(tasks, (F.col("group") % tasks).cast("int")).sortWithinPartitions("group", "side", "size")
+    kinds, others = dict(left.dtypes), dict(right.dtypes)
+    return dealt.mapInArrow(content_pairs.similar_pairs(minimum), f"agent_id {kinds['agent_id']}, sig {kinds['sig']}, other {others['sig']}, sim double")
 
 
 def match_by_content(calls: DataFrame, live: DataFrame, convs: DataFrame, stored: DataFrame, config: CallConfig = CallConfig(),
@@ -122,12 +134,13 @@ def match_by_content(calls: DataFrame, live: DataFrame, convs: DataFrame, stored
     """
     if "saved" in convs.columns:
         convs = convs.where("saved").drop("saved")
-    live_counts, live_sig = _bags(live)
-    stored_counts, stored_sig = _bags(stored)
-    live_bags, said = _distinct_bags(live_counts, live_sig, calls.select(F.col("call_id").alias("conv_id"), "agent_id"))
-    stored_bags, kept = _distinct_bags(stored_counts, stored_sig, convs.select("conv_id", "agent_id"))
+    live_packed, live_sig = _bags(live)
+    stored_packed, stored_sig = _bags(stored)
+    live_bags, said = _distinct_bags(live_packed, live_sig, calls.select(F.col("call_id").alias("conv_id"), "agent_id"))
+    stored_bags, kept = _distinct_bags(stored_packed, stored_sig, convs.select("conv_id", "agent_id"))
     # written, because the as-of scan reads its rows more than once
-    pairs = materialize(similar_contents(live_bags, stored_bags, config.conv_match_min), "pairs")
+    pairs = materialize(similar_contents(live_bags, stored_bags, config.conv_match_min), "pairs", tidy=True)
+    discard(calls.sparkSession, live_packed, stored_packed)
     wanted = (
         calls.join(said.select(F.col("conv_id").alias("call_id"), "agent_id", "sig"), ["call_id", "agent_id"])
         .join(pairs, ["agent_id", "sig"]).select("call_id", "agent_id", "started_ms", F.col("other").alias("sig"), "sim")

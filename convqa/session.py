@@ -52,11 +52,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Cut lineage through a written table, so a lost executor costs a re-read and not a re-run."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    made = df.sparkSession.read.schema(df.schema).parquet(path)
+#: Shuffles are deleted when the job that made them has ended, else when the driver next collects garbage.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, name: str = "stage", tidy: bool = False) -> DataFrame:
+    """Cut lineage through a written table, so a lost executor costs a re-read and not a re-run.
+
+    ``tidy``: the disk that the shuffles of this job took is free as soon as the table is written.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    before = spark.conf.get(TIDY, "false")
+    spark.conf.set(TIDY, str(tidy or before == "true").lower())
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(TIDY, before)
+    made = spark.read.schema(df.schema).parquet(path)
     made.scratch = path
     return made
 
